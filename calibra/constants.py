@@ -90,6 +90,13 @@ FINDING_SEPARATOR = ", "
 FINDING_IGNORED = ("Sin Errores", "nan")
 FINDING_MARK = "X"
 
+# Explorer marks and status labels.
+MARK_PASS = "✓"
+MARK_FAIL = "✗"
+MARK_NA = "—"
+STATUS_OPEN_LABEL = "Pendiente"
+STATUS_DONE_LABEL = "Gestionado"
+
 # Patterns (written for Java regex: (?U) = Unicode classes, \z = end of text).
 EMAIL_PATTERN = r"(?U)^[\w.-]+@[\w.-]+\.\w+\z"
 PHONE_HOME_PATTERN = r"(?U)^(3\d{9}|60\d{8})\z"
