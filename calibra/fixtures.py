@@ -48,13 +48,15 @@ SELECT c_custkey AS Cliente,
        c_mktsegment AS segmento
 FROM {customer}""",
     # audit target (from lineitem): the audits written before the cutoff,
-    # several rows per SKU, both states.
+    # several rows per SKU, both states; odd line numbers already carry the
+    # newest source date of their SKU (so a date sync leaves them unchanged).
     "audit_target": """
 SELECT l_partkey AS SKU,
        CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 1 END AS Estado_Gestion,
-       l_shipdate AS Fecha_Actualizacion,
+       CASE WHEN l_linenumber % 2 = 1 THEN newest ELSE l_shipdate END AS Fecha_Actualizacion,
        l_orderkey, l_linenumber
-FROM {lineitem} WHERE l_shipdate < TIMESTAMP '""" + AUDIT_CUTOFF + "'",
+FROM (SELECT *, max(l_shipdate) OVER (PARTITION BY l_partkey) AS newest FROM {lineitem}) v
+WHERE l_shipdate < TIMESTAMP '""" + AUDIT_CUTOFF + "'",
     # origin versions (from lineitem): many versions per SKU.
     "origin_dates": """
 SELECT l_partkey AS SKU, l_shipdate AS fecha_actualiza, l_orderkey, l_linenumber
