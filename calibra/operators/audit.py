@@ -68,15 +68,22 @@ def audit(df: DataFrame, rules=None, units=(), domain: str = "Maestro de Materia
     # A1/A2: dimension scores (masks are mutually exclusive, so one flat chain per dimension)
     dims = {d: _dimension_score(checks, d) for d in K.DIMENSIONS}
 
-    # A3/A5: weighted score per block, 100 for rows outside every block (null type)
-    weighted = None
-    for b in plan.blocks:
-        val = (qcol("__d_Completitud") * F.lit(b.weight("Completitud"))
-               + qcol("__d_Validez") * F.lit(b.weight("Validez"))
-               + qcol("__d_Unicidad") * F.lit(b.weight("Unicidad"))
-               + qcol("__d_Consistencia") * F.lit(b.weight("Consistencia")))
-        weighted = F.when(b.mask, val) if weighted is None else weighted.when(b.mask, val)
-    score = F.lit(100.0) if weighted is None else weighted.otherwise(F.lit(100.0))
+    # A3/A5: weighted score C, V, U, K with the weights of the row's block.  Rows
+    # outside every block have all dimensions at 100 and weights 0.25, so they score
+    # exactly 100.  Selecting weights (not whole formulas) per block keeps each
+    # dimension -- and so each rule flag -- once in the score expression, which
+    # matters when a filter on the score is pushed below this projection.
+    def weight(dim: str) -> Column:
+        w = None
+        for b in plan.blocks:
+            w = (F.when(b.mask, F.lit(b.weight(dim))) if w is None
+                 else w.when(b.mask, F.lit(b.weight(dim))))
+        return F.lit(K.DEFAULT_WEIGHT) if w is None else w.otherwise(F.lit(K.DEFAULT_WEIGHT))
+
+    score = (qcol("__d_Completitud") * weight("Completitud")
+             + qcol("__d_Validez") * weight("Validez")
+             + qcol("__d_Unicidad") * weight("Unicidad")
+             + qcol("__d_Consistencia") * weight("Consistencia"))
 
     # A4: dimensions of weight 0 (or missing) shown as null for the block's rows
     def shown(dim: str) -> Column:
