@@ -96,3 +96,51 @@ def sync_dates(target: DataFrame, src: DataFrame, key: str = K.COL_SKU,
         updates["Fecha_Actualizacion_M"] = F.when(changed, stamp).otherwise(qcol("Fecha_Actualizacion_M"))
     out = [updates[c].alias(c) if c in updates else qcol(c) for c in target.columns]
     return j.select(*out, changed.alias("__changed"))
+
+
+def sync(spark, master: DataFrame, target_dir: str, rules, units=(), domain: str = "Maestro de Materiales",
+         user: str | None = None, key: str = K.COL_SKU, src_date: str = "fecha_actualiza",
+         src_created: str = "fecha_creacion", order: Sequence[str] | None = None,
+         refresh_dates: bool = True) -> dict:
+    """One synchronisation, step by step (sequential, no background thread).
+
+    1. new master records (anti join on the current target) are audited, their
+       status re-derived from the score (A10) and appended to the current target
+       version (S3) -- an append, cheap at any size;
+    2. dates of audited records are refreshed from the latest master version (I3);
+       Parquet cannot update in place, so this writes the next version and moves
+       the pointer (with a table format this step is a MERGE INTO);
+    3. the master rows of records still open (status 0) are returned (I4).
+
+    `target_dir` is a versioned snapshot folder (see `calibra.sources.io`).
+    """
+    from pyspark.sql.observation import Observation
+
+    from calibra.operators.audit import audit, restate
+    from calibra.sources import io
+
+    current = io.current_version(spark, target_dir)
+    if current is None:
+        audited = restate(audit(master, rules, units, domain=domain, user=user))
+        obs = Observation("sync_first_load")
+        current = io.write_version(
+            audited.observe(obs, F.count(F.lit(1)).alias("rows")), target_dir)
+        inserted = int(obs.get["rows"])
+    else:
+        target = spark.read.parquet(current)
+        new = new_records(master, target, key)
+        audited = restate(audit(new, rules, units, domain=domain, user=user))
+        inserted = io.append_results(audited, current, allowed=target.columns)
+
+    updated = 0
+    target = spark.read.parquet(current)
+    if refresh_dates and src_date in master.columns and "Fecha_Actualizacion" in target.columns:
+        refreshed = sync_dates(target, master, key, src_date, src_created, order)
+        obs = Observation("sync_dates")
+        counted = refreshed.observe(obs, F.sum(F.col("__changed").cast("bigint")).alias("changed"))
+        current = io.write_version(counted.drop("__changed"), target_dir)
+        updated = int(obs.get["changed"] or 0)
+
+    final = spark.read.parquet(current)
+    return {"inserted": inserted, "updated": updated, "version": current,
+            "anomalies": open_anomalies(master, final, key)}
