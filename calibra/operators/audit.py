@@ -28,12 +28,12 @@ def prepare(df: DataFrame, domain: str) -> DataFrame:
     return shaping.drop_shadow(df)
 
 
-def _dimension_score(checks, dim: str) -> Column:
+def _dimension_score(checks, names, dim: str) -> Column:
     """A1 + A2: 100 minus the penalties of failed rules, in rule order, floored at 0."""
     expr = F.lit(100.0)
-    for c in checks:
+    for c, n in zip(checks, names):
         if c.dimension == dim:
-            expr = expr - F.when(qcol(c._flag_col), F.lit(c.penalty)).otherwise(F.lit(0.0))
+            expr = expr - F.when(qcol(n), F.lit(c.penalty)).otherwise(F.lit(0.0))
     return F.greatest(F.lit(0.0), expr)
 
 
@@ -59,14 +59,11 @@ def audit(df: DataFrame, rules=None, units=(), domain: str = "Maestro de Materia
     work = add_duplicate_markers(base, plan.key_sets, dup_marker, reference)
 
     checks = plan.checks
-    flag_exprs = {}
-    for i, c in enumerate(checks):
-        c._flag_col = f"__calibra_f{i}"
-        flag_exprs[c._flag_col] = c.fail
-    work = work.select(*[qcol(c) for c in input_cols], *[e.alias(n) for n, e in flag_exprs.items()])
+    names = [f"__calibra_f{i}" for i in range(len(checks))]
+    work = work.select(*[qcol(c) for c in input_cols], *[c.fail.alias(n) for c, n in zip(checks, names)])
 
     # A1/A2: dimension scores (masks are mutually exclusive, so one flat chain per dimension)
-    dims = {d: _dimension_score(checks, d) for d in K.DIMENSIONS}
+    dims = {d: _dimension_score(checks, names, d) for d in K.DIMENSIONS}
 
     # A3/A5: weighted score C, V, U, K with the weights of the row's block.  Rows
     # outside every block have all dimensions at 100 and weights 0.25, so they score
@@ -97,14 +94,14 @@ def audit(df: DataFrame, rules=None, units=(), domain: str = "Maestro de Materia
         return F.when(F.coalesce(cond, F.lit(False)), F.lit(None).cast("double")).otherwise(col)
 
     # Findings text, uniqueness -> completeness -> validity -> consistency per block
-    parts = [F.when(qcol(c._flag_col), F.lit(c.message + K.FINDING_SEPARATOR)).otherwise(F.lit(""))
-             for c in checks]
+    parts = [F.when(qcol(n), F.lit(c.message + K.FINDING_SEPARATOR)).otherwise(F.lit(""))
+             for c, n in zip(checks, names)]
     findings = F.concat(*parts) if parts else F.lit("")
 
     # One check flag per completeness rule; an input column of that name is the base
     flags = {}
     for name in plan.flag_names():
-        failed = [qcol(c._flag_col) for c in checks if c.flag == name]
+        failed = [qcol(n) for c, n in zip(checks, names) if c.flag == name]
         any_fail = failed[0]
         for f in failed[1:]:
             any_fail = any_fail | f
