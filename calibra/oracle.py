@@ -350,6 +350,14 @@ WHERE tipo_mat IS NOT NULL AND tipo_mat IN (SELECT tipo_mat FROM type_catalog) O
 present AS ({_pieces('lite')})
 SELECT p.falla, l.SKU, l.SKU_num, l.tipo_mat, l.Desc_Material, round_even(l.Score_Calidad, 1) AS Score_Calidad
 FROM lite l JOIN present p ON contains(l.Hallazgos_Detallados, p.falla)""",
+    "remediation_wide": f"""{TYPED}, lite AS (SELECT * FROM audited WHERE Score_Calidad < 100),
+present AS ({_pieces('lite')}),
+long AS (SELECT l.SKU, l.SKU_num, l.tipo_mat, l.Desc_Material, round_even(l.Score_Calidad, 1) AS Score_Calidad,
+                p.falla, 'X' AS mark
+         FROM lite l JOIN present p ON contains(l.Hallazgos_Detallados, p.falla))
+SELECT SKU, SKU_num, tipo_mat, Desc_Material, Score_Calidad,
+  coalesce(COLUMNS(* EXCLUDE (SKU, SKU_num, tipo_mat, Desc_Material, Score_Calidad)), '')
+FROM (PIVOT long ON falla USING max(mark) GROUP BY SKU, SKU_num, tipo_mat, Desc_Material, Score_Calidad) pv""",
     "finding_matrix": f"""{TYPED}, op AS (SELECT * FROM audited WHERE Estado_Gestion = 0),
 present AS ({_pieces('op')}),
 ranked AS (SELECT falla, row_number() OVER (ORDER BY falla) - 1 AS idx FROM present)

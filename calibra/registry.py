@@ -149,6 +149,14 @@ def q_remediation_matrix(spark, sf):
     return reports.remediation_long(_typed(spark, sf), _typed_messages())
 
 
+def q_remediation_wide(spark, sf):
+    return reports.remediation_matrix(_typed(spark, sf), _typed_messages())
+
+
+def q_profile_quantiles(spark, sf):
+    return profile.numeric_quantiles(FX.table(spark, sf, "lineitem"))
+
+
 def q_finding_matrix(spark, sf):
     marks, _ = reports.finding_matrix(reports.open_rows(_typed(spark, sf)), _typed_messages())
     return marks.select("SKU", "err_key", "falla", "mark")
