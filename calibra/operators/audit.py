@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from calibra import constants as K
 from calibra.functions.text import qcol
 from calibra.operators import shaping
+from calibra.operators.skew import HOT_KEY_ROWS
 from calibra.operators.uniqueness import add_duplicate_markers
 from calibra.plans.compiler import CompiledAudit, compile_document, dup_marker
 from calibra.plans.ruledoc import load_document
@@ -39,7 +40,7 @@ def _dimension_score(checks, names, dim: str) -> Column:
 
 def audit(df: DataFrame, rules=None, units=(), domain: str = "Maestro de Materiales",
           user: str | None = None, reference: DataFrame | None = None,
-          return_plan: bool = False):
+          return_plan: bool = False, hot_key_rows: int = HOT_KEY_ROWS):
     """Score every row of `df` against a rule document.
 
     Output: input columns (shadow columns dropped) + Score_Unicidad, Score_Completitud,
@@ -48,6 +49,7 @@ def audit(df: DataFrame, rules=None, units=(), domain: str = "Maestro de Materia
     Usuario_Auditor.  Row count never changes.
 
     `reference`: optional frame whose keys also count in uniqueness (quirk Q-8).
+    `hot_key_rows`: keys with more rows than this are spread over several tasks.
     Flag columns are a function of the rule document, not of which types the data
     holds, so the schema is stable from run to run.
     """
@@ -56,7 +58,7 @@ def audit(df: DataFrame, rules=None, units=(), domain: str = "Maestro de Materia
     plan = compile_document(doc, base.schema, units)
     input_cols = base.columns
 
-    work = add_duplicate_markers(base, plan.key_sets, dup_marker, reference)
+    work = add_duplicate_markers(base, plan.key_sets, dup_marker, reference, hot_key_rows)
 
     checks = plan.checks
     names = [f"__calibra_f{i}" for i in range(len(checks))]

@@ -12,31 +12,46 @@ from pyspark.sql import functions as F
 
 from calibra import constants as K
 from calibra.functions.text import qcol
+from calibra.operators.skew import HOT_KEY_ROWS, flag_by_key, key_counts
 
 
 def _text_key(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.withColumn(name, qcol(key).cast("string"))
 
 
+def _key_lookup(src: DataFrame, target_keys: DataFrame, key: str, flag: str,
+                hot_key_rows: int) -> DataFrame:
+    """Source rows with a boolean: their text key is among the (distinct) target keys.
+
+    Null and hot source keys are spread by salt instead of landing in one task.
+    """
+    s = _text_key(src, key, "__calibra_sk")
+    counts = key_counts(s.select("__calibra_sk"), ["__calibra_sk"])
+    lookup = target_keys.where(F.col("__calibra_sk").isNotNull()).distinct()
+    return flag_by_key(s, ["__calibra_sk"], lookup, counts, flag, hot_key_rows)
+
+
 def new_records(src: DataFrame, target: DataFrame, key: str = K.COL_SKU,
-                target_key: str | None = None) -> DataFrame:
-    """Source rows whose key has no row in the target (left anti join).
+                target_key: str | None = None, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Source rows whose key has no row in the target (anti semantics).
 
     A null source key never matches, so such rows are always new; source
-    duplicates are kept.  Only the target's key column is read and shuffled.
+    duplicates are kept.  Only the target's key column is read; its distinct keys
+    are pre-aggregated map-side, so a hot target key costs one row per task.
     """
-    tk = target.select(qcol(target_key or key).cast("string").alias("__calibra_tk"))
-    s = _text_key(src, key, "__calibra_sk")
-    return s.join(tk, s["__calibra_sk"] == tk["__calibra_tk"], "left_anti").drop("__calibra_sk")
+    tk = target.select(qcol(target_key or key).cast("string").alias("__calibra_sk"))
+    out = _key_lookup(src, tk, key, "__calibra_in", hot_key_rows)
+    return out.where(~F.col("__calibra_in")).select(*[qcol(c) for c in src.columns])
 
 
 def open_anomalies(src: DataFrame, target: DataFrame, key: str = K.COL_SKU,
-                   target_key: str | None = None, status: str = K.STATUS) -> DataFrame:
-    """I4: source rows with at least one target row of status 0 (left semi join, no duplicates)."""
+                   target_key: str | None = None, status: str = K.STATUS,
+                   hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """I4: source rows with at least one target row of status 0 (semi semantics, no duplicates)."""
     tk = (target.where(qcol(status) == 0)
-          .select(qcol(target_key or key).cast("string").alias("__calibra_tk")))
-    s = _text_key(src, key, "__calibra_sk")
-    return s.join(tk, s["__calibra_sk"] == tk["__calibra_tk"], "left_semi").drop("__calibra_sk")
+          .select(qcol(target_key or key).cast("string").alias("__calibra_sk")))
+    out = _key_lookup(src, tk, key, "__calibra_open", hot_key_rows)
+    return out.where(F.col("__calibra_open")).select(*[qcol(c) for c in src.columns])
 
 
 def latest_per_key(src: DataFrame, key: str, order: Sequence[str],
