@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from calibra import constants as K
 from calibra.functions.text import qcol
-from calibra.operators.skew import HOT_KEY_ROWS, flag_by_key, key_counts
+from calibra.operators.skew import HOT_KEY_ROWS, flag_by_key, join_unique, key_counts
 
 
 def _text_key(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -80,7 +80,8 @@ def _date_text(col):
 
 def sync_dates(target: DataFrame, src: DataFrame, key: str = K.COL_SKU,
                src_date: str = "fecha_actualiza", src_created: str = "fecha_creacion",
-               order: Sequence[str] | None = None, now=None) -> DataFrame:
+               order: Sequence[str] | None = None, now=None,
+               hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """The target with dates refreshed from the latest source version per key.
 
     A target row changes when the text of its date differs from the latest source
@@ -96,12 +97,14 @@ def sync_dates(target: DataFrame, src: DataFrame, key: str = K.COL_SKU,
         latest = latest_per_key(src, key, [src_date], cols)
     else:
         latest = latest_value(src, key, src_date)
-    latest = latest.select(qcol(key).cast("string").alias("__calibra_sk"),
+    latest = latest.select(qcol(key).cast("string").alias("__calibra_tk"),
                            qcol(src_date).alias("__calibra_new"),
                            (qcol(src_created) if has_created else F.lit(None)).alias("__calibra_created"))
+    latest = latest.where(F.col("__calibra_tk").isNotNull())
     t = _text_key(target, key, "__calibra_tk")
-    j = t.join(latest, t["__calibra_tk"] == latest["__calibra_sk"], "left")
-    changed = (F.col("__calibra_sk").isNotNull()
+    counts = key_counts(t.select("__calibra_tk"), ["__calibra_tk"])
+    j = join_unique(t, ["__calibra_tk"], latest, counts, "__calibra_found", hot_key_rows)
+    changed = (F.col("__calibra_found")
                & (_date_text(F.col("__calibra_new")) != _date_text(qcol("Fecha_Actualizacion"))))
     stamp = now if now is not None else F.current_timestamp()
     updates = {"Fecha_Actualizacion": F.when(changed, F.col("__calibra_new")).otherwise(qcol("Fecha_Actualizacion"))}

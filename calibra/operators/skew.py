@@ -37,23 +37,26 @@ def key_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.groupBy(*names).agg(F.count(F.lit(1)).alias(COUNT))
 
 
-def flag_by_key(left: DataFrame, names: Sequence[str], lookup: DataFrame, counts: DataFrame,
-                flag: str, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """`left` plus boolean `flag`: the row's key (columns `names`) is in `lookup`.
+def join_unique(left: DataFrame, names: Sequence[str], right: DataFrame, counts: DataFrame,
+                matched: str, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Left join of `left` with `right` (at most one row per key, keys non-null) on the
+    key columns `names`, balanced for hot keys.
 
-    `lookup` holds distinct non-null keys in columns `names`; `counts` is
-    `key_counts(left, names)` (or a superset of it).  Null keys never match.
+    Adds the value columns of `right` (null when unmatched) and a boolean `matched`.
+    `counts` is `key_counts(left, names)` or a superset of it.
     """
     names = list(names)
+    values = [c for c in right.columns if c not in names]
     hot = (counts.where(F.col(COUNT) > F.lit(hot_key_rows))
            .select(*names, F.ceil(F.col(COUNT) / F.lit(float(hot_key_rows))).cast("int").alias(SPREAD)))
-    # which hot keys are in the lookup: scan the lookup once against the broadcast
-    # hot keys (map-side), then attach the answer to the (bounded) hot table
-    hits = lookup.join(F.broadcast(hot.select(*names)), names, "inner").select(*names, F.lit(True).alias(HIT))
+    # answers for the hot keys: scan `right` once against the broadcast hot keys
+    # (map-side), then attach them to the hot table -- bounded by rows / hot_key_rows
+    hits = (right.join(F.broadcast(hot.select(*names)), names, "inner")
+            .select(*names, F.lit(True).alias(HIT), *[F.col(f"`{v}`").alias(f"{v}__h") for v in values]))
     hot = hot.join(hits, names, "left")
-    hot = hot.select(*[F.col(n).alias(f"{n}__h") for n in names], SPREAD, HIT)
-    cond = reduce(lambda a, b: a & b, [left[n].eqNullSafe(F.col(f"{n}__h")) for n in names])
-    w = left.join(F.broadcast(hot), cond, "left").drop(*[f"{n}__h" for n in names])
+    hot = hot.select(*[F.col(n).alias(f"{n}__k") for n in names], SPREAD, HIT, *[f"{v}__h" for v in values])
+    cond = reduce(lambda a, b: a & b, [left[n].eqNullSafe(F.col(f"{n}__k")) for n in names])
+    w = left.join(F.broadcast(hot), cond, "left").drop(*[f"{n}__k" for n in names])
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns], F.spark_partition_id())
     w = w.withColumn(SALT, F.when(F.col(SPREAD).isNotNull(),
                                   F.pmod(row_hash, F.col(SPREAD).cast("long")) + 1).otherwise(F.lit(0).cast("long")))
@@ -61,7 +64,19 @@ def flag_by_key(left: DataFrame, names: Sequence[str], lookup: DataFrame, counts
     # a literal would turn `salt = 0` into a post-join filter and drop the salt from
     # the shuffle key, sending the hot key back to one task
     zero = F.pmod(F.xxhash64(*[F.col(n) for n in names]), F.lit(1).cast("long"))
-    probe = lookup.select(*names, zero.alias(SALT), F.lit(True).alias(MATCH))
+    probe = right.select(*names, zero.alias(SALT), F.lit(True).alias(MATCH),
+                         *[F.col(f"`{v}`").alias(f"{v}__p") for v in values])
     w = w.join(probe, names + [SALT], "left")
-    return (w.withColumn(flag, F.coalesce(F.col(HIT), F.col(MATCH), F.lit(False)))
-            .drop(SALT, SPREAD, HIT, MATCH))
+    out = w.withColumn(matched, F.coalesce(F.col(HIT), F.col(MATCH), F.lit(False)))
+    for v in values:
+        out = out.withColumn(v, F.when(F.col(HIT), F.col(f"{v}__h")).otherwise(F.col(f"{v}__p")))
+    return out.drop(SALT, SPREAD, HIT, MATCH, *[f"{v}__h" for v in values], *[f"{v}__p" for v in values])
+
+
+def flag_by_key(left: DataFrame, names: Sequence[str], lookup: DataFrame, counts: DataFrame,
+                flag: str, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """`left` plus boolean `flag`: the row's key (columns `names`) is in `lookup`.
+
+    `lookup` holds distinct non-null keys in columns `names`.  Null keys never match.
+    """
+    return join_unique(left, names, lookup.select(*names), counts, flag, hot_key_rows)

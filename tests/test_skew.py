@@ -21,6 +21,8 @@ def test_threshold_does_not_change_results(spark):
         assert _sorted(audit(m, rules, FX.UNITS, hot_key_rows=1)) == _sorted(audit(m, rules, FX.UNITS))
     assert _sorted(incremental.new_records(m, t, hot_key_rows=1)) == _sorted(incremental.new_records(m, t))
     assert _sorted(incremental.open_anomalies(m, t, hot_key_rows=1)) == _sorted(incremental.open_anomalies(m, t))
+    o = FX.view(spark, SF001, "origin_dates")
+    assert _sorted(incremental.sync_dates(t, o, hot_key_rows=1)) == _sorted(incremental.sync_dates(t, o))
 
 
 def test_null_and_blank_keys(spark):
