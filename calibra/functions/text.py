@@ -9,9 +9,23 @@ from pyspark.sql import types as T
 from calibra import constants as K
 
 
+_QCOL_CACHE: dict = {}
+
+
 def qcol(name: str) -> Column:
-    """Column by exact name; dots, spaces and accents are taken literally."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Column by exact name; dots, spaces and accents are taken literally.
+
+    Unresolved column references are immutable, so they are reused per SparkContext
+    (each creation is a round trip to the JVM).
+    """
+    from pyspark import SparkContext
+    key = (id(SparkContext._active_spark_context), name)
+    col = _QCOL_CACHE.get(key)
+    if col is None:
+        if len(_QCOL_CACHE) > 4096:
+            _QCOL_CACHE.clear()
+        col = _QCOL_CACHE[key] = F.col("`" + name.replace("`", "``") + "`")
+    return col
 
 
 def as_text(col: Column) -> Column:

@@ -38,22 +38,27 @@ def key_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def join_unique(left: DataFrame, names: Sequence[str], right: DataFrame, counts: DataFrame,
-                matched: str, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                matched: str, hot_key_rows: int = HOT_KEY_ROWS, hot_always_match: bool = False) -> DataFrame:
     """Left join of `left` with `right` (at most one row per key, keys non-null) on the
     key columns `names`, balanced for hot keys.
 
     Adds the value columns of `right` (null when unmatched) and a boolean `matched`.
-    `counts` is `key_counts(left, names)` or a superset of it.
+    `counts` is `key_counts(left, names)` or a superset of it.  `hot_always_match`:
+    every hot key is known to be in `right` and `right` has no value columns (the
+    uniqueness case: a key with more than `hot_key_rows` >= 1 rows repeats).
     """
     names = list(names)
     values = [c for c in right.columns if c not in names]
     hot = (counts.where(F.col(COUNT) > F.lit(hot_key_rows))
            .select(*names, F.ceil(F.col(COUNT) / F.lit(float(hot_key_rows))).cast("int").alias(SPREAD)))
-    # answers for the hot keys: scan `right` once against the broadcast hot keys
-    # (map-side), then attach them to the hot table -- bounded by rows / hot_key_rows
-    hits = (right.join(F.broadcast(hot.select(*names)), names, "inner")
-            .select(*names, F.lit(True).alias(HIT), *[F.col(f"`{v}`").alias(f"{v}__h") for v in values]))
-    hot = hot.join(hits, names, "left")
+    if hot_always_match and not values and hot_key_rows >= 1:
+        hot = hot.withColumn(HIT, F.lit(True))
+    else:
+        # answers for the hot keys: scan `right` once against the broadcast hot keys
+        # (map-side), then attach them to the hot table -- bounded by rows / hot_key_rows
+        hits = (right.join(F.broadcast(hot.select(*names)), names, "inner")
+                .select(*names, F.lit(True).alias(HIT), *[F.col(f"`{v}`").alias(f"{v}__h") for v in values]))
+        hot = hot.join(hits, names, "left")
     hot = hot.select(*[F.col(n).alias(f"{n}__k") for n in names], SPREAD, HIT, *[f"{v}__h" for v in values])
     cond = reduce(lambda a, b: a & b, [left[n].eqNullSafe(F.col(f"{n}__k")) for n in names])
     w = left.join(F.broadcast(hot), cond, "left").drop(*[f"{n}__k" for n in names])
@@ -63,7 +68,10 @@ def join_unique(left: DataFrame, names: Sequence[str], right: DataFrame, counts:
     # salt 0 on the lookup side, written so that Catalyst cannot fold it into a literal:
     # a literal would turn `salt = 0` into a post-join filter and drop the salt from
     # the shuffle key, sending the hot key back to one task
-    zero = F.pmod(F.xxhash64(*[F.col(n) for n in names]), F.lit(1).cast("long"))
+    # (and non-nullable, so no `isnotnull` filter is inferred and pushed under the
+    # lookup's aggregate, which would also stop the key-count exchange being reused)
+    zero = F.coalesce(F.pmod(F.xxhash64(*[F.col(n) for n in names]), F.lit(1).cast("long")),
+                      F.lit(0).cast("long"))
     probe = right.select(*names, zero.alias(SALT), F.lit(True).alias(MATCH),
                          *[F.col(f"`{v}`").alias(f"{v}__p") for v in values])
     w = w.join(probe, names + [SALT], "left")
@@ -74,9 +82,9 @@ def join_unique(left: DataFrame, names: Sequence[str], right: DataFrame, counts:
 
 
 def flag_by_key(left: DataFrame, names: Sequence[str], lookup: DataFrame, counts: DataFrame,
-                flag: str, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                flag: str, hot_key_rows: int = HOT_KEY_ROWS, hot_always_match: bool = False) -> DataFrame:
     """`left` plus boolean `flag`: the row's key (columns `names`) is in `lookup`.
 
     `lookup` holds distinct non-null keys in columns `names`.  Null keys never match.
     """
-    return join_unique(left, names, lookup.select(*names), counts, flag, hot_key_rows)
+    return join_unique(left, names, lookup.select(*names), counts, flag, hot_key_rows, hot_always_match)

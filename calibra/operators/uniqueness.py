@@ -55,7 +55,9 @@ def add_duplicate_markers(df: DataFrame, key_sets: Sequence[Sequence[str]], mark
         counts = key_counts(key_projection(df, keys, names, reference), names)
         repeated = counts.where(F.col(COUNT) > 1).select(*names)
         keyed = df.withColumns({n: norm_key(qcol(k)) for k, n in zip(keys, names)})
-        df = flag_by_key(keyed, names, repeated, counts, marker_name(i), hot_key_rows).drop(*names)
+        # hot keys (> hot_key_rows >= 1 rows) repeat by definition
+        df = flag_by_key(keyed, names, repeated, counts, marker_name(i), hot_key_rows,
+                         hot_always_match=True).drop(*names)
     return df
 
 
