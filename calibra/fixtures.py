@@ -170,6 +170,24 @@ DIRECTORY_RULES = {
     }
 }
 
+# F7 master changes (from events): rules of the streaming audit.
+EVENT_RULES = {
+    "DEFAULT": {
+        "Unicidad": {"SKU": {"regla": "duplicado_multicampo", "penalizacion": 50, "columnas": ["SKU", "tipo_mat"],
+                             "mensaje": "Evento repetido"}},
+        "Completitud": {"props": {"regla": "nulo", "penalizacion": 20, "mensaje": "Sin props"}},
+        "Validez": {"valor": {"regla": "mayor_a", "valor": 10, "penalizacion": 100, "mensaje": "Valor bajo"}},
+    }
+}
+
+
+def master_changes(events: DataFrame) -> DataFrame:
+    """events as master changes (user_id is the record key, event_type the type)."""
+    from pyspark.sql import functions as F
+    return events.select("event_id", "ts", F.col("user_id").alias("SKU"), F.col("event_type").alias("tipo_mat"),
+                         F.col("value").alias("valor"), "props")
+
+
 DIRECTORY_PLAIN_PHONE_RULES = {
     "Directorio_Comercial": {
         "Validez": {"telefono": {"regla": "telefono_colombia", "columna_pais": "no_existe",

@@ -451,6 +451,32 @@ SELECT SKU, Estado_Gestion, CASE WHEN cambiado THEN nueva ELSE Fecha_Actualizaci
   l_orderkey, l_linenumber, cambiado FROM j""",
     "open_anomalies": f"""{_with('materials', 'audit_target')} SELECT m.* FROM materials m WHERE EXISTS (
   SELECT 1 FROM audit_target t WHERE CAST(t.SKU AS STRING) = CAST(m.SKU AS STRING) AND t.Estado_Gestion = 0)""",
+    "stream_audit": f"""WITH ev AS (SELECT event_id, ts, user_id AS SKU, event_type AS tipo_mat, value AS valor, props,
+                     '' AS Desc_Material FROM events),
+k AS (SELECT *, {_key('SKU')} AS k1, {_key('tipo_mat')} AS k2 FROM ev),
+d AS (SELECT k1, k2 FROM k GROUP BY k1, k2 HAVING count(*) > 1),
+fl AS (SELECT k.*,
+         coalesce(k.tipo_mat IS NOT NULL AND d.k1 IS NOT NULL AND {_ne('k.SKU')}, false) AS f_u,
+         coalesce(k.tipo_mat IS NOT NULL AND {_blank('k.props')}, false) AS f_c,
+         coalesce(k.tipo_mat IS NOT NULL AND k.valor IS NOT NULL AND {_num('k.valor')} <= 10, false) AS f_v
+       FROM k LEFT JOIN d ON k.k1 = d.k1 AND k.k2 = d.k2),
+sc AS (SELECT *,
+         CASE WHEN tipo_mat IS NOT NULL THEN greatest({_d(0)}, {_d(100)} - {_pen('f_u', 50)}) ELSE {_d(100)} END AS ru,
+         CASE WHEN tipo_mat IS NOT NULL THEN greatest({_d(0)}, {_d(100)} - {_pen('f_c', 20)}) ELSE {_d(100)} END AS rc,
+         CASE WHEN tipo_mat IS NOT NULL THEN greatest({_d(0)}, {_d(100)} - {_pen('f_v', 100)}) ELSE {_d(100)} END AS rv,
+         {_d(100)} AS rk FROM fl),
+sq AS (SELECT *, CASE WHEN tipo_mat IS NOT NULL
+                      THEN rc * {_d(0.25)} + rv * {_d(0.25)} + ru * {_d(0.25)} + rk * {_d(0.25)}
+                      ELSE {_d(100)} END AS score FROM sc)
+SELECT event_id, ts, SKU, tipo_mat, valor, props, Desc_Material,
+  ru AS Score_Unicidad, rc AS Score_Completitud, rv AS Score_Validez, rk AS Score_Consistencia,
+  score AS Score_Calidad,
+  concat({_msg('f_u', 'Evento repetido')}, {_msg('f_c', 'Sin props')}, {_msg('f_v', 'Valor bajo')}) AS Hallazgos_Detallados,
+  NOT f_c AS props_nulo,
+  CAST(CASE WHEN score >= 99.99 THEN 1 ELSE 0 END AS BIGINT) AS Estado_Gestion,
+  CASE WHEN score >= 99.99 THEN 'Bueno' ELSE 'Malo' END AS Estado_Gestion_Desc,
+  '' AS Usuario_Auditor
+FROM sq""",
     "history_listing": f"""{_with('audit_history')} SELECT fecha, usuario, dominio, score_global, total_registros
 FROM audit_history ORDER BY fecha DESC""",
 }

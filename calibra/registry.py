@@ -287,6 +287,21 @@ def q_open_anomalies(spark, sf):
     return incremental.open_anomalies(_materials(spark, sf), FX.view(spark, sf, "audit_target"))
 
 
+def q_stream_audit(spark, sf):
+    """The events table read as a stream (availableNow), audited per micro-batch by
+    foreachBatch into a folder under the session's checkpoint dir; returns what was written."""
+    import os
+    import uuid
+
+    from calibra.session import scratch_path
+    from calibra.streaming.stream_audit import stream_audit
+    run = scratch_path(spark, f"stream_audit_{uuid.uuid4().hex[:12]}")
+    src = os.path.join(sf, "events.parquet")
+    stream_audit(spark, src + "*", FX.table(spark, sf, "events").schema, os.path.join(run, "out"),
+                 FX.EVENT_RULES, checkpoint=os.path.join(run, "checkpoint"), prepare=FX.master_changes)
+    return spark.read.parquet(os.path.join(run, "out")).drop("batch")
+
+
 def q_history_listing(spark, sf):
     from calibra.sources.history import list_history_frame
     return list_history_frame(FX.view(spark, sf, "audit_history"))
