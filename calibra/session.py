@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -43,12 +43,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only when unset."""
+    """Return the shared checkpoint folder named by `spark.checkpoint.dir`.
+
+    Only a local-mode session (tests, benchmarks) without the setting gets a
+    scratch folder of its own; a cluster session without it is an error, because a
+    machine-local folder would not survive the loss of that machine.
+    """
     current = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder (HDFS, object store) for this cluster")
     local = tempfile.mkdtemp(prefix="calibra-ckpt-")
     spark.conf.set(CHECKPOINT_CONF, local)
     spark.sparkContext.setCheckpointDir(local)
@@ -59,3 +66,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a frame several reports will read (e.g. an audit result):
+    a reliable checkpoint into the shared checkpoint folder, so a lost executor
+    re-reads the saved blocks instead of recomputing the audit."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -118,3 +118,12 @@ def test_stream_audit_is_incremental_and_idempotent(spark, tmp_path):
     assert n2 == 1000
     stream_audit(spark, flat, schema, target, rules, checkpoint=ckpt)
     assert spark.read.parquet(target).count() == 1000  # nothing new: nothing appended
+
+
+def test_materialize_cuts_lineage(spark):
+    from calibra.session import materialize
+    a = audit(FX.view(spark, SF001, "materials"), FX.FLAGSHIP_RULES, FX.UNITS)
+    m = materialize(a)
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "Join" not in plan
+    assert m.count() == a.count()
