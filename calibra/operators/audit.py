@@ -12,7 +12,7 @@ from calibra.functions.text import qcol
 from calibra.operators import shaping
 from calibra.operators.skew import HOT_KEY_ROWS
 from calibra.operators.uniqueness import add_duplicate_markers
-from calibra.plans.compiler import CompiledAudit, compile_document, dup_marker
+from calibra.plans.compiler import CompiledAudit, catalog_marker, compile_document, dup_marker
 from calibra.plans.ruledoc import load_document
 
 
@@ -29,6 +29,23 @@ def prepare(df: DataFrame, domain: str) -> DataFrame:
     return shaping.drop_shadow(df)
 
 
+def add_catalog_markers(df: DataFrame, columns, codes: DataFrame, hot_key_rows: int) -> DataFrame:
+    """One boolean per catalogue column: upper-cased text of the value is a code.
+
+    The code table is reduced to distinct upper-cased codes; the lookup is balanced
+    for hot values (a unit used by a third of the rows) like the uniqueness join.
+    """
+    from calibra.operators.skew import flag_by_key, key_counts
+    code = codes.select(F.upper(F.col("code").cast("string")).alias("__calibra_code"))
+    for i, col in enumerate(columns):
+        name = f"__calibra_cv{i}"
+        keyed = df.withColumn(name, F.upper(qcol(col).cast("string")))
+        lookup = code.where(F.col("__calibra_code").isNotNull()).distinct().withColumnRenamed("__calibra_code", name)
+        counts = key_counts(keyed.select(name), [name])
+        df = flag_by_key(keyed, [name], lookup, counts, catalog_marker(i), hot_key_rows).drop(name)
+    return df
+
+
 def _dimension_score(checks, names, dim: str) -> Column:
     """A1 + A2: 100 minus the penalties of failed rules, in rule order, floored at 0."""
     expr = F.lit(100.0)
@@ -59,6 +76,8 @@ def audit(df: DataFrame, rules=None, units=(), domain: str = "Maestro de Materia
     input_cols = base.columns
 
     work = add_duplicate_markers(base, plan.key_sets, dup_marker, reference, hot_key_rows)
+    if plan.catalog_columns:
+        work = add_catalog_markers(work, plan.catalog_columns, units, hot_key_rows)
 
     checks = plan.checks
     names = [f"__calibra_f{i}" for i in range(len(checks))]

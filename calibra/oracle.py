@@ -477,6 +477,15 @@ SELECT event_id, ts, SKU, tipo_mat, valor, props, Desc_Material,
   CASE WHEN score >= 99.99 THEN 'Bueno' ELSE 'Malo' END AS Estado_Gestion_Desc,
   '' AS Usuario_Auditor
 FROM sq""",
+    "history_record": f"""{TYPED}, a AS (SELECT * FROM audited WHERE tipo_mat IN ('PROMO', 'SMALL'))
+SELECT 'auditor@example.com' AS usuario, 'Maestro de Materiales' AS dominio, 'PROMO, SMALL' AS materiales_auditados,
+  count(*) AS total_registros,
+  round_even(coalesce(avg(Score_Calidad), 0), 6) AS score_global,
+  round_even(coalesce(avg(Score_Completitud), 0), 6) AS completitud,
+  round_even(coalesce(avg(Score_Validez), 0), 6) AS validez,
+  round_even(coalesce(avg(Score_Unicidad), 0), 6) AS unicidad,
+  round_even(coalesce(avg(Score_Consistencia), 0), 6) AS consistencia
+FROM a""",
     "history_listing": f"""{_with('audit_history')} SELECT fecha, usuario, dominio, score_global, total_registros
 FROM audit_history ORDER BY fecha DESC""",
 }

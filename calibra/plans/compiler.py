@@ -55,6 +55,7 @@ class CompiledAudit:
     blocks: list
     key_sets: list             # distinct tuples of uniqueness key columns
     skipped: list              # (block, dimension, column, reason)
+    catalog_columns: list = field(default_factory=list)   # columns checked against a code table
 
     @property
     def checks(self) -> list:
@@ -75,6 +76,10 @@ def dup_marker(i: int) -> str:
     return f"__calibra_dup{i}"
 
 
+def catalog_marker(i: int) -> str:
+    return f"__calibra_cat{i}"
+
+
 def _truthy_condition(cfg: dict, columns: set):
     col, val = cfg.get("condicion_columna"), cfg.get("condicion_valor")
     if col in columns and val:
@@ -108,6 +113,8 @@ def block_masks(doc: dict, type_col: Column, type_is_text: bool) -> dict:
 
 def compile_document(doc: dict, schema: T.StructType, units=(),
                      type_column: str = K.COL_TYPE) -> CompiledAudit:
+    """`units`: a list of codes (`isin` literals) or a DataFrame with a `code` column
+    (large catalogues: the audit adds one balanced lookup per catalogue column)."""
     validate_document(doc)
     columns = {f.name for f in schema.fields}
     types = {f.name: f.dataType for f in schema.fields}
@@ -116,6 +123,8 @@ def compile_document(doc: dict, schema: T.StructType, units=(),
     key_sets: list = []
     skipped: list = []
     blocks: list = []
+    catalog_columns: list = []
+    units_is_table = hasattr(units, "columns") and hasattr(units, "select")
 
     for name, body in doc.items():
         if name not in masks:
@@ -164,7 +173,13 @@ def compile_document(doc: dict, schema: T.StructType, units=(),
                     if rule == K.RULE_GREATER_THAN:
                         fail = P.not_greater_than(c, cfg.get("valor", 0))
                     elif rule == K.RULE_CATALOG and cfg.get("catalogo_ref") == K.CATALOG_UNITS:
-                        fail = P.not_in_catalog(c, list(units))
+                        if units_is_table:
+                            if col not in catalog_columns:
+                                catalog_columns.append(col)
+                            found = qcol(catalog_marker(catalog_columns.index(col)))
+                            fail = P.not_in_catalog_column(c, F.when(found, F.lit(True)))
+                        else:
+                            fail = P.not_in_catalog(c, list(units))
                     elif rule == K.RULE_EMAIL:
                         fail = P.bad_email(c)
                     elif rule == K.RULE_REGEX:
@@ -185,4 +200,4 @@ def compile_document(doc: dict, schema: T.StructType, units=(),
                         continue
                     add(dim, col, cfg, mask & P.less_than_column(c, qcol(ref)))
         blocks.append(block)
-    return CompiledAudit(blocks, key_sets, skipped)
+    return CompiledAudit(blocks, key_sets, skipped, catalog_columns)

@@ -302,6 +302,17 @@ def q_stream_audit(spark, sf):
     return spark.read.parquet(os.path.join(run, "out")).drop("batch")
 
 
+def q_history_record(spark, sf):
+    """The history row of an audit of the PROMO and SMALL records (run id and
+    timestamp depend on the clock and are left out; means rounded for comparison)."""
+    from calibra.sources.history import history_record
+    a = _typed(spark, sf).where(F.col("tipo_mat").isin("PROMO", "SMALL"))
+    r = history_record(a, "auditor@example.com", "Maestro de Materiales", ["PROMO", "SMALL"], run_id="AUD_0")
+    return r.select("usuario", "dominio", "materiales_auditados", "total_registros",
+                    *[F.bround(c, ROUND).alias(c) for c in ("score_global", "completitud", "validez",
+                                                            "unicidad", "consistencia")])
+
+
 def q_history_listing(spark, sf):
     from calibra.sources.history import list_history_frame
     return list_history_frame(FX.view(spark, sf, "audit_history"))

@@ -183,3 +183,17 @@ def test_messages_with_separator_and_substrings(spark):
     both = audit(df, doc2).withColumn("SKU", F.col("id"))
     got2 = sorted((r["SKU"], r["falla"]) for r in reports.remediation_long(both, msgs2).collect())
     assert got2 == [(1, "Falta marca"), (1, "marca"), (2, "marca")]   # substring mark (Q-11)
+
+
+def test_catalog_as_code_table_equals_code_list(spark):
+    from calibra import fixtures as FX
+    m = FX.view(spark, "/root/testdata/sf0.001", "materials")
+    codes = spark.createDataFrame([("kg",), ("UN",), (None,), ("UN",)], "code string")
+    for rules in (FX.FLAGSHIP_RULES, FX.TYPED_RULES):
+        with_list = audit(m, rules, ["KG", "UN"])
+        with_table = audit(m, rules, codes)
+        with_hot = audit(m, rules, codes, hot_key_rows=1)
+        key = sorted(with_list.columns)
+        rows = sorted(tuple(r) for r in with_list.select(*key).collect())
+        assert rows == sorted(tuple(r) for r in with_table.select(*key).collect())
+        assert rows == sorted(tuple(r) for r in with_hot.select(*key).collect())
