@@ -95,3 +95,35 @@ def test_wide_matrix_sorted_and_marked(spark):
     assert marks and all(r[m] in ("X", "") for r in rows for m in marks)
     # every row to fix carries at least one mark
     assert all(any(r[m] == "X" for m in marks) for r in rows)
+
+
+def test_search_literal_and_regex(spark):
+    from calibra.operators.search import search_rows
+    df = spark.createDataFrame([(1, "a.b"), (2, "axb"), (3, None)], "id int, s string")
+    rx = sorted(r["id"] for r in search_rows({"t": df}, "A.B").collect())
+    lit = sorted(r["id"] for r in search_rows({"t": df}, "A.B", regex=False).collect())
+    assert rx == ["1", "2"] and lit == ["1"]          # case-insensitive; values come back as text
+
+
+def test_read_master_path_and_table(spark, tmp_path):
+    from calibra.sources.io import read_master
+    p = str(tmp_path / "m")
+    spark.range(3).write.parquet(p)
+    assert read_master(spark, p).count() == 3
+    spark.range(2).createOrReplaceTempView("calibra_master_tmp")
+    assert read_master(spark, "calibra_master_tmp").count() == 2
+
+
+def test_skipped_rules_are_listed(spark):
+    from calibra.operators.audit import audit
+    df = spark.createDataFrame([(1, "x")], "id int, a string")
+    doc = {"DEFAULT": {"Completitud": {"a": {"regla": "nulo", "penalizacion": 1},
+                                       "missing": {"regla": "nulo", "penalizacion": 1}},
+                       "Validez": {"a": {"regla": "nulo", "penalizacion": 1}},
+                       "Consistencia": {"a": {"regla": "mayor_o_igual_columna", "columna_ref": "nope",
+                                              "penalizacion": 1}}}}
+    res = audit(df, doc, return_plan=True)
+    reasons = {(b, d, c): r for b, d, c, r in res.plan.skipped}
+    assert reasons[("DEFAULT", "Completitud", "missing")] == "column absent"
+    assert ("DEFAULT", "Validez", "a") in reasons and ("DEFAULT", "Consistencia", "a") in reasons
+    assert res.frame.first()[K.SCORE] == 100.0
