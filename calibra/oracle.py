@@ -7,7 +7,7 @@ fixture views come from `calibra.fixtures` (the inputs are shared, the logic is
 
 from __future__ import annotations
 
-from calibra.fixtures import AUDIT_CUTOFF, view_sql  # noqa: F401  (cutoff documented in fixtures)
+from calibra.fixtures import view_sql
 
 
 def _trim(x: str) -> str:

@@ -7,7 +7,6 @@ overwrites a folder that the same job reads.
 from __future__ import annotations
 
 import os
-import re
 import time
 import uuid
 
@@ -88,29 +87,52 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
-def safe_name(col):
-    """Path-safe, 31-character finding name (forbidden characters removed, text
-    before '(' kept)."""
-    pattern = "[" + re.escape("".join(K.SHEET_NAME_FORBIDDEN)) + "]"
-    cleaned = F.regexp_replace(col, pattern, "")
-    cut = F.when(F.instr(cleaned, "(") > 0, F.trim(F.substring_index(cleaned, "(", 1))).otherwise(cleaned)
-    return F.substring(cut, 1, K.SHEET_NAME_MAX)
+def sheet_name(finding: str) -> str:
+    """Old sheet name of a finding: forbidden characters removed, text before '('
+    kept (stripped), at most 31 characters."""
+    name = str(finding)
+    for ch in K.SHEET_NAME_FORBIDDEN:
+        name = name.replace(ch, "")
+    if "(" in name:
+        name = name.split("(")[0].strip()
+    return name[:K.SHEET_NAME_MAX]
+
+
+def unique_sheet_names(findings) -> dict:
+    """Finding -> unique name, clashes renamed `<first 28>_<n>` in sorted order."""
+    used: set = set()
+    out = {}
+    for f in sorted(findings):
+        base = name = sheet_name(f)
+        n = 1
+        while name in used:
+            name = f"{base[:28]}_{n}"
+            n += 1
+        used.add(name)
+        out[f] = name
+    return out
 
 
 def export_remediation(audited: DataFrame, messages, path: str, digits: int = 1) -> str:
     """The remediation export.
 
     `<path>/matriz`: every row to fix, base columns and rounded score (Q5 without
-    the mark columns); `<path>/por_falla/falla=<name>`: one subset per finding (Q7),
-    written with `partitionBy`, names cut to 31 characters like the old sheet names.
+    the mark columns); `<path>/por_falla/falla=<name>`: one subset per present
+    finding (Q7), written with `partitionBy`; names follow the old sheet-name rule,
+    clashes renamed in sorted order.  The finding list is bounded by the rule
+    document, so the name map is built on the driver and applied as a literal map.
     """
     base = reports.report_columns(audited)
     lite = reports.to_fix(audited)
     cols = [qcol(c) if c != K.SCORE else F.bround(qcol(c), digits).alias(c) for c in base]
     lite.select(*cols, qcol(K.FINDINGS)).write.mode("overwrite").parquet(os.path.join(path, "matriz"))
+    present = [r[0] for r in reports.distinct_findings(audited).collect()]
+    names = unique_sheet_names(present)
+    mapping = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else None
     marks = reports.remediation_long(audited, messages, digits)
-    (marks.withColumn("falla", safe_name(F.col("falla")))
-     .write.mode("overwrite").partitionBy("falla").parquet(os.path.join(path, "por_falla")))
+    if mapping is not None:
+        marks = marks.withColumn("falla", mapping[F.col("falla")])
+    marks.write.mode("overwrite").partitionBy("falla").parquet(os.path.join(path, "por_falla"))
     return path
 
 

@@ -127,3 +127,10 @@ def test_materialize_cuts_lineage(spark):
     plan = m._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" in plan and "Join" not in plan
     assert m.count() == a.count()
+
+
+def test_sheet_names_follow_old_rule_with_clash_suffixes():
+    names = io.unique_sheet_names(["Peso: bruto (kg) / neto", "Peso bruto", "x" * 40, "x" * 40 + "y"])
+    assert names["Peso: bruto (kg) / neto"] == "Peso bruto_1"      # sorted after "Peso bruto"
+    assert names["Peso bruto"] == "Peso bruto"
+    assert names["x" * 40] == "x" * 31 and names["x" * 40 + "y"] == "x" * 28 + "_1"
