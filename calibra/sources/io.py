@@ -165,3 +165,40 @@ def read_version(spark: SparkSession, table_dir: str) -> DataFrame:
     if v is None:
         raise FileNotFoundError(f"no version written under {table_dir}")
     return spark.read.parquet(v)
+
+
+# -- business catalogues (driver-side configuration, a few KB) ---------------
+
+def load_units(spark: SparkSession, text_path: str | None = None, json_catalog: dict | None = None) -> list[str]:
+    """The unit codes: the text code list when it exists and is not empty,
+    else the JSON catalogue's `unidades_medida` list, else no codes."""
+    if text_path and _exists(spark, text_path):
+        codes = codes_list(spark, text_path)
+        if codes:
+            return codes
+    units = (json_catalog or {}).get("unidades_medida", [])
+    return list(units) if isinstance(units, list) else []
+
+
+def read_catalogs(spark: SparkSession, path: str | None) -> dict:
+    """The business catalogue JSON as small DataFrames: `custodians` (tipo_mat,
+    custodio), `type_names` (tipo_mat, nombre), plus the raw `domains` dict and the
+    `units` list.  A missing or unreadable file gives empty catalogues."""
+    import json
+    raw: dict = {}
+    if path:
+        try:
+            with open(path, encoding="utf-8") as fh:
+                raw = json.load(fh)
+        except (OSError, ValueError):
+            raw = {}
+    custodians = raw.get("custodios_por_tipo", {}) or {}
+    names = raw.get("mapeo_nombres_material", {}) or {}
+    return {
+        "custodians": spark.createDataFrame([(str(k), str(v)) for k, v in custodians.items()],
+                                            "tipo_mat string, custodio string"),
+        "type_names": spark.createDataFrame([(str(k), str(v)) for k, v in names.items()],
+                                            "tipo_mat string, nombre string"),
+        "domains": raw.get("dominios_config", {}) or {},
+        "units": raw.get("unidades_medida", []) if isinstance(raw.get("unidades_medida", []), list) else [],
+    }

@@ -134,3 +134,22 @@ def test_sheet_names_follow_old_rule_with_clash_suffixes():
     assert names["Peso: bruto (kg) / neto"] == "Peso bruto_1"      # sorted after "Peso bruto"
     assert names["Peso bruto"] == "Peso bruto"
     assert names["x" * 40] == "x" * 31 and names["x" * 40 + "y"] == "x" * 28 + "_1"
+
+
+def test_catalogs_and_units_precedence(spark, tmp_path):
+    import json
+    cat = tmp_path / "catalogos.json"
+    cat.write_text(json.dumps({"unidades_medida": ["KG"], "custodios_por_tipo": {"DEFAULT": "d@x.co", "PROMO": "p@x.co"},
+                               "mapeo_nombres_material": {"PROMO": "Promocional"}}), encoding="utf-8")
+    c = io.read_catalogs(spark, str(cat))
+    assert c["units"] == ["KG"] and c["custodians"].count() == 2 and c["type_names"].count() == 1
+    txt = tmp_path / "units.txt"
+    txt.write_text("un\tunidad\n", encoding="utf-8")
+    assert io.load_units(spark, str(txt), {"unidades_medida": ["KG"]}) == ["UN"]          # text wins
+    assert io.load_units(spark, str(tmp_path / "none.txt"), {"unidades_medida": ["KG"]}) == ["KG"]
+    assert io.read_catalogs(spark, str(tmp_path / "missing.json"))["units"] == []
+    # the custodian queue falls back to the DEFAULT entry of the catalogue
+    audited = audit(FX.view(spark, SF001, "materials"), FX.FLAGSHIP_RULES, FX.UNITS)
+    from calibra.operators import reports
+    q = {r["tipo_mat"]: r["custodio"] for r in reports.custodian_queue(audited, c["custodians"]).collect()}
+    assert q["PROMO"] == "p@x.co" and q["SMALL"] == "d@x.co"
