@@ -127,3 +127,15 @@ def test_skipped_rules_are_listed(spark):
     assert reasons[("DEFAULT", "Completitud", "missing")] == "column absent"
     assert ("DEFAULT", "Validez", "a") in reasons and ("DEFAULT", "Consistencia", "a") in reasons
     assert res.frame.first()[K.SCORE] == 100.0
+
+
+def test_dashboard_reports_from_one_materialized_audit(spark):
+    a = audit(FX.view(spark, SF001, "materials"), FX.TYPED_RULES, FX.UNITS)
+    msgs = [c["mensaje"] for b in FX.TYPED_RULES.values() for d in K.DIMENSIONS for c in b.get(d, {}).values()]
+    cat = FX.view(spark, SF001, "type_catalog")
+    d = reports.dashboard(a, msgs, custodians=cat, catalog=cat, types=["PROMO", "SMALL"])
+    assert set(d) >= {"summary", "top_failures", "explorer", "custodian_queue", "present_types"}
+    assert d["summary"].count() == 1
+    assert "Join" not in d["to_remediate"]._jdf.queryExecution().optimizedPlan().toString()
+    expected = a.where(F.col("tipo_mat").isin("PROMO", "SMALL")).where(F.col(K.SCORE) < 100).count()
+    assert d["to_remediate"].first()[0] == expected
