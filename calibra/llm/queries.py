@@ -9,16 +9,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import bpe_scan, content_sort, token_count
+from calibra.llm import anchors, bpe_scan, content_sort, token_count
+from calibra.llm.shipping import ship
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 BPE_FILE = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.remove_repeats(_table(spark, sf_dir, "documents"), window=35).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANK_FILE)
     encoded = bpe_scan.encode(_table(spark, sf_dir, "documents"), path)
@@ -38,6 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
     "op7_token_count": op7_token_count,
     "op10_exact_dedup": op10_exact_dedup,
