@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import anchors, bpe_scan, content_sort, token_count
+from calibra.llm import anchors, bpe_scan, content_sort, tensored_minhash, token_count
 from calibra.llm.shipping import ship
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -35,6 +35,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensored_minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"),
                                     public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
@@ -47,6 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
+    "op5_near_dedup": op5_near_dedup,
     "op7_token_count": op7_token_count,
     "op10_exact_dedup": op10_exact_dedup,
 }
