@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import anchors, bpe_scan, content_sort, tensored_minhash, token_count
+from calibra.llm import anchors, bpe_scan, content_sort, mil_toxicity, ri_quality, tensored_minhash, token_count
+from calibra.llm.learning import fold
 from calibra.llm.shipping import ship
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -44,6 +45,21 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = ri_quality.train(docs, _table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
+    return ri_quality.quality(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = mil_toxicity.train(docs, _table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return mil_toxicity.toxicity(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted",
+        F.size("offending").alias("n_offending"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +69,8 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op5_near_dedup": op5_near_dedup,
     "op7_token_count": op7_token_count,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
