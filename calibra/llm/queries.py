@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import anchors, bpe_scan, content_sort, mil_toxicity, ri_quality, tensored_minhash, token_count
+from calibra.llm import anchors, bpe_scan, content_sort, latent_retrieval, mil_toxicity, ri_quality, tensored_minhash, token_count
 from calibra.llm.learning import fold
 from calibra.llm.shipping import ship
 
@@ -22,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_retrieval.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.remove_repeats(_table(spark, sf_dir, "documents"), window=35).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -65,6 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
     "op5_near_dedup": op5_near_dedup,

@@ -20,16 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calibra.llm import array_sums
 from calibra.llm.learning import Adam, labelled_sample, sigmoid
 from calibra.llm.textblocks import byte_blocks, hash_spans, word_bounds
 
 WORD_BITS, SHAPE_BITS, DIMENSIONS, NONZERO, REACH = 13, 10, 32, 4, 2
 ROWS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
-SHARDS = 16
 PER_CLASS = 4000
 HIDDEN, STEPS = 24, 400
 
@@ -65,7 +64,7 @@ def rows_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = index_vectors()
-    total = np.zeros((ROWS, DIMENSIONS), np.int32)
+    total = np.zeros((ROWS, DIMENSIONS), np.int64)
     for batch in batches:
         for _, _, buf, offs in byte_blocks(batch.column("text")):
             word, shape, cuts = rows_of(buf, offs)
@@ -82,39 +81,15 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 order = np.argsort(rows, kind="stable")
                 ranked = rows[order]
                 first = np.flatnonzero(np.diff(ranked, prepend=-1))
-                total[ranked[first]] += np.add.reduceat(near[order], first, axis=0, dtype=np.int32)
-    if total.any():
-        part = TaskContext.get().partitionId() % SHARDS
-        yield from _sums({s: total[s::SHARDS].astype(np.int64) for s in range(SHARDS)}, part)
-
-
-def _sums(totals: dict[int, np.ndarray], sub: int) -> Iterator[pa.RecordBatch]:
-    for s, t in totals.items():
-        kind = np.int32 if np.abs(t).max(initial=0) < 2**31 else np.int64
-        yield pa.RecordBatch.from_arrays([
-            pa.array([s], pa.int32()), pa.array([sub], pa.int32()), pa.array([np.dtype(kind).itemsize], pa.int32()),
-            pa.array([t.astype(kind).tobytes()], pa.binary())], ["shard", "sub", "width", "sums"])
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for s, width, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "width", "sums"))):
-            add = np.frombuffer(data, np.int32 if width == 4 else np.int64).reshape(-1, DIMENSIONS)
-            totals[s] = totals[s] + add if s in totals else add.astype(np.int64)
-    yield from _sums(totals, 0)
+                total[ranked[first]] += np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
+    yield from array_sums.shards(total)
 
 
 def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Unit context vectors (ROWS x DIMENSIONS) from every text of the table; rows of words
     that never had a neighbour are 0."""
-    schema = "shard int, sub int, width int, sums binary"
-    part = docs.select(F.col(text_col).alias("text")).mapInArrow(_context_sums, schema)
-    part = part.repartition("shard", "sub").mapInArrow(_added, schema).repartition("shard").mapInArrow(_added, schema)
-    total = np.zeros((ROWS, DIMENSIONS))
-    for row in part.collect():                      # SHARDS rows per reducer: a fixed size
-        total[row["shard"]::SHARDS] += np.frombuffer(
-            row["sums"], np.int32 if row["width"] == 4 else np.int64).reshape(-1, DIMENSIONS)
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(_context_sums, array_sums.SCHEMA)
+    total = array_sums.total(parts, (ROWS, DIMENSIONS), np.int64).astype(np.float64)
     norm = np.linalg.norm(total, axis=1, keepdims=True)
     return (total / np.where(norm > 0, norm, 1)).astype(np.float32)
 
