@@ -9,7 +9,8 @@
    seen as well as one that occurs everywhere.
 3. Candidate search: every text is read in windows (24 words at steps of 8 for short
    items, 48 at steps of 16 for longer ones), each window is folded into the latent space
-   and compared with the items by cosine.
+   and compared with the items by cosine; it must also hold a least share (COVER) of the
+   item's own length there, which a window with two or three of its terms doesn't.
 4. Checks: a candidate counts if the longest common subsequence of the item's words and
    the window (with a margin) covers enough of the item, and enough of the item's answer,
    its last quarter, is there too; a nearly verbatim item counts without its answer.
@@ -22,7 +23,6 @@ shuffles are the fixed-size sums; matches are made where the text is read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -40,7 +40,7 @@ ITEM_DIRECTIONS, CORPUS_DIRECTIONS, OVERSAMPLE = 192, 64, 16
 COMMON = 0.005          # terms in more passages than this share carry no weight ...
 RAREST = 5              # ... but each item keeps its rarest ones
 ITEMS_PER_BLOCK = 5000
-COSINE, LCS, ANSWER, VERBATIM = 0.45, 0.6, 0.5, 0.85
+COSINE, COVER, LCS, ANSWER, VERBATIM = 0.45, 0.3, 0.6, 0.5, 0.85
 _OUTER = np.isin(np.arange(256), list(b".,;:!?\"'()[]{}|*#$%&-_"))
 
 
@@ -75,17 +75,16 @@ def position_masks(words: list[int]) -> dict[int, int]:
     return masks
 
 
-@dataclass
 class Item:
-    item_id: int
-    words: list[int]
+    def __init__(self, item_id: int, words: list[int]):
+        self.item_id, self.words = item_id, words
+        self.answer = words[-max(1, len(words) // 4):]
+        self.masks, self.answer_masks = position_masks(words), position_masks(self.answer)
 
     def checked(self, region: list[int]) -> tuple[float, float]:
         """Shares of the item and of its answer that the region holds in order."""
-        n, m = len(self.words), max(1, len(self.words) // 4)
-        whole = lcs_length(position_masks(self.words), n, region)
-        tail = lcs_length(position_masks(self.words[-m:]), m, region)
-        return whole / n, tail / m
+        n, m = len(self.words), len(self.answer)
+        return lcs_length(self.masks, n, region) / n, lcs_length(self.answer_masks, m, region) / m
 
 
 class Latent:
@@ -143,8 +142,8 @@ class Latent:
         folded = np.zeros((len(self.items), self.basis.shape[1]), np.float32)
         for r, item in enumerate(self.items):
             folded[r] = self.basis[self.locate(np.array(item.words, np.uint64))].sum(0)
-        norm = np.linalg.norm(folded, axis=1, keepdims=True)
-        self.folded = folded / np.where(norm > 0, norm, 1)
+        self.length = np.linalg.norm(folded, axis=1)
+        self.folded = folded / np.where(self.length > 0, self.length, 1)[:, None]
 
     def matches(self, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
         """(text, item id, cosine, lcs, answer, first word, end word) of the best window of
@@ -178,8 +177,10 @@ class Latent:
                 more = np.flatnonzero(at + j < end)
                 window[more] += latent[at[more] + j]
             norm = np.sqrt(np.einsum("ij,ij->i", window, window))
-            cosine = (window @ self.folded[chosen].T) / np.where(norm > 0, norm, 1)[:, None]
-            for r, c in zip(*np.nonzero(cosine >= COSINE)):
+            cosine = window @ self.folded[chosen].T
+            near = cosine >= COVER * self.length[chosen]
+            cosine /= np.where(norm > 0, norm, 1)[:, None]
+            for r, c in zip(*np.nonzero(near & (cosine >= COSINE))):
                 text, item = int(text_of[at[r]]), self.items[chosen[c]]
                 margin = max(4, len(item.words) // 4)
                 low = int(offsets[text]) + int(at[r] - first[text]) * STEP

@@ -175,3 +175,15 @@ def toxicity(docs: DataFrame, model: MilModel, threshold: float = 0.5,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, schema).select(
         "doc_id", "score", (F.col("score") >= F.lit(threshold)).cast("int").alias("predicted"), "offending")
+
+
+def drop_toxic(docs: DataFrame, model: MilModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Rows of `docs`, with all their columns, whose score is below the threshold.  One
+    pass without a shuffle; null and empty texts stay, repeated rows share their fate."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [model.score(buf, offs)[0] < threshold for _, _, buf, offs in byte_blocks(batch.column(text_col))]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
