@@ -16,7 +16,7 @@ made by asking the regex module for the class of every code point.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -191,8 +191,21 @@ def split_block(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.searchsorted(starts, offs)
 
 
+def encode_block(buf: np.ndarray, offs: np.ndarray,
+                 packed: Callable[[list[bytes]], list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, byte offset of each pre-token) of every text of a block; `packed` gives the
+    ids of pre-tokens as little-endian 32-bit integers."""
+    starts, upto = split_block(buf, offs)
+    data = buf.tobytes()
+    edges = starts.tolist() + [len(data)]
+    pieces = packed([data[a:b] for a, b in zip(edges, edges[1:])])
+    for row in range(offs.size - 1):
+        a, b = upto[row], upto[row + 1]
+        yield np.frombuffer(b"".join(pieces[a:b]), "<i4"), starts[a:b] - offs[row]
+
+
 class Ranks:
-    """Merge ranks of a rank file: encodes blocks of texts, decodes id arrays."""
+    """Merge ranks of a rank file: encodes pre-tokens, decodes id arrays."""
 
     def __init__(self, path: str):
         self.rank = read_ranks(path)
@@ -219,17 +232,6 @@ class Ranks:
             out = [fresh[w] if ids is None else ids for w, ids in zip(words, out)]
         return out
 
-    def encode_block(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, byte offset of each pre-token) of every text of a block."""
-        starts, upto = split_block(buf, offs)
-        data = buf.tobytes()
-        edges = starts.tolist() + [len(data)]
-        words = [data[a:b] for a, b in zip(edges, edges[1:])]
-        packed = self.packed(words)
-        for row in range(offs.size - 1):
-            a, b = upto[row], upto[row + 1]
-            yield np.frombuffer(b"".join(packed[a:b]), "<i4"), starts[a:b] - offs[row]
-
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of an id array: one gather from the concatenated token bytes."""
         lengths = self.lengths[ids]
@@ -265,7 +267,7 @@ def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for row, end, buf, offs in byte_blocks(batch.column("text")):
                 ids, cuts = [], []
-                for i, c in model.encode_block(buf, offs):
+                for i, c in encode_block(buf, offs, model.packed):
                     ids.append(i)
                     cuts.append(c)
                 yield pa.RecordBatch.from_arrays(

@@ -5,13 +5,16 @@ Each reads a table, calls its operator and derives the digest columns.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import anchors, bpe_scan, content_sort, latent_retrieval, mil_toxicity, ri_quality, tensored_minhash, token_count
+from calibra.llm import anchors, bpe_scan, content_sort, latent_retrieval, mil_toxicity, mixing_coder, ri_quality, tensored_minhash, token_count
 from calibra.llm.learning import fold
 from calibra.llm.shipping import ship
+from calibra.session import scratch_path
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 BPE_FILE = "byte_bpe_50k.json"
@@ -40,6 +43,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, f"coded-ids-{uuid.uuid4().hex}")
+    mixing_coder.write_coded(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(BPE_FILE), end_id=0)
+    return mixing_coder.ids_crc32(mixing_coder.read_coded(spark, path))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensored_minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -72,6 +81,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe": op3_bpe,
+    "op4_token_files": op4_token_files,
     "op5_near_dedup": op5_near_dedup,
     "op7_token_count": op7_token_count,
     "op8_quality": op8_quality,
