@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import anchors, bpe_scan, content_sort, latent_retrieval, mil_toxicity, mixing_coder, ri_quality, tensored_minhash, token_count
+from calibra.llm import (anchors, bpe_scan, content_sort, difference_cover, latent_retrieval, mil_toxicity,
+                         mixing_coder, ri_quality, tensored_minhash, token_count)
 from calibra.llm.learning import fold
 from calibra.llm.shipping import ship
 from calibra.session import scratch_path
@@ -53,6 +54,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensored_minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return difference_cover.remove_later_copies(_table(spark, sf_dir, "documents"), window=100).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"),
                                     public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
@@ -83,6 +89,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_token_files": op4_token_files,
     "op5_near_dedup": op5_near_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_count": op7_token_count,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
