@@ -35,13 +35,6 @@ def key_projection(df: DataFrame, keys: Sequence[str], names: Sequence[str],
     return proj
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str], names: Sequence[str],
-                   reference: DataFrame | None = None) -> DataFrame:
-    """Normalised keys that occur more than once (optionally counting a reference frame)."""
-    counts = key_counts(key_projection(df, keys, names, reference), names)
-    return counts.where(F.col(COUNT) > 1).drop(COUNT)
-
-
 def add_duplicate_markers(df: DataFrame, key_sets: Sequence[Sequence[str]], marker_name,
                           reference: DataFrame | None = None,
                           hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:

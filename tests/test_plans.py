@@ -3,7 +3,10 @@ filters and projections reach the scan."""
 
 import re
 
+from pyspark.sql import functions as F
+
 from calibra import fixtures as FX
+from calibra.operators import incremental, reports
 from calibra.operators.audit import audit
 from calibra.registry import QUERIES
 
@@ -35,10 +38,29 @@ def test_one_key_count_per_uniqueness_key_set(spark):
         assert "isnotnull(pmod" not in final
 
 
+def _schemas(df):
+    return set(re.findall(r"ReadSchema: (struct<[^>]*>)", _final_plan(df)))
+
+
 def test_scan_reads_only_needed_columns(spark):
-    df = QUERIES["rule_blank"](spark, SF01)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<p_partkey:bigint>" in plan or "p_retailprice" not in plan
+    (schema,) = _schemas(QUERIES["rule_blank"](spark, "/root/testdata/sf0.001"))
+    assert schema == "struct<p_partkey:bigint,p_brand:string>"
+
+
+def test_audits_and_lookups_read_only_the_columns_in_use(spark, tmp_path):
+    """Reports over an audit, key lookups and code-table audits of a wide master read no
+    unrelated column."""
+    path = str(tmp_path / "wide")
+    wide = FX.view(spark, "/root/testdata/sf0.001", "materials")
+    wide.withColumns({f"otro{i}": F.lit(i) for i in range(8)}).write.parquet(path)
+    m = spark.read.parquet(path)
+    t = FX.view(spark, "/root/testdata/sf0.001", "audit_target_all")
+    codes = spark.createDataFrame([("KG",), ("UN",)], "code string")
+    for df in (reports.summary(audit(m, FX.FLAGSHIP_RULES, FX.UNITS)),
+               reports.summary(audit(m, FX.TYPED_RULES, codes)),
+               incremental.new_records(m, t).select("SKU"), incremental.open_anomalies(m, t).select("SKU", "marca")):
+        assert not [s for s in _schemas(df) if "otro" in s]
+    assert "struct<SKU:bigint>" in _schemas(incremental.new_records(m, t).select("SKU"))
 
 
 def test_new_records_pushes_cutoff_filter_to_target_scan(spark):
