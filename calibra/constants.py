@@ -70,11 +70,20 @@ DIRECTORY_REPORT_COLUMNS = (
 )
 MATERIAL_REPORT_COLUMNS = ("SKU", "SKU_num", "tipo_mat", "Desc_Material", "Score_Calidad")
 EXPLORER_CORE_COLUMNS = ("SKU", "Desc_Material", "Estado_Gestion", "tipo_mat")
-EXPLORER_HIDDEN_COLUMNS = (
-    "Hallazgos_Detallados", "Score_Calidad", "Score_Completitud", "Score_Validez",
-    "Score_Unicidad", "Score_Consistencia",
-)
-EXPLORER_MAX_FINDING_COLUMNS = 30
+
+# Field names of generated rules.
+GENERATED_LIST = "diccionario_reglas"
+GENERATED_DIMENSION_FIELDS = ("dimension_dama", "dimension")
+GENERATED_NESTED_LIST = "reglas_aplicadas"
+GENERATED_NESTED_COLUMN = "nombre_columna"
+GENERATED_NESTED_RULE = "regla"
+GENERATED_NESTED_PENALTY = "penalizacion"
+GENERATED_NESTED_MESSAGE = "mensaje"
+GENERATED_FLAT_COLUMN = "columna"
+GENERATED_FLAT_PENALTY = "penalizacion_negocio"
+GENERATED_FLAT_MESSAGE = "descripcion"
+GENERATED_PARAMETERS = ("columnas", "whitelist", "blacklist", "valor", "catalogo_ref", "patron_regex",
+                        "columna_pais", "columna_ref", "condicion_columna", "condicion_valor")
 
 # Status.
 GOOD_THRESHOLD = 99.99
@@ -87,7 +96,6 @@ BLANK_TOKENS = ("", "nan", "nat", "null")
 
 # Findings text.
 FINDING_SEPARATOR = ", "
-FINDING_IGNORED = ("Sin Errores", "nan")
 FINDING_MARK = "X"
 
 # Explorer marks and status labels.
@@ -133,11 +141,7 @@ TEXT_TARGET_COLUMNS = ("SKU_MPT", "SKU", "Usuario_Auditor")
 MISSING_DATE_TEXT = "1900-01-01"
 
 # Fallback contact when a type has no custodian.
-FALLBACK_CUSTODIAN = "gobiernodatos@example.com"
-
-# Excel-era sheet names: characters removed and maximum length.
-SHEET_NAME_FORBIDDEN = ("\\", "/", "?", "*", "[", "]", ":")
-SHEET_NAME_MAX = 31
+FALLBACK_CUSTODIAN = "sin-custodio@example.com"
 
 # Unicode White_Space property (what a whitespace strip removes), as code points.
 UNICODE_WHITESPACE = (
@@ -151,9 +155,3 @@ UNICODE_WHITESPACE = (
 # ---------------------------------------------------------------------------
 
 WHITESPACE_CHARS = "".join(chr(c) for c in UNICODE_WHITESPACE)
-DIMENSION_SCORE_COLUMNS = {
-    "Unicidad": SCORE_UNIQUENESS,
-    "Completitud": SCORE_COMPLETENESS,
-    "Validez": SCORE_VALIDITY,
-    "Consistencia": SCORE_CONSISTENCY,
-}

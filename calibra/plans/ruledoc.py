@@ -34,26 +34,45 @@ def default_document() -> dict:
     return {K.DEFAULT_BLOCK: {K.WEIGHTS_KEY: {d: K.DEFAULT_WEIGHT for d in K.DIMENSIONS}}}
 
 
-def load_document(source) -> dict:
-    """A rule document from a dict, a JSON text or a JSON file path; default if absent."""
+def load_document(source, spark=None) -> dict:
+    """A rule document from a dict, a JSON text or the path of a JSON file (read through
+    Spark, so from any store).  None gives the default; a path that can't be read raises."""
     if source is None:
         return default_document()
     if isinstance(source, dict):
         doc = copy.deepcopy(source)
+    elif str(source).lstrip().startswith("{"):
+        doc = json.loads(str(source))
     else:
-        text = str(source)
-        if text.lstrip().startswith("{"):
-            doc = json.loads(text)
-        else:
-            try:
-                with open(text, encoding="utf-8") as fh:
-                    doc = json.load(fh)
-            except FileNotFoundError:
-                return default_document()
+        from pyspark.sql import SparkSession
+
+        from calibra.sources.io import read_text
+        doc = json.loads(read_text(spark or SparkSession.active(), str(source)))
     validate_document(doc)
     return doc
 
 
+def rule_path(folder: str, domain: str) -> str:
+    """Where the rule document of a domain is kept."""
+    return f"{folder.rstrip('/')}/reglas_{re.sub(r'[^0-9A-Za-z]+', '_', domain).strip('_').lower()}.json"
+
+
+def save_document(spark, doc: dict, folder: str, domain: str) -> str:
+    """Keep the (valid) rule document of a domain; the previous one is replaced."""
+    from calibra.sources.io import write_text
+    validate_document(doc)
+    path = rule_path(folder, domain)
+    write_text(spark, path, json.dumps(doc, ensure_ascii=False, indent=1))
+    return path
+
+
+def saved_document(spark, folder: str, domain: str) -> dict | None:
+    """The kept rule document of a domain, None when there is none."""
+    from calibra.sources.io import exists
+    path = rule_path(folder, domain)
+    return load_document(path, spark) if exists(spark, path) else None
+
+
 def validate_document(doc: dict) -> list[str]:
     """Raise RuleError on a document the engine could not run; return warnings.
 
@@ -93,102 +112,99 @@ def validate_document(doc: dict) -> list[str]:
     return warnings
 
 
-def _dimension_of(raw: str) -> str:
-    d = str(raw).strip().lower()
-    if "complet" in d:
-        return "Completitud"
-    if "unic" in d:
-        return "Unicidad"
-    if "consist" in d:
-        return "Consistencia"
-    return "Validez"
+#: First match wins; anything else is validity.
+_DIMENSION_STEMS = (("complet", "Completitud"), ("unic", "Unicidad"), ("consist", "Consistencia"))
 
+#: (field of a rule record, names it has in a generated rule, default) for the two formats:
+#: rules nested under their dimension, and flat items whose rule follows from the dimension.
+_NESTED_FIELDS = (("column", K.GENERATED_NESTED_COLUMN, ""), ("rule", K.GENERATED_NESTED_RULE, K.RULE_BLANK),
+                  ("penalty", K.GENERATED_NESTED_PENALTY, 50), ("message", K.GENERATED_NESTED_MESSAGE, None))
+_FLAT_FIELDS = (("column", K.GENERATED_FLAT_COLUMN, ""), ("penalty", K.GENERATED_FLAT_PENALTY, 50),
+                ("message", K.GENERATED_FLAT_MESSAGE, None))
 
-# Parameters a generated rule may carry beyond rule/penalty/message.
-_CARRIED = ("columnas", "whitelist", "blacklist", "valor", "catalogo_ref", "patron_regex",
-            "columna_pais", "columna_ref", "condicion_columna", "condicion_valor")
 
+def dimension_named(text) -> str:
+    """Quality dimension that a free text names."""
+    lowered = str(text).strip().lower()
+    return next((name for stem, name in _DIMENSION_STEMS if stem in lowered), "Validez")
 
-def adapt_generated(rules, domain: str, carry_parameters: bool = True) -> dict | None:
-    """Turn generated rules (dict or text holding JSON) into a rule document.
 
-    Format A: items with `reglas_aplicadas` (each: nombre_columna, regla, penalizacion,
-    mensaje).  Format B: flat items with `columna` (rule inferred from the dimension).
-    `carry_parameters=False` reproduces the original adapter, which drops every
-    parameter but rule, penalty and message (quirk Q-2).
-    """
-    if isinstance(rules, dict) or isinstance(rules, list):
-        data = rules
-    else:
-        text = str(rules)
-        m = re.search(r"\{.*\}", text, re.DOTALL)
-        if m:
-            text = m.group(0)
-        data = json.loads(text)
-    items = data.get("diccionario_reglas", []) if isinstance(data, dict) else []
+def _parsed(rules):
+    """Generated rules as data; from a text, what stands between its outer braces."""
+    if isinstance(rules, (dict, list)):
+        return rules
+    text = str(rules)
+    first, last = text.find("{"), text.rfind("}")
+    return json.loads(text[first:last + 1] if 0 <= first < last else text)
+
+
+def rule_records(rules) -> list[dict] | None:
+    """Generated rules as flat records (dimension, column, rule, penalty, message, extra);
+    None when the document holds no list of rules."""
+    data = _parsed(rules)
+    items = data if isinstance(data, list) else data.get(K.GENERATED_LIST)
     if not items:
-        if isinstance(data, list):
-            items = data
-        else:
-            return None
-    target = K.DIRECTORY_BLOCK if K.DIRECTORY_MARKER in str(domain) else K.DEFAULT_BLOCK
-    block = {K.WEIGHTS_KEY: {d: K.DEFAULT_WEIGHT for d in K.DIMENSIONS},
-             "Completitud": {}, "Validez": {}, "Unicidad": {}, "Consistencia": {}}
+        return None
+    records = []
     for item in items:
-        dim = _dimension_of(item.get("dimension_dama", item.get("dimension", "Validez")))
-        if "reglas_aplicadas" in item:
-            for r in item.get("reglas_aplicadas", []):
-                col = str(r.get("nombre_columna", "")).strip()
-                if not col:
-                    continue
-                cfg = {"regla": str(r.get("regla", K.RULE_BLANK)).strip(),
-                       "penalizacion": float(r.get("penalizacion", 50)),
-                       "mensaje": str(r.get("mensaje", f"Error en {col}"))}
-                if carry_parameters:
-                    cfg.update({k: r[k] for k in _CARRIED if k in r})
-                block[dim][col] = cfg
-        elif "columna" in item:
-            col = str(item.get("columna", "")).strip()
-            if not col:
-                continue
-            rule = {"Completitud": K.RULE_BLANK, "Unicidad": K.RULE_DUPLICATE}.get(dim, K.RULE_BLANK)
-            block[dim][col] = {"regla": rule,
-                               "penalizacion": float(item.get("penalizacion_negocio", 50)),
-                               "mensaje": str(item.get("descripcion", f"Error en {col}"))}
-    return {target: block}
+        named = [item[k] for k in K.GENERATED_DIMENSION_FIELDS if k in item]
+        dimension = dimension_named(named[0] if named else "")
+        nested = item.get(K.GENERATED_NESTED_LIST)
+        sources = [(item, _FLAT_FIELDS)] if nested is None else [(r, _NESTED_FIELDS) for r in nested]
+        for source, fields in sources:
+            record = {"dimension": dimension,
+                      "rule": K.RULE_DUPLICATE if dimension == "Unicidad" else K.RULE_BLANK,
+                      "extra": {k: source[k] for k in K.GENERATED_PARAMETERS if k in source} if nested is not None else {}}
+            record |= {field: source.get(name, default) for field, name, default in fields}
+            records.append(record)
+    return records
+
+
+def adapt_generated(rules, domain: str, carry_parameters: bool = True) -> dict | None:
+    """Turn generated rules (data or text holding JSON) into a rule document.
+
+    `carry_parameters=False` keeps rule, penalty and message only, like the original
+    adapter (quirk Q-2).  Records without a column are left out.
+    """
+    records = rule_records(rules)
+    if records is None:
+        return None
+    block: dict = {K.WEIGHTS_KEY: dict.fromkeys(K.DIMENSIONS, K.DEFAULT_WEIGHT)} | {d: {} for d in K.DIMENSIONS}
+    for r in records:
+        column = str(r["column"]).strip()
+        if column:
+            message = f"Error en {column}" if r["message"] is None else str(r["message"])
+            block[r["dimension"]][column] = {
+                "regla": str(r["rule"]).strip(), "penalizacion": float(r["penalty"]), "mensaje": message,
+                **(r["extra"] if carry_parameters else {})}
+    return {K.DIRECTORY_BLOCK if K.DIRECTORY_MARKER in str(domain) else K.DEFAULT_BLOCK: block}
+
+
+#: Levels at which two documents are merged key by key before the overlay's value wins.
+_MERGE_DEPTH = {"replace_dimension": 2, "extend": 3}
+
+
+def _overlaid(base, overlay, depth: int):
+    if depth == 0 or not (isinstance(base, dict) and isinstance(overlay, dict)):
+        return copy.deepcopy(overlay)
+    return {k: _overlaid(base.get(k), overlay[k], depth - 1) if overlay.get(k) is not None else copy.deepcopy(base[k])
+            for k in dict.fromkeys([*base, *overlay]) if k in base or overlay.get(k) is not None}
 
 
 def merge_documents(base: dict, overlay: dict, mode: str = "replace_dimension") -> dict:
-    """Overlay rules on a base document.
+    """Overlay rules on a base document, neither is changed.
 
-    `replace_dimension` (as the original engine does): blocks merge one level deep,
-    so a dimension present in the overlay block replaces the base dimension whole.
-    `extend`: dimensions merge column by column, weights key by key.
+    `replace_dimension` (as the original engine does): a dimension of the overlay block
+    replaces the base dimension whole.  `extend`: dimensions merge column by column,
+    weights key by key.
     """
-    if mode not in ("replace_dimension", "extend"):
+    if mode not in _MERGE_DEPTH:
         raise ValueError(f"unknown merge mode {mode!r}")
-    out: dict = {}
-    for key in list(base.keys()) + [k for k in overlay.keys() if k not in base]:
-        b, o = base.get(key), overlay.get(key)
-        if isinstance(b, dict) and isinstance(o, dict):
-            merged = {**b, **o}
-            if mode == "extend":
-                for sub, ov in o.items():
-                    if isinstance(b.get(sub), dict) and isinstance(ov, dict):
-                        merged[sub] = {**b[sub], **ov}
-            out[key] = copy.deepcopy(merged)
-        elif o is not None:
-            out[key] = copy.deepcopy(o)
-        else:
-            out[key] = copy.deepcopy(b)
-    return out
+    return _overlaid(base, overlay, _MERGE_DEPTH[mode])
 
 
 def with_generated(base: dict, generated, domain: str, mode: str = "replace_dimension") -> dict:
-    """Base document plus generated rules, as an audit run resolves them."""
-    if not generated:
-        return base
-    if isinstance(generated, dict) and (K.DEFAULT_BLOCK in generated or K.DIRECTORY_BLOCK in generated):
-        return merge_documents(base, generated, mode)
-    adapted = adapt_generated(generated, domain)
-    return merge_documents(base, adapted, mode) if adapted else base
+    """Base document plus generated rules (a rule document already, or rules to adapt)."""
+    ready = isinstance(generated, dict) and bool({K.DEFAULT_BLOCK, K.DIRECTORY_BLOCK} & generated.keys())
+    overlay = generated if ready else adapt_generated(generated, domain) if generated else None
+    return merge_documents(base, overlay, mode) if overlay else base

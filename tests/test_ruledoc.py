@@ -12,8 +12,10 @@ def test_default_document_has_equal_weights_and_no_rules():
                                                      "Validez": 0.25, "Consistencia": 0.25}}}
 
 
-def test_missing_rule_file_gives_default(tmp_path):
-    assert load_document(str(tmp_path / "absent.json")) == default_document()
+def test_missing_rule_file_raises(spark, tmp_path):
+    assert load_document(None) == default_document()
+    with pytest.raises(Exception):
+        load_document(str(tmp_path / "absent.json"))
 
 
 @pytest.mark.parametrize("bad,msg", [
