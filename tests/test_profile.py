@@ -13,25 +13,24 @@ from calibra.registry import QUERIES
 from conftest import SF001
 
 
-def test_approx_quantiles_within_rank_error_of_exact(spark):
+def test_quartiles_are_exact(spark):
     li = FX.table(spark, SF001, "lineitem")
     pdf = li.select("l_quantity", "l_extendedprice", "l_discount").toPandas()
-    approx = {r["columna"]: r for r in profile.numeric_quantiles(li, list(pdf.columns)).collect()}
-    exact = {r["columna"]: r for r in profile.numeric_quantiles(li, list(pdf.columns), exact=True).collect()}
-    n = len(pdf)
+    got = {r["columna"]: r for r in profile.numeric_quantiles(li, list(pdf.columns)).collect()}
     for c in pdf.columns:
-        s = np.sort(pdf[c].to_numpy())
         for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
-            assert abs(exact[c][name] - pdf[c].quantile(q)) < 1e-9          # pandas linear interpolation
-            lo = np.searchsorted(s, approx[c][name], side="left")     # values below
-            hi = np.searchsorted(s, approx[c][name], side="right")    # values at or below
-            err = n / 10000 + 2                                        # accuracy 10000
-            assert lo - err <= q * n <= hi + err
+            assert abs(got[c][name] - pdf[c].quantile(q)) < 1e-9          # linear interpolation
+    few = spark.createDataFrame([(1.0,), (None,), (4.0,)], "x double")
+    assert profile.numeric_quantiles(few).first()[1:] == (1.75, 2.5, 3.25)
 
 
-def test_registered_quantiles_runs_on_whole_table(spark):
-    out = QUERIES["profile_quantiles"](spark, SF001)
-    assert out.count() == 8 and set(out.columns) == {"columna", "p25", "p50", "p75"}
+def test_profile_has_a_row_for_every_column(spark):
+    df = spark.createDataFrame([(1, "a", True, None), (2, "a", None, None)], "n int, t string, b boolean, d date")
+    rows = {r["columna"]: r for r in profile.profile(df).collect()}
+    assert set(rows) == {"n", "t", "b", "d"}
+    assert (rows["t"]["top"], rows["t"]["freq"], rows["t"]["unique"]) == ("a", 2, 1)
+    assert (rows["b"]["count"], rows["b"]["nulos"], rows["n"]["p50"]) == (1, 1, 1.5)
+    assert rows["d"]["nulos"] == 2 and rows["d"]["desde"] is None
 
 
 def test_text_profile_matches_pandas_describe(spark):
@@ -78,12 +77,25 @@ def test_missing_columns_mark_names_and_types(spark):
     assert shaping.missing_columns(["a", "b"], ["b", "c", "a", "d"]) == ["c", "d"]
     names = reports.mark_names(["SKU_nulo", "marca_nulo", "mar_ca_nulo"], {"SKU"})
     assert names == [("SKU_nulo", "SKU · marca"), ("marca_nulo", "marca"), ("mar_ca_nulo", "mar ca")]
+    twice = reports.mark_names(["a_b_nulo", "a b_nulo"], set())
+    assert twice == [("a_b_nulo", "a b"), ("a b_nulo", "a b · marca (2)")]
     df = spark.createDataFrame([(1,)], "a int")
     assert shaping.normalize_types(df).dtypes == df.dtypes
     stamped = shaping.stamp_auditor(df, "  me@x.co ")
     assert stamped.first()[K.AUDITOR] == "me@x.co"
 
 
+def test_finding_matrix_keeps_every_finding(spark):
+    messages = [f"falla {i:02d}" for i in range(40)]
+    df = spark.createDataFrame([(1, ", ".join(messages[:35]) + ", "), (2, messages[39] + ", ")],
+                               f"SKU int, {K.FINDINGS} string")
+    marks, keys = reports.finding_matrix(df, messages)
+    assert marks.count() == 36 and keys.count() == 36 and not keys.first()["truncated"]
+    shown, keys = reports.finding_matrix(df, messages, limit=30)
+    assert shown.count() == 30 and keys.first()["truncated"]
+    assert reports.finding_matrix(df, [])[0].count() == 0
+
+
 def test_wide_matrix_sorted_and_marked(spark):
     a = audit(FX.view(spark, SF001, "materials"), FX.TYPED_RULES, FX.UNITS)
     msgs = [c["mensaje"] for b in FX.TYPED_RULES.values() for d in K.DIMENSIONS for c in b.get(d, {}).values()]
@@ -92,6 +104,7 @@ def test_wide_matrix_sorted_and_marked(spark):
     scores = [r[K.SCORE] for r in rows]
     assert scores == sorted(scores) and all(s < 100 for s in scores)
     marks = set(wide.columns) - set(reports.report_columns(a))
+    assert marks == set(reports.candidate_findings(msgs))
     assert marks and all(r[m] in ("X", "") for r in rows for m in marks)
     # every row to fix carries at least one mark
     assert all(any(r[m] == "X" for m in marks) for r in rows)
