@@ -108,7 +108,7 @@ def sync_dates(target: DataFrame, src: DataFrame, key: str = K.COL_SKU,
                & (_date_text(F.col("__calibra_new")) != _date_text(qcol("Fecha_Actualizacion"))))
     stamp = now if now is not None else F.current_timestamp()
     updates = {"Fecha_Actualizacion": F.when(changed, F.col("__calibra_new")).otherwise(qcol("Fecha_Actualizacion"))}
-    if "Fecha_Ingreso" in target.columns:
+    if "Fecha_Ingreso" in target.columns and has_created:      # else the source says nothing about it
         updates["Fecha_Ingreso"] = F.when(changed, F.col("__calibra_created")).otherwise(qcol("Fecha_Ingreso"))
     if "Fecha_Actualizacion_M" in target.columns:
         updates["Fecha_Actualizacion_M"] = F.when(changed, stamp).otherwise(qcol("Fecha_Actualizacion_M"))
@@ -154,10 +154,9 @@ def sync(spark, master: DataFrame, target_dir: str, rules, units=(), domain: str
     target = spark.read.parquet(current)
     if refresh_dates and src_date in master.columns and "Fecha_Actualizacion" in target.columns:
         refreshed = sync_dates(target, master, key, src_date, src_created, order)
-        obs = Observation("sync_dates")
-        counted = refreshed.observe(obs, F.sum(F.col("__changed").cast("bigint")).alias("changed"))
-        current = io.write_version(counted.drop("__changed"), target_dir)
-        updated = int(obs.get["changed"] or 0)
+        updated = refreshed.where("__changed").count()
+        if updated:                                 # an unchanged table keeps its version
+            current = io.write_version(refreshed.drop("__changed"), target_dir)
 
     final = spark.read.parquet(current)
     return {"inserted": inserted, "updated": updated, "version": current,

@@ -11,22 +11,17 @@ from pyspark.sql import types as T
 from calibra import constants as K
 from calibra.functions.text import qcol
 from calibra.operators import reports
+from calibra.sources.io import exists
 
 _TYPES = {"string": T.StringType(), "timestamp": T.TimestampType(), "bigint": T.LongType(),
           "double": T.DoubleType()}
+_RECORDED: dict[str, set] = {}          # names of recorded sources by application
 HISTORY_SCHEMA = T.StructType([T.StructField(n, _TYPES[t], True) for n, t in K.HISTORY_COLUMNS])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
-
-
 def ensure_history(spark: SparkSession, path: str) -> None:
     """Create the empty history table at `path` when absent."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         spark.createDataFrame([], HISTORY_SCHEMA).write.mode("ignore").parquet(path)
 
 
@@ -55,8 +50,17 @@ def history_record(audited: DataFrame, user: str, domain: str, types=None,
 
 
 def append_history(audited: DataFrame, path: str, user: str, domain: str, types=None,
-                   run_id: str | None = None, strict: bool = False) -> str:
-    """Append one record; a failure only warns unless `strict`.  Returns the run id."""
+                   run_id: str | None = None, strict: bool = False, source_name: str | None = None) -> str | None:
+    """Append one record; a failure only warns unless `strict`.  Returns the run id.
+
+    With `source_name` a source is recorded once per Spark application: a second call
+    with that name writes nothing and returns None.
+    """
+    if source_name is not None:
+        seen = _RECORDED.setdefault(audited.sparkSession.sparkContext.applicationId, set())
+        if source_name in seen:
+            return None
+        seen.add(source_name)
     rid = run_id or f"{K.HISTORY_ID_PREFIX}{int(time.time())}"
     try:
         ensure_history(audited.sparkSession, path)
@@ -82,6 +86,6 @@ def list_history_frame(history: DataFrame, display: bool = True) -> DataFrame:
 
 
 def list_history(spark: SparkSession, path: str, display: bool = True) -> DataFrame:
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], HISTORY_SCHEMA)
     return list_history_frame(read_history(spark, path), display)

@@ -7,7 +7,6 @@ overwrites a folder that the same job reads.
 from __future__ import annotations
 
 import os
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,15 +46,6 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
             .distinct().orderBy("code"))
 
 
-def codes_list(spark: SparkSession, path: str, limit: int = 100_000) -> list[str]:
-    """A code list as Python strings for `isin` rules; refuses lists above `limit`."""
-    codes = read_codes(spark, path)
-    rows = codes.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"code list above {limit} entries; use a catalogue join instead")
-    return [r[0] for r in rows]
-
-
 def append_results(df: DataFrame, path: str, allowed: list[str] | None = None) -> int:
     """S3: append audit results to the target table; returns rows written.
 
@@ -64,7 +54,7 @@ def append_results(df: DataFrame, path: str, allowed: list[str] | None = None) -
     observation on the write itself, not from a second pass.
     """
     spark = df.sparkSession
-    target_schema = spark.read.parquet(path).schema if _exists(spark, path) else None
+    target_schema = spark.read.parquet(path).schema if exists(spark, path) else None
     if allowed is None and target_schema is not None:
         allowed = [f.name for f in target_schema.fields]
     out = shaping.dedupe_columns(df)
@@ -81,82 +71,84 @@ def append_results(df: DataFrame, path: str, allowed: list[str] | None = None) -
     return int(obs.get.get("rows", 0))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a path in any store Spark can read."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = hadoop_path(spark, path)
+    return files.exists(place)
 
 
-def sheet_name(finding: str) -> str:
-    """Old sheet name of a finding: forbidden characters removed, text before '('
-    kept (stripped), at most 31 characters."""
-    name = str(finding)
-    for ch in K.SHEET_NAME_FORBIDDEN:
-        name = name.replace(ch, "")
-    if "(" in name:
-        name = name.split("(")[0].strip()
-    return name[:K.SHEET_NAME_MAX]
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small configuration file as text; raises when it isn't there."""
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path}: one file expected")
+    return rows[0][0]
 
 
-def unique_sheet_names(findings) -> dict:
-    """Finding -> unique name, clashes renamed `<first 28>_<n>` in sorted order."""
-    used: set = set()
-    out = {}
-    for f in sorted(findings):
-        base = name = sheet_name(f)
-        n = 1
-        while name in used:
-            name = f"{base[:28]}_{n}"
-            n += 1
-        used.add(name)
-        out[f] = name
-    return out
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text (of whole lines) as a folder of one file; the new content is
+    complete under another name before the old one goes."""
+    files, place = hadoop_path(spark, path)
+    fresh = f"{path}.{uuid.uuid4().hex[:8]}"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(fresh)
+    if files.exists(place):
+        files.rename(place, hadoop_path(spark, f"{fresh}.old")[1])
+    if not files.rename(hadoop_path(spark, fresh)[1], place):
+        raise OSError(f"{path} could not be replaced; the new content is in {fresh}")
 
 
 def export_remediation(audited: DataFrame, messages, path: str, digits: int = 1) -> str:
     """The remediation export.
 
-    `<path>/matriz`: every row to fix, base columns and rounded score (Q5 without
-    the mark columns); `<path>/por_falla/falla=<name>`: one subset per present
-    finding (Q7), written with `partitionBy`; names follow the old sheet-name rule,
-    clashes renamed in sorted order.  The finding list is bounded by the rule
-    document, so the name map is built on the driver and applied as a literal map.
+    `<path>/matriz`: every row to fix with its mark columns (Q5 wide); `<path>/por_falla/
+    clave=<n>`: one subset per finding (Q7) with its full text in column `falla`.  `n`
+    numbers the findings the rule document can produce in sorted order, so neither their
+    length nor their characters matter.
     """
-    base = reports.report_columns(audited)
-    lite = reports.to_fix(audited)
-    cols = [qcol(c) if c != K.SCORE else F.bround(qcol(c), digits).alias(c) for c in base]
-    lite.select(*cols, qcol(K.FINDINGS)).write.mode("overwrite").parquet(os.path.join(path, "matriz"))
-    present = [r[0] for r in reports.distinct_findings(audited).collect()]
-    names = unique_sheet_names(present)
-    mapping = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else None
+    reports.remediation_matrix(audited, messages, digits, ordered=False).write.mode("overwrite") \
+        .parquet(os.path.join(path, "matriz"))
+    names = reports.candidate_findings(messages)
     marks = reports.remediation_long(audited, messages, digits)
-    if mapping is not None:
-        marks = marks.withColumn("falla", mapping[F.col("falla")])
-    marks.write.mode("overwrite").partitionBy("falla").parquet(os.path.join(path, "por_falla"))
+    number = F.lit(0)
+    if names:
+        number = F.create_map(*[F.lit(x) for pair in zip(names, range(len(names))) for x in pair])[F.col("falla")]
+    marks.withColumn("clave", number).write.mode("overwrite").partitionBy("clave") \
+        .parquet(os.path.join(path, "por_falla"))
     return path
 
 
 # -- versioned snapshots of a table that is updated (I3) ---------------------
 
 def current_version(spark: SparkSession, table_dir: str) -> str | None:
-    """Path of the current version of a snapshot table (pointer file `_CURRENT`)."""
-    ptr = os.path.join(table_dir, "_CURRENT")
-    if not _exists(spark, ptr):
+    """Path of the newest complete version of a snapshot table.
+
+    A version is complete when its folder holds `_SUCCESS`, which the write commits last;
+    there is no pointer to keep, so no failure can leave the table without a current
+    version or move it back.
+    """
+    files, root = hadoop_path(spark, table_dir)
+    if not files.exists(root):
         return None
-    return spark.read.text(ptr).first()[0].strip()
+    names = [s.getPath().getName() for s in files.listStatus(root) if s.isDirectory()]
+    done = [n for n in names if n.startswith("v") and exists(spark, os.path.join(table_dir, n, "_SUCCESS"))]
+    return os.path.join(table_dir, max(done)) if done else None
 
 
 def write_version(df: DataFrame, table_dir: str) -> str:
-    """Write `df` as a new version folder, then move the pointer to it.
+    """Write `df` as a new version folder; it becomes current when the write commits.
 
-    Readers of the previous version are never disturbed; the pointer is written
-    last, so a failed job leaves the old version current.
+    Names carry a number one above the current version's, so they sort in order whatever
+    the clock says.  Readers of the previous version are never disturbed.
     """
-    spark = df.sparkSession
-    version = os.path.join(table_dir, f"v{int(time.time() * 1000)}_{uuid.uuid4().hex[:6]}")
+    last = current_version(df.sparkSession, table_dir)
+    number = int(os.path.basename(last)[1:].split("_")[0]) + 1 if last else 1
+    version = os.path.join(table_dir, f"v{number:012d}_{uuid.uuid4().hex[:6]}")
     df.write.mode("errorifexists").parquet(version)
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(
-        os.path.join(table_dir, "_CURRENT"))
     return version
 
 
@@ -169,29 +161,24 @@ def read_version(spark: SparkSession, table_dir: str) -> DataFrame:
 
 # -- business catalogues (driver-side configuration, a few KB) ---------------
 
-def load_units(spark: SparkSession, text_path: str | None = None, json_catalog: dict | None = None) -> list[str]:
-    """The unit codes: the text code list when it exists and is not empty,
-    else the JSON catalogue's `unidades_medida` list, else no codes."""
-    if text_path and _exists(spark, text_path):
-        codes = codes_list(spark, text_path)
-        if codes:
+def load_units(spark: SparkSession, text_path: str | None = None, json_catalog: dict | None = None) -> DataFrame:
+    """The unit codes as a table (column `code`, any size: the audit looks codes up
+    by a join): the text code list when it exists and is not empty, else the JSON
+    catalogue's `unidades_medida` list, else no codes."""
+    if text_path and exists(spark, text_path):
+        codes = read_codes(spark, text_path)
+        if codes.limit(1).count():
             return codes
     units = (json_catalog or {}).get("unidades_medida", [])
-    return list(units) if isinstance(units, list) else []
+    return spark.createDataFrame([(str(u),) for u in units] if isinstance(units, list) else [], "code string")
 
 
 def read_catalogs(spark: SparkSession, path: str | None) -> dict:
     """The business catalogue JSON as small DataFrames: `custodians` (tipo_mat,
     custodio), `type_names` (tipo_mat, nombre), plus the raw `domains` dict and the
-    `units` list.  A missing or unreadable file gives empty catalogues."""
+    `units` list.  No path gives empty catalogues; a path that can't be read raises."""
     import json
-    raw: dict = {}
-    if path:
-        try:
-            with open(path, encoding="utf-8") as fh:
-                raw = json.load(fh)
-        except (OSError, ValueError):
-            raw = {}
+    raw: dict = json.loads(read_text(spark, path)) if path else {}
     custodians = raw.get("custodios_por_tipo", {}) or {}
     names = raw.get("mapeo_nombres_material", {}) or {}
     return {

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from calibra import constants as K
@@ -19,7 +21,6 @@ def test_read_codes(spark, tmp_path):
     p.write_text("kg\tkilogram\n\n un \tunit\nKG\tdup\n  \t blank code\nL\n", encoding="utf-8")
     # the line is stripped before the tab split, so a leading tab leaves the description
     assert [r[0] for r in io.read_codes(spark, str(p)).collect()] == ["BLANK CODE", "KG", "L", "UN"]
-    assert io.codes_list(spark, str(p)) == ["BLANK CODE", "KG", "L", "UN"]
 
 
 def test_read_extract_is_all_text_with_trimmed_headers(spark, tmp_path):
@@ -68,6 +69,34 @@ def test_versions_never_overwrite_what_is_read(spark, tmp_path):
     assert spark.read.parquet(v1).count() == 3
 
 
+def test_a_failed_version_leaves_the_old_one_current(spark, tmp_path):
+    d = str(tmp_path / "snap")
+    v1 = io.write_version(spark.range(3), d)
+    fails = spark.range(3).select(F.raise_error(F.lit("lost")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        io.write_version(fails, d)
+    os.makedirs(os.path.join(d, "v999999999999_half"))          # a write that never committed
+    assert io.current_version(spark, d) == v1 and io.read_version(spark, d).count() == 3
+    assert io.write_version(spark.range(4), d) > v1
+
+
+def test_dates_without_a_created_column_leave_the_entry_date(spark):
+    from calibra.operators.incremental import sync_dates
+    target = spark.createDataFrame([("a", "2019-01-01", "2020-01-01")], "SKU string, Fecha_Ingreso string, Fecha_Actualizacion string")
+    source = spark.createDataFrame([("a", "2024-01-01")], "SKU string, fecha_actualiza string")
+    row = sync_dates(target, source).first()
+    assert (row["Fecha_Ingreso"], row["Fecha_Actualizacion"]) == ("2019-01-01", "2024-01-01")
+
+
+def test_rule_documents_are_kept_by_domain(spark, tmp_path):
+    from calibra.plans.ruledoc import save_document, saved_document
+    assert saved_document(spark, str(tmp_path), "Maestro de Materiales") is None
+    for doc in (FX.FLAGSHIP_RULES, FX.TYPED_RULES):              # the second replaces the first
+        save_document(spark, doc, str(tmp_path), "Maestro de Materiales")
+        assert saved_document(spark, str(tmp_path), "Maestro de Materiales") == doc
+    assert saved_document(spark, str(tmp_path), "Directorio") is None
+
+
 def test_export_remediation(spark, tmp_path):
     audited = audit(FX.view(spark, SF001, "materials"), FX.TYPED_RULES, FX.UNITS)
     msgs = [c["mensaje"] for b in FX.TYPED_RULES.values() for dd in K.DIMENSIONS for c in b.get(dd, {}).values()]
@@ -76,6 +105,16 @@ def test_export_remediation(spark, tmp_path):
     assert matriz.count() == audited.where(F.col(K.SCORE) < 100).count()
     parts = spark.read.parquet(os.path.join(out, "por_falla"))
     assert parts.select("falla").distinct().count() >= 3
+    marked = [c for c in matriz.columns if c in msgs]
+    assert len(marked) == len(set(msgs)) and matriz.where(F.col("Falta marca") == "X").count() > 0
+
+
+def test_export_keeps_long_and_bracketed_findings(spark, tmp_path):
+    long = "Una falla muy larga que pasa de treinta y un caracteres (detalle)"
+    df = spark.createDataFrame([(1, 50.0, f"{long}, (solo), ")], f"SKU int, {K.SCORE} double, {K.FINDINGS} string")
+    out = io.export_remediation(df, [long, "(solo)"], str(tmp_path / "exp"))
+    texts = {r["falla"] for r in spark.read.parquet(os.path.join(out, "por_falla")).collect()}
+    assert texts == {long, "(solo)"}
 
 
 def test_sync_pipeline(spark, tmp_path):
@@ -129,13 +168,6 @@ def test_materialize_cuts_lineage(spark):
     assert m.count() == a.count()
 
 
-def test_sheet_names_follow_old_rule_with_clash_suffixes():
-    names = io.unique_sheet_names(["Peso: bruto (kg) / neto", "Peso bruto", "x" * 40, "x" * 40 + "y"])
-    assert names["Peso: bruto (kg) / neto"] == "Peso bruto_1"      # sorted after "Peso bruto"
-    assert names["Peso bruto"] == "Peso bruto"
-    assert names["x" * 40] == "x" * 31 and names["x" * 40 + "y"] == "x" * 28 + "_1"
-
-
 def test_catalogs_and_units_precedence(spark, tmp_path):
     import json
     cat = tmp_path / "catalogos.json"
@@ -145,9 +177,12 @@ def test_catalogs_and_units_precedence(spark, tmp_path):
     assert c["units"] == ["KG"] and c["custodians"].count() == 2 and c["type_names"].count() == 1
     txt = tmp_path / "units.txt"
     txt.write_text("un\tunidad\n", encoding="utf-8")
-    assert io.load_units(spark, str(txt), {"unidades_medida": ["KG"]}) == ["UN"]          # text wins
-    assert io.load_units(spark, str(tmp_path / "none.txt"), {"unidades_medida": ["KG"]}) == ["KG"]
-    assert io.read_catalogs(spark, str(tmp_path / "missing.json"))["units"] == []
+    units = [[r[0] for r in io.load_units(spark, str(tmp_path / n), {"unidades_medida": ["KG"]}).collect()]
+             for n in ("units.txt", "none.txt")]
+    assert units == [["UN"], ["KG"]]                                                       # text wins
+    assert io.read_catalogs(spark, None)["units"] == []
+    with pytest.raises(Exception):
+        io.read_catalogs(spark, str(tmp_path / "missing.json"))
     # the custodian queue falls back to the DEFAULT entry of the catalogue
     audited = audit(FX.view(spark, SF001, "materials"), FX.FLAGSHIP_RULES, FX.UNITS)
     from calibra.operators import reports
