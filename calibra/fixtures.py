@@ -5,7 +5,8 @@ Each view is one SQL text with `{table}` placeholders.  Spark fills them with
 DataFrames (`spark.sql(text, part=df)`, no temp views left behind); the DuckDB
 oracles fill them with the pre-registered table names.  The texts use only syntax
 both engines accept (`STRING`, `%`, `concat`, `CASE`).  No view samples rows:
-every view covers its whole source table.
+every view but `audit_target` (which lacks the SKUs that are new by design) covers its
+whole source table.
 """
 
 from __future__ import annotations
@@ -18,6 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 # master with no audit before it are "new" (I1).
 AUDIT_CUTOFF = "1995-03-01 00:00:00"
 
+_TARGET = """
+SELECT v.l_partkey AS SKU,
+       CASE WHEN v.l_linenumber % 2 = 0 THEN 0 ELSE 1 END AS Estado_Gestion,
+       CASE WHEN v.l_linenumber % 2 = 1 THEN n.newest ELSE v.l_shipdate END AS Fecha_Actualizacion,
+       v.l_orderkey, v.l_linenumber
+FROM {lineitem} v JOIN (SELECT l_partkey AS pk, max(l_shipdate) AS newest FROM {lineitem} GROUP BY l_partkey) n
+  ON v.l_partkey = n.pk
+"""
+
 VIEWS = {
     # product master (from part). Null-like text, duplicate keys, bad numbers,
     # unknown units, wrong lengths, '.0' suffixes, gross < net.
@@ -50,13 +60,35 @@ FROM {customer}""",
     # audit target (from lineitem): the audits written before the cutoff,
     # several rows per SKU, both states; odd line numbers already carry the
     # newest source date of their SKU (so a date sync leaves them unchanged).
-    "audit_target": """
-SELECT l_partkey AS SKU,
-       CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 1 END AS Estado_Gestion,
-       CASE WHEN l_linenumber % 2 = 1 THEN newest ELSE l_shipdate END AS Fecha_Actualizacion,
-       l_orderkey, l_linenumber
-FROM (SELECT *, max(l_shipdate) OVER (PARTITION BY l_partkey) AS newest FROM {lineitem}) v
-WHERE l_shipdate < TIMESTAMP '""" + AUDIT_CUTOFF + "'",
+    "audit_target": _TARGET + "WHERE v.l_shipdate < TIMESTAMP '" + AUDIT_CUTOFF + "'",
+    # the same without the cutoff: every audit
+    "audit_target_all": _TARGET,
+    # F1e: the master with awkward values: a line break after an id, Java number
+    # literals, null types, a column that an audit writes itself.
+    "materials_edge": """
+SELECT p_partkey AS SKU,
+       CASE WHEN p_partkey % 3 = 0 THEN concat(CAST(p_partkey AS STRING), chr(10)) ELSE CAST(p_partkey AS STRING) END AS SKU_num,
+       CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END AS tipo_mat,
+       p_name AS Desc_Material, p_brand AS grupo_material,
+       CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END AS marca,
+       'KG' AS UoM,
+       CASE p_partkey % 4 WHEN 0 THEN concat(CAST(p_size AS STRING), 'd') WHEN 1 THEN concat(CAST(p_size AS STRING), 'f')
+            ELSE CAST(p_size AS STRING) END AS peso_neto,
+       CAST(p_size AS STRING) AS peso_bruto, CAST(p_partkey AS STRING) AS EAN13,
+       CAST(7 AS DOUBLE) AS score_calidad
+FROM {part}""",
+    # F2n: the directory with a numeric country.
+    "directory_numeric": """
+SELECT c_custkey AS Cliente, CAST(c_nationkey AS BIGINT) AS pais,
+       CASE c_custkey % 3 WHEN 0 THEN concat('+57 3', CAST(100000000 + c_custkey AS STRING)) WHEN 1 THEN '12' ELSE NULL END AS telefono
+FROM {customer}""",
+    # Two custodians for a type, and a default entry.
+    "custodians_twice": """
+SELECT DISTINCT p_type AS tipo_mat, concat('b-', lower(p_type), '@example.com') AS custodio FROM {part} WHERE p_type <> 'ECONOMY'
+UNION ALL SELECT DISTINCT p_type, concat('a-', lower(p_type), '@example.com') FROM {part} WHERE p_type = 'PROMO'
+UNION ALL SELECT 'DEFAULT', 'z@example.com'""",
+    # F8: orders with a flag, for the profile.
+    "orders_profile": "SELECT *, o_totalprice > 150000 AS alto FROM {orders}",
     # origin versions (from lineitem): many versions per SKU.
     "origin_dates": """
 SELECT l_partkey AS SKU, l_shipdate AS fecha_actualiza, l_orderkey, l_linenumber
@@ -78,6 +110,11 @@ SOURCES = {
     "materials": ("part",),
     "directory": ("customer",),
     "audit_target": ("lineitem",),
+    "audit_target_all": ("lineitem",),
+    "materials_edge": ("part",),
+    "directory_numeric": ("customer",),
+    "custodians_twice": ("part",),
+    "orders_profile": ("orders",),
     "origin_dates": ("lineitem",),
     "type_catalog": ("part",),
     "audit_history": ("orders",),
@@ -99,11 +136,6 @@ def view_sql(name: str) -> str:
     return VIEWS[name].format(**{t: t for t in SOURCES[name]})
 
 
-def cte(*names: str) -> str:
-    """`WITH a AS (...), b AS (...)` for the oracle side."""
-    return "WITH " + ",\n".join(f"{n} AS ({view_sql(n)})" for n in names)
-
-
 # ---------------------------------------------------------------------------
 # Rule documents and catalogues used by the registered queries
 # ---------------------------------------------------------------------------
@@ -186,11 +218,3 @@ def master_changes(events: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
     return events.select("event_id", "ts", F.col("user_id").alias("SKU"), F.col("event_type").alias("tipo_mat"),
                          F.col("value").alias("valor"), "props")
-
-
-DIRECTORY_PLAIN_PHONE_RULES = {
-    "Directorio_Comercial": {
-        "Validez": {"telefono": {"regla": "telefono_colombia", "columna_pais": "no_existe",
-                                 "penalizacion": 100, "mensaje": "Telefono invalido"}},
-    }
-}

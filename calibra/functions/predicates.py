@@ -16,9 +16,19 @@ from calibra import constants as K
 from calibra.functions.text import as_text, norm_token, not_empty_text, utrim
 
 
+NUMBER_PATTERN = r"^[ \t]*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[ \t]*\z"
+NUMBER_WORDS = ("nan", "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
+
+
 def to_number(col: Column) -> Column:
-    """Non-strict number: unparsable or missing -> 0.0."""
-    return F.coalesce(col.try_cast("double"), F.lit(0.0))
+    """Non-strict number: unparsable or missing -> 0.0.
+
+    Text is a number only when it is spelled like one: the cast alone would also take
+    Java literals such as '1d' or '5f'.  Outer blanks are allowed.
+    """
+    text = as_text(col)
+    spelled = text.rlike(NUMBER_PATTERN) | F.lower(F.trim(text)).isin(*NUMBER_WORDS)
+    return F.when(spelled, F.coalesce(col.try_cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def is_blank(col: Column) -> Column:
@@ -47,7 +57,11 @@ def bad_email(col: Column) -> Column:
 
 
 def unicode_pattern(pattern: str) -> str:
-    """A user pattern with Unicode character classes switched on."""
+    """A user pattern with Unicode character classes switched on and a final `$` that
+    means the end of the text (Java's also matches before a last line break)."""
+    body = pattern[:-1]
+    if pattern.endswith("$") and (len(body) - len(body.rstrip("\\"))) % 2 == 0:
+        pattern = body + r"\z"
     return pattern if pattern.startswith("(?U)") else "(?U)" + pattern
 
 
@@ -64,8 +78,9 @@ def bad_phone(col: Column, country: Column | None = None) -> Column:
     if country is None:
         return not_empty_text(col) & ~spaced.rlike(K.PHONE_OTHER_PATTERN)
     tel = F.replace(spaced, F.lit(K.PHONE_HOME_PREFIX), F.lit(""))
-    home = (country == F.lit(K.PHONE_HOME_COUNTRY)) & ~tel.rlike(K.PHONE_HOME_PATTERN)
-    other = (country != F.lit(K.PHONE_HOME_COUNTRY)) & ~tel.rlike(K.PHONE_OTHER_PATTERN)
+    code = as_text(country)
+    home = (code == F.lit(K.PHONE_HOME_COUNTRY)) & ~tel.rlike(K.PHONE_HOME_PATTERN)
+    other = (code != F.lit(K.PHONE_HOME_COUNTRY)) & ~tel.rlike(K.PHONE_OTHER_PATTERN)
     return not_empty_text(col) & (home | other)
 
 

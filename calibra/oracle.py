@@ -253,6 +253,60 @@ _PROFILE_TXT = " UNION ALL ".join(
     for c in ("SKU_num", "tipo_mat", "Desc_Material", "grupo_material", "marca", "UoM", "peso_neto",
               "peso_bruto", "EAN13"))
 
+_TYPED_MESSAGES = ("Descripcion repetida en el grupo", "EAN13 con longitud invalida", "Falta marca", "Falta peso neto",
+                   "Material duplicado", "Peso bruto menor que neto", "Peso neto bajo", "Peso neto no positivo",
+                   "SKU impar", "Unidad fuera de catalogo")
+_WIDE = "SKU, SKU_num, tipo_mat, Desc_Material, round_even(Score_Calidad, 1) AS Score_Calidad, " + ", ".join(
+    f"CASE WHEN contains(Hallazgos_Detallados, '{m}') THEN 'X' ELSE '' END AS \"{m}\"" for m in _TYPED_MESSAGES)
+
+_QUANTILES = " UNION ALL ".join(
+    f"SELECT '{c}' AS columna, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS p25, "
+    f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS p50, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS p75 FROM lineitem"
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+              "l_discount", "l_tax"))
+
+
+_ORDER_COLUMNS = (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+                  ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"), ("alto", "boolean"))
+
+
+def _profile_row(column: str, kind: str, source: str) -> str:
+    number, word, date = (kind in k for k in (("bigint", "int", "double"), ("string", "boolean"), ("timestamp_ntz",)))
+    x, t = f"CAST({column} AS DOUBLE)", f"CAST({column} AS STRING)"
+    top = f"(SELECT {{}} FROM (SELECT {t} AS v, count(*) AS n FROM {source} WHERE {column} IS NOT NULL GROUP BY 1) g)"
+
+    def when(ok: bool, sql: str, null: str) -> str:
+        return sql if ok else f"CAST(NULL AS {null})"
+    return f"""SELECT '{column}' AS columna, '{kind}' AS tipo, count({column}) AS count, count(*) - count({column}) AS nulos,
+  {when(number, f'round_even(avg({x}), 6)', 'DOUBLE')} AS mean, {when(number, f'round_even(stddev_samp({x}), 6)', 'DOUBLE')} AS std,
+  {when(number, f'min({x})', 'DOUBLE')} AS min, {when(number, f'max({x})', 'DOUBLE')} AS max,
+  {when(number, f'quantile_cont({x}, 0.25)', 'DOUBLE')} AS p25, {when(number, f'quantile_cont({x}, 0.5)', 'DOUBLE')} AS p50,
+  {when(number, f'quantile_cont({x}, 0.75)', 'DOUBLE')} AS p75,
+  {when(word, top.format('count(*)'), 'BIGINT')} AS unique, {when(word, top.format('first(v ORDER BY n DESC, v ASC)'), 'STRING')} AS top,
+  {when(word, top.format('max(n)'), 'BIGINT')} AS freq,
+  {when(date, f'CAST(min({column}) AS STRING)', 'STRING')} AS desde, {when(date, f'CAST(max({column}) AS STRING)', 'STRING')} AS hasta
+FROM {source}"""
+
+
+def _proposed() -> str:
+    """Proposed rules of the master: every statistic and threshold spelled out."""
+    words = [c.strip() for c in MATERIAL_COLS.split(",")]
+    rows = []
+    for c in words:
+        rows.append(f"""SELECT 'Completitud', '{c}', 'nulo', NULL, 100.0 FROM materials
+  HAVING count(*) > 0 AND (count(*) - count({c})) * 1.0 / count(*) < 0.05""")
+        rows.append(f"""SELECT 'Unicidad', '{c}', 'duplicado_multicampo', NULL, 100.0 FROM materials
+  HAVING count(DISTINCT {c}) * 1.0 / count(*) >= 0.98""")
+        if c == "SKU":
+            rows.append(f"SELECT 'Validez', '{c}', 'mayor_a', 0.0, 50.0 FROM materials HAVING min({c}) > 0")
+        else:
+            rows.append(f"""SELECT 'Validez', '{c}', 'longitud_exacta', min(length({c})), 50.0 FROM materials
+  HAVING min(length({c})) = max(length({c})) AND min(length({c})) > 0""")
+    union = " UNION ALL ".join(f"SELECT * FROM ({r}) x(dimension, columna, regla, valor, penalizacion)" for r in rows)
+    return (f"{_with('materials')} SELECT dimension, columna, regla, CAST(valor AS DOUBLE) AS valor, "
+            f"CAST(penalizacion AS DOUBLE) AS penalizacion FROM ({union}) u")
+
+
 _SEARCH_PATTERN = "(?i)brand#1[0-3]\\b|customer#00000001"
 
 
@@ -350,19 +404,12 @@ WHERE tipo_mat IS NOT NULL AND tipo_mat IN (SELECT tipo_mat FROM type_catalog) O
 present AS ({_pieces('lite')})
 SELECT p.falla, l.SKU, l.SKU_num, l.tipo_mat, l.Desc_Material, round_even(l.Score_Calidad, 1) AS Score_Calidad
 FROM lite l JOIN present p ON contains(l.Hallazgos_Detallados, p.falla)""",
-    "remediation_wide": f"""{TYPED}, lite AS (SELECT * FROM audited WHERE Score_Calidad < 100),
-present AS ({_pieces('lite')}),
-long AS (SELECT l.SKU, l.SKU_num, l.tipo_mat, l.Desc_Material, round_even(l.Score_Calidad, 1) AS Score_Calidad,
-                p.falla, 'X' AS mark
-         FROM lite l JOIN present p ON contains(l.Hallazgos_Detallados, p.falla))
-SELECT SKU, SKU_num, tipo_mat, Desc_Material, Score_Calidad,
-  coalesce(COLUMNS(* EXCLUDE (SKU, SKU_num, tipo_mat, Desc_Material, Score_Calidad)), '')
-FROM (PIVOT long ON falla USING max(mark) GROUP BY SKU, SKU_num, tipo_mat, Desc_Material, Score_Calidad) pv""",
+    "remediation_wide": f"""{TYPED} SELECT {_WIDE} FROM audited WHERE Score_Calidad < 100""",
     "finding_matrix": f"""{TYPED}, op AS (SELECT * FROM audited WHERE Estado_Gestion = 0),
 present AS ({_pieces('op')}),
 ranked AS (SELECT falla, row_number() OVER (ORDER BY falla) - 1 AS idx FROM present)
 SELECT o.SKU, 'err_' || CAST(r.idx AS STRING) AS err_key, r.falla, '✗' AS mark
-FROM op o JOIN ranked r ON contains(o.Hallazgos_Detallados, r.falla) WHERE r.idx < 30""",
+FROM op o JOIN ranked r ON contains(o.Hallazgos_Detallados, r.falla)""",
     "finding_counts": f"""{TYPED}, lite AS (SELECT * FROM audited WHERE Score_Calidad < 100),
 present AS ({_pieces('lite')})
 SELECT p.falla, count(*) AS registros FROM lite l JOIN present p ON contains(l.Hallazgos_Detallados, p.falla)
@@ -399,7 +446,7 @@ FROM audited WHERE Estado_Gestion = 0 AND (marca_nulo = false OR peso_neto_nulo
   SELECT tipo_mat, CAST(sum(CASE WHEN Score_Calidad < 100 THEN 1 ELSE 0 END) AS BIGINT) AS registros_a_sanear,
          round_even(avg(Score_Calidad), 6) AS score FROM audited GROUP BY tipo_mat)
 SELECT g.tipo_mat, g.registros_a_sanear, g.score,
-  coalesce(c.custodio, (SELECT min(custodio) FROM type_catalog WHERE tipo_mat = 'DEFAULT'), 'gobiernodatos@example.com') AS custodio
+  coalesce(c.custodio, (SELECT min(custodio) FROM type_catalog WHERE tipo_mat = 'DEFAULT'), 'sin-custodio@example.com') AS custodio
 FROM g LEFT JOIN type_catalog c ON g.tipo_mat = c.tipo_mat""",
     "sample_rows": f"""{TYPED} SELECT SKU, tipo_mat, Score_Calidad, Hallazgos_Detallados FROM audited
 ORDER BY Score_Calidad, SKU LIMIT 5""",
@@ -441,16 +488,16 @@ FROM audited""",
     "latest_per_key": f"""{_with('origin_dates')} SELECT SKU, fecha_actualiza, l_orderkey, l_linenumber FROM (
   SELECT *, row_number() OVER (PARTITION BY SKU ORDER BY fecha_actualiza DESC, l_orderkey DESC, l_linenumber DESC) AS rn
   FROM origin_dates) x WHERE rn = 1""",
-    "sync_dates": f"""{_with('audit_target', 'origin_dates')},
+    "sync_dates": f"""{_with('audit_target_all', 'origin_dates')},
 latest AS (SELECT CAST(SKU AS STRING) AS sk, max(fecha_actualiza) AS nueva FROM origin_dates GROUP BY SKU),
 j AS (SELECT t.*, l.sk, l.nueva,
         coalesce(l.sk IS NOT NULL AND coalesce(CAST(l.nueva AS STRING), '1900-01-01')
                  <> coalesce(CAST(t.Fecha_Actualizacion AS STRING), '1900-01-01'), false) AS cambiado
-      FROM audit_target t LEFT JOIN latest l ON CAST(t.SKU AS STRING) = l.sk)
+      FROM audit_target_all t LEFT JOIN latest l ON CAST(t.SKU AS STRING) = l.sk)
 SELECT SKU, Estado_Gestion, CASE WHEN cambiado THEN nueva ELSE Fecha_Actualizacion END AS Fecha_Actualizacion,
   l_orderkey, l_linenumber, cambiado FROM j""",
-    "open_anomalies": f"""{_with('materials', 'audit_target')} SELECT m.* FROM materials m WHERE EXISTS (
-  SELECT 1 FROM audit_target t WHERE CAST(t.SKU AS STRING) = CAST(m.SKU AS STRING) AND t.Estado_Gestion = 0)""",
+    "open_anomalies": f"""{_with('materials', 'audit_target_all')} SELECT m.* FROM materials m WHERE EXISTS (
+  SELECT 1 FROM audit_target_all t WHERE CAST(t.SKU AS STRING) = CAST(m.SKU AS STRING) AND t.Estado_Gestion = 0)""",
     "stream_audit": f"""WITH ev AS (SELECT event_id, ts, user_id AS SKU, event_type AS tipo_mat, value AS valor, props,
                      '' AS Desc_Material FROM events),
 k AS (SELECT *, {_key('SKU')} AS k1, {_key('tipo_mat')} AS k2 FROM ev),
@@ -477,6 +524,58 @@ SELECT event_id, ts, SKU, tipo_mat, valor, props, Desc_Material,
   CASE WHEN score >= 99.99 THEN 'Bueno' ELSE 'Malo' END AS Estado_Gestion_Desc,
   '' AS Usuario_Auditor
 FROM sq""",
+    "profile_quantiles": _QUANTILES,
+    "profile_all": _with("orders_profile") + " " + " UNION ALL ".join(
+        _profile_row(c, k, "orders_profile") for c, k in _ORDER_COLUMNS),
+    "propose_rules": _proposed(),
+    "audit_edge": _with("materials_edge") + "," + flagship_audit("materials_edge") + " SELECT * FROM audited",
+    "rule_regex_edge": f"""{_with('materials_edge')} SELECT SKU, NOT regexp_matches(SKU_num, '^[0-9]*[02468]$') AS falla
+FROM materials_edge""",
+    "rule_greater_than_edge": f"""{_with('materials_edge')} SELECT SKU, peso_neto, {_num('peso_neto')} <= 0 AS falla
+FROM materials_edge""",
+    "rule_phone_numeric_country": f"""{_with('directory_numeric')} SELECT Cliente, coalesce(telefono IS NOT NULL
+  AND NOT regexp_matches(replace(replace(telefono, ' ', ''), '+57', ''), '^\\+?[0-9]{{7,15}}$'), false) AS falla
+FROM directory_numeric""",
+    "custodian_twice": f"""{_with('materials', 'custodians_twice')},{typed_audit('materials')}, g AS (
+  SELECT tipo_mat, CAST(sum(CASE WHEN Score_Calidad < 100 THEN 1 ELSE 0 END) AS BIGINT) AS registros_a_sanear,
+         round_even(avg(Score_Calidad), 6) AS score FROM audited GROUP BY tipo_mat)
+SELECT tipo_mat, registros_a_sanear, score, coalesce(
+  (SELECT min(custodio) FROM custodians_twice c WHERE c.tipo_mat = g.tipo_mat), 'z@example.com') AS custodio FROM g""",
+    "catalog_table": f"""{FLAG} SELECT SKU, UoM, Score_Validez, Hallazgos_Detallados FROM audited""",
+    "shape_headers": "SELECT p_name AS SKU, p_brand AS marca FROM part",
+    "missing_columns": """SELECT orden, columna, (SELECT count(*) FROM part) AS filas
+FROM (VALUES (0, 'color'), (1, 'talla')) v(orden, columna)""",
+    "stream_batches": f"""WITH k AS (SELECT event_id, event_id % 3 AS b, user_id, event_type,
+  {_key('user_id')} AS k1, {_key('event_type')} AS k2 FROM events),
+c AS (SELECT k1, k2, b, count(*) AS n FROM k GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER (PARTITION BY k1, k2 ORDER BY b) AS seen FROM c)
+SELECT k.event_id, CAST(k.b AS INTEGER) AS batch,
+  CASE WHEN k.event_type IS NOT NULL AND s.seen > 1 AND {_ne('k.user_id')} THEN {_d(50)} ELSE {_d(100)} END AS Score_Unicidad
+FROM k JOIN s ON k.k1 = s.k1 AND k.k2 = s.k2 AND k.b = s.b""",
+    "skipped_rules": """SELECT bloque, dimension, columna, motivo, (SELECT count(*) FROM part) AS filas
+FROM (VALUES ('DEFAULT', 'Validez', 'marca', 'rule nulo not run'), ('DEFAULT', 'Validez', 'no_existe', 'column absent'))
+  v(bloque, dimension, columna, motivo)""",
+    "finding_subset": f"""{TYPED} SELECT SKU, SKU_num, tipo_mat, Desc_Material, Score_Calidad FROM audited
+WHERE Score_Calidad < 100 AND contains(Hallazgos_Detallados, 'Falta marca')""",
+    "explorer_clash": f"""{TYPED} SELECT CAST(SKU AS STRING) AS SKU, Desc_Material,
+  CASE WHEN Estado_Gestion = 0 THEN 'Pendiente' ELSE 'Gestionado' END AS Estado_Gestion, tipo_mat,
+  CASE WHEN marca_nulo IS NULL THEN '—' WHEN NOT marca_nulo THEN '✗' ELSE '✓' END AS "SKU · marca",
+  CASE WHEN peso_neto_nulo IS NULL THEN '—' WHEN NOT peso_neto_nulo THEN '✗' ELSE '✓' END AS "peso neto"
+FROM audited WHERE Estado_Gestion = 0 AND (marca_nulo = false OR peso_neto_nulo = false)""",
+    "read_codes": "SELECT DISTINCT upper(trim(p_brand)) AS code FROM part WHERE trim(p_brand) <> ''",
+    "append_results": f"{FLAG} SELECT CAST(SKU AS STRING) AS SKU, tipo_mat, Score_Calidad FROM audited",
+    "export_matrix": f"{TYPED} SELECT {_WIDE} FROM audited WHERE Score_Calidad < 100",
+    "export_findings": f"""{TYPED}, f AS (SELECT unnest({list(_TYPED_MESSAGES)}) AS falla)
+SELECT SKU, SKU_num, tipo_mat, Desc_Material, round_even(Score_Calidad, 1) AS Score_Calidad, falla
+FROM audited JOIN f ON contains(Hallazgos_Detallados, falla) WHERE Score_Calidad < 100""",
+    "extract_text": f"{_with('materials')} SELECT CAST(SKU AS STRING) AS SKU, UoM FROM materials",
+    "history_append": f"""{TYPED} SELECT 'AUD_1' AS id_ejecucion, 'auditor@example.com' AS usuario,
+  'PROMO' AS materiales_auditados, count(*) AS total_registros FROM audited WHERE tipo_mat = 'PROMO'
+UNION ALL SELECT 'AUD_1', 'auditor@example.com', 'Todos', count(*) FROM audited""",
+    "sync_pipeline": f"""{_with('materials', 'origin_dates')}, n AS (
+  SELECT SKU, max(fecha_actualiza) AS nueva FROM origin_dates GROUP BY SKU)
+SELECT m.SKU, m.tipo_mat, coalesce(n.nueva, CASE WHEN m.SKU % 2 = 0 THEN CAST('1990-01-01' AS TIMESTAMP) END) AS Fecha_Actualizacion
+FROM materials m LEFT JOIN n ON m.SKU = n.SKU""",
     "history_record": f"""{TYPED}, a AS (SELECT * FROM audited WHERE tipo_mat IN ('PROMO', 'SMALL'))
 SELECT 'auditor@example.com' AS usuario, 'Maestro de Materiales' AS dominio, 'PROMO, SMALL' AS materiales_auditados,
   count(*) AS total_registros,

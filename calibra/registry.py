@@ -278,28 +278,41 @@ def q_latest_per_key(spark, sf):
 
 
 def q_sync_dates(spark, sf):
-    t = FX.view(spark, sf, "audit_target")
+    t = FX.view(spark, sf, "audit_target_all")
     s = FX.view(spark, sf, "origin_dates")
     return incremental.sync_dates(t, s).withColumnRenamed("__changed", "cambiado")
 
 
 def q_open_anomalies(spark, sf):
-    return incremental.open_anomalies(_materials(spark, sf), FX.view(spark, sf, "audit_target"))
+    return incremental.open_anomalies(_materials(spark, sf), FX.view(spark, sf, "audit_target_all"))
 
 
-def q_stream_audit(spark, sf):
-    """The events table read as a stream (availableNow), audited per micro-batch by
-    foreachBatch into a folder under the session's checkpoint dir; returns what was written."""
+def _streamed(spark, sf, batches: int, **options) -> DataFrame:
+    """The events table, dealt to `batches` files by id, audited as a stream."""
     import os
-    import uuid
 
-    from calibra.session import scratch_path
     from calibra.streaming.stream_audit import stream_audit
-    run = scratch_path(spark, f"stream_audit_{uuid.uuid4().hex[:12]}")
-    src = os.path.join(sf, "events.parquet")
-    stream_audit(spark, src + "*", FX.table(spark, sf, "events").schema, os.path.join(run, "out"),
-                 FX.EVENT_RULES, checkpoint=os.path.join(run, "checkpoint"), prepare=FX.master_changes)
-    return spark.read.parquet(os.path.join(run, "out")).drop("batch")
+    run = _run_folder(spark, "stream_audit")
+    events = FX.table(spark, sf, "events")
+    source = os.path.join(run, "in")
+    for b in range(batches):
+        part = events.where(F.col("event_id") % batches == b).coalesce(1) if batches > 1 else events
+        part.write.mode("append").parquet(source)
+    stream_audit(spark, source, events.schema, os.path.join(run, "out"), FX.EVENT_RULES,
+                 checkpoint=os.path.join(run, "checkpoint"), prepare=FX.master_changes, **options)
+    return spark.read.parquet(os.path.join(run, "out"))
+
+
+def q_stream_audit(spark, sf):
+    """The events table read as a stream (availableNow), audited by foreachBatch into a
+    folder under the session's checkpoint dir; returns what was written."""
+    return _streamed(spark, sf, 1).drop("batch")
+
+
+def q_stream_batches(spark, sf):
+    """I6 in three micro-batches: a key repeats when it was seen in its batch or an earlier one."""
+    out = _streamed(spark, sf, 3, widen_uniqueness=True, max_files_per_trigger=1)
+    return out.select("event_id", "batch", K.SCORE_UNIQUENESS)
 
 
 def q_history_record(spark, sf):
@@ -313,6 +326,158 @@ def q_history_record(spark, sf):
                                                             "unicidad", "consistencia")])
 
 
+def q_profile_all(spark, sf):
+    return profile.profile(FX.view(spark, sf, "orders_profile"), digits=ROUND)
+
+
+def q_propose_rules(spark, sf):
+    return profile.proposed_rules(_materials(spark, sf))
+
+
+def q_audit_edge(spark, sf):
+    """Null types, Java number literals, a shadowed output column."""
+    return audit(FX.view(spark, sf, "materials_edge"), FX.FLAGSHIP_RULES, FX.UNITS, user="auditor@example.com")
+
+
+def q_rule_regex_edge(spark, sf):
+    m = FX.view(spark, sf, "materials_edge")
+    return m.select("SKU", F.coalesce(P.not_matching(qcol("SKU_num"), "^[0-9]*[02468]$"), F.lit(False)).alias("falla"))
+
+
+def q_rule_greater_than_edge(spark, sf):
+    m = FX.view(spark, sf, "materials_edge")
+    return m.select("SKU", "peso_neto", F.coalesce(P.not_greater_than(qcol("peso_neto"), 0), F.lit(False)).alias("falla"))
+
+
+def q_rule_phone_numeric_country(spark, sf):
+    d = FX.view(spark, sf, "directory_numeric")
+    return d.select("Cliente", F.coalesce(P.bad_phone(qcol("telefono"), qcol("pais")), F.lit(False)).alias("falla"))
+
+
+def q_custodian_twice(spark, sf):
+    return reports.custodian_queue(_typed(spark, sf), FX.view(spark, sf, "custodians_twice"), digits=ROUND)
+
+
+def q_catalog_table(spark, sf):
+    """R4 against a table of codes: units of the master that are a brand's or a unit's code."""
+    codes = _materials(spark, sf).select(qcol("UoM").alias("code")).where("code <> 'xx'").distinct()
+    a = audit(_materials(spark, sf), FX.FLAGSHIP_RULES, codes)
+    return a.select("SKU", "UoM", K.SCORE_VALIDITY, K.FINDINGS)
+
+
+def q_shape_headers(spark, sf):
+    """Padded, doubled and shadow headers, target columns, text ids."""
+    p = FX.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    df = p.toDF(" SKU ", "SKU", "marca ", " Score_Calidad")
+    df = shaping.drop_shadow(shaping.dedupe_columns(shaping.trim_headers(df)))
+    return shaping.normalize_types(shaping.as_text_columns(shaping.project_to(df, ["SKU", "marca", "otra"])))
+
+
+def q_missing_columns(spark, sf):
+    """Required columns that the master lacks, in the required order."""
+    lacking = shaping.missing_columns(_materials(spark, sf).columns, ["SKU", "color", "marca", "talla"])
+    n = _materials(spark, sf).agg(F.count(F.lit(1)).alias("filas"))
+    return n.select(F.posexplode(F.array(*[F.lit(c) for c in lacking])).alias("orden", "columna"), "filas")
+
+
+def q_skipped_rules(spark, sf):
+    """Rules of a document that the audit does not run, and rows it audited."""
+    doc = {"DEFAULT": {"Validez": {"marca": {"regla": "nulo", "penalizacion": 5, "mensaje": "a"},
+                                   "no_existe": {"regla": "mayor_a", "penalizacion": 5, "mensaje": "b"}}}}
+    result = audit(_materials(spark, sf), doc, FX.UNITS, return_plan=True)
+    names = ("bloque", "dimension", "columna", "motivo")
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, s)]) for s in result.plan.skipped]
+    return result.frame.agg(F.count(F.lit(1)).alias("filas")).select(
+        F.explode(F.array(*rows)).alias("s"), "filas").select("s.*", "filas")
+
+
+def q_finding_subset(spark, sf):
+    """Q7: rows to fix marked with one finding."""
+    return reports.by_finding(_typed(spark, sf), _typed_messages(), "Falta marca")
+
+
+def q_explorer_clash(spark, sf):
+    """Q14: a check whose label is a core column's name."""
+    return reports.explorer(_typed(spark, sf), {"marca": "SKU"}, failing=["marca_nulo", "peso_neto_nulo"])
+
+
+def _run_folder(spark, name: str) -> str:
+    import uuid
+
+    from calibra.session import scratch_path
+    return scratch_path(spark, f"{name}_{uuid.uuid4().hex[:12]}")
+
+
+def q_read_codes(spark, sf):
+    """A code list written as text and read back."""
+    from calibra.sources.io import load_units
+    path = _run_folder(spark, "codes")
+    _materials(spark, sf).select(F.concat(F.lit(" "), F.lower("grupo_material"), F.lit("\tmarca"))).write.text(path)
+    return load_units(spark, path)
+
+
+def q_append_results(spark, sf):
+    """S3: results appended to a target in two steps and read back."""
+    from calibra.sources.io import append_results, read_master
+    import os
+    path = os.path.join(_run_folder(spark, "target"), "t.parquet")
+    a = _flagship(spark, sf).select("SKU", "tipo_mat", K.SCORE)
+    append_results(a.where(F.col("SKU") % 2 == 0), path)
+    append_results(a.where(F.col("SKU") % 2 == 1).withColumn("extra", F.lit(1)), path)
+    return read_master(spark, path)
+
+
+def q_export_matrix(spark, sf):
+    """The exported matrix with its mark columns."""
+    from calibra.sources.io import export_remediation
+    import os
+    path = export_remediation(_typed(spark, sf), _typed_messages(), _run_folder(spark, "export"))
+    return spark.read.parquet(os.path.join(path, "matriz"))
+
+
+def q_export_findings(spark, sf):
+    """The exported subsets, one folder per finding."""
+    from calibra.sources.io import export_remediation
+    import os
+    path = export_remediation(_typed(spark, sf), _typed_messages(), _run_folder(spark, "export"))
+    return spark.read.parquet(os.path.join(path, "por_falla")).drop("clave")
+
+
+def q_extract_text(spark, sf):
+    """An extract written as CSV with padded headers and read back as text."""
+    from calibra.sources.io import read_extract
+    path = _run_folder(spark, "extract")
+    m = _materials(spark, sf).select("SKU", "marca", "UoM").toDF(" SKU", "marca ", "UoM")
+    m.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path)
+    return read_extract(spark, path).select("SKU", "UoM")
+
+
+def q_history_append(spark, sf):
+    """The history created, two sources recorded, one of them twice."""
+    from calibra.sources.history import append_history, read_history
+    path = _run_folder(spark, "history")
+    a = _typed(spark, sf)
+    for source, types in (("a", ["PROMO"]), ("b", None), ("a", ["PROMO"])):
+        part = a.where(F.col("tipo_mat").isin(types)) if types else a
+        append_history(part, path, "auditor@example.com", "Maestro", types, run_id="AUD_1", strict=True,
+                       source_name=f"{path}/{source}")
+    return read_history(spark, path).select("id_ejecucion", "usuario", "materiales_auditados", "total_registros")
+
+
+def q_sync_pipeline(spark, sf):
+    """A first load of half the master, then a synchronisation of all of it; the
+    current version of the target afterwards."""
+    from calibra.sources.io import read_version
+    path = _run_folder(spark, "sync")
+    newest = incremental.latest_value(FX.view(spark, sf, "origin_dates"), "SKU", "fecha_actualiza")
+    master = _materials(spark, sf).join(newest, "SKU", "left")
+    first = master.where(F.col("SKU") % 2 == 0).withColumn("Fecha_Actualizacion", F.lit("1990-01-01").cast("timestamp_ntz"))
+    for step in (first, master.withColumn("Fecha_Actualizacion", F.col("fecha_actualiza"))):
+        incremental.sync(spark, step, path, FX.FLAGSHIP_RULES, FX.UNITS)
+    return read_version(spark, path).select(F.col("SKU").cast("bigint").alias("SKU"), "tipo_mat", "Fecha_Actualizacion")
+
+
 def q_history_listing(spark, sf):
     from calibra.sources.history import list_history_frame
     return list_history_frame(FX.view(spark, sf, "audit_history"))

@@ -5,7 +5,9 @@ micro-batch, re-derive status, write it under `<target>/batch=<id>`.  Writing pe
 batch id with overwrite makes a replayed batch (after a failure) idempotent; the
 checkpoint location records which files were consumed, so a second run over the
 same input appends nothing.  Uniqueness sees the micro-batch plus, optionally,
-the records already written (`widen_uniqueness=True`, quirk Q-8).
+the records already written (`widen_uniqueness=True`, quirk Q-8): each batch leaves the
+distinct keys it saw under `<target>_keys/batch=<id>`, and later batches read those
+narrow tables, never the target itself.
 """
 
 from __future__ import annotations
@@ -13,16 +15,13 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from calibra.functions.text import norm_key, qcol
 from calibra.operators.audit import audit, restate
 from calibra.session import scratch_path
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+from calibra.sources.io import exists
 
 
 def stream_audit(spark: SparkSession, source_dir: str, schema: T.StructType, target_dir: str,
@@ -38,14 +37,20 @@ def stream_audit(spark: SparkSession, source_dir: str, schema: T.StructType, tar
     if prepare is not None:
         changes = prepare(changes)
 
+    keys_dir = f"{target_dir.rstrip('/')}_keys"
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         reference = None
-        if widen_uniqueness and _exists(spark, target_dir):
+        if widen_uniqueness and exists(spark, keys_dir):
             # earlier batches only: a replayed batch must not count its own keys twice
-            from pyspark.sql import functions as F
-            reference = spark.read.parquet(target_dir).where(F.col("batch") != F.lit(batch_id))
-        out = restate(audit(batch, rules, units, domain=domain, user=user, reference=reference))
-        out.write.mode("overwrite").parquet(os.path.join(target_dir, f"batch={batch_id}"))
+            reference = spark.read.parquet(keys_dir).where(F.col("batch") < F.lit(batch_id))
+        result = audit(batch, rules, units, domain=domain, user=user, reference=reference, return_plan=True)
+        written = os.path.join(target_dir, f"batch={batch_id}")
+        restate(result.frame).write.mode("overwrite").parquet(written)
+        keys = sorted({k for key_set in result.plan.key_sets for k in key_set})
+        if widen_uniqueness and keys:
+            seen = spark.read.parquet(written).select(*[norm_key(qcol(k)).alias(k) for k in keys]).distinct()
+            seen.write.mode("overwrite").parquet(os.path.join(keys_dir, f"batch={batch_id}"))
 
     q = (changes.writeStream.foreachBatch(handle)
          .option("checkpointLocation", checkpoint)

@@ -14,14 +14,11 @@ def con():
     return duck(SF01)
 
 
-APPROXIMATE = {"profile_quantiles"}
-
-
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) - APPROXIMATE <= set(ORACLE)
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - APPROXIMATE))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     n, problems = compare(spark, con, name, QUERIES[name], ORACLE[name], SF01)
     assert not problems, problems
