@@ -12,7 +12,7 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int,
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column | str, per_class: int,
                     id_col: str, text_col: str) -> tuple[DataFrame, float]:
     """(doc_id, text, label) of at most `per_class` training rows of each class, and the
     share of label 1 among all training rows.
