@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.functions.text import qcol
@@ -50,6 +50,24 @@ def reference_long(nation: DataFrame, region: DataFrame) -> DataFrame:
         "hoja", "categoria", "fila", "c.orden", "c.etiqueta", "c.valor")
 
 
+def sheet_long(sheet: DataFrame, name: str, row_col: str = "fila") -> DataFrame:
+    """A reference sheet as it is kept (first row: categories, each filled rightwards over
+    the blanks after it; second row: labels; then data) in long form.
+
+    `row_col` numbers the rows from 0; the other columns are the sheet's, in order.
+    Columns before the first category have none and are left out.
+    """
+    cells = F.posexplode(F.array(*[qcol(c).cast("string") for c in sheet.columns if c != row_col]))
+    long = sheet.select(qcol(row_col).alias("fila"), cells.alias("orden", "valor"))
+    # one row per sheet column
+    rightwards = Window.partitionBy(F.lit(1)).orderBy("orden").rowsBetween(Window.unboundedPreceding, 0)
+    heads = long.where("fila = 0").select("orden", F.trim(F.last("valor", ignorenulls=True).over(rightwards)).alias("categoria"))
+    labels = long.where("fila = 1").select("orden", F.trim("valor").alias("etiqueta"))
+    heads = heads.join(labels, "orden", "left").where(F.col("categoria").isNotNull())
+    return long.where("fila > 1").join(F.broadcast(heads), "orden").select(
+        F.lit(name).alias("hoja"), "categoria", "fila", "orden", "etiqueta", "valor")
+
+
 def search_reference(ref_long: DataFrame, term: str) -> DataFrame:
     """Q22: literal, case-insensitive match on the category or on any value of a row.
 

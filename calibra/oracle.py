@@ -552,6 +552,11 @@ s AS (SELECT *, sum(n) OVER (PARTITION BY k1, k2 ORDER BY b) AS seen FROM c)
 SELECT k.event_id, CAST(k.b AS INTEGER) AS batch,
   CASE WHEN k.event_type IS NOT NULL AND s.seen > 1 AND {_ne('k.user_id')} THEN {_d(50)} ELSE {_d(100)} END AS Score_Unicidad
 FROM k JOIN s ON k.k1 = s.k1 AND k.k2 = s.k2 AND k.b = s.b""",
+    "search_sheet": """WITH s AS (
+  SELECT 'Nacion' AS categoria, n_name AS a, CAST(n_nationkey AS STRING) AS b FROM nation
+  UNION ALL SELECT 'Region', r_name, CAST(r_regionkey AS STRING) FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT DISTINCT 'naciones' AS hoja, categoria, concat('Nombre: ', a, ' | Clave: ', b) AS linea
+FROM s WHERE contains(lower(categoria), 'ame') OR contains(lower(a), 'ame')""",
     "skipped_rules": """SELECT bloque, dimension, columna, motivo, (SELECT count(*) FROM part) AS filas
 FROM (VALUES ('DEFAULT', 'Validez', 'marca', 'rule nulo not run'), ('DEFAULT', 'Validez', 'no_existe', 'column absent'))
   v(bloque, dimension, columna, motivo)""",

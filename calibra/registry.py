@@ -235,6 +235,17 @@ def q_search_reference_category(spark, sf):
                                                          FX.table(spark, sf, "region")), "ICA")
 
 
+def q_search_sheet(spark, sf):
+    """Q22 over a sheet as kept: a category row, a label row, then data."""
+    n, r = FX.table(spark, sf, "nation"), FX.table(spark, sf, "region")
+    data = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        (F.col("n_nationkey") + 2).alias("fila"), F.col("n_name").alias("a"), F.col("n_nationkey").cast("string").alias("b"),
+        F.col("r_name").alias("c"), F.col("r_regionkey").cast("string").alias("d"))
+    head = spark.createDataFrame([(0, "Nacion", None, " Region ", None), (1, "Nombre", "Clave", "Nombre ", "Clave")],
+                                 "fila long, a string, b string, c string, d string")
+    return search.search_reference(search.sheet_long(head.unionByName(data), "naciones"), "ame")
+
+
 # -- directory domain ---------------------------------------------------------
 
 def q_rule_email(spark, sf):
