@@ -11,12 +11,16 @@ threshold, less above it.  Every candidate is confirmed on the full shingle sets
    the set and the two collections.  Documents with equal sets form a class (a partial
    aggregate); only its smallest id goes on.
 2. (table key, id) rows are range-partitioned and sorted by both columns, so a huge bucket
-   is spread over several ranges.  Each range links the rows of a run to its first row; a
-   small aggregate links the first rows of runs that cross ranges.
-3. Links are confirmed in three steps: every document's most frequent first row; then the
-   other first rows outside its component; then all pairs of a bucket that are still in
-   different components.  So every pair of a bucket is confirmed, or its two documents
-   are already in one component, without comparing a group of near copies all to all.
+   is spread over several ranges.  Each range passes on the rows of runs of two or more;
+   a small aggregate joins runs that cross ranges.
+3. Every bucket gets a hub, the document that meets most others over all buckets (the
+   original among its near copies).  Links are confirmed in three steps: every document
+   with the hub it meets most often; then with its other hubs outside its component; then
+   documents of buckets that still hold several components, by prefix filtering, which
+   is exact: similar documents share one of their rarest shingles, and where it stands in
+   both orders bounds their intersection.  So every pair of a bucket is confirmed, is
+   provably no link, or is in one component already, and near copies are not compared all
+   to all.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.llm.components import components
@@ -159,6 +163,19 @@ def _similar(k: int, percent: int):
     return run
 
 
+def _shingles(k: int):
+    """(rep, shingle) of every distinct shingle of a text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, buf, offs in byte_blocks(batch.column("text")):
+                items, cuts = shingle_sets(buf, offs, k)
+                ids = batch.column("doc_id").slice(row, end - row).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, np.diff(cuts)), pa.int64()), pa.array(items.view(np.int64))],
+                    ["rep", "shingle"])
+    return run
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id).
@@ -188,9 +205,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80,
     over = edge.groupBy("key").agg(F.min("centre").alias("least"))
     crossing = edge.join(over, "key").where("centre > least").select(
         "key", F.col("centre").alias("member"), F.col("least").alias("centre"))
-    stars = saved(linked.where("NOT edge").select("key", "member", "centre").unionByName(crossing)
-                  .where("member <> centre"), "stars")
-    involved = stars.select(F.col("member").alias("doc_id")).union(stars.select("centre")).distinct()
+    first = linked.where("NOT edge").select("key", "member", "centre").unionByName(crossing)
+    inside = saved(first.select("key", F.col("member").alias("rep"))
+                   .union(first.select("key", F.col("centre").alias("rep"))).distinct(), "buckets")
+    sizes = saved(inside.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "bucket-sizes")
+    reach = saved(inside.join(sizes, "key").groupBy("rep").agg(F.sum("size").alias("reach")), "reach")
+    hubs = saved(inside.join(reach, "rep").groupBy("key").agg(
+        (-F.max(F.struct("reach", (-F.col("rep")).alias("r")))["r"]).alias("centre")), "hubs")
+    stars = inside.select("key", F.col("rep").alias("member")).join(hubs, "key").where("member <> centre")
+    involved = inside.select(F.col("rep").alias("doc_id")).distinct()
     wanted = saved(texts.where("doc_id IS NOT NULL").join(involved, "doc_id", "left_semi"), "involved-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -201,7 +224,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80,
 
     met = saved(stars.groupBy("member", "centre").agg(F.count(F.lit(1)).alias("n")), "met")
     best = saved(met.groupBy("member").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("best"))
-                 .select((-F.col("best.c")).alias("u"), F.col("member").alias("v")), "best")
+                 .select((-F.col("best.c")).alias("u"), F.col("member").alias("v"))
+                 .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "best")
     links = confirmed(best)
     roots = components(links)
 
@@ -212,7 +236,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80,
                 .where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"))
 
     tried = best
-    others = met.select(F.col("centre").alias("u"), F.col("member").alias("v")).join(tried, ["u", "v"], "left_anti")
+    others = met.select(F.least("centre", "member").alias("u"), F.greatest("centre", "member").alias("v")).distinct()
+    others = others.join(tried, ["u", "v"], "left_anti")
     second = saved(apart(others), "second")
     if second.limit(1).count():
         more = confirmed(second)
@@ -221,15 +246,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80,
             links = links.union(more)
             roots = components(links)
     label = roots.select(F.col("node").alias("rep"), "root")
-    inside = stars.select("key", F.col("member").alias("rep")).union(stars.select("key", F.col("centre").alias("rep"))).distinct()
     inside = inside.join(label, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("part"))
-    mixed = inside.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key")
-    inside = inside.join(mixed, "key", "left_semi").join(classes.select("rep", F.col("n_shingles").alias("n")), "rep")
-    inside = saved(inside, "mixed-buckets")
-    one, two = inside.alias("one"), inside.alias("two")
-    third = saved(one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.part") < F.col("two.part"))
+    inside = inside.join(classes.select("rep", F.col("n_shingles").alias("n")), "rep")
+
+    several = inside.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b")
+    inside = saved(inside.join(several.select("key"), "key", "left_semi"), "mixed-buckets")
+    # The exact way for these: order shingles by how many of the documents have them; two
+    # similar documents share one of their rarest shingles, early enough in both orders.
+    left = inside.select("rep", "part", "n").distinct()
+    every = saved(wanted.join(left.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+                  .mapInArrow(_shingles(k), "rep long, shingle long"), "shingles")
+    spread = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("rep").orderBy("df", "shingle")             # one document's shingles
+    early = (every.join(saved(spread, "shingle-counts"), "shingle").withColumn("at", F.row_number().over(order))
+             .join(left, "rep").where("df > 1").where((F.col("n") - F.col("at") + 1) * 100 >= F.col("n") * percent))
+    early = saved(early.select("shingle", "rep", "part", "n", "at"), "early-shingles")
+    one, two = early.alias("one"), early.alias("two")
+    most = F.least(F.col("one.n") - F.col("one.at"), F.col("two.n") - F.col("two.at")) + 1
+    third = saved(one.join(two, (F.col("one.shingle") == F.col("two.shingle")) & (F.col("one.part") < F.col("two.part"))
                            & (F.col("one.n") * 100 >= F.col("two.n") * percent)
-                           & (F.col("two.n") * 100 >= F.col("one.n") * percent))
+                           & (F.col("two.n") * 100 >= F.col("one.n") * percent)
+                           & (most * (100 + percent) >= (F.col("one.n") + F.col("two.n")) * percent))
                   .select(F.least("one.rep", "two.rep").alias("u"), F.greatest("one.rep", "two.rep").alias("v"))
                   .distinct().join(tried, ["u", "v"], "left_anti"), "third")
     if third.limit(1).count():
