@@ -107,32 +107,45 @@ def fit(sample: DataFrame, share: float) -> MilModel:
     y = rows["label"].to_numpy(np.float64)
     if not len(rows) or y.min() == y.max():
         return MilModel(weights, -50.0 if not len(rows) or y[0] == 0 else 5.0, 0.0)
-    return fit_arrays([np.frombuffer(x, np.int32) for x in rows["words"]],
-                      [np.frombuffer(x, np.int32) for x in rows["sizes"]], y, share)
+    words = [np.frombuffer(x, np.int32) for x in rows["words"]]
+    sizes = [np.frombuffer(x, np.int32) for x in rows["sizes"]]
+    del rows
+    return fit_arrays(words, sizes, y, share)
 
 
 def fit_arrays(words: list[np.ndarray], sizes: list[np.ndarray], y: np.ndarray, share: float) -> MilModel:
-    """Gradient descent on the noisy-or; words: feature buckets of each document in order,
-    sizes: words of each of its sentences, y: its label (both values occur)."""
+    """Gradient descent on the noisy-or; words: feature buckets of each document in order
+    (the list is emptied on the way), sizes: words of each of its sentences, y: its label
+    (both values occur)."""
     weights = np.zeros(EMPTY + 1)
-    docs_with = np.bincount(np.concatenate([np.unique(x) for x in words]), minlength=EMPTY + 1)
+    docs_with = np.zeros(EMPTY + 1, np.int32)
+    for x in words:
+        docs_with[np.unique(x)] += 1
     docs_with[EMPTY] = 0
     used = np.flatnonzero(docs_with >= MIN_DOCS)
-    local = np.full(EMPTY + 1, -1)
+    local = np.full(EMPTY + 1, used.size, np.int32)         # the last place is for all others
     local[used] = np.arange(used.size)
-    flat = local[np.concatenate(words)]
-    sentence = np.repeat(np.arange(sum(s.size for s in sizes)), np.concatenate(sizes) * (1 + len(STEMS)))
-    sentence, flat = sentence[flat >= 0], flat[flat >= 0]
+    flat = np.empty((1 + len(STEMS), sum(x.size for x in words) // (1 + len(STEMS))), np.int32)
+    at = flat.shape[1]
+    while words:
+        x = local[words.pop()].reshape(-1, flat.shape[0])
+        at -= len(x)
+        flat[:, at:at + len(x)] = x.T
+    sentence = np.repeat(np.arange(sum(s.size for s in sizes), dtype=np.int32), np.concatenate(sizes))
     doc = np.repeat(np.arange(len(sizes)), [s.size for s in sizes])
-    w, b = np.zeros(used.size), np.full(1, -6.0)
+    w, b = np.zeros(used.size + 1), np.full(1, -6.0)
     adam = Adam([w, b], RATE, FLOOR)
     for _ in range(STEPS):
-        z = b[0] + np.bincount(sentence, w[flat], minlength=doc.size)
+        z = b[0] + sum(np.bincount(sentence, w[column], minlength=doc.size) for column in flat)
         p = sigmoid(z)
         q = np.clip(np.bincount(doc, np.logaddexp(0, z), minlength=y.size), 1e-9, 500)
         pull = (1 - y) - y / np.expm1(q)
         dz = p * pull[doc] / y.size
-        adam.step([np.bincount(flat, dz[sentence], minlength=used.size) + DECAY * w, np.array([dz.sum()])])
+        each = dz[sentence]
+        step = sum(np.bincount(column, each, minlength=w.size) for column in flat) + DECAY * w
+        step[-1] = 0.0
+        adam.step([step, np.array([dz.sum()])])
+    w = w[:-1]
     weights[used] = w
     share = min(max(share, 1e-4), 1 - 1e-4)
     shift = np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
