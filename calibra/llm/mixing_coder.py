@@ -7,7 +7,7 @@ followed the last id) and order 0 (adaptive frequencies).  An event, coded with
 frequencies learned for each state of the predictors' confidence, says which of them is
 right; these learned event frequencies are the mixing weights.  When neither context
 predicts the id, order 0 codes it as three digits, each with the adaptive frequencies of
-its place under the digits before it.  All probabilities go through a 32-bit carry-free
+its place under (a hash of) the digits before it.  All probabilities go through a 32-bit carry-free
 range coder.
 
 Blocks are independent, so a task codes and decodes up to LANES of them in lockstep, one
@@ -33,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from calibra.llm.bpe_scan import CACHE_ENTRIES, encode_block
+from calibra.llm.bpe_scan import encode_block
 from calibra.llm.textblocks import byte_blocks
 
 BLOCK, LANES = 4096, 1024
 RADIX = 37                    # three digits: ids below 50,653
 GAIN = 8                      # 4096 * 8 + RADIX stays below 2**16, the coder's largest total
-SLOTS = 1 << 12
+SLOTS = 1 << 11
+PLACES = 256                  # statistics of the last digit: one row per hash of the first two
+WORDS_KEPT = 250_000          # pre-tokens a worker remembers
 TOP, BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
 MAGIC = b"CMR1"
 
@@ -102,7 +104,7 @@ class _Model:
         self.coder = coder
         self.events = np.ones((lanes, 32, 3), np.uint32)     # order 2, order 1, neither
         self.events[:, :, 2] = 4
-        self.digits = [np.ones((lanes, RADIX ** k, RADIX), np.uint16) for k in range(3)]
+        self.digits = [np.ones((lanes, rows, RADIX), np.uint16) for rows in (1, RADIX, PLACES)]
         self.guess = np.full((2, lanes, SLOTS), -1, np.int32)
         self.sure = np.zeros((2, lanes, SLOTS), np.uint8)
         self.last = np.zeros((2, lanes), np.int64)
@@ -136,12 +138,13 @@ class _Model:
         rest = np.flatnonzero(event == 2)
         if rest.size:
             parts = [None] * 3 if ids is None else [ids[rest] // RADIX ** 2, ids[rest] // RADIX % RADIX, ids[rest] % RADIX]
-            row = np.zeros(rest.size, np.int64)
+            row = value = np.zeros(rest.size, np.int64)
             for table, digit in zip(self.digits, parts):
                 digit = self._symbol(rest, table[rest, row], digit)
                 table[rest, row, digit] += np.uint16(GAIN)
-                row = row * RADIX + digit
-            out[rest] = row
+                value = value * RADIX + digit
+                row = value if table is self.digits[0] else (value * 0x9E3779B1 >> 12) % PLACES
+            out[rest] = value
         for which, slot in enumerate(slots):
             guess, sure = self.guess[which], self.sure[which]
             right = guess[lanes, slot] == out
@@ -224,7 +227,7 @@ class LibraryIds:
             new = list({w for w, ids in zip(words, out) if ids is None})
             coded = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
             fresh = {w: np.array(c.ids, "<i4").tobytes() for w, c in zip(new, coded)}
-            if len(self.cache) + len(new) > CACHE_ENTRIES:
+            if len(self.cache) + len(new) > WORDS_KEPT:
                 self.cache.clear()
             self.cache.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
             out = [fresh[w] if ids is None else ids for w, ids in zip(words, out)]
