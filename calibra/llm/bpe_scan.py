@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from calibra.llm.pair_merge import from_ranks, read_ranks
 from calibra.llm.textblocks import byte_blocks
 
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 200_000
 WIDTH = 64
 
 # Symbols: letter, number, other, contraction of one letter, of two letters, blank that
