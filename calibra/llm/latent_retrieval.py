@@ -10,10 +10,13 @@
 3. Candidate search: every text is read in windows (24 words at steps of 8 for short
    items, 48 at steps of 16 for longer ones), each window is folded into the latent space
    and compared with the items by cosine; it must also hold a least share (COVER) of the
-   item's own length there, which a window with two or three of its terms doesn't.
+   item's own length there, which a window with two or three of its terms doesn't.  An item
+   longer than a window is searched in segments, each a query of its own; a hit of any
+   segment makes the item a candidate.
 4. Checks: a candidate counts if the longest common subsequence of the item's words and
-   the window (with a margin) covers enough of the item, and enough of the item's answer,
-   its last quarter, is there too; a nearly verbatim item counts without its answer.
+   the window (for an item in segments, a region as long as the item around the aligned
+   place; with a margin) covers enough of the item, and enough of the item's answer, its
+   last quarter, is there too; a nearly verbatim item counts without its answer.
 
 Every window of every text is compared; nothing is sampled or capped.  The benchmark is
 taken in blocks of a fixed number of items, so what tasks receive is bounded.  The only
@@ -36,6 +39,7 @@ from calibra.llm.textblocks import byte_blocks, hash_spans, word_bounds
 PASSAGE, STEP = 32, 8
 #: (words in a window, step between windows, longest item) of each window kind.
 WINDOWS = ((24, 8, 28), (48, 16, None))
+SEGMENT = 32            # words; at any place one of the 48-word windows holds all of it
 ITEM_DIRECTIONS, CORPUS_DIRECTIONS, OVERSAMPLE = 192, 64, 16
 COMMON = 0.005          # terms in more passages than this share carry no weight ...
 RAREST = 5              # ... but each item keeps its rarest ones
@@ -80,6 +84,26 @@ class Item:
         self.item_id, self.words = item_id, words
         self.answer = words[-max(1, len(words) // 4):]
         self.masks, self.answer_masks = position_masks(words), position_masks(self.answer)
+        n = len(words)
+        parts = 1 if n <= WINDOWS[-1][0] else -(-n // SEGMENT)
+        self.cuts = [n * i // parts for i in range(parts + 1)]
+
+    def regions(self, places: list[tuple[int, float]], size: int) -> Iterator[tuple[int, int, float]]:
+        """(first word, end word, cosine) to check for hits (word at which the item would
+        begin, cosine).  Hits of an item in segments that are near each other see the same
+        copy and are checked together."""
+        n = len(self.words)
+        margin = max(4, n // 4)
+        whole = len(self.cuts) == 2
+        reach, near = (size, 0) if whole else (n + size - SEGMENT, margin)
+        places.sort()
+        at = 0
+        while at < len(places):
+            end = at
+            while end < len(places) and places[end][0] - places[at][0] <= near:
+                end += 1
+            yield places[at][0] - margin, places[end - 1][0] + reach + margin, max(c for _, c in places[at:end])
+            at = end
 
     def checked(self, region: list[int]) -> tuple[float, float]:
         """Shares of the item and of its answer that the region holds in order."""
@@ -92,6 +116,9 @@ class Latent:
 
     def __init__(self, items: list[Item]):
         self.items = items
+        #: (item number, its first word, words) of every segment
+        self.queries = [(k, a, np.array(i.words[a:b], np.uint64))
+                        for k, i in enumerate(items) for a, b in zip(i.cuts, i.cuts[1:])]
         self.terms = np.unique(np.array([w for i in items for w in i.words], np.uint64))
         self.idf = np.zeros(self.terms.size)
         self.basis = np.zeros((self.terms.size, 0), np.float32)
@@ -106,8 +133,8 @@ class Latent:
     def weigh(self, seen: np.ndarray, passages: int) -> None:
         idf = np.log((passages + 1) / (seen + 1)) + 1e-3
         keep = seen <= COMMON * passages
-        for item in self.items:
-            own = np.unique(self.locate(np.array(item.words, np.uint64)))
+        for _, _, words in self.queries:
+            own = np.unique(self.locate(words))
             keep[own[np.argsort(seen[own], kind="stable")][:RAREST]] = True
         self.idf = np.where(keep, idf, 0.0)
 
@@ -125,9 +152,9 @@ class Latent:
 
     def settle(self, sketch: np.ndarray, test: np.ndarray) -> None:
         """Basis from the benchmark's directions and the corpus sketch A'(A test)."""
-        rows = np.zeros((len(self.items), self.terms.size))
-        for r, item in enumerate(self.items):
-            np.add.at(rows[r], self.locate(np.array(item.words, np.uint64)), 1.0)
+        rows = np.zeros((len(self.queries), self.terms.size))
+        for r, (_, _, words) in enumerate(self.queries):
+            np.add.at(rows[r], self.locate(words), 1.0)
         rows *= self.idf
         _, s, own = np.linalg.svd(rows, full_matrices=False)
         own = own[:ITEM_DIRECTIONS][s[:ITEM_DIRECTIONS] > 1e-9 * max(s.max(initial=0), 1e-300)].T
@@ -139,9 +166,9 @@ class Latent:
         corpus = corpus - own @ (own.T @ corpus)
         left, s, _ = np.linalg.svd(corpus, full_matrices=False)
         self.basis = np.ascontiguousarray(np.concatenate([own, left[:, s > 1e-6]], 1) * self.idf[:, None], np.float32)
-        folded = np.zeros((len(self.items), self.basis.shape[1]), np.float32)
-        for r, item in enumerate(self.items):
-            folded[r] = self.basis[self.locate(np.array(item.words, np.uint64))].sum(0)
+        folded = np.zeros((len(self.queries), self.basis.shape[1]), np.float32)
+        for r, (_, _, words) in enumerate(self.queries):
+            folded[r] = self.basis[self.locate(words)].sum(0)
         self.length = np.linalg.norm(folded, axis=1)
         self.folded = folded / np.where(self.length > 0, self.length, 1)[:, None]
 
@@ -157,8 +184,8 @@ class Latent:
         latent[row[starts]] = np.add.reduceat(self.basis[term], starts, axis=0)
         words_in = np.bincount(row, minlength=n_rows)
         text_of = np.repeat(np.arange(offsets.size - 1), np.diff(first))
-        best: dict[tuple[int, int], tuple] = {}
-        lengths = np.array([len(i.words) for i in self.items])
+        places: dict[tuple[int, int, int], list] = {}
+        lengths = np.array([len(self.items[k].words) for k, _, _ in self.queries])
         shortest = 0
         for size, step, longest in WINDOWS:
             chosen = np.flatnonzero((lengths > shortest) & (lengths <= (longest or lengths.max(initial=0))))
@@ -181,14 +208,17 @@ class Latent:
             near = cosine >= COVER * self.length[chosen]
             cosine /= np.where(norm > 0, norm, 1)[:, None]
             for r, c in zip(*np.nonzero(near & (cosine >= COSINE))):
-                text, item = int(text_of[at[r]]), self.items[chosen[c]]
-                margin = max(4, len(item.words) // 4)
-                low = int(offsets[text]) + int(at[r] - first[text]) * STEP
-                a = max(int(offsets[text]), low - margin)
-                b = min(int(offsets[text + 1]), low + size + margin)
-                whole, answer = item.checked(hashes[a:b].tolist())
+                number, before, _ = self.queries[chosen[c]]
+                low = int(at[r] - first[text_of[at[r]]]) * STEP - before
+                places.setdefault((int(text_of[at[r]]), number, size), []).append((low, float(cosine[r, c])))
+        best: dict[tuple[int, int], tuple] = {}
+        for (text, number, size), hits in places.items():
+            item, begin, length = self.items[number], int(offsets[text]), int(offsets[text + 1] - offsets[text])
+            for low, high, cos in item.regions(hits, size):
+                a, b = max(0, low), min(length, high)
+                whole, answer = item.checked(hashes[begin + a:begin + b].tolist())
                 if (whole >= LCS and answer >= ANSWER) or whole >= VERBATIM:
-                    found = (whole, float(cosine[r, c]), answer, a - int(offsets[text]), b - int(offsets[text]))
+                    found = (whole, cos, answer, a, b)
                     if found > best.get((text, item.item_id), (0.0,)):
                         best[text, item.item_id] = found
         for (text, item_id), (whole, cos, answer, a, b) in sorted(best.items()):

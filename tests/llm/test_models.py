@@ -117,3 +117,29 @@ def test_contamination_verbatim_paraphrased_and_clean(spark):
     assert [r.item_id for r in got if r.doc_id is None] == [3]
     assert latent_retrieval.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
     assert latent_retrieval.contaminated(frame(spark, []), bench).count() == 0
+
+
+def invented(rng, n):
+    return ["".join(rng.choice("bcdfglmnprstaeiou") for _ in range(rng.randrange(2, 8))) for _ in range(n)]
+
+
+def edited(rng, words, vocabulary, step):
+    """`words` with every step-th word another one (0: none)."""
+    return [rng.choice(vocabulary) if step and j % step == 0 else w for j, w in enumerate(words)]
+
+
+def test_contamination_by_long_items(spark):
+    rng = random.Random(8)
+    vocabulary = invented(rng, 6000)
+    items = [(k, [rng.choice(vocabulary) for _ in range(n)])
+             for k, n in enumerate(n for n in (49, 150, 300, 1000) for _ in range(4))]
+    rows, leaks = [(i, " ".join(rng.choice(vocabulary) for _ in range(1500))) for i in range(40)], set()
+    for k, words in items:
+        for base, step in ((1000, 0), (2000, 6), (3000, 3)):
+            around = [[rng.choice(vocabulary) for _ in range(rng.randrange(20, 400))] for _ in range(2)]
+            rows.append((base + k, " ".join(around[0] + edited(rng, words, vocabulary, step) + around[1])))
+            leaks.add((base + k, k))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = latent_retrieval.contaminated(frame(spark, rows).repartition(4), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == leaks and len(got) == len(leaks)
+    assert all(r.lcs > 0.95 for r in got if r.doc_id < 2000)
