@@ -6,7 +6,9 @@
    test matrix, tasks add up A'(A W); the sums have a fixed size.  The leading right
    singular vectors of A follow from them (Nystrom's formula).  The benchmark's own
    directions are put before them, so that a passage that occurs once in the corpus is
-   seen as well as one that occurs everywhere.
+   seen as well as one that occurs everywhere.  Queries are dealt into groups, each with a
+   latent space over its own terms that has a direction for every query: however large
+   the benchmark is, all of a query's weight is in its space.
 3. Candidate search: every text is read in windows (24 words at steps of 8 for short
    items, 48 at steps of 16 for longer ones), each window is folded into the latent space
    and compared with the items by cosine; it must also hold a least share (COVER) of the
@@ -18,9 +20,10 @@
    place; with a margin) covers enough of the item, and enough of the item's answer, its
    last quarter, is there too; a nearly verbatim item counts without its answer.
 
-Every window of every text is compared; nothing is sampled or capped.  The benchmark is
-taken in blocks of a fixed number of items, so what tasks receive is bounded.  The only
-shuffles are the fixed-size sums; matches are made where the text is read.
+Every window of every text is compared with every group; nothing is sampled or capped.
+The benchmark is taken in blocks of a few groups, searched in one pass, whose matches are
+saved before the next block, so what the driver holds and tasks receive is bounded.  The
+only shuffles are the fixed-size sums; matches are made where the text is read.
 """
 
 from __future__ import annotations
@@ -34,16 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibra.llm import array_sums
+from calibra.llm.scratch import saved
 from calibra.llm.textblocks import byte_blocks, hash_spans, word_bounds
 
 PASSAGE, STEP = 32, 8
 #: (words in a window, step between windows, longest item) of each window kind.
 WINDOWS = ((24, 8, 28), (48, 16, None))
 SEGMENT = 32            # words; at any place one of the 48-word windows holds all of it
-ITEM_DIRECTIONS, CORPUS_DIRECTIONS, OVERSAMPLE = 192, 64, 16
+CORPUS_DIRECTIONS, OVERSAMPLE = 64, 16
 COMMON = 0.005          # terms in more passages than this share carry no weight ...
 RAREST = 5              # ... but each item keeps its rarest ones
-ITEMS_PER_BLOCK = 5000
+GROUP = 192             # queries (and their directions) of one latent space
+QUERIES_PER_BLOCK = 10 * GROUP
 COSINE, COVER, LCS, ANSWER, VERBATIM = 0.45, 0.3, 0.6, 0.5, 0.85
 _OUTER = np.isin(np.arange(256), list(b".,;:!?\"'()[]{}|*#$%&-_"))
 
@@ -111,8 +116,33 @@ class Item:
         return lcs_length(self.masks, n, region) / n, lcs_length(self.answer_masks, m, region) / m
 
 
+class Group:
+    """Latent space of some queries of one window kind: (item number, its first word,
+    numbers of its terms) each."""
+
+    def __init__(self, size: int, step: int, queries: list[tuple], idf: np.ndarray, corpus: np.ndarray):
+        self.size, self.step = size, step
+        self.places = [(k, a) for k, a, _ in queries]
+        terms = np.unique(np.concatenate([t for _, _, t in queries]))
+        self.terms = terms[idf[terms] > 0]
+        rows = np.zeros((len(queries), self.terms.size))
+        for r, (_, _, own) in enumerate(queries):
+            own = own[idf[own] > 0]
+            np.add.at(rows[r], np.searchsorted(self.terms, own), idf[own])
+        _, s, own = np.linalg.svd(rows, full_matrices=False)
+        own = own[s > 1e-9 * max(s.max(initial=0), 1e-300)].T
+        corpus = corpus[self.terms]
+        corpus = corpus - own @ (own.T @ corpus)
+        left, s, _ = np.linalg.svd(corpus, full_matrices=False)
+        basis = np.concatenate([own, left[:, s > 1e-6]], 1)
+        folded = rows @ basis
+        self.basis = np.ascontiguousarray(basis * idf[self.terms, None], np.float32)
+        self.length = np.linalg.norm(folded, axis=1).astype(np.float32)
+        self.folded = (folded / np.where(self.length > 0, self.length, 1)[:, None]).astype(np.float32)
+
+
 class Latent:
-    """Vocabulary, idf and latent basis of one block of items."""
+    """Vocabulary, idf and groups of one block of items."""
 
     def __init__(self, items: list[Item]):
         self.items = items
@@ -121,7 +151,7 @@ class Latent:
                         for k, i in enumerate(items) for a, b in zip(i.cuts, i.cuts[1:])]
         self.terms = np.unique(np.array([w for i in items for w in i.words], np.uint64))
         self.idf = np.zeros(self.terms.size)
-        self.basis = np.zeros((self.terms.size, 0), np.float32)
+        self.groups: list[Group] = []
 
     def locate(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 outside the vocabulary."""
@@ -151,66 +181,61 @@ class Latent:
         return row[used], term[used], first
 
     def settle(self, sketch: np.ndarray, test: np.ndarray) -> None:
-        """Basis from the benchmark's directions and the corpus sketch A'(A test)."""
-        rows = np.zeros((len(self.queries), self.terms.size))
-        for r, (_, _, words) in enumerate(self.queries):
-            np.add.at(rows[r], self.locate(words), 1.0)
-        rows *= self.idf
-        _, s, own = np.linalg.svd(rows, full_matrices=False)
-        own = own[:ITEM_DIRECTIONS][s[:ITEM_DIRECTIONS] > 1e-9 * max(s.max(initial=0), 1e-300)].T
+        """Groups from the corpus sketch A'(A test)."""
         inner = test.T @ sketch
         value, vector = np.linalg.eigh((inner + inner.T) / 2)
         good = value > 1e-9 * max(value.max(initial=0), 1e-300)
         root = sketch @ (vector[:, good] / np.sqrt(value[good]))
         corpus = np.linalg.svd(root, full_matrices=False)[0][:, :CORPUS_DIRECTIONS] if good.any() else root
-        corpus = corpus - own @ (own.T @ corpus)
-        left, s, _ = np.linalg.svd(corpus, full_matrices=False)
-        self.basis = np.ascontiguousarray(np.concatenate([own, left[:, s > 1e-6]], 1) * self.idf[:, None], np.float32)
-        folded = np.zeros((len(self.queries), self.basis.shape[1]), np.float32)
-        for r, (_, _, words) in enumerate(self.queries):
-            folded[r] = self.basis[self.locate(words)].sum(0)
-        self.length = np.linalg.norm(folded, axis=1)
-        self.folded = folded / np.where(self.length > 0, self.length, 1)[:, None]
+        shortest = 0
+        for size, step, longest in WINDOWS:
+            chosen = [(k, a, self.locate(words)) for k, a, words in self.queries
+                      if shortest < len(self.items[k].words) <= (longest or len(self.items[k].words))]
+            shortest = longest
+            n = -(-len(chosen) // GROUP)
+            for i in range(n):
+                part = chosen[len(chosen) * i // n:len(chosen) * (i + 1) // n]
+                self.groups.append(Group(size, step, part, self.idf, corpus))
 
     def matches(self, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
         """(text, item id, cosine, lcs, answer, first word, end word) of the best window of
         each text and item that passes the checks."""
         row, term, first = self.entries(hashes, offsets, STEP)
         n_rows = int(first[-1])
-        if not row.size or not self.basis.shape[1]:
+        if not row.size:
             return
-        latent = np.zeros((n_rows, self.basis.shape[1]), np.float32)
-        starts = np.flatnonzero(np.diff(row, prepend=-1))
-        latent[row[starts]] = np.add.reduceat(self.basis[term], starts, axis=0)
-        words_in = np.bincount(row, minlength=n_rows)
         text_of = np.repeat(np.arange(offsets.size - 1), np.diff(first))
+        place_of = np.arange(n_rows) - first[:-1][text_of]
         places: dict[tuple[int, int, int], list] = {}
-        lengths = np.array([len(self.items[k].words) for k, _, _ in self.queries])
-        shortest = 0
-        for size, step, longest in WINDOWS:
-            chosen = np.flatnonzero((lengths > shortest) & (lengths <= (longest or lengths.max(initial=0))))
-            shortest = longest
-            if not chosen.size:
+        local = np.full(self.terms.size, -1)
+        for group in self.groups:
+            local[:] = -1
+            local[group.terms] = np.arange(group.terms.size)
+            own = local[term]
+            mine = np.flatnonzero(own >= 0)
+            if not mine.size:
                 continue
-            blocks = size // STEP
-            at = np.arange(n_rows)
-            at = at[(at - first[:-1][text_of]) % (step // STEP) == 0]
+            held = np.concatenate([[0], np.cumsum(np.bincount(row[mine], minlength=n_rows))])
+            blocks = group.size // STEP
+            at = np.flatnonzero(place_of % (group.step // STEP) == 0)
             end = np.minimum(at + blocks, first[1:][text_of[at]])
-            held = np.concatenate([[0], np.cumsum(words_in)])
             useful = held[end] - held[at] >= 2
             at, end = at[useful], end[useful]
-            window = latent[at].copy()
+            latent = np.zeros((n_rows, group.basis.shape[1]), np.float32)
+            starts = np.flatnonzero(np.diff(row[mine], prepend=-1))
+            latent[row[mine][starts]] = np.add.reduceat(group.basis[own[mine]], starts, axis=0)
+            window = latent[at]
             for j in range(1, blocks):
                 more = np.flatnonzero(at + j < end)
                 window[more] += latent[at[more] + j]
             norm = np.sqrt(np.einsum("ij,ij->i", window, window))
-            cosine = window @ self.folded[chosen].T
-            near = cosine >= COVER * self.length[chosen]
+            cosine = window @ group.folded.T
+            near = cosine >= COVER * group.length
             cosine /= np.where(norm > 0, norm, 1)[:, None]
             for r, c in zip(*np.nonzero(near & (cosine >= COSINE))):
-                number, before, _ = self.queries[chosen[c]]
-                low = int(at[r] - first[text_of[at[r]]]) * STEP - before
-                places.setdefault((int(text_of[at[r]]), number, size), []).append((low, float(cosine[r, c])))
+                number, before = group.places[c]
+                low = int(place_of[at[r]]) * STEP - before
+                places.setdefault((int(text_of[at[r]]), number, group.size), []).append((low, float(cosine[r, c])))
         best: dict[tuple[int, int], tuple] = {}
         for (text, number, size), hits in places.items():
             item, begin, length = self.items[number], int(offsets[text]), int(offsets[text + 1] - offsets[text])
@@ -226,18 +251,21 @@ class Latent:
 
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[Item]]:
-    """The benchmark in blocks of ITEMS_PER_BLOCK items with words, in id order."""
+    """The items with words in id order, in blocks of QUERIES_PER_BLOCK segments or so (all
+    segments of an item are in one block)."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     rows = rows.where("i IS NOT NULL AND t IS NOT NULL").orderBy("i", "t")
     block: list[Item] = []
+    queries = 0
     for row in rows.toLocalIterator():
         raw = np.frombuffer(row["t"].encode(), np.uint8)
         words, _ = term_hashes(raw, np.array([0, raw.size]))
         if words.size:
             block.append(Item(row["i"], words.tolist()))
-        if len(block) == ITEMS_PER_BLOCK:
+            queries += len(block[-1].cuts) - 1
+        if queries >= QUERIES_PER_BLOCK:
             yield block
-            block = []
+            block, queries = [], 0
     if block:
         yield block
 
@@ -316,5 +344,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays(
                         [ids, *(pa.array(c, k) for c, k in zip(rest, kinds[1:]))], names)
 
-        out.append(texts.mapInArrow(search, schema))
+        out.append(saved(texts.mapInArrow(search, schema), "matches"))
     return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], schema)

@@ -143,3 +143,21 @@ def test_contamination_by_long_items(spark):
     got = latent_retrieval.contaminated(frame(spark, rows).repartition(4), bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == leaks and len(got) == len(leaks)
     assert all(r.lcs > 0.95 for r in got if r.doc_id < 2000)
+
+
+def test_every_query_is_spanned_in_a_large_benchmark(spark):
+    rng = random.Random(9)
+    vocabulary = invented(rng, 5000)
+    items = [latent_retrieval.Item(k, [hash(rng.choice(vocabulary)) % 2 ** 62 for _ in range(rng.randrange(15, 60))])
+             for k in range(1000)]
+    docs = frame(spark, [(i, " ".join(rng.choice(vocabulary) for _ in range(300))) for i in range(40)])
+    model = latent_retrieval._fitted(docs, items)
+    known = {}
+    for group in model.groups:
+        assert len(group.places) <= latent_retrieval.GROUP
+        for (k, a), length in zip(group.places, group.length):
+            words = items[k].words[a:items[k].cuts[items[k].cuts.index(a) + 1]]
+            at = model.locate(np.array(words, np.uint64))
+            full = np.linalg.norm(np.bincount(at, minlength=model.terms.size) * model.idf)
+            known[k, a] = length / full
+    assert len(known) == sum(len(i.cuts) - 1 for i in items) and min(known.values()) > 0.999
