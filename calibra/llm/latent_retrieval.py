@@ -17,8 +17,9 @@
    segment makes the item a candidate.
 4. Checks: a candidate counts if the longest common subsequence of the item's words and
    the window (for an item in segments, a region as long as the item around the aligned
-   place; with a margin) covers enough of the item, and enough of the item's answer, its
-   last quarter, is there too; a nearly verbatim item counts without its answer.
+   place; with a margin) covers enough of the item; a weak match also needs enough of
+   the item's answer, its last quarter, while a larger share counts without it, whichever
+   part of the item is cut.
 
 Every window of every text is compared with every group; nothing is sampled or capped.
 The benchmark is taken in blocks of a few groups, searched in one pass, whose matches are
@@ -49,7 +50,7 @@ COMMON = 0.005          # terms in more passages than this share carry no weight
 RAREST = 5              # ... but each item keeps its rarest ones
 GROUP = 192             # queries (and their directions) of one latent space
 QUERIES_PER_BLOCK = 10 * GROUP
-COSINE, COVER, LCS, ANSWER, VERBATIM = 0.45, 0.3, 0.6, 0.5, 0.85
+COSINE, COVER, LCS, ANSWER, STRONG = 0.45, 0.3, 0.6, 0.5, 0.7
 _OUTER = np.isin(np.arange(256), list(b".,;:!?\"'()[]{}|*#$%&-_"))
 
 
@@ -242,7 +243,7 @@ class Latent:
             for low, high, cos in item.regions(hits, size):
                 a, b = max(0, low), min(length, high)
                 whole, answer = item.checked(hashes[begin + a:begin + b].tolist())
-                if (whole >= LCS and answer >= ANSWER) or whole >= VERBATIM:
+                if (whole >= LCS and answer >= ANSWER) or whole >= STRONG:
                     found = (whole, cos, answer, a, b)
                     if found > best.get((text, item.item_id), (0.0,)):
                         best[text, item.item_id] = found

@@ -161,3 +161,20 @@ def test_every_query_is_spanned_in_a_large_benchmark(spark):
             full = np.linalg.norm(np.bincount(at, minlength=model.terms.size) * model.idf)
             known[k, a] = length / full
     assert len(known) == sum(len(i.cuts) - 1 for i in items) and min(known.values()) > 0.999
+
+
+def test_contamination_by_items_cut_at_the_front_or_the_end(spark):
+    rng = random.Random(10)
+    vocabulary = invented(rng, 4000)
+    items = [(k, [rng.choice(vocabulary) for _ in range(n)]) for k, n in enumerate((16, 24, 40, 56, 120, 400))]
+    rows, leaks = [], set()
+    for k, words in items:
+        cut = len(words) // 4
+        for base, part in ((1000, words[:-cut]), (2000, words[cut:])):
+            around = [[rng.choice(vocabulary) for _ in range(80)] for _ in range(2)]
+            rows.append((base + k, " ".join(around[0] + part + around[1])))
+            leaks.add((base + k, k))
+    rows += [(i, " ".join(rng.choice(vocabulary) for _ in range(300))) for i in range(40)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = latent_retrieval.contaminated(frame(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == leaks
