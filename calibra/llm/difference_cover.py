@@ -14,6 +14,8 @@ Which 100-byte strings occur twice is read off a sorted array of suffixes:
 3. Merge the remaining suffixes: any two suffixes have a shift below three at which both
    are sampled, so two suffixes that share their first symbols are ordered by the ranks at
    that shift.  Range partitions by the first symbols are merged with that comparison.
+   First symbols that many suffixes share are cut into slices: a sample of their suffixes,
+   sorted by the same comparison, gives the splitters, and each slice is merged by itself.
 4. Compare adjacent prefixes: neighbours in suffix order whose first W bytes agree (two
    64-bit digests) are one group.  Its earliest start stays; the windows at all its other
    starts are removed.
@@ -26,6 +28,7 @@ Spark rows per byte of the stretches make this operator much heavier than the an
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cmp_to_key
 
@@ -39,6 +42,10 @@ from calibra.llm.scratch import saved
 from calibra.llm.textblocks import column_bytes, mix
 
 SYMBOL = 24
+#: Rows of one key from which it is cut, rows of a slice, sampled rows for each slice.
+HOT, SLICE, SAMPLE = 50_000, 20_000, 16
+#: Hashes of keys counted first; only keys of a hash with more than HOT rows are counted.
+BINS = 1 << 16
 #: For the remainders (modulo 3) of two positions, the shift at which both are sampled.
 SHIFT = ((1, 1, 2), (1, 0, 0), (2, 0, 0))
 _RANKS = ("r0", "r1", "r2")
@@ -86,9 +93,48 @@ def _compare(a: tuple, b: tuple) -> int:
     return (a[shift] > b[shift]) - (a[shift] < b[shift])
 
 
+def _slices(distinct: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """`distinct`, if some keys have more than HOT rows in `base` (which has at least the
+    rows of `distinct`) with `slice`: the number of the row's part of its key in suffix
+    order, 0 for other keys.  The driver holds SAMPLE rows for each slice of the hot keys."""
+    base = base.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(BINS)).cast("int").alias("bin"))
+    bins = base.groupBy("bin").count().where(F.col("count") > HOT).select("bin").collect()
+    if not bins:
+        return distinct
+    hot = base.where(F.col("bin").isin([b["bin"] for b in bins])) if len(bins) < BINS // 64 else base
+    hot = saved(hot.groupBy(*keys).count().where(F.col("count") > HOT), "hot-keys")
+    share = F.lit(float(SAMPLE)) / SLICE
+    tail = ["remainder", *_RANKS]
+    order = cmp_to_key(_compare)
+    sample: dict[tuple, list] = {}
+    if not hot.isEmpty():
+        chosen = distinct.select(*keys, *tail).join(F.broadcast(hot.select(*keys)), keys, "left_semi")
+        for row in chosen.where(F.rand(1) < share).toLocalIterator():
+            row = tuple(bytes(v) if isinstance(v, bytearray) else v for v in row)
+            sample.setdefault(row[:len(keys)], []).append(order(row[len(keys):]))
+    splitters = {key: sorted(rows)[SAMPLE - 1::SAMPLE] for key, rows in sample.items()}
+    splitters = {key: [r.obj for r in rows] for key, rows in splitters.items() if rows}
+    if not splitters:
+        return distinct
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = cmp_to_key(_compare)
+        known = {key: [order(r) for r in rows] for key, rows in splitters.items()}
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.int64)
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in keys))):
+                if key in known:
+                    out[i] = bisect_right(known[key], order(tuple(batch.column(c)[i].as_py() for c in tail)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "slice"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema)
+    return distinct.mapInArrow(run, f"{kinds}, slice long")
+
+
 def _merged(keys: list[str], extra: list[str]):
     """Sorted rows (keys, remainder, ranks, extra) in suffix order, with the number of
-    equal suffixes' first row (`rank`) and of its window group's first row (`head`)."""
+    equal suffixes' first row (`rank`), of its window group's first row (`head`), and
+    whether that group is the first or the last of its keys (`edge`)."""
     columns = [*keys, "remainder", *_RANKS, *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,21 +143,22 @@ def _merged(keys: list[str], extra: list[str]):
         def order(rows: list[tuple]) -> list[tuple]:
             nonlocal number
             rows.sort(key=cmp_to_key(lambda a, b: _compare(a[len(keys):], b[len(keys):])))
-            out, last = [], None
+            out, last, heads = [], None, []
             for row in rows:
                 tail = row[len(keys):]
                 if last is None or _compare(last, tail):
                     number += 1
                 if last is None or not extra or last[4:] != tail[4:]:
                     head = number
+                    heads.append(head)
                 out.append((*row, number, head))
                 last = tail
-            return out
+            return [(*row, row[-1] in (heads[0], heads[-1])) for row in out]
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [schema.field(c).type for c in columns] + [pa.int64(), pa.int64()]
+            kinds = [schema.field(c).type for c in columns] + [pa.int64(), pa.int64(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                              [*columns, "rank", "head"])
+                                              [*columns, "rank", "head", "edge"])
 
         ready: list[tuple] = []
         for batch in batches:
@@ -130,17 +177,27 @@ def _merged(keys: list[str], extra: list[str]):
     return run
 
 
-def _ranked(rows: DataFrame, keys: list[str], extra: list[str], kinds: str) -> DataFrame:
-    """`rows` with `rank` and `head` (see `_merged`), unique over all range partitions."""
+def _ranked(rows: DataFrame, base: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
+    """`rows` with `rank` and `head` (see `_merged`), unique over all range partitions;
+    base: a saved table with the keys of all rows."""
     columns = [*keys, "remainder", *_RANKS, *extra]
-    distinct = rows.select(*columns).distinct()
-    part = (distinct.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    cut = _slices(rows.select(*columns).distinct(), base, keys)
+    sliced = ["slice"] if "slice" in cut.columns else []
+    order = [*keys, *sliced]
+    part = (cut.repartitionByRange(*order).sortWithinPartitions(*order)
             .withColumn("part", F.spark_partition_id().cast("long")))
-    merged = part.select(*columns, "part").mapInArrow(_merged([*keys, "part"], extra),
-                                                      f"{kinds}, rank long, head long")
-    base = F.shiftleft(F.col("part"), 40)
-    ranks = saved(merged.select(*columns, (base + F.col("rank")).alias("rank"), (base + F.col("head")).alias("head")),
-                  "suffix-ranks")
+    part = part.select(*order, "part", "remainder", *_RANKS, *extra)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in part.schema)
+    merged = part.mapInArrow(_merged([*order, "part"], extra), f"{kinds}, rank long, head long, edge boolean")
+    first = F.shiftleft(F.col("part"), 40)
+    ranks = saved(merged.select(*columns, *sliced, *(["edge"] if sliced else []), (first + F.col("rank")).alias("rank"),
+                                (first + F.col("head")).alias("head")), "suffix-ranks")
+    if sliced and extra:                        # a window group may go on in the next slices
+        hot = ranks.where("slice > 0").select(*keys).distinct()
+        edges = ranks.where("edge").join(hot, keys, "left_semi").groupBy(*extra).agg(F.min("head").alias("lead"))
+        edges = edges.where(F.col(extra[0]).isNotNull())
+        ranks = ranks.join(F.broadcast(edges), extra, "left").withColumn("head", F.coalesce("lead", "head")).drop("lead")
+    ranks = ranks.select(*columns, "rank", "head")
     same = [rows[c].eqNullSafe(ranks[c]) if c in extra else rows[c] == ranks[c] for c in columns]
     joined = rows.join(ranks, same)
     for c in columns:
@@ -173,11 +230,10 @@ def _sampled_ranks(rows: DataFrame, keys: list[str], depth: int) -> DataFrame:
 def _suffix_ranks(symbols: DataFrame, depth: int) -> DataFrame:
     """(string, pos, rank) of all suffixes; symbols: (string, pos, c), c from 1."""
     order = Window.partitionBy("string").orderBy("pos")
-    rows = saved(symbols.select("string", "pos", "c", F.lead("c", 1, 0).over(order).alias("c1"),
+    symbol_rows = saved(symbols.select("string", "pos", "c", F.lead("c", 1, 0).over(order).alias("c1"),
                                 F.lead("c", 2, 0).over(order).alias("c2")), "symbols")
-    rows = _with_ranks(rows, _sampled_ranks(rows, ["c", "c1", "c2"], depth))
-    done = _ranked(rows, ["c", "c1", "c2"], [], "c long, c1 long, c2 long, part long, remainder int, "
-                                                "r0 long, r1 long, r2 long")
+    rows = _with_ranks(symbol_rows, _sampled_ranks(symbol_rows, ["c", "c1", "c2"], depth))
+    done = _ranked(rows, symbol_rows, ["c", "c1", "c2"], [])
     return saved(done.select("string", "pos", "rank"), "level")
 
 
@@ -191,14 +247,13 @@ def _later_starts(stretches: DataFrame, window: int) -> DataFrame:
     rows = parts.select("string", "data", F.explode(F.sequence(F.lit(0), F.octet_length("data") - 1)).alias("pos"))
     whole = F.octet_length("data") >= F.col("pos") + window
     prefix = F.substring("data", at, window)
-    rows = saved(rows.select(
+    suffixes = saved(rows.select(
         "string", "pos", F.substring("data", at, SYMBOL + 2).alias("key"),
         F.when(whole, F.xxhash64(prefix)).alias("d0"),
         F.when(whole, F.xxhash64(F.lit(1), prefix, F.lit(window))).alias("d1")), "suffixes")
-    sampled = _sampled_ranks(rows, ["key"], depth)
-    rows = _with_ranks(rows.select("string", "pos", "key", "d0", "d1"), sampled)
-    done = _ranked(rows, ["key"], ["d0", "d1"], "key binary, part long, remainder int, r0 long, r1 long, r2 long, "
-                                                "d0 long, d1 long")
+    sampled = _sampled_ranks(suffixes, ["key"], depth)
+    rows = _with_ranks(suffixes.select("string", "pos", "key", "d0", "d1"), sampled)
+    done = _ranked(rows, suffixes, ["key"], ["d0", "d1"])
     starts = done.where("d0 IS NOT NULL").select("string", "pos", "head")
     starts = saved(starts.join(parts.select("string", "doc_id", "text_hash", "first"), "string").select(
         "doc_id", "text_hash", (F.col("first") + F.col("pos")).alias("start"), "head"), "starts")

@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from calibra.llm import difference_cover
 from calibra.llm.anchors import remove_repeats
 from calibra.llm.components import components
 from calibra.llm.content_sort import exact_dedup, keep_first_copies
@@ -175,3 +176,32 @@ def test_later_byte_copies_match_brute_force(spark):
         expected.append((doc, len(data), sum(gone), spans, bytes(b for b, g in zip(data, gone) if not g)))
     got = remove_later_copies(frame(spark, rows), window).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(expected)
+
+
+def test_a_hot_key_is_cut_into_slices(spark, monkeypatch):
+    """A line that every document holds before another text: one row per document."""
+    monkeypatch.setattr(difference_cover, "HOT", 100)
+    monkeypatch.setattr(difference_cover, "SLICE", 40)
+    largest, slices = [], difference_cover._slices
+
+    def counted(distinct, base, keys):
+        out = slices(distinct, base, keys)
+        parts = [*keys, "slice"] if "slice" in out.columns else keys
+        largest.append(tuple(out.groupBy(*parts).count().agg(F.max("count"), F.sum("count")).first()))
+        assert distinct.count() == largest[-1][1]
+        return out
+    monkeypatch.setattr(difference_cover, "_slices", counted)
+    rng = random.Random(12)
+    line = " ".join(words(rng, 30))[:101]
+    texts = [(i, f"{rng.random()} {line} {' '.join(words(rng, 6))}") for i in range(400)]
+    window, seen, expected = 100, set(), []
+    for doc, text in texts:
+        data, gone = text.encode(), bytearray(len(text))
+        for i in range(len(data) - window + 1):
+            if data[i:i + window] in seen:
+                gone[i:i + window] = b"\1" * window
+            seen.add(data[i:i + window])
+        expected.append((doc, sum(gone), bytes(b for b, g in zip(data, gone) if not g)))
+    got = remove_later_copies(frame(spark, texts), window).collect()
+    assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in got) == expected
+    assert max(x for x, _ in largest) <= 200, largest
