@@ -327,23 +327,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     benchmark gives an empty result.  A repeated document row repeats its matches; of
     repeated item ids the better match counts.  Other columns are never read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = _found(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    return found.drop("text_hash")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Rows of `docs` that hold no benchmark item, with all their columns.  Rows are found
+    again by (id, null being an id too; hash of the text)."""
+    found = _found(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
+    return docs.join(saved(found, "contaminated"), same, "left_anti")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str,
+           item_text_col: str) -> DataFrame:
+    """The rows of `contaminated` with the hash of the document's text."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                        F.xxhash64(text_col).alias("text_hash"))
     schema = ("doc_id long, item_id long, cosine double, lcs double, answer double, "
-              "first_word int, end_word int")
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
+              "first_word int, end_word int, text_hash long")
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.int64()]
     names = [c.split()[0] for c in schema.split(", ")]
     out = []
     for items in _item_blocks(benchmark, item_col, item_text_col):
-        model = _fitted(texts, items)
+        model = _fitted(texts.select("text"), items)
 
         def search(batches: Iterator[pa.RecordBatch], model: Latent = model) -> Iterator[pa.RecordBatch]:
             for batch, row, _, hashes, offsets in _blocks(batches):
                 found = list(model.matches(hashes, offsets))
                 if found:
-                    ids = batch.column("doc_id").take(pa.array([row + f[0] for f in found], pa.int64()))
+                    at = pa.array([row + f[0] for f in found], pa.int64())
+                    ids, hashed = (batch.column(c).take(at) for c in ("doc_id", "text_hash"))
                     rest = list(zip(*found))[1:]
                     yield pa.RecordBatch.from_arrays(
-                        [ids, *(pa.array(c, k) for c, k in zip(rest, kinds[1:]))], names)
+                        [ids, *(pa.array(c, k) for c, k in zip(rest, kinds[1:-1])), hashed], names)
 
         out.append(saved(texts.mapInArrow(search, schema), "matches"))
     return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], schema)

@@ -47,11 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, verbatim or paraphrased."""
+    """Documents that hold no benchmark item, verbatim or paraphrased; null ids and rows
+    that share an id are judged by their own text."""
     ship(spark)
-    found = latent_retrieval.contaminated(docs, _table(spark, sf_dir, "benchmark"))
-    found = saved(found.select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return latent_retrieval.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

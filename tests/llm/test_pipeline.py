@@ -69,3 +69,16 @@ def test_stages_return_the_columns_of_documents(spark, folder):
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs.limit(0), path)
         assert out.columns == docs.columns and out.count() == 0, name
+
+
+def test_decontamination_judges_null_and_shared_ids_by_their_text(spark, folder):
+    path, _ = folder
+    item = spark.read.parquet(f"{path}/benchmark.parquet").where("item_id = 4").first().text
+    clean = "Nothing of the kind is said here, " * 9
+    rows = [(None, item), (None, clean), (7, f"{clean} {item}"), (7, clean), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.decontamination(spark, docs, path)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(
+        [(None, clean), (7, clean), (8, None), (None, None)], key=str)
