@@ -208,10 +208,10 @@ class Ranks:
     """Merge ranks of a rank file: encodes pre-tokens, decodes id arrays."""
 
     def __init__(self, path: str):
-        self.rank = read_ranks(path)
-        self.merger = from_ranks(self.rank)
-        by_id = [b""] * (max(self.rank.values()) + 1)
-        for token, i in self.rank.items():
+        rank = read_ranks(path)
+        self.merger = from_ranks(rank)
+        by_id = [b""] * (max(rank.values()) + 1)
+        for token, i in rank.items():
             by_id[i] = token
         self.lengths = np.array([len(t) for t in by_id], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)])
@@ -278,29 +278,48 @@ def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
 
 
+def _decoded(model: Ranks, lists: pa.Array) -> Iterator[tuple[int, pa.Array, pa.Array]]:
+    """(first row, id lists, their bytes) of consecutive blocks of about a million ids."""
+    ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0))) if len(lists) else np.zeros(0)
+    row = 0
+    while row < len(lists):
+        done = ends[row - 1] if row else 0
+        end = max(row + 1, int(np.searchsorted(ends, done + (1 << 20), side="right")))
+        part = lists.slice(row, end - row)
+        lengths = np.asarray(part.value_lengths().fill_null(0))
+        flat = part.flatten().to_numpy()
+        cum = np.concatenate([[0], np.cumsum(model.lengths[flat])])
+        offs = cum[np.concatenate([[0], np.cumsum(lengths)])]
+        data = pa.py_buffer(model.decode(flat).tobytes())
+        yield row, part, pa.Array.from_buffers(pa.large_binary(), end - row, [
+            None, pa.py_buffer(offs.astype(np.int64).tobytes()), data]).cast(pa.binary())
+        row = end
+
+
 def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     """`encode`'s rows without offsets, plus decoded binary: the bytes the ids stand for.
     A null id array counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ranks(rank_file)
         for batch in batches:
-            # blocks of about 2 million ids
-            ids = batch.column("ids")
-            ends = np.cumsum(np.asarray(ids.value_lengths().fill_null(0))) if len(ids) else np.zeros(0)
-            row = 0
-            while row < len(ids):
-                done = ends[row - 1] if row else 0
-                end = max(row + 1, int(np.searchsorted(ends, done + (1 << 20), side="right")))
-                part = ids.slice(row, end - row)
-                lengths = np.asarray(part.value_lengths().fill_null(0))
-                flat = part.flatten().to_numpy()
-                cum = np.concatenate([[0], np.cumsum(model.lengths[flat])])
-                offs = cum[np.concatenate([[0], np.cumsum(lengths)])]
-                data = pa.py_buffer(model.decode(flat).tobytes())
-                decoded = pa.Array.from_buffers(pa.large_binary(), end - row, [
-                    None, pa.py_buffer(offs.astype(np.int64).tobytes()), data]).cast(pa.binary())
+            for row, part, decoded in _decoded(model, batch.column("ids")):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, end - row), part, decoded], ["doc_id", "ids", "decoded"])
-                row = end
+                    [batch.column("doc_id").slice(row, len(part)), part, decoded], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded: `decode` of `encode` in one pass, so that a task keeps one
+    Python worker with one merge table.  Rows as in `encode`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ranks(rank_file)
+        for batch in batches:
+            for row, end, buf, offs in byte_blocks(batch.column("text")):
+                ids = _lists([i for i, _ in encode_block(buf, offs, model.packed)])
+                for at, part, decoded in _decoded(model, ids):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(row + at, len(part)), part, decoded], ["doc_id", "ids", "decoded"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

@@ -13,7 +13,7 @@ from calibra.llm.queries import ORACLE, QUERIES
 
 
 def test_queries_are_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(ORACLE) <= set(QUERIES) and [n for n, _ in corpus_pipeline.STAGES][-1] == "byte-level BPE"
 
 

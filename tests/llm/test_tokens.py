@@ -61,6 +61,10 @@ def test_encode_and_decode_round_trip(spark, encoder):
     assert sorted((r.doc_id or -1, tuple(r.ids), bytes(r.decoded)) for r in got) == sorted(
         (i or -1, tuple(encoder.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows)
     assert bpe_scan.decode(bpe_scan.encode(frame(spark, []), RANKS), RANKS).count() == 0
+    once = bpe_scan.round_trip(frame(spark, rows).repartition(3), RANKS).collect()
+    assert sorted((r.doc_id or -1, tuple(r.ids), bytes(r.decoded)) for r in once) == sorted(
+        (r.doc_id or -1, tuple(r.ids), bytes(r.decoded)) for r in got)
+    assert bpe_scan.round_trip(frame(spark, []), RANKS).count() == 0
     one = bpe_scan.encode(frame(spark, [(1, "it's é 12")]), RANKS).first()
     assert one.offsets == [0, 2, 4, 7]
 
