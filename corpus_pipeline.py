@@ -54,10 +54,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded_sha256 (digest of the bytes the ids decode to)."""
+    """doc_id, n_tokens, ids, decoded_sha256 (digest of the bytes the ids decode to) of every
+    row, repeated rows and null ids included; null and empty texts have no ids."""
     ship(spark)
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe_scan.decode(bpe_scan.encode(docs, path), path)
+    decoded = bpe_scan.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
