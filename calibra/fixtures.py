@@ -98,6 +98,20 @@ FROM {lineitem}""",
 SELECT DISTINCT p_type AS tipo_mat, concat('Tipo ', p_type) AS nombre,
        concat(lower(p_type), '@example.com') AS custodio
 FROM {part} WHERE p_type <> 'ECONOMY'""",
+    # F4r: audit runs: when each record's order was audited.
+    "audit_runs": """
+SELECT l_partkey AS SKU, l_orderkey, l_linenumber, o_orderdate AS fecha_auditoria
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    # F4v: origin versions with their identity.
+    "origin_versions": """
+SELECT l_partkey AS SKU, l_shipdate AS fecha_actualiza, l_orderkey AS origen, l_linenumber AS linea
+FROM {lineitem}""",
+    # F6d: audit history of several domains, one of them with most of the runs.
+    "domain_history": """
+SELECT o_orderkey AS id_ejecucion, o_orderdate AS fecha,
+       CASE WHEN o_custkey % 9 = 0 THEN 'Directorio' WHEN o_custkey % 17 = 1 THEN NULL ELSE 'Materiales' END AS dominio,
+       CAST(o_custkey % 101 AS DOUBLE) AS score_global
+FROM {orders}""",
     # audit history (from orders): one run per order.
     "audit_history": """
 SELECT concat('AUD_', CAST(o_orderkey AS STRING)) AS id_ejecucion, o_orderdate AS fecha,
@@ -118,6 +132,9 @@ SOURCES = {
     "origin_dates": ("lineitem",),
     "type_catalog": ("part",),
     "audit_history": ("orders",),
+    "audit_runs": ("lineitem", "orders"),
+    "origin_versions": ("lineitem",),
+    "domain_history": ("orders",),
 }
 
 
@@ -212,6 +229,9 @@ EVENT_RULES = {
     }
 }
 
+# The same without uniqueness: judged row by row.
+EVENT_ROW_RULES = {"DEFAULT": {k: v for k, v in EVENT_RULES["DEFAULT"].items() if k != "Unicidad"}}
+
 
 def master_changes(events: DataFrame) -> DataFrame:
     """events as master changes (user_id is the record key, event_type the type)."""

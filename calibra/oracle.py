@@ -592,4 +592,57 @@ SELECT 'auditor@example.com' AS usuario, 'Maestro de Materiales' AS dominio, 'PR
 FROM a""",
     "history_listing": f"""{_with('audit_history')} SELECT fecha, usuario, dominio, score_global, total_registros
 FROM audit_history ORDER BY fecha DESC""",
+    "sync_overlay": f"""{_with('audit_target_all', 'origin_dates')},
+early AS (SELECT SKU, max(fecha_actualiza) AS f FROM origin_dates WHERE fecha_actualiza < TIMESTAMP '1997-01-01' GROUP BY SKU),
+late AS (SELECT SKU, max(fecha_actualiza) AS f FROM origin_dates WHERE SKU % 2 = 0 GROUP BY SKU)
+SELECT t.SKU, t.Estado_Gestion, t.l_orderkey, t.l_linenumber,
+  coalesce(l.f, CASE WHEN t.l_orderkey % 2 = 0 THEN e.f END, t.Fecha_Actualizacion) AS Fecha_Actualizacion
+FROM audit_target_all t LEFT JOIN early e ON t.SKU = e.SKU LEFT JOIN late l ON t.SKU = l.SKU""",
+    "uniqueness_loads": f"""{_with('materials')},
+k AS (SELECT *, SKU % 3 AS carga, {_key('Desc_Material')} AS k1, {_key('grupo_material')} AS k2, {_key('tipo_mat')} AS k3 FROM materials),
+c AS (SELECT k1, k2, k3, carga, count(*) AS n FROM k GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER (PARTITION BY k1, k2, k3 ORDER BY carga) AS seen FROM c)
+SELECT k.SKU, CAST(k.carga AS INTEGER) AS carga,
+  CASE WHEN k.tipo_mat IS NOT NULL AND s.seen > 1 AND {_ne('k.Desc_Material')} THEN {_d(40)} ELSE {_d(100)} END AS Score_Unicidad
+FROM k JOIN s USING (k1, k2, k3, carga)""",
+    "asof_versions": f"""{_with('audit_runs', 'origin_versions')},
+v AS (SELECT SKU, fecha_actualiza, max((origen, linea)) AS m FROM origin_versions GROUP BY SKU, fecha_actualiza)
+SELECT a.SKU, a.l_orderkey, a.l_linenumber, a.fecha_auditoria, v.fecha_actualiza AS fecha_actualiza_vigente,
+  v.m[1] AS origen_vigente, v.m[2] AS linea_vigente
+FROM audit_runs a ASOF LEFT JOIN v ON a.SKU = v.SKU AND a.fecha_auditoria >= v.fecha_actualiza""",
+    "score_trend": f"""{_with('domain_history')} SELECT *, lag(score_global) OVER w AS anterior,
+  score_global - lag(score_global) OVER w AS cambio,
+  round_even(avg(score_global) OVER (PARTITION BY dominio ORDER BY fecha, id_ejecucion ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS media_movil
+FROM domain_history WINDOW w AS (PARTITION BY dominio ORDER BY fecha, id_ejecucion)""",
+    "score_cube": f"""{_with('materials', 'directory')}, m AS (WITH {typed_audit().lstrip().lstrip(',')} SELECT * FROM audited),
+d AS (WITH {directory_audit().lstrip().lstrip(',')} SELECT * FROM audited),
+b AS (SELECT 'Materiales' AS dominio, tipo_mat, Score_Calidad FROM m UNION ALL SELECT 'Directorio', tipo_mat, Score_Calidad FROM d),
+x AS (SELECT *, {_band('Score_Calidad')} AS banda FROM b)
+SELECT dominio, tipo_mat, banda, CAST(grouping(dominio, tipo_mat, banda) AS INTEGER) AS nivel, count(*) AS filas,
+  round_even(avg(Score_Calidad), 6) AS score FROM x GROUP BY CUBE (dominio, tipo_mat, banda)""",
+    "finding_changes": f"""{_with('materials')}, a AS (WITH {flagship_audit('materials').lstrip().lstrip(',')} SELECT * FROM audited),
+b AS (WITH {typed_audit().lstrip().lstrip(',')} SELECT * FROM audited),
+fa AS (SELECT Desc_Material, grupo_material, {_trim('p')} AS falla FROM (SELECT *, unnest(string_split(Hallazgos_Detallados, ', ')) AS p FROM a) WHERE {_trim('p')} <> ''),
+fb AS (SELECT Desc_Material, grupo_material, {_trim('p')} AS falla FROM (SELECT *, unnest(string_split(Hallazgos_Detallados, ', ')) AS p FROM b) WHERE {_trim('p')} <> ''),
+came AS (SELECT *, count(*) AS n FROM (SELECT * FROM fb EXCEPT ALL SELECT * FROM fa) GROUP BY ALL),
+went AS (SELECT *, count(*) AS n FROM (SELECT * FROM fa EXCEPT ALL SELECT * FROM fb) GROUP BY ALL),
+stay AS (SELECT *, count(*) AS n FROM (SELECT * FROM fa INTERSECT ALL SELECT * FROM fb) GROUP BY ALL),
+k AS (SELECT * FROM fa UNION SELECT * FROM fb)
+SELECT k.*, coalesce(s.n, 0) + coalesce(w.n, 0) AS antes, coalesce(s.n, 0) + coalesce(c.n, 0) AS despues,
+  coalesce(c.n, 0) AS aparecen, coalesce(s.n, 0) AS siguen, coalesce(w.n, 0) AS desaparecen
+FROM k LEFT JOIN came c USING (Desc_Material, grupo_material, falla) LEFT JOIN went w USING (Desc_Material, grupo_material, falla)
+LEFT JOIN stay s USING (Desc_Material, grupo_material, falla)""",
+    "stream_repeats": f"""SELECT make_timestamp(CAST(floor(epoch_us(ts) / 864000000000) AS BIGINT) * 864000000000) AS periodo, {_key('user_id')} AS SKU,
+  {_key('event_type')} AS tipo_mat, count(*) AS veces, first(event_id ORDER BY ts, event_id) AS primero
+FROM events WHERE ts IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
+    "stream_first_records": "SELECT DISTINCT user_id AS SKU, event_type AS tipo_mat FROM events WHERE ts IS NOT NULL",
+    "stream_windows": """WITH e AS (SELECT *, CASE WHEN event_id % 101 = 0 THEN 2 ELSE least(2, CASE WHEN ts < '2024-01-11' THEN 0
+    WHEN ts < '2024-01-21' THEN 1 ELSE 2 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) END AS paso,
+  coalesce(props IS NULL OR trim(lower(props)) IN ('', 'nan', 'nat', 'null'), false) AS f1, value IS NOT NULL AND value <= 10 AS f2 FROM events WHERE ts IS NOT NULL),
+agua AS (SELECT p.paso, (SELECT max(ts) FROM e WHERE e.paso < p.paso) - INTERVAL 10 DAY AS marca FROM (SELECT DISTINCT paso FROM e) p),
+w AS (SELECT e.*, make_timestamp(CAST(floor(epoch_us(ts) / 43200000000) AS BIGINT) * 43200000000 - k * 43200000000) AS inicio
+      FROM e, (SELECT unnest([0, 1]) AS k))
+SELECT inicio, inicio + INTERVAL 1 DAY AS fin, event_type AS tipo_mat, count(*) AS filas,
+  count(*) FILTER (WHERE event_type IS NOT NULL AND (f1 OR f2)) AS fallidas
+FROM w JOIN agua USING (paso) WHERE marca IS NULL OR inicio + INTERVAL 1 DAY > marca GROUP BY ALL""",
 }

@@ -494,6 +494,115 @@ def q_history_listing(spark, sf):
     return list_history_frame(FX.view(spark, sf, "audit_history"))
 
 
+# -- deltas, ordered operators, stateful streams --------------------------------
+
+def q_sync_overlay(spark, sf):
+    """I3 merge on read: half the target, dates up to 1997, the other half added, buckets
+    compacted, then all dates of the even SKUs; the table as read."""
+    from calibra.sources.deltas import DatedTable
+    target, origin = FX.view(spark, sf, "audit_target_all"), FX.view(spark, sf, "origin_dates")
+    table = DatedTable(spark, _run_folder(spark, "overlay"), buckets=16)
+    table.create(target.where("l_orderkey % 2 = 0"))
+    table.sync_dates(origin.where("fecha_actualiza < TIMESTAMP '1997-01-01 00:00:00'"))
+    table.append(target.where("l_orderkey % 2 = 1"))
+    table.compact()
+    table.sync_dates(origin.where("SKU % 2 = 0"))
+    return table.read()
+
+
+def q_uniqueness_loads(spark, sf):
+    """R2 over three loads (Q-8): a key repeats when its load or an earlier one holds it."""
+    from calibra.sources.deltas import KeyCounts
+    rule = FX.FLAGSHIP_RULES["DEFAULT"]["Unicidad"]
+    store = KeyCounts(spark, _run_folder(spark, "keys"), rule["Desc_Material"]["columnas"], buckets=16)
+    out = None
+    for n in range(3):
+        load = _materials(spark, sf).where(F.col("SKU") % 3 == n)
+        audited = audit(load, {"DEFAULT": {"Unicidad": rule}}, reference=store.known(load))
+        part = audited.select("SKU", F.lit(n).alias("carga"), K.SCORE_UNIQUENESS)
+        out = part if out is None else out.unionByName(part)
+        store.add(load, n)
+        if n == 1:
+            store.compact()
+    return out
+
+
+def q_asof_versions(spark, sf):
+    """The origin version that was valid when each audit ran."""
+    from calibra.operators.ordered import asof_join
+    return asof_join(FX.view(spark, sf, "audit_runs"), FX.view(spark, sf, "origin_versions"), "SKU", "fecha_auditoria",
+                     "fecha_actualiza", ["origen", "linea"], ties=["origen", "linea"])
+
+
+def q_score_trend(spark, sf):
+    """Change against the previous run and moving mean over the history (frames over S6)."""
+    from calibra.sources.history import score_trend
+    return score_trend(FX.view(spark, sf, "domain_history"), runs=3, digits=ROUND)
+
+
+def q_score_cube(spark, sf):
+    """Scores by domain, type and band with all subtotals in one pass."""
+    both = _typed(spark, sf).select(F.lit("Materiales").alias("dominio"), "tipo_mat", K.SCORE).unionByName(
+        _dir_audit(spark, sf).select(F.lit("Directorio").alias("dominio"), "tipo_mat", K.SCORE))
+    return reports.score_cube(both, ["dominio", "tipo_mat"], digits=ROUND)
+
+
+def q_finding_changes(spark, sf):
+    """Findings that appeared, stayed or went between two audits of the master."""
+    from calibra.operators.changes import finding_changes
+    return finding_changes(_flagship(spark, sf), _typed(spark, sf), ["Desc_Material", "grupo_material"])
+
+
+def _fed(parts, source: str, run) -> None:
+    """Write each part to the stream's source and let the stream consume it."""
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        run()
+
+
+def q_stream_repeats(spark, sf):
+    """Uniqueness over a stream in three steps: keys that repeat within ten days."""
+    import os
+
+    from calibra.streaming import stream_state as S
+    run, events = _run_folder(spark, "stream_repeats"), FX.table(spark, sf, "events")
+    source, out = os.path.join(run, "in"), os.path.join(run, "out")
+    _fed([events.where(F.col("event_id") % 3 == b) for b in range(3)], source, lambda: S.stream_repeats(
+        spark, source, events.schema, out, ["SKU", "tipo_mat"], "event_id", "ts", "10 days", "60 days",
+        os.path.join(run, "checkpoint"), FX.master_changes))
+    return S.read_repeats(spark, out, ["SKU", "tipo_mat"])
+
+
+def q_stream_first_records(spark, sf):
+    """The stream without repeated keys, in three steps: the keys of the records kept."""
+    import os
+
+    from calibra.streaming import stream_state as S
+    run, events = _run_folder(spark, "stream_first"), FX.table(spark, sf, "events")
+    source, out = os.path.join(run, "in"), os.path.join(run, "out")
+    _fed([events.where(F.col("event_id") % 3 == b) for b in range(3)], source, lambda: S.stream_first_records(
+        spark, source, events.schema, out, ["SKU", "tipo_mat"], "event_id", "ts", "60 days",
+        os.path.join(run, "checkpoint"), FX.master_changes))
+    return spark.read.parquet(out).select("SKU", "tipo_mat")
+
+
+def q_stream_windows(spark, sf):
+    """Failed rows per type in sliding windows, in three steps of ten days; a seventh of the
+    rows comes a step late, and one row in 101 comes last: too late where its window has
+    been closed by the watermark."""
+    import os
+
+    from calibra.streaming import stream_state as S
+    run, events = _run_folder(spark, "stream_windows"), FX.table(spark, sf, "events")
+    source, out = os.path.join(run, "in"), os.path.join(run, "out")
+    step = F.expr("CASE WHEN event_id % 101 = 0 THEN 2 ELSE least(2, CASE WHEN ts < '2024-01-11' THEN 0 "
+                  "WHEN ts < '2024-01-21' THEN 1 ELSE 2 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) END")
+    _fed([events.where(step == b) for b in range(3)], source, lambda: S.stream_failures(
+        spark, source, events.schema, out, FX.EVENT_ROW_RULES, "ts", "1 day", "10 days", os.path.join(run, "checkpoint"),
+        slide="12 hours", prepare=FX.master_changes))
+    return S.read_failures(spark, out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

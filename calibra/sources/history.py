@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calibra import constants as K
 from calibra.functions.text import qcol
 from calibra.operators import reports
+from calibra.operators.ordered import CONTEXT, PART, with_context
 from calibra.sources.io import exists
 
 _TYPES = {"string": T.StringType(), "timestamp": T.TimestampType(), "bigint": T.LongType(),
@@ -89,3 +90,20 @@ def list_history(spark: SparkSession, path: str, display: bool = True) -> DataFr
     if not exists(spark, path):
         return spark.createDataFrame([], HISTORY_SCHEMA)
     return list_history_frame(read_history(spark, path), display)
+
+
+def score_trend(history: DataFrame, runs: int = 3, order=("fecha", "id_ejecucion"), domain: str = "dominio",
+                score: str = "score_global", digits: int | None = None) -> DataFrame:
+    """Every run with `anterior` (the score of the domain's run before), `cambio` against it
+    and `media_movil`, the mean of its last `runs` runs.
+
+    `order` is a total order within a domain; a null domain is one domain.  A domain with
+    most of the runs is spread over ranges (`with_context`).
+    """
+    rows = with_context(history, [domain], order, max(1, runs - 1))
+    w = Window.partitionBy(PART, qcol(domain)).orderBy(*[qcol(c) for c in order])
+    mean = F.avg(qcol(score)).over(w.rowsBetween(1 - runs, 0))
+    before = F.lag(qcol(score)).over(w)
+    out = rows.withColumns({"anterior": before, "cambio": qcol(score) - before,
+                            "media_movil": mean if digits is None else F.bround(mean, digits)})
+    return out.where(~F.col(CONTEXT)).drop(PART, CONTEXT)
