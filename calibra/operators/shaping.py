@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,12 +60,37 @@ def as_text_columns(df: DataFrame, cols: Sequence[str] = K.TEXT_TARGET_COLUMNS)
     return df.withColumns({c: qcol(c).cast("string") for c in present})
 
 
-def normalize_types(df: DataFrame) -> DataFrame:
-    """User-defined types to their storage type; NTZ timestamps kept as they are."""
-    changes = {}
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.UserDefinedType):
-            changes[f.name] = qcol(f.name).cast(f.dataType.sqlType())
+def _stored(col: Column, kind: T.DataType, wall_clock: bool) -> tuple[Column, T.DataType] | None:
+    """A value in its storage type and that type; None where nothing changes."""
+    if isinstance(kind, T.UserDefinedType):
+        plain = F.unwrap_udt(col)
+        return _stored(plain, kind.sqlType(), wall_clock) or (plain, kind.sqlType())
+    if isinstance(kind, T.TimestampNTZType) and not wall_clock:
+        instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col))
+        return instant, T.TimestampType()
+    if isinstance(kind, T.StructType):
+        parts = [(f, _stored(col[f.name], f.dataType, wall_clock)) for f in kind.fields]
+        if not any(p for _, p in parts):
+            return None
+        made = F.struct(*[(p[0] if p else col[f.name]).alias(f.name) for f, p in parts])
+        return (F.when(col.isNotNull(), made),
+                T.StructType([T.StructField(f.name, p[1] if p else f.dataType, f.nullable) for f, p in parts]))
+    if isinstance(kind, T.ArrayType):
+        found: list = []
+        made = F.transform(col, lambda x: found.append(_stored(x, kind.elementType, wall_clock)) or (found[-1] or (x,))[0])
+        return (made, T.ArrayType(found[-1][1], kind.containsNull)) if found[-1] else None
+    if isinstance(kind, T.MapType):                  # keys can't change: two keys could become one
+        found = []
+        made = F.transform_values(col, lambda k, x: found.append(_stored(x, kind.valueType, wall_clock)) or (found[-1] or (x,))[0])
+        return (made, T.MapType(kind.keyType, found[-1][1], kind.valueContainsNull)) if found[-1] else None
+    return None
+
+
+def normalize_types(df: DataFrame, wall_clock: bool = True) -> DataFrame:
+    """User-defined types to their storage type, at any depth of structs, arrays and map
+    values.  Timestamps without a zone stay (the original keeps date-times as they are);
+    with `wall_clock=False` they become instants, read as UTC.  Nulls stay null."""
+    changes = {f.name: done[0] for f in df.schema.fields if (done := _stored(qcol(f.name), f.dataType, wall_clock))}
     return df.withColumns(changes) if changes else df
 
 

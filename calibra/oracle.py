@@ -645,4 +645,11 @@ w AS (SELECT e.*, make_timestamp(CAST(floor(epoch_us(ts) / 43200000000) AS BIGIN
 SELECT inicio, inicio + INTERVAL 1 DAY AS fin, event_type AS tipo_mat, count(*) AS filas,
   count(*) FILTER (WHERE event_type IS NOT NULL AND (f1 OR f2)) AS fallidas
 FROM w JOIN agua USING (paso) WHERE marca IS NULL OR inicio + INTERVAL 1 DAY > marca GROUP BY ALL""",
+    "search_indexed": f"{_with('materials')} " + _search_side("materials", [c.strip() for c in MATERIAL_COLS.split(",")]).replace(
+        _SEARCH_PATTERN, "(?i)brand#13"),
+    "normalize_nested": """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[1] AS DOUBLE) AS directo,
+  CAST(embedding[1] AS DOUBLE) AS en_struct, CAST(embedding[1] AS DOUBLE) AS en_lista, CAST(embedding[1] AS DOUBLE) AS en_mapa,
+  true AS nulo FROM embeddings WHERE embedding IS NOT NULL""",
+    "history_last_source": f"""{TYPED}, n AS (SELECT count(*) AS total_registros FROM audited)
+SELECT unnest(['AUD_0', 'AUD_2', 'AUD_3']) AS id_ejecucion, total_registros FROM n""",
 }

@@ -553,6 +553,43 @@ def q_finding_changes(spark, sf):
     return finding_changes(_flagship(spark, sf), _typed(spark, sf), ["Desc_Material", "grupo_material"])
 
 
+def q_search_indexed(spark, sf):
+    """Q21 through the n-gram index: the master in ranges of its key, a literal term."""
+    import os
+
+    from calibra.sources import text_index
+    run = _run_folder(spark, "search")
+    table, index = os.path.join(run, "table"), os.path.join(run, "index")
+    _materials(spark, sf).repartitionByRange(16, "SKU").write.parquet(table)
+    text_index.update_index(spark, table, index)
+    return text_index.search_indexed(spark, table, index, "BRAND#13", "materials")
+
+
+def q_normalize_nested(spark, sf):
+    """Vectors as a column, in a struct, in an array and as map values, unwrapped to storage."""
+    from pyspark.ml.functions import array_to_vector
+    e = FX.table(spark, sf, "embeddings")
+    vector = array_to_vector(F.col("embedding").cast("array<double>"))
+    df = e.where("embedding IS NOT NULL").select("vec_id", vector.alias("v")).select(
+        "vec_id", "v", F.struct("v", F.lit(1).alias("uno")).alias("s"), F.array("v", F.lit(None).cast("void")).alias("l"),
+        F.create_map(F.lit("k"), F.col("v")).alias("m"))
+    plain = shaping.normalize_types(df)
+    first = lambda c: F.get(c["values"], 0)
+    return plain.select("vec_id", F.size(F.col("v.values")).alias("n"), first(F.col("v")).alias("directo"),
+                        first(F.col("s.v")).alias("en_struct"), first(F.col("l")[0]).alias("en_lista"),
+                        first(F.col("m")["k"]).alias("en_mapa"), F.col("l")[1].isNull().alias("nulo"))
+
+
+def q_history_last_source(spark, sf):
+    """S5 as the original guards it: a source again after another one is another record."""
+    from calibra.sources.history import append_history, read_history
+    path = _run_folder(spark, "history")
+    a = _typed(spark, sf)
+    for n, source in enumerate(("a", "a", "b", "a")):
+        append_history(a, path, "auditor@example.com", "Maestro", run_id=f"AUD_{n}", strict=True, source_name=source, once="last")
+    return read_history(spark, path).select("id_ejecucion", "total_registros")
+
+
 def _fed(parts, source: str, run) -> None:
     """Write each part to the stream's source and let the stream consume it."""
     for part in parts:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,11 +14,11 @@ from calibra import constants as K
 from calibra.functions.text import qcol
 from calibra.operators import reports
 from calibra.operators.ordered import CONTEXT, PART, with_context
-from calibra.sources.io import exists
+from calibra.sources.io import exists, hadoop_path
 
 _TYPES = {"string": T.StringType(), "timestamp": T.TimestampType(), "bigint": T.LongType(),
           "double": T.DoubleType()}
-_RECORDED: dict[str, set] = {}          # names of recorded sources by application
+_LAST: dict[tuple[str, str], str] = {}          # last recorded source by application and history
 HISTORY_SCHEMA = T.StructType([T.StructField(n, _TYPES[t], True) for n, t in K.HISTORY_COLUMNS])
 
 
@@ -50,27 +52,77 @@ def history_record(audited: DataFrame, user: str, domain: str, types=None,
         *[F.col(n).cast("double").alias(n) for n, _ in reports.SUMMARY_COLUMNS])
 
 
-def append_history(audited: DataFrame, path: str, user: str, domain: str, types=None,
-                   run_id: str | None = None, strict: bool = False, source_name: str | None = None) -> str | None:
-    """Append one record; a failure only warns unless `strict`.  Returns the run id.
+def _claim(spark: SparkSession, path: str, source: str, run_id: str, stale_seconds: float) -> tuple[str, str] | None:
+    """(place of the claim, run id to write) when `source` is this caller's to record.
 
-    With `source_name` a source is recorded once per Spark application: a second call
-    with that name writes nothing and returns None.
+    The claim is a file that the store creates only if there is none, so of any number of
+    applications one gets it.  A claim that was never completed is taken over once it is
+    older than `stale_seconds`, unless its record is in the history.
     """
-    if source_name is not None:
-        seen = _RECORDED.setdefault(audited.sparkSession.sparkContext.applicationId, set())
-        if source_name in seen:
-            return None
-        seen.add(source_name)
+    place = f"{path.rstrip('/')}_claims/{hashlib.sha256(source.encode()).hexdigest()}"
+    files, file = hadoop_path(spark, place)
+    jvm = spark.sparkContext._jvm
+    try:
+        out = files.create(file, False)
+        out.write(bytearray(run_id.encode()))
+        out.close()
+        return place, run_id
+    except Py4JJavaError as exc:
+        if not files.exists(file):
+            raise exc
+    if exists(spark, place + ".done"):
+        return None
+    age = time.time() - files.getFileStatus(file).getModificationTime() / 1000
+    if age < stale_seconds:
+        return None
+    stream = files.open(file)
+    held = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    stream.close()
+    if exists(spark, path) and read_history(spark, path).where(F.col("id_ejecucion") == held).limit(1).count():
+        files.create(hadoop_path(spark, place + ".done")[1], True).close()
+        return None
+    return place, held
+
+
+def append_history(audited: DataFrame, path: str, user: str, domain: str, types=None,
+                   run_id: str | None = None, strict: bool = False, source_name: str | None = None,
+                   once: str = "ever", stale_seconds: float = 3600.0) -> str | None:
+    """Append one record; a failure only warns unless `strict`.  Returns the run id,
+    None when nothing was written.
+
+    With `source_name`, `once` says how often a source is recorded.  "ever": once per
+    history, whatever applications record it (`_claim`; run ids must be unique for a
+    failed claim to be told from a written one).  "last": not again while it is the last
+    source that this application recorded, as the original does, so A, B, A are three
+    records.  A failed write is forgotten: the source can be recorded again.
+    """
+    spark = audited.sparkSession
     rid = run_id or f"{K.HISTORY_ID_PREFIX}{int(time.time())}"
+    claim, last = None, (spark.sparkContext.applicationId, path)
+    if source_name is not None and once == "last" and _LAST.get(last) == source_name:
+        return None
+    if source_name is not None and once == "ever":
+        claim = _claim(spark, path, source_name, rid, stale_seconds)
+        if claim is None:
+            return None
+        rid = claim[1]
     try:
-        ensure_history(audited.sparkSession, path)
+        ensure_history(spark, path)
         history_record(audited, user, domain, types, rid).write.mode("append").parquet(path)
     except Exception as exc:  # the original only shows a toast
+        if claim:
+            files, file = hadoop_path(spark, claim[0])
+            files.delete(file, False)
         if strict:
             raise
         import warnings
         warnings.warn(f"history not written: {exc}")
+        return None
+    if claim:
+        files, done = hadoop_path(spark, claim[0] + ".done")
+        files.create(done, True).close()
+    elif source_name is not None:
+        _LAST[last] = source_name
     return rid
 
 
