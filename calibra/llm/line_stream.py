@@ -164,8 +164,11 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 20, least_docs: int = LEAST
 
     marks = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(stream, _MARK_SCHEMA), "line-marks")
     border = marks.where("NOT dropped")
-    holders = (border.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
-               .agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("held_by")).where(F.col("held_by") >= least_docs))
+    # at most two hashes per range; as a table of known size Spark ships it to the border rows
+    # where it is below the broadcast threshold, and a hot hash's rows stay spread
+    holders = saved(border.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
+                    .agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("held_by")).where(F.col("held_by") >= least_docs),
+                    "line-holders")
     late = (border.where("pos >= 0").join(holders, ["h1", "h2"])
             .where(~F.col("doc_id").eqNullSafe(F.col("last"))))
     gone = marks.where("dropped").select("doc_id", "text_hash", "pos").unionByName(late.select("doc_id", "text_hash", "pos"))
