@@ -201,8 +201,9 @@ def near_words(counts: DataFrame, subtree_words: int = SUBTREE_WORDS) -> DataFra
                                                  "subtree binary, role int, word string, n long")
     rows = saved(rows, "trie-rows")
     cut = lambda held: F.ceil(F.count(F.when(held, 1)) / F.lit(float(subtree_words))).cast("int")
-    tries = rows.groupBy("subtree").agg(cut(F.col("role") == INDEX).alias("tries"), cut(F.col("role") != INDEX).alias("askers")) \
-        .where("tries > 0")                     # a subtree without words answers no search
+    # (a subtree without words answers no search)
+    tries = saved(rows.groupBy("subtree").agg(cut(F.col("role") == INDEX).alias("tries"), cut(F.col("role") != INDEX).alias("askers"))
+                  .where("tries > 0"), "trie-counts")
     hashed = F.xxhash64("word")
     is_index = F.col("role") == INDEX
     dealt = rows.join(tries, "subtree").select(
@@ -212,7 +213,9 @@ def near_words(counts: DataFrame, subtree_words: int = SUBTREE_WORDS) -> DataFra
         F.pmod(hashed, F.when(is_index, F.col("tries")).otherwise(F.col("askers")).cast("long")).cast("int").alias("own"))
     group = ["subtree", F.when(is_index, F.col("own")).otherwise(F.col("copy")).alias("trie"),
              F.when(is_index, F.col("copy")).otherwise(F.col("own")).alias("asker")]
-    return dealt.select("role", "word", "n", *group).groupBy("subtree", "trie", "asker").applyInArrow(
+    # dealt by all three, or the tries of a hot subtree would stay in the task of its join
+    dealt = dealt.select("role", "word", "n", *group).repartition("subtree", "trie", "asker")
+    return dealt.groupBy("subtree", "trie", "asker").applyInArrow(
         lambda t: _pairs(t, levels, depth), "word string, other string, other_n long")
 
 
