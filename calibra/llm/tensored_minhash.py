@@ -9,7 +9,8 @@ threshold, less above it.  Every candidate is confirmed on the full shingle sets
 
 1. One pass makes each document's distinct shingles (64-bit hashes), a 128-bit digest of
    the set and the two collections.  Documents with equal sets form a class (a partial
-   aggregate); only its smallest id goes on.
+   aggregate); only its number goes on, with the smallest (id, text hash) to find a text by.
+   So texts that share an id keep sets of their own; ids are joined at the very end.
 2. (table key, id) rows are range-partitioned and sorted by both columns, so a huge bucket
    is spread over several ranges.  Each range passes on the rows of runs of two or more;
    a small aggregate joins runs that cross ranges.
@@ -93,9 +94,9 @@ def _signature_batches(k: int, m: int):
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(part).view(np.int64).ravel()), m)
                          .cast(pa.list_(pa.int64())) for part in (keys[:, :m], keys[:, m:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, end - row), pa.array(sizes, pa.int64()),
+                    [*(batch.column(c).slice(row, end - row) for c in ("doc_id", "text_hash")), pa.array(sizes, pa.int64()),
                      pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), *lists],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "left_keys", "right_keys"])
+                    ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "left_keys", "right_keys"])
     return run
 
 
@@ -169,33 +170,30 @@ def _shingles(k: int):
         for batch in batches:
             for row, end, buf, offs in byte_blocks(batch.column("text")):
                 items, cuts = shingle_sets(buf, offs, k)
-                ids = batch.column("doc_id").slice(row, end - row).to_numpy(zero_copy_only=False)
+                ids = batch.column("rep").slice(row, end - row).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(ids, np.diff(cuts)), pa.int64()), pa.array(items.view(np.int64))],
                     ["rep", "shingle"])
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id).
-
-    A document's set holds its distinct k-word shingles (A-Z as a-z; fewer words: all of
-    them as one shingle).  Documents are linked when 100 * intersection >= percent * union;
-    component_id is the smallest doc_id reachable.  Null, empty and wordless texts have an
-    empty set, are linked with nothing and stay.  Rows with a null id are linked with
-    nothing: their component_id is null and kept is true.  Rows that share an id count as
-    one document.  An empty table gives an empty result; other columns are never read.
-    """
+def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, roots): doc_id, text_hash, n_shingles and class number `rep` (null
+    without words or id) of every row; rep, doc_id, text_hash of every class, its smallest
+    row; (node, root) of the classes that have links, components of which share a root."""
     m = tables(percent / 100)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                        F.xxhash64(text_col).alias("text_hash"))
     signed = saved(texts.mapInArrow(
-        _signature_batches(k, m), "doc_id long, n_shingles long, set_a long, set_b long, "
+        _signature_batches(k, m), "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, "
                                   "left_keys array<long>, right_keys array<long>"), "signatures")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["set_a", "set_b", "n_shingles"]
-    classes = saved(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("left_keys").alias("left_keys"),
-                                              F.first("right_keys").alias("right_keys")), "classes")
+    grouped = usable.groupBy(*same).agg(F.min(F.struct("doc_id", "text_hash")).alias("least"),
+                                        F.first("left_keys").alias("left_keys"), F.first("right_keys").alias("right_keys"))
+    # The numbers are fixed by the written table; only their being distinct matters.
+    classes = saved(grouped.select(F.monotonically_increasing_id().alias("rep"), "least.doc_id", "least.text_hash",
+                                   *same, "left_keys", "right_keys"), "classes")
     keyed = classes.select("rep", F.explode(F.expr(
         "flatten(transform(left_keys, (a, i) -> transform(right_keys, (b, j) -> xxhash64(a, b, i, j))))")).alias("key"))
     ranged = keyed.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
@@ -213,12 +211,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80,
     hubs = saved(inside.join(reach, "rep").groupBy("key").agg(
         (-F.max(F.struct("reach", (-F.col("rep")).alias("r")))["r"]).alias("centre")), "hubs")
     stars = inside.select("key", F.col("rep").alias("member")).join(hubs, "key").where("member <> centre")
-    involved = inside.select(F.col("rep").alias("doc_id")).distinct()
-    wanted = saved(texts.where("doc_id IS NOT NULL").join(involved, "doc_id", "left_semi"), "involved-texts")
+    involved = saved(classes.select("rep", "doc_id", "text_hash").join(inside.select("rep").distinct(), "rep", "left_semi"),
+                     "involved")
+    wanted = saved(texts.where("doc_id IS NOT NULL").join(involved, ["doc_id", "text_hash"])
+                   .groupBy("rep").agg(F.first("text").alias("text")), "involved-texts")       # repeated rows once
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        u = wanted.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
-        v = wanted.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
+        u = wanted.select(F.col("rep").alias("u"), F.col("text").alias("text_u"))
+        v = wanted.select(F.col("rep").alias("v"), F.col("text").alias("text_v"))
         return saved(pairs.select("u", "v").join(v, "v").join(u, "u").select("u", "v", "text_u", "text_v")
                      .mapInArrow(_similar(k, percent), "u long, v long").distinct(), "confirmed")
 
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80,
     # The exact way for these: order shingles by how many of the documents have them; two
     # similar documents share one of their rarest shingles, early enough in both orders.
     left = inside.select("rep", "part", "n").distinct()
-    every = saved(wanted.join(left.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    every = saved(wanted.join(left.select("rep"), "rep", "left_semi").select("rep", "text")
                   .mapInArrow(_shingles(k), "rep long, shingle long"), "shingles")
     spread = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("rep").orderBy("df", "shingle")             # one document's shingles
@@ -273,10 +273,58 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80,
         more = confirmed(third)
         if more.limit(1).count():
             roots = components(links.union(more))
-            label = roots.select(F.col("node").alias("rep"), "root")
-    classed = signed.select("doc_id", *same).join(classes.select(*same, "rep"), same, "left")
+    rows = saved(signed.select("doc_id", "text_hash", *same)
+                 .join(classes.select(*same, "rep"), same, "left")
+                 .select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")),
+                 "rows-of-classes")
+    return rows, classes.select("rep", "doc_id", "text_hash"), roots
+
+
+def _least_of_components(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(rep, least_id, least_hash): the smallest (doc_id, text_hash) of each class's component."""
+    placed = saved(classes.join(roots, F.col("rep") == F.col("node"), "left")
+                   .select("rep", F.coalesce("root", "rep").alias("root"), "doc_id", "text_hash"), "placed")
+    least = saved(placed.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("least")), "least")
+    return saved(placed.join(least, "root").select("rep", F.col("least.doc_id").alias("least_id"),
+                                                   F.col("least.text_hash").alias("least_hash")), "least-of-classes")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id).
+
+    A document's set holds its distinct k-word shingles (A-Z as a-z; fewer words: all of
+    them as one shingle).  Documents are linked when 100 * intersection >= percent * union;
+    component_id is the smallest doc_id reachable.  Null, empty and wordless texts have an
+    empty set, are linked with nothing and stay.  Rows with a null id are linked with
+    nothing: their component_id is null and kept is true.  Rows with words that share an id
+    are one node: each text has its own set and links, and the links of all of them count
+    for the id.  An empty table gives an empty result; other columns are never read.
+    """
+    rows, classes, roots = _linked(docs, k, percent, id_col, text_col)
+    owned = rows.where("rep IS NOT NULL")
+    shared = saved(owned.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last"))
+                   .where("u < last").select("doc_id", "u"), "shared-ids")
+    if shared.limit(1).count():
+        through = owned.join(shared, "doc_id").select("u", F.col("rep").alias("v")).where("u <> v").distinct()
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(through))
     own = F.col("doc_id")
-    return (classed.join(label, "rep", "left")
-            .select("doc_id", "n_shingles",
-                    F.when(own.isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
+    return (rows.join(_least_of_components(classes, roots), "rep", "left")
+            .select("doc_id", "n_shingles", F.when(own.isNotNull(), F.coalesce("least_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.col("component_id").isNull() | (own == F.col("component_id"))))
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80,
+                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of `docs`, with all their columns, without the near copies: of texts linked
+    directly or through others, the one with the smallest (id, hash of the text) stays.
+
+    Rows are judged by their own text, also where they share an id, and are found again by
+    (id, hash of the text); equal rows stay or go together.  Wordless texts and null ids stay.
+    """
+    rows, classes, roots = _linked(docs, k, percent, id_col, text_col)
+    gone = (rows.join(_least_of_components(classes, roots), "rep")
+            .where("doc_id <> least_id OR text_hash <> least_hash")
+            .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
+    return docs.join(saved(gone, "near-copies"), same, "left_anti")

@@ -13,7 +13,7 @@ from calibra.llm.anchors import remove_repeats
 from calibra.llm.components import components
 from calibra.llm.content_sort import exact_dedup, keep_first_copies
 from calibra.llm.difference_cover import remove_later_copies
-from calibra.llm.tensored_minhash import near_duplicates, tables
+from calibra.llm.tensored_minhash import drop_near_copies, near_duplicates, tables
 
 #: Names that operators use inside, as columns of the input.
 CLASHES = ("chunk", "key", "rep", "part", "run", "hash", "norm", "string", "pos", "rank", "component_id", "kept",
@@ -135,6 +135,78 @@ def test_near_duplicates_match_brute_force(spark, k, percent):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+def similar(s, t, percent):
+    return bool(s and t) and 100 * len(s & t) >= percent * len(s | t)
+
+
+def shared_id_rows(rng):
+    """Ids with several texts, links through them, repeated rows, rows without words or id."""
+    base = [words(rng, 60) for _ in range(30)]
+    rows = []
+    for i in range(50):
+        for _ in range(rng.randrange(1, 4)):
+            text = list(rng.choice(base))
+            for _ in range(rng.randrange(0, 6)):
+                text[rng.randrange(60)] = f"edit{rng.randrange(40)}"
+            rows.append((i, " ".join(text)))
+    rows += rows[:9] + rows[:3] + [(None, rows[0][1]), (4, None), (4, ""), (5, " \t"), (60, None), (61, "solo"), (61, "SOLO")]
+    return rows
+
+
+def root_finder():
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    def join(a, b):
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return find, join
+
+
+def test_a_link_through_texts_that_share_an_id_is_kept(spark):
+    one, two = words(random.Random(31), 40), words(random.Random(32), 40)
+    rows = [(1, " ".join(one)), (2, " ".join([*one, "more"])), (2, " ".join(two)), (3, " ".join([*two, "more"]))]
+    got = near_duplicates(frame(spark, rows), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [
+        (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False)]
+    left = drop_near_copies(frame(spark, rows), 3, 85).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([rows[0], rows[2]])
+
+
+def test_near_duplicates_with_shared_ids_match_brute_force(spark):
+    rows = shared_id_rows(random.Random(21))
+    sets = [shingles(t, 3) for _, t in rows]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a)
+              if None not in (rows[a][0], rows[b][0]) and similar(sets[a], sets[b], 85)]
+    find, join = root_finder()
+    for a, b in linked:
+        join(rows[a][0], rows[b][0])
+    expected = collections.Counter(
+        (i, len(s), None if i is None else find(i) if s else i) for (i, _), s in zip(rows, sets))
+    got = near_duplicates(frame(spark, rows).repartition(3), 3, 85).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
+    assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+
+    find, join = root_finder()
+    for a, b in linked:
+        join(a, b)
+    groups = collections.defaultdict(list)
+    for a, (i, t) in enumerate(rows):
+        groups[find(a)].append((i, t))
+    left = drop_near_copies(frame(spark, rows).repartition(3), 3, 85)
+    assert left.columns == frame(spark, []).columns
+    left = collections.Counter((r.doc_id, r.text) for r in left.collect())
+    assert not left - collections.Counter(rows)
+    for group in groups.values():
+        kept = {r for r in group if left[r]}
+        assert len(kept) == 1 and next(iter(kept))[0] == min(group, key=lambda r: (r[0] is not None, r[0]))[0]
+        assert all(left[r] == rows.count(r) for r in kept)
+
+
 def test_number_of_tables_bounds_the_miss():
     for threshold in (0.5, 0.8, 0.85, 0.95):
         m = tables(threshold)
