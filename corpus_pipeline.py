@@ -40,10 +40,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more on shingles of five words, the
-    one with the smallest id.  Wordless texts and null ids stay."""
+    one with the smallest id.  Wordless texts and null ids stay; rows that share an id are
+    judged by their own text."""
     ship(spark)
-    dropped = tensored_minhash.near_duplicates(docs, k=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(saved(dropped, "near-copies"), "doc_id", "left_anti").select(docs.columns)
+    return tensored_minhash.drop_near_copies(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
