@@ -14,7 +14,9 @@
    and compared with the items by cosine; it must also hold a least share (COVER) of the
    item's own length there, which a window with two or three of its terms doesn't.  An item
    longer than a window is searched in segments, each a query of its own; a hit of any
-   segment makes the item a candidate.
+   segment makes the item a candidate.  Items of one word have groups of their own, where
+   the word alone makes a candidate: a cosine says nothing of one word among others.  A text
+   is taken in runs of windows, so latent rows need the same memory however long it is.
 4. Checks: a candidate counts if the longest common subsequence of the item's words and
    the window (for an item in segments, a region as long as the item around the aligned
    place; with a margin) covers enough of the item; a weak match also needs enough of
@@ -47,9 +49,10 @@ WINDOWS = ((24, 8, 28), (48, 16, None))
 SEGMENT = 32            # words; at any place one of the 48-word windows holds all of it
 CORPUS_DIRECTIONS, OVERSAMPLE = 64, 16
 COMMON = 0.005          # terms in more passages than this share carry no weight ...
-RAREST = 5              # ... but each item keeps its rarest ones
+RAREST = 12             # ... but each query keeps its rarest ones
 GROUP = 192             # queries (and their directions) of one latent space
 QUERIES_PER_BLOCK = 10 * GROUP
+RUN = 4096              # rows of STEP words that are in latent form at a time
 COSINE, COVER, LCS, ANSWER, STRONG = 0.45, 0.3, 0.6, 0.5, 0.7
 _OUTER = np.isin(np.arange(256), list(b".,;:!?\"'()[]{}|*#$%&-_"))
 
@@ -121,8 +124,11 @@ class Group:
     """Latent space of some queries of one window kind: (item number, its first word,
     numbers of its terms) each."""
 
-    def __init__(self, size: int, step: int, queries: list[tuple], idf: np.ndarray, corpus: np.ndarray):
+    def __init__(self, size: int, step: int, queries: list[tuple], idf: np.ndarray, corpus: np.ndarray,
+                 single: bool):
         self.size, self.step = size, step
+        #: weighted words and cosine that a window needs
+        self.held, self.cosine = (1, 0.0) if single else (2, COSINE)
         self.places = [(k, a) for k, a, _ in queries]
         terms = np.unique(np.concatenate([t for _, _, t in queries]))
         self.terms = terms[idf[terms] > 0]
@@ -193,10 +199,34 @@ class Latent:
             chosen = [(k, a, self.locate(words)) for k, a, words in self.queries
                       if shortest < len(self.items[k].words) <= (longest or len(self.items[k].words))]
             shortest = longest
-            n = -(-len(chosen) // GROUP)
-            for i in range(n):
-                part = chosen[len(chosen) * i // n:len(chosen) * (i + 1) // n]
-                self.groups.append(Group(size, step, part, self.idf, corpus))
+            for single in (True, False):
+                mine = [q for q in chosen if (len(self.items[q[0]].words) == 1) == single]
+                n = -(-len(mine) // GROUP)
+                for i in range(n):
+                    part = mine[len(mine) * i // n:len(mine) * (i + 1) // n]
+                    self.groups.append(Group(size, step, part, self.idf, corpus, single))
+
+    def _near(self, group: Group, at: np.ndarray, end: np.ndarray, row: np.ndarray,
+              term: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(first row, query number, cosine) of the windows of rows [at, end) that are near a
+        query of the group; `row` and `term` are the group's words, in order."""
+        if not at.size:
+            return
+        low, high = int(at[0]), int(end.max())
+        a, b = np.searchsorted(row, (low, high))
+        latent = np.zeros((high - low, group.basis.shape[1]), np.float32)
+        starts = np.flatnonzero(np.diff(row[a:b], prepend=-1))
+        latent[row[a:b][starts] - low] = np.add.reduceat(group.basis[term[a:b]], starts, axis=0)
+        window = latent[at - low]
+        for j in range(1, group.size // STEP):
+            more = np.flatnonzero(at + j < end)
+            window[more] += latent[at[more] + j - low]
+        norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+        cosine = window @ group.folded.T
+        near = cosine >= COVER * group.length
+        cosine /= np.where(norm > 0, norm, 1)[:, None]
+        for r, c in zip(*np.nonzero(near & (cosine >= group.cosine))):
+            yield int(at[r]), int(c), float(cosine[r, c])
 
     def matches(self, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
         """(text, item id, cosine, lcs, answer, first word, end word) of the best window of
@@ -220,23 +250,14 @@ class Latent:
             blocks = group.size // STEP
             at = np.flatnonzero(place_of % (group.step // STEP) == 0)
             end = np.minimum(at + blocks, first[1:][text_of[at]])
-            useful = held[end] - held[at] >= 2
+            useful = held[end] - held[at] >= group.held
             at, end = at[useful], end[useful]
-            latent = np.zeros((n_rows, group.basis.shape[1]), np.float32)
-            starts = np.flatnonzero(np.diff(row[mine], prepend=-1))
-            latent[row[mine][starts]] = np.add.reduceat(group.basis[own[mine]], starts, axis=0)
-            window = latent[at]
-            for j in range(1, blocks):
-                more = np.flatnonzero(at + j < end)
-                window[more] += latent[at[more] + j]
-            norm = np.sqrt(np.einsum("ij,ij->i", window, window))
-            cosine = window @ group.folded.T
-            near = cosine >= COVER * group.length
-            cosine /= np.where(norm > 0, norm, 1)[:, None]
-            for r, c in zip(*np.nonzero(near & (cosine >= COSINE))):
-                number, before = group.places[c]
-                low = int(place_of[at[r]]) * STEP - before
-                places.setdefault((int(text_of[at[r]]), number, group.size), []).append((low, float(cosine[r, c])))
+            cuts = np.searchsorted(at, np.arange(0, n_rows + RUN, RUN))
+            for a, b in zip(cuts, cuts[1:]):
+                for r, c, cos in self._near(group, at[a:b], end[a:b], row[mine], own[mine]):
+                    number, before = group.places[c]
+                    low = int(place_of[r]) * STEP - before
+                    places.setdefault((int(text_of[r]), number, group.size), []).append((low, cos))
         best: dict[tuple[int, int], tuple] = {}
         for (text, number, size), hits in places.items():
             item, begin, length = self.items[number], int(offsets[text]), int(offsets[text + 1] - offsets[text])
@@ -323,8 +344,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     paraphrased: doc_id, item_id, cosine, lcs, answer (shares of the item and of its last
     quarter found in order), first_word, end_word (the compared words of the document).
 
-    Items without words or id and texts without words match nothing; an empty table or
-    benchmark gives an empty result.  A repeated document row repeats its matches; of
+    Items without words or id and texts without words match nothing; an item of one word is
+    found wherever a text holds that word.  An empty table or benchmark gives an empty result.  A repeated document row repeats its matches; of
     repeated item ids the better match counts.  Other columns are never read.
     """
     found = _found(docs, benchmark, id_col, text_col, item_col, item_text_col)

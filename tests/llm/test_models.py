@@ -1,6 +1,7 @@
 """Trained operators and the latent search on small tables with known answers."""
 
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -128,6 +129,95 @@ def edited(rng, words, vocabulary, step):
     return [rng.choice(vocabulary) if step and j % step == 0 else w for j, w in enumerate(words)]
 
 
+def test_contamination_by_items_of_one_word(spark):
+    rng = random.Random(17)
+    vocabulary = invented(rng, 3000)
+    words = [f"lonely{k}" for k in range(300)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(120))) for i in range(60)]
+    rows += [(100, words[0]), (101, "Lonely1!"), (102, f"{rows[0][1]} {words[2]} {rows[1][1]}"),
+             (103, " ".join(words)), (104, "lonely"), (105, f"{words[5]} {words[5]}"), (None, words[7]), (106, "lonely8x")]
+    bench = spark.createDataFrame([*enumerate(words), (900, " ".join(rows[3][1].split()[20:45])), (901, "lonely9 absent")],
+                                  "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in latent_retrieval.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(100, 0), (101, 1), (102, 2), (105, 5), (None, 7), (3, 900)} | {(103, k) for k in range(300)}
+
+
+def latent_matches(texts, items):
+    """Matches of a model fitted without Spark, and the words of the texts."""
+    joined = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    hashes, cuts = latent_retrieval.term_hashes(np.frombuffer(joined, np.uint8), offsets)
+    model = latent_retrieval.Latent(items)
+    model.idf = np.ones(model.terms.size)
+    row, term, first = model.entries(hashes, cuts, latent_retrieval.PASSAGE)
+    pairs = np.unique(row * (model.terms.size + 1) + term)
+    model.weigh(np.bincount(pairs % (model.terms.size + 1), minlength=model.terms.size), int(first[-1]))
+    test = np.random.default_rng(1).normal(size=(model.terms.size, 16))
+    model.settle(np.zeros_like(test), test)
+    return list(model.matches(hashes, cuts)), [hashes[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
+
+
+def item_of(k, words):
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return latent_retrieval.Item(k, latent_retrieval.term_hashes(raw, np.array([0, raw.size]))[0].tolist())
+
+
+def test_runs_of_windows_change_nothing_and_bound_the_memory(monkeypatch):
+    rng = random.Random(18)
+    vocabulary = invented(rng, 4000)
+    kept = [[rng.choice(vocabulary) for _ in range(n)] for n in (1, 2, 3, 9, 20, 28, 29, 60, 130)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(40)) + " " for _ in range(30)]
+    for words in kept:
+        body = [rng.choice(vocabulary) for _ in range(900)]
+        at = rng.randrange(900)
+        texts.append(" ".join(body[:at] + words + body[at:]) + " ")
+    items = [item_of(k, words) for k, words in enumerate(kept)]
+    whole = latent_matches(texts, items)[0]
+    assert {(30 + k, k) for k in range(len(kept))} <= {m[:2] for m in whole}
+    for run in (1, 5, 64):
+        monkeypatch.setattr(latent_retrieval, "RUN", run)
+        got = latent_matches(texts, items)[0]
+        assert [m[:2] + m[3:] for m in got] == [m[:2] + m[3:] for m in whole]
+        assert np.allclose([m[2] for m in got], [m[2] for m in whole], atol=1e-4)
+    monkeypatch.undo()
+    long = [" ".join(rng.choice(vocabulary) for _ in range(400_000)) + " " + " ".join(kept[4])]
+    many = [item_of(k, [rng.choice(vocabulary) for _ in range(20)]) for k in range(190)] + [items[4]]
+    many[-1].item_id = 777
+    tracemalloc.start()
+    found, _ = latent_matches(long, many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 777 in {m[1] for m in found}
+    assert peak < 120 * len(long[0])          # arrays per word; latent rows of all windows took far more
+
+
+def test_search_against_brute_force_subsequences_over_every_window():
+    rng = random.Random(19)
+    vocabulary = invented(rng, 2500)
+    kept = [[rng.choice(vocabulary) for _ in range(rng.randrange(12, 50))] for _ in range(24)]
+    texts = []
+    for k, words in enumerate(kept):
+        for step in (0, 6, 3):
+            around = [[rng.choice(vocabulary) for _ in range(45)] for _ in range(2)]
+            texts.append(" ".join(around[0] + edited(rng, words, vocabulary, step) + around[1]) + " ")
+    items = [item_of(k, words) for k, words in enumerate(kept)]
+    found, rows = latent_matches(texts, items)
+    found = {m[:2] for m in found}
+    expected, possible = set(), set()
+    for t, text in enumerate(rows):
+        for item in items:
+            n = len(item.words)
+            if len(set(text) & set(item.words)) < latent_retrieval.LCS * len(set(item.words)) - 1:
+                continue                           # too few words in common for either share
+            shares = [item.checked(text[a:a + n]) for a in range(max(1, len(text) - n + 1))]
+            if any((w >= latent_retrieval.LCS and x >= latent_retrieval.ANSWER) or w >= latent_retrieval.STRONG for w, x in shares):
+                expected.add((t, item.item_id))
+            if lcs_length(item.masks, n, text) >= latent_retrieval.LCS * n:
+                possible.add((t, item.item_id))
+    assert len(expected) > 60 and len(found & expected) >= 0.98 * len(expected)
+    assert found <= possible
+
+
 def test_contamination_by_long_items(spark):
     rng = random.Random(8)
     vocabulary = invented(rng, 6000)
