@@ -48,8 +48,9 @@ PASSAGE, STEP = 32, 8
 WINDOWS = ((24, 8, 28), (48, 16, None))
 SEGMENT = 32            # words; at any place one of the 48-word windows holds all of it
 CORPUS_DIRECTIONS, OVERSAMPLE = 64, 16
-COMMON = 0.005          # terms in more passages than this share carry no weight ...
-RAREST = 12             # ... but each query keeps its rarest ones
+COMMON = 0.005          # terms in more passages than this share, and EVIDENCE more, carry no weight ...
+EVIDENCE = 50           # (so few passages don't show that a term is common)
+RAREST = 5              # ... but each query keeps its rarest ones
 GROUP = 192             # queries (and their directions) of one latent space
 QUERIES_PER_BLOCK = 10 * GROUP
 RUN = 4096              # rows of STEP words that are in latent form at a time
@@ -169,7 +170,7 @@ class Latent:
 
     def weigh(self, seen: np.ndarray, passages: int) -> None:
         idf = np.log((passages + 1) / (seen + 1)) + 1e-3
-        keep = seen <= COMMON * passages
+        keep = seen <= COMMON * passages + EVIDENCE
         for _, _, words in self.queries:
             own = np.unique(self.locate(words))
             keep[own[np.argsort(seen[own], kind="stable")][:RAREST]] = True
