@@ -1,22 +1,24 @@
 """Token-id files with an adaptive context-mixing range coder (operator 4).
 
 Ids are cut into blocks that are coded on their own: every block starts with empty
-statistics and carries its length and a checksum of its ids.  Three predictors share the
-probability of the next id: order 2 (what followed the last two ids), order 1 (what
-followed the last id) and order 0 (adaptive frequencies).  An event, coded with
-frequencies learned for each state of the predictors' confidence, says which of them is
-right; these learned event frequencies are the mixing weights.  When neither context
-predicts the id, order 0 codes it as three digits, each with the adaptive frequencies of
-its place under (a hash of) the digits before it.  All probabilities go through a 32-bit carry-free
-range coder.
+statistics and carries its length, a checksum of its ids and the sorted list of its
+distinct ids; an id is coded as its index in that list.  An index is coded as binary
+decisions: first whether it is the one predicted from the last two ids or the last one,
+whichever was right more often; if not, its bits, highest first, as many as the list needs.  For every
+decision the orders 0, 1 and 2 each give a probability from adaptive states kept under no
+id, the last id and the last two ids.  The three are mixed in the logistic domain, with
+weights learned by gradient steps for each place of the code, and the mixed probability
+drives a 32-bit carry-free binary range coder.  Decoding repeats the same integer
+arithmetic on the same tables, so it needs no floating point state.
 
 Blocks are independent, so a task codes and decodes up to LANES of them in lockstep, one
 numpy operation over all lanes at a time.
 
 Layout of a coded table (a folder of Parquet files, one row per group of documents):
 part int, seq int (order of the groups), doc_ids array<long>, lengths array<int>, blocks
-array<binary>; a block is "CMR1", its id count and the crc32 of its ids as little-endian
-32-bit integers, and the range coder's bytes.
+array<binary>; a block is "CMR2", its id count, the crc32 of its ids and the number of its
+distinct ids as little-endian 32-bit integers, the steps between these (seven bits a byte,
+lowest first, the eighth says that more follow), and the range coder's bytes.
 """
 
 from __future__ import annotations
@@ -36,63 +38,91 @@ from tokenizers import Tokenizer
 from calibra.llm.bpe_scan import encode_block
 from calibra.llm.textblocks import byte_blocks
 
-BLOCK, LANES = 4096, 1024
-RADIX = 37                    # three digits: ids below 50,653
-GAIN = 8                      # 4096 * 8 + RADIX stays below 2**16, the coder's largest total
-SLOTS = 1 << 11
-PLACES = 256                  # statistics of the last digit: one row per hash of the first two
-WORDS_KEPT = 250_000          # pre-tokens a worker remembers
-TOP, BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
-MAGIC = b"CMR1"
+BLOCK, LANES = 4096, 1024    # at most 4096 distinct ids: twelve bits
+IDS = 1 << 21                 # ids are below this
+NONE = (1 << 16) - 1          # no prediction
+GUESS_BITS = 11               # predicted ids of an order: 2048 hashed places
+BUCKET_BITS = 9               # states of an order: 512 hashed buckets of 16 (a nibble's nodes)
+STEADY = 15                   # observations after which a state adapts no slower
+FIRST = 3.0                   # the first observation moves a probability by 1 / FIRST
+LEARN = 11                    # weights move by error * input / 2**LEARN
+START = 26_000                # first weight of each order; 65536 is 1
+WORDS_KEPT = 150_000          # pre-tokens a worker remembers
+TEXT_BYTES = 1 << 20          # texts that are encoded at a time
+TOP = np.uint32(1 << 24)
+MAGIC = b"CMR2"
+_ONE, _TWO, _NODE = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a state (12 bits of probability, 4 bits of count): its logit in 256ths, and the
+    state after a 0 (first half) or a 1; for a logit from -2047: the probability in 65536ths."""
+    state = np.arange(1 << 16)
+    chance, seen = (state >> 4) + 0.5, state & 15
+    logit = np.rint(256 * np.log(chance / (4096 - chance))).clip(-2047, 2047)
+    logit[(state >> 4) == 2048] = 0
+    after = []
+    for bit in (0, 1):
+        moved = (state >> 4) + (bit * 4095 - (state >> 4)) / (seen + FIRST)
+        after.append(np.rint(moved).astype(np.int64) << 4 | np.minimum(seen + 1, STEADY))
+    squash = np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))).clip(24, 65512)
+    return logit.astype(np.int32), np.concatenate(after).astype(np.uint16), squash.astype(np.uint32)
 
 
 class _Coder:
-    """A range coder per lane.  With `data` it decodes, otherwise it encodes."""
+    """A binary range coder per lane.  With `data` it decodes, otherwise it encodes.  The
+    registers of the lanes that take part are picked by `take` and stored by `put`."""
 
     def __init__(self, lanes: int, data: list[bytes] | None):
-        self.low = np.zeros(lanes, np.uint32)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint32)
-        self.at = np.zeros(lanes, np.int64)
         self.decoding = data is not None
+        self.registers = np.zeros((3, lanes), np.uint32)             # low, high, code
+        self.registers[1] = 0xFFFFFFFF
+        self.at = np.zeros(lanes, np.int64)
         if data is None:
-            self.bytes = np.zeros((lanes, BLOCK * 9 + 64), np.uint8)
+            self.bytes = np.zeros((lanes, BLOCK * 3 + 64), np.uint8)
         else:
             width = max(map(len, data)) + 8
             self.bytes = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), np.uint8).reshape(lanes, width)
-            self.code = self.bytes[:, :4].copy().view(">u4").ravel().astype(np.uint32)
+            self.registers[2] = self.bytes[:, :4].copy().view(">u4").ravel()
             self.at += 4
 
-    def target(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Decoding: the cumulative frequency the next symbol covers."""
-        step = self.range[lanes] // total
-        return np.minimum((self.code[lanes] - self.low[lanes]) // step, total - np.uint32(1))
-
-    def narrow(self, lanes: np.ndarray, below: np.ndarray, count: np.ndarray, total: np.ndarray) -> None:
-        """Take the symbol's share of the range and move finished bytes."""
-        step = self.range[lanes] // total
-        low, size = self.low[lanes] + below * step, count * step
-        todo = np.arange(lanes.size)
+    def take(self, lanes: np.ndarray) -> None:
+        self.lanes = lanes
+        self.low, self.high, self.code = (r[lanes] for r in self.registers)
+
+    def put(self) -> None:
+        for register, own in zip(self.registers, (self.low, self.high, self.code)):
+            register[self.lanes] = own
+
+    def bit(self, chance: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """Code or read one bit per lane; chance: of a 1, in 65536ths."""
+        low, high = self.low, self.high
+        size = high - low
+        middle = low + (size >> np.uint32(16)) * chance + ((size & np.uint32(0xFFFF)) * chance >> np.uint32(16))
+        if bit is None:
+            bit = self.code <= middle
+        self.low = low = np.where(bit, low, middle + np.uint32(1))
+        self.high = high = np.where(bit, middle, high)
+        todo = np.flatnonzero((low ^ high) < TOP)
         while todo.size:
-            a, r = low[todo], size[todo]
-            same = (a ^ (a + r)) < TOP
-            small = ~same & (r < BOTTOM)
-            r = np.where(small, (np.uint32(0) - a) & np.uint32(0xFFFF), r)
-            go = same | small
-            if not go.any():
-                break
-            todo, a, r = todo[go], a[go], r[go]
-            own = lanes[todo]
+            own, a = self.lanes[todo], low[todo]
             if self.decoding:
-                self.code[own] = (self.code[own] << np.uint32(8)) | self.bytes[own, np.minimum(self.at[own], self.bytes.shape[1] - 1)]
+                at = np.minimum(self.at[own], self.bytes.shape[1] - 1)
+                self.code[todo] = self.code[todo] << np.uint32(8) | self.bytes[own, at]
             else:
+                if self.at[own].max() >= self.bytes.shape[1] - 8:
+                    self.bytes = np.pad(self.bytes, ((0, 0), (0, BLOCK)))
                 self.bytes[own, self.at[own]] = a >> np.uint32(24)
             self.at[own] += 1
-            low[todo], size[todo] = a << np.uint32(8), r << np.uint32(8)
-        self.low[lanes], self.range[lanes] = low, size
+            low[todo] = a = a << np.uint32(8)
+            high[todo] = b = high[todo] << np.uint32(8) | np.uint32(255)
+            todo = todo[(a ^ b) < TOP]
+        return bit
 
     def finish(self) -> list[bytes]:
         for shift in (24, 16, 8, 0):
-            self.bytes[np.arange(self.at.size), self.at] = (self.low >> np.uint32(shift)).astype(np.uint8)
+            self.bytes[np.arange(self.at.size), self.at] = (self.registers[0] >> np.uint32(shift)).astype(np.uint8)
             self.at += 1
         return [self.bytes[i, :n].tobytes() for i, n in enumerate(self.at)]
 
@@ -100,109 +130,191 @@ class _Coder:
 class _Model:
     """Statistics of every lane, and the coding of one id per lane."""
 
-    def __init__(self, lanes: int, coder: _Coder):
-        self.coder = coder
-        self.events = np.ones((lanes, 32, 3), np.uint32)     # order 2, order 1, neither
-        self.events[:, :, 2] = 4
-        self.digits = [np.ones((lanes, rows, RADIX), np.uint16) for rows in (1, RADIX, PLACES)]
-        self.guess = np.full((2, lanes, SLOTS), -1, np.int32)
-        self.sure = np.zeros((2, lanes, SLOTS), np.uint8)
-        self.last = np.zeros((2, lanes), np.int64)
-
-    def _symbol(self, lanes: np.ndarray, table: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        """Code or read one symbol per lane with the frequency rows `table`."""
-        upto = np.cumsum(table, axis=1, dtype=np.uint32)
-        total = upto[:, -1]
-        if symbol is None:
-            symbol = (upto <= self.coder.target(lanes, total)[:, None]).sum(1)
-        r = np.arange(lanes.size)
-        count = table[r, symbol].astype(np.uint32)
-        self.coder.narrow(lanes, upto[r, symbol] - count, count, total)
-        return symbol
+    def __init__(self, lanes: int, coder: _Coder, distinct: np.ndarray):
+        self.coder, self.steps = coder, 0
+        self.skipped = 12 - np.ceil(np.log2(np.maximum(distinct, 1))).astype(np.int64)   # leading places
+        self.logit, self.after, self.squash = _tables()
+        size = 16 << BUCKET_BITS
+        self.states = np.full(3 * lanes * size, 2048 << 4, np.uint16)
+        self.base = np.arange(3 * lanes, dtype=np.int64).reshape(3, lanes) * size
+        self.weights = np.full((13, 3, lanes), START, np.int32)      # flag, then 12 bits
+        # index * 4 + how sure it is: one more each time it is right, one less when it isn't
+        self.guess = np.full((2, lanes, 1 << GUESS_BITS), NONE, np.uint16)
+        self.last = np.zeros((2, lanes), np.uint32)
+
+    def _bit(self, place: int, cells: np.ndarray, lanes: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """Code or read a decision whose states of orders 0 to 2 are at `cells`; learn from it."""
+        state = self.states.take(cells)
+        pull = self.logit.take(state)
+        weights = self.weights[place].take(lanes, axis=1)
+        total = weights * pull
+        total = (total[0] + total[1] + total[2]) >> 16
+        chance = self.squash.take(np.minimum(np.maximum(total, -2047), 2047) + 2047)
+        bit = self.coder.bit(chance, bit)
+        miss = ((bit.astype(np.int32) << 16) - chance.astype(np.int32)) >> 4
+        pull *= miss
+        pull >>= LEARN
+        weights += pull
+        self.weights[place][:, lanes] = weights
+        self.states[cells] = self.after.take(state + (bit.astype(np.int32) << 16))
+        return bit
 
     def step(self, k: int, ids: np.ndarray | None) -> np.ndarray:
-        """Code the ids of lanes 0..k-1, or read and return them."""
+        """Code the indexes of lanes 0..k-1, or read and return them."""
+        self.steps += 1
+        if self.steps % 16 == 0:               # a step moves a weight by 2**12 at most: sums stay in 32 bits
+            np.clip(self.weights, -(1 << 18), 1 << 18, out=self.weights)
         lanes = np.arange(k)
         one, two = self.last[0, :k], self.last[1, :k]
-        slots = ((one * 0x9E3779B1 >> 7) & (SLOTS - 1), ((one * 0x85EBCA77 + two * 0xC2B2AE3D) >> 9) & (SLOTS - 1))
-        low, high = self.guess[0, lanes, slots[0]], self.guess[1, lanes, slots[1]]
-        sure_low, sure_high = self.sure[0, lanes, slots[0]], self.sure[1, lanes, slots[1]]
-        context = np.where(high < 0, 0, 1 + sure_high) * 4 + np.where(low < 0, 0, 1 + sure_low // 2) + 16 * (low == high)
-        context = np.minimum(context, 31)
-        event = None
-        if ids is not None:
-            event = np.where((high >= 0) & (ids == high), 0, np.where((low >= 0) & (ids == low), 1, 2))
-        event = self._symbol(lanes, self.events[lanes, context], event)
-        self.events[lanes, context, event] += np.uint32(GAIN)
-        out = np.where(event == 0, high, low).astype(np.int64)
-        rest = np.flatnonzero(event == 2)
+        context = np.empty((3, k), np.uint32)
+        context[0] = 0
+        context[1] = (one + np.uint32(1)) * _ONE
+        context[2] = (context[1] ^ (context[1] >> np.uint32(15))) * _TWO + (two + np.uint32(1)) * _NODE
+        place = ((context[1:] ^ (context[1:] >> np.uint32(13))) * _TWO) >> np.uint32(32 - GUESS_BITS)
+        low, high = self.guess[0][lanes, place[0]], self.guess[1][lanes, place[1]]
+        sure_low, sure_high = np.where(low == NONE, 0, 1 + (low & 3)), np.where(high == NONE, 0, 1 + (high & 3))
+        likely = np.where(sure_high < sure_low, low, high) >> 2
+        cells = self.base[:, :k] + self._buckets(context, 0)
+        agree = low >> 2 == high >> 2
+        cells[0] = self.base[0, :k] + 16 * (1 + 25 * agree + 5 * sure_high + sure_low)      # node 0 is free elsewhere
+        self.coder.take(lanes)
+        hit = self._bit(0, cells, lanes, None if ids is None else ids == likely)
+        self.coder.put()
+        out = likely.astype(np.uint32)
+        rest = np.flatnonzero(~hit)
         if rest.size:
-            parts = [None] * 3 if ids is None else [ids[rest] // RADIX ** 2, ids[rest] // RADIX % RADIX, ids[rest] % RADIX]
-            row = value = np.zeros(rest.size, np.int64)
-            for table, digit in zip(self.digits, parts):
-                digit = self._symbol(rest, table[rest, row], digit)
-                table[rest, row, digit] += np.uint16(GAIN)
-                value = value * RADIX + digit
-                row = value if table is self.digits[0] else (value * 0x9E3779B1 >> 12) % PLACES
-            out[rest] = value
-        for which, slot in enumerate(slots):
-            guess, sure = self.guess[which], self.sure[which]
-            right = guess[lanes, slot] == out
-            level = sure[lanes, slot]
-            sure[lanes, slot] = np.where(right, np.minimum(level + 1, 3), np.maximum(level, 1) - 1)
-            swap = np.flatnonzero(~right & (level == 0))
-            guess[swap, slot[swap]] = out[swap]
+            out[rest] = self._spell(rest, context[:, rest], None if ids is None else ids[rest])
+        for guess, at, was in zip(self.guess, place, (low, high)):
+            sure, right = was & 3, was >> 2 == out
+            kept = np.where(right, was + (sure < 3), was - 1)
+            guess[lanes, at] = np.where(right | ((sure > 0) & (was != NONE)), kept, out << 2)
         self.last[1, :k] = one
         self.last[0, :k] = out
         return out
 
+    def _buckets(self, context: np.ndarray, prefix: np.ndarray | int) -> np.ndarray:
+        """First cells of the buckets of a prefix (1 and the bits so far): order 0 has one
+        for every prefix, the others hash it with their context."""
+        mixed = (context + np.uint32(1) + np.asarray(prefix, np.uint32) * _NODE) * _ONE
+        mixed = (mixed ^ (mixed >> np.uint32(16))) * _TWO
+        cells = (mixed >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
+        cells[0] = prefix
+        return cells * 16
+
+    def _spell(self, lanes: np.ndarray, context: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        """The bits of an index, four nodes from one bucket of each order; lanes whose list
+        is shorter skip the leading places, which are zeros."""
+        base, skipped = self.base[:, lanes], self.skipped[lanes]
+        value = np.ones(lanes.size, np.int64)
+        least, most = int(skipped.min()), int(skipped.max())
+        self.coder.take(lanes)
+        for first in (0, 4, 8):
+            node = np.ones(lanes.size, np.int64)
+            cells = None
+            for place in range(first, first + 4):
+                if place < least:
+                    node *= 2
+                    continue
+                if cells is None:
+                    cells = base + self._buckets(context, value)
+                bit = None if ids is None else (ids >> (11 - place) & 1).astype(bool)
+                if place < most:                # some lanes only
+                    own = np.flatnonzero(skipped <= place)
+                    self.coder.put()
+                    self.coder.take(lanes[own])
+                    read = np.zeros(lanes.size, bool)
+                    read[own] = self._bit(1 + place, cells[:, own] + node[own], lanes[own], None if bit is None else bit[own])
+                    self.coder.put()
+                    self.coder.take(lanes)
+                    bit = read
+                else:
+                    bit = self._bit(1 + place, cells + node, lanes, bit)
+                node = node * 2 + bit
+            value = value * 16 + node - 16
+        self.coder.put()
+        return value - (1 << 12)
+
+
+def _packed_steps(values: np.ndarray) -> bytes:
+    """Sorted distinct ids as steps of seven bits a byte."""
+    steps = np.diff(values, prepend=0).astype(np.int64)
+    digits = np.stack([steps & 127, steps >> 7 & 127, steps >> 14], 1)
+    used = np.arange(3) < 1 + (steps > 127)[:, None] + (steps > 16383)[:, None]
+    more = np.roll(used, -1, 1)
+    more[:, -1] = False
+    return (digits | more * 128).astype(np.uint8)[used].tobytes()
+
+
+def _unpacked_steps(data: bytes, count: int) -> tuple[np.ndarray, int]:
+    """The ids of `_packed_steps` and the number of bytes they take."""
+    head = np.frombuffer(data, np.uint8, min(len(data), 3 * count)).astype(np.int64)
+    last = np.flatnonzero(head < 128)[:count]
+    if last.size < count:
+        raise ValueError("block cut short")
+    size = int(last[-1]) + 1 if count else 0
+    first = np.concatenate([[0], last[:-1] + 1])[:count]
+    place = np.arange(size) - np.repeat(first, last - first + 1)
+    if size and place.max() > 2:
+        raise ValueError("damaged block")
+    return np.cumsum(np.add.reduceat((head[:size] & 127) << 7 * place, first)) if count else head, size
+
 
 def encode_ids(ids: np.ndarray) -> list[bytes]:
-    """Coded blocks of an id array (0 <= id < RADIX ** 3)."""
-    if ids.size and (ids.min() < 0 or ids.max() >= RADIX ** 3):
+    """Coded blocks of an id array (0 <= id < IDS)."""
+    if ids.size and (ids.min() < 0 or ids.max() >= IDS):
         raise ValueError("id out of range")
     blocks: list[bytes] = []
     for at in range(0, ids.size, BLOCK * LANES):
-        part = ids[at:at + BLOCK * LANES].astype(np.int64)
+        part = ids[at:at + BLOCK * LANES]
         lanes = -(-part.size // BLOCK)
         sizes = np.minimum(BLOCK, part.size - np.arange(lanes) * BLOCK)
+        grid, heads = np.zeros((lanes, BLOCK), np.uint16), []
+        distinct = np.zeros(lanes, np.int64)
+        for i, size in enumerate(sizes.tolist()):
+            own = part[i * BLOCK:i * BLOCK + size]
+            values, grid[i, :size] = np.unique(own, return_inverse=True)
+            distinct[i] = values.size
+            heads.append(MAGIC + struct.pack("<III", size, zlib.crc32(own.astype("<u4").tobytes()), values.size)
+                         + _packed_steps(values))
+        grid = np.ascontiguousarray(grid.T)
         coder = _Coder(lanes, None)
-        model = _Model(lanes, coder)
-        grid = np.zeros(lanes * BLOCK, np.int64)
-        grid[:part.size] = part
-        grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
+        model = _Model(lanes, coder, distinct)
         for t in range(sizes[0]):
             k = lanes if t < sizes[-1] else lanes - 1
             model.step(k, grid[t, :k])
-        for i, payload in enumerate(coder.finish()):
-            own = part[i * BLOCK:(i + 1) * BLOCK].astype("<u4").tobytes()
-            blocks.append(MAGIC + struct.pack("<II", int(sizes[i]), zlib.crc32(own)) + payload)
+        blocks += [head + payload for head, payload in zip(heads, coder.finish())]
     return blocks
 
 
 def decode_ids(blocks: list[bytes]) -> np.ndarray:
     """Ids of coded blocks, in order; raises on a damaged block."""
-    out = [np.zeros(0, np.int64)]
+    out = [np.zeros(0, np.int32)]
     for at in range(0, len(blocks), LANES):
-        group = blocks[at:at + LANES]
-        heads = []
-        for block in group:
-            if block[:4] != MAGIC or len(block) < 12:
+        group = []
+        for block in blocks[at:at + LANES]:
+            if block[:4] != MAGIC or len(block) < 16:
                 raise ValueError("not a coded block")
-            heads.append(struct.unpack("<II", block[4:12]))
-        order = sorted(range(len(group)), key=lambda i: -heads[i][0])
-        sizes = np.array([heads[i][0] for i in order])
-        if sizes.max(initial=0) > BLOCK:
-            raise ValueError("block too long")
-        model = _Model(len(group), _Coder(len(group), [group[i][12:] for i in order]))
-        grid = np.zeros((int(sizes.max(initial=0)), len(group)), np.int64)
+            size, crc, distinct = struct.unpack("<III", block[4:16])
+            if not 0 < distinct <= size <= BLOCK:
+                raise ValueError("damaged block")
+            values, used = _unpacked_steps(block[16:], distinct)
+            group.append((size, crc, values, block[16 + used:]))
+        order = sorted(range(len(group)), key=lambda i: -group[i][0])
+        sizes = np.array([group[i][0] for i in order])
+        model = _Model(len(group), _Coder(len(group), [group[i][3] for i in order]),
+                       np.array([group[i][2].size for i in order]))
+        grid = np.zeros((int(sizes.max()), len(group)), np.uint16)
         for t in range(grid.shape[0]):
             k = int((sizes > t).sum())
             grid[t, :k] = model.step(k, None)
         read: dict[int, np.ndarray] = {}
         for lane, i in enumerate(order):
-            read[i] = grid[:sizes[lane], lane].copy()
-            if zlib.crc32(read[i].astype("<u4").tobytes()) != heads[i][1]:
+            size, crc, values, _ = group[i]
+            index = grid[:size, lane]
+            if index.max() >= values.size:
+                raise ValueError("damaged block")
+            read[i] = values[index].astype(np.int32)
+            if zlib.crc32(read[i].astype("<u4").tobytes()) != crc:
                 raise ValueError("block checksum differs")
         out += [read[i] for i in range(len(group))]
     return np.concatenate(out)
@@ -253,9 +365,11 @@ def write_coded(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
     """Encode every whole text (null: empty), append `end_id`, and write the ids of all
     documents in ascending id order to a new folder `path` in the layout above.
 
-    Documents are range-partitioned and sorted by id (null ids come first, repeated ids
-    keep all their rows); a group holds whole documents of about BLOCK * LANES ids, so a
-    task holds one group and one Arrow batch.  An empty table makes an empty folder.
+    Documents are range-partitioned by id and the first 64 characters of the text and
+    sorted by id and text, so rows that share an id (null ids come first) may fill many
+    partitions; repeated rows are all kept.
+    A group holds whole documents of about BLOCK * LANES ids, so a task holds one group and
+    one Arrow batch.  An empty table makes an empty folder.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = library_ids(tokenizer)
@@ -273,7 +387,7 @@ def write_coded(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
 
         total = 0
         for batch in batches:
-            for row, stop, buf, offs in byte_blocks(batch.column("text")):
+            for row, stop, buf, offs in byte_blocks(batch.column("text"), TEXT_BYTES):
                 ids = batch.column("doc_id").slice(row, stop - row).to_pylist()
                 for doc_id, text in zip(ids, model.texts(buf, offs)):
                     names.append(doc_id)
@@ -286,7 +400,8 @@ def write_coded(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
             yield group()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    ordered = ordered.select("doc_id", "text")
     ordered.mapInArrow(run, "part int, seq int, doc_ids array<long>, lengths array<int>, blocks array<binary>") \
         .write.parquet(path)
 
@@ -320,7 +435,7 @@ def read_coded(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "part", "seq", "inner", "n_tokens", "ids"])
 
     docs = groups.mapInArrow(run, "doc_id long, part int, seq int, inner long, n_tokens long, ids array<int>")
-    return docs.join(F.broadcast(starts), ["part", "seq"]).select(
+    return docs.join(starts, ["part", "seq"]).select(
         "doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids")
 
 

@@ -106,7 +106,7 @@ def test_range_coder_uneven_blocks_and_damage():
     with pytest.raises(ValueError):
         mixing_coder.decode_ids([bytes(broken)])
     with pytest.raises(ValueError):
-        mixing_coder.encode_ids(np.array([mixing_coder.RADIX ** 3]))
+        mixing_coder.encode_ids(np.array([mixing_coder.IDS]))
 
 
 def test_coded_table_reads_back_in_id_order(spark, tmp_path):
@@ -124,3 +124,41 @@ def test_coded_table_reads_back_in_id_order(spark, tmp_path):
     empty = path + "-empty"
     mixing_coder.write_coded(frame(spark, []), empty, JSON)
     assert mixing_coder.read_coded(spark, empty).count() == 0
+
+
+def test_coded_table_keeps_null_tied_and_repeated_rows(spark, tmp_path):
+    library = Tokenizer.from_file(JSON)
+    rows = [(None, "no id"), (None, None), (3, "b c"), (3, "a"), (3, "a"), (1, ""), (2, "long word " * 3000)]
+    path = scratch_path(spark, f"tied-{hashlib.md5(str(tmp_path).encode()).hexdigest()}")
+    docs = frame(spark, rows).selectExpr("*", "1 AS part", "'x' AS ids", "0L AS start")
+    mixing_coder.write_coded(docs.repartition(3), path, JSON)
+    got = mixing_coder.read_coded(spark, path).collect()
+    assert sorted(((r.doc_id or -1), tuple(r.ids)) for r in got) == sorted(
+        (i or -1, (*library.encode(t or "", add_special_tokens=False).ids, 0)) for i, t in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):          # no gaps, ids ascending, null first
+        assert r.start == at and r.n_tokens == len(r.ids)
+        at += r.n_tokens
+    ids = [r.doc_id or -1 for r in sorted(got, key=lambda r: r.start)]
+    assert ids == sorted(ids)
+
+
+@pytest.mark.parametrize("distinct", [1, 2, 16, 17, 256, 257, 300, 4096])
+def test_range_coder_lists_of_any_length(distinct):
+    rng = np.random.default_rng(distinct)
+    alphabet = np.sort(rng.choice(mixing_coder.IDS, distinct, replace=False))
+    ids = np.concatenate([rng.permutation(alphabet), rng.choice(alphabet, 9000 - distinct)])
+    ids = np.concatenate([ids, np.repeat(ids[0], 5000), rng.choice(alphabet[:max(distinct // 8, 1)], 4097)])
+    assert np.array_equal(mixing_coder.decode_ids(mixing_coder.encode_ids(ids)), ids)
+
+
+def test_three_orders_beat_the_single_ones():
+    """Ids that the last two determine cost next to nothing; ids of a skewed distribution
+    cost about its entropy."""
+    rng = np.random.default_rng(7)
+    pattern = rng.integers(0, 50_000, 40)
+    repeating = np.tile(pattern, 102)[:4096]
+    assert len(mixing_coder.encode_ids(repeating)[0]) < 450
+    skewed = rng.choice([5, 900, 40_000, 7], 4096, p=[0.85, 0.05, 0.05, 0.05])
+    entropy = 4096 * (0.85 * np.log2(1 / 0.85) + 0.15 * np.log2(20)) / 8
+    assert len(mixing_coder.encode_ids(skewed)[0]) < 1.15 * entropy + 50
