@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from calibra.llm.bpe_scan import encode_block
+from calibra.llm.scratch import saved
 from calibra.llm.textblocks import byte_blocks
 
 BLOCK, LANES = 4096, 1024    # at most 4096 distinct ids: twelve bits
@@ -46,6 +47,7 @@ BUCKET_BITS = 9               # states of an order: 512 hashed buckets of 16 (a
 STEADY = 15                   # observations after which a state adapts no slower
 FIRST = 3.0                   # the first observation moves a probability by 1 / FIRST
 LEARN = 11                    # weights move by error * input / 2**LEARN
+MIXED = 3 * 5 * 2047          # mixed logits stay within this: weights are at most 5
 START = 26_000                # first weight of each order; 65536 is 1
 WORDS_KEPT = 150_000          # pre-tokens a worker remembers
 TEXT_BYTES = 1 << 20          # texts that are encoded at a time
@@ -57,7 +59,7 @@ _ONE, _TWO, _NODE = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For a state (12 bits of probability, 4 bits of count): its logit in 256ths, and the
-    state after a 0 (first half) or a 1; for a logit from -2047: the probability in 65536ths."""
+    state after a 0 (first half) or a 1; for a logit from -MIXED: the probability in 65536ths."""
     state = np.arange(1 << 16)
     chance, seen = (state >> 4) + 0.5, state & 15
     logit = np.rint(256 * np.log(chance / (4096 - chance))).clip(-2047, 2047)
@@ -66,7 +68,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for bit in (0, 1):
         moved = (state >> 4) + (bit * 4095 - (state >> 4)) / (seen + FIRST)
         after.append(np.rint(moved).astype(np.int64) << 4 | np.minimum(seen + 1, STEADY))
-    squash = np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))).clip(24, 65512)
+    squash = np.rint(65536 / (1 + np.exp(-np.arange(-MIXED, MIXED + 1).clip(-2047, 2047) / 256))).clip(24, 65512)
     return logit.astype(np.int32), np.concatenate(after).astype(np.uint16), squash.astype(np.uint32)
 
 
@@ -98,21 +100,18 @@ class _Coder:
     def bit(self, chance: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
         """Code or read one bit per lane; chance: of a 1, in 65536ths."""
         low, high = self.low, self.high
-        size = high - low
-        middle = low + (size >> np.uint32(16)) * chance + ((size & np.uint32(0xFFFF)) * chance >> np.uint32(16))
+        middle = low + (high - low >> np.uint32(16)) * chance
         if bit is None:
             bit = self.code <= middle
         self.low = low = np.where(bit, low, middle + np.uint32(1))
         self.high = high = np.where(bit, middle, high)
-        todo = np.flatnonzero((low ^ high) < TOP)
+        todo = ((low ^ high) < TOP).nonzero()[0]
         while todo.size:
             own, a = self.lanes[todo], low[todo]
             if self.decoding:
                 at = np.minimum(self.at[own], self.bytes.shape[1] - 1)
                 self.code[todo] = self.code[todo] << np.uint32(8) | self.bytes[own, at]
             else:
-                if self.at[own].max() >= self.bytes.shape[1] - 8:
-                    self.bytes = np.pad(self.bytes, ((0, 0), (0, BLOCK)))
                 self.bytes[own, self.at[own]] = a >> np.uint32(24)
             self.at[own] += 1
             low[todo] = a = a << np.uint32(8)
@@ -120,6 +119,11 @@ class _Coder:
             todo = todo[(a ^ b) < TOP]
         return bit
 
+    def widen(self) -> None:
+        """Room for 16 more ids of 13 decisions, four bytes each at most."""
+        if not self.decoding and self.at.max() + 1024 > self.bytes.shape[1]:
+            self.bytes = np.pad(self.bytes, ((0, 0), (0, BLOCK)))
+
     def finish(self) -> list[bytes]:
         for shift in (24, 16, 8, 0):
             self.bytes[np.arange(self.at.size), self.at] = (self.registers[0] >> np.uint32(shift)).astype(np.uint8)
@@ -137,33 +141,37 @@ class _Model:
         size = 16 << BUCKET_BITS
         self.states = np.full(3 * lanes * size, 2048 << 4, np.uint16)
         self.base = np.arange(3 * lanes, dtype=np.int64).reshape(3, lanes) * size
-        self.weights = np.full((13, 3, lanes), START, np.int32)      # flag, then 12 bits
+        self.weights = np.full((13, 3 * lanes), START, np.int32)     # flag, then 12 bits
+        self.order = np.arange(3 * lanes).reshape(3, lanes)
         # index * 4 + how sure it is: one more each time it is right, one less when it isn't
         self.guess = np.full((2, lanes, 1 << GUESS_BITS), NONE, np.uint16)
         self.last = np.zeros((2, lanes), np.uint32)
 
-    def _bit(self, place: int, cells: np.ndarray, lanes: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Code or read a decision whose states of orders 0 to 2 are at `cells`; learn from it."""
+    def _bit(self, place: int, cells: np.ndarray, own: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """Code or read a decision whose states of orders 0 to 2 are at `cells` and whose
+        weights are at `own`; learn from it."""
         state = self.states.take(cells)
         pull = self.logit.take(state)
-        weights = self.weights[place].take(lanes, axis=1)
-        total = weights * pull
-        total = (total[0] + total[1] + total[2]) >> 16
-        chance = self.squash.take(np.minimum(np.maximum(total, -2047), 2047) + 2047)
+        weights = self.weights[place].take(own)
+        total = np.add.reduce(weights * pull, 0)
+        total >>= 16
+        total += MIXED
+        chance = self.squash.take(total)
         bit = self.coder.bit(chance, bit)
-        miss = ((bit.astype(np.int32) << 16) - chance.astype(np.int32)) >> 4
-        pull *= miss
+        one = bit.astype(np.int32) << 16
+        pull *= (one - chance.view(np.int32)) >> 4
         pull >>= LEARN
         weights += pull
-        self.weights[place][:, lanes] = weights
-        self.states[cells] = self.after.take(state + (bit.astype(np.int32) << 16))
+        self.weights[place][own] = weights
+        self.states[cells] = self.after.take(state + one)
         return bit
 
     def step(self, k: int, ids: np.ndarray | None) -> np.ndarray:
         """Code the indexes of lanes 0..k-1, or read and return them."""
+        if self.steps % 16 == 0:               # a step moves a weight by 2**12 at most: below 5 * 2**16
+            np.clip(self.weights, -(1 << 18) + 1, (1 << 18) - 1, out=self.weights)
+            self.coder.widen()
         self.steps += 1
-        if self.steps % 16 == 0:               # a step moves a weight by 2**12 at most: sums stay in 32 bits
-            np.clip(self.weights, -(1 << 18), 1 << 18, out=self.weights)
         lanes = np.arange(k)
         one, two = self.last[0, :k], self.last[1, :k]
         context = np.empty((3, k), np.uint32)
@@ -178,7 +186,7 @@ class _Model:
         agree = low >> 2 == high >> 2
         cells[0] = self.base[0, :k] + 16 * (1 + 25 * agree + 5 * sure_high + sure_low)      # node 0 is free elsewhere
         self.coder.take(lanes)
-        hit = self._bit(0, cells, lanes, None if ids is None else ids == likely)
+        hit = self._bit(0, cells, self.order[:, :k], None if ids is None else ids == likely)
         self.coder.put()
         out = likely.astype(np.uint32)
         rest = np.flatnonzero(~hit)
@@ -204,7 +212,7 @@ class _Model:
     def _spell(self, lanes: np.ndarray, context: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         """The bits of an index, four nodes from one bucket of each order; lanes whose list
         is shorter skip the leading places, which are zeros."""
-        base, skipped = self.base[:, lanes], self.skipped[lanes]
+        base, order, skipped = self.base[:, lanes], self.order[:, lanes], self.skipped[lanes]
         value = np.ones(lanes.size, np.int64)
         least, most = int(skipped.min()), int(skipped.max())
         self.coder.take(lanes)
@@ -223,12 +231,12 @@ class _Model:
                     self.coder.put()
                     self.coder.take(lanes[own])
                     read = np.zeros(lanes.size, bool)
-                    read[own] = self._bit(1 + place, cells[:, own] + node[own], lanes[own], None if bit is None else bit[own])
+                    read[own] = self._bit(1 + place, cells[:, own] + node[own], order[:, own], None if bit is None else bit[own])
                     self.coder.put()
                     self.coder.take(lanes)
                     bit = read
                 else:
-                    bit = self._bit(1 + place, cells + node, lanes, bit)
+                    bit = self._bit(1 + place, cells + node, order, bit)
                 node = node * 2 + bit
             value = value * 16 + node - 16
         self.coder.put()
@@ -408,7 +416,8 @@ def write_coded(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
 
 def read_coded(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of a coded folder: doc_id, start (ids of all documents before
-    it), n_tokens, ids array<int>.  Damaged blocks raise."""
+    it), n_tokens, ids array<int>.  Damaged blocks raise.  The starts of the groups are a
+    saved table, so Spark knows its size when it picks the join with the coded groups."""
     groups = spark.read.schema("part int, seq int, doc_ids array<long>, lengths array<int>, blocks array<binary>") \
         .parquet(path)
     sizes = groups.select("part", "seq", F.aggregate("lengths", F.lit(0).cast("long"),
@@ -428,15 +437,12 @@ def read_coded(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(row["lengths"])
                 cuts = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(np.full(ends.size, row["part"]), pa.int32()),
-                     pa.array(np.full(ends.size, row["seq"]), pa.int32()),
-                     pa.array(ends - np.array(row["lengths"]), pa.int64()), pa.array(row["lengths"], pa.int64()),
-                     pa.ListArray.from_arrays(cuts, pa.array(ids.astype(np.int32)))],
-                    ["doc_id", "part", "seq", "inner", "n_tokens", "ids"])
-
-    docs = groups.mapInArrow(run, "doc_id long, part int, seq int, inner long, n_tokens long, ids array<int>")
-    return docs.join(starts, ["part", "seq"]).select(
-        "doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids")
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["base"] + ends - np.array(row["lengths"]), pa.int64()),
+                     pa.array(row["lengths"], pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(ids))],
+                    ["doc_id", "start", "n_tokens", "ids"])
+
+    placed = groups.join(saved(starts, "group-starts"), ["part", "seq"]).select("base", "doc_ids", "lengths", "blocks")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def ids_crc32(coded: DataFrame) -> DataFrame:
