@@ -277,3 +277,16 @@ def test_a_hot_key_is_cut_into_slices(spark, monkeypatch):
     got = remove_later_copies(frame(spark, texts), window).collect()
     assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in got) == expected
     assert max(x for x, _ in largest) <= 200, largest
+
+
+def test_later_byte_copies_with_null_ids_repeats_and_an_empty_table(spark):
+    """The null id is the smallest; rows that repeat id and text are one document."""
+    rng = random.Random(21)
+    passage = " ".join(words(rng, 60))[:120]
+    rows = [(None, passage + "|"), (5, "lead " + passage), (5, "lead " + passage), (9, passage[:99]), (None, None), (7, "")]
+    got = remove_later_copies(frame(spark, rows).repartition(3), 100).collect()
+    size = len(passage)
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted([
+        (-1, size + 1, 0, 0, (passage + "|").encode()), (-1, 0, 0, 0, b""), (7, 0, 0, 0, b""),
+        (5, size + 5, size, 1, b"lead "), (5, size + 5, size, 1, b"lead "), (9, 99, 0, 0, passage[:99].encode())])
+    assert remove_later_copies(frame(spark, []), 100).collect() == []
