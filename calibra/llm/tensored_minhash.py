@@ -40,6 +40,8 @@ from calibra.llm.textblocks import byte_blocks, mix, rolling, window_starts, wor
 
 HASHES_PER_KEY = 3
 MISS = 0.002
+#: Bits of the map of text hashes that `possible` broadcasts: 2 MB, whatever the table's size.
+MAP_BITS = 1 << 24
 
 
 def tables(threshold: float) -> int:
@@ -177,6 +179,19 @@ def _shingles(k: int):
     return run
 
 
+def possible(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of `texts` whose text_hash may be one of `wanted`, so that a join with `wanted`
+    shuffles few other texts: every wanted hash sets one of MAP_BITS bits, and rows whose
+    bit is not set go.  The map has a fixed size; the more hashes, the more rows stay."""
+    place = F.pmod("text_hash", F.lit(MAP_BITS).cast("long")) + 1
+    bits = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    rows = texts.select("*", F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
+    return rows.join(F.broadcast(bits), "bucket").where(is_set).select(*texts.columns)
+
+
 def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, roots): doc_id, text_hash, n_shingles and class number `rep` (null
     without words or id) of every row; rep, doc_id, text_hash of every class, its smallest
@@ -213,8 +228,9 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
     stars = inside.select("key", F.col("rep").alias("member")).join(hubs, "key").where("member <> centre")
     involved = saved(classes.select("rep", "doc_id", "text_hash").join(inside.select("rep").distinct(), "rep", "left_semi"),
                      "involved")
-    wanted = saved(texts.where("doc_id IS NOT NULL").join(involved, ["doc_id", "text_hash"])
-                   .groupBy("rep").agg(F.first("text").alias("text")), "involved-texts")       # repeated rows once
+    wanted = possible(texts.where("doc_id IS NOT NULL"), involved).join(involved, ["doc_id", "text_hash"])
+    wanted = saved(wanted.groupBy("doc_id", "text_hash", "rep").agg(F.first("text").alias("text"))  # repeated rows once
+                   .select("rep", "text"), "involved-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         u = wanted.select(F.col("rep").alias("u"), F.col("text").alias("text_u"))
@@ -256,10 +272,13 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
     left = inside.select("rep", "part", "n").distinct()
     every = saved(wanted.join(left.select("rep"), "rep", "left_semi").select("rep", "text")
                   .mapInArrow(_shingles(k), "rep long, shingle long"), "shingles")
-    spread = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("rep").orderBy("df", "shingle")             # one document's shingles
-    early = (every.join(saved(spread, "shingle-counts"), "shingle").withColumn("at", F.row_number().over(order))
-             .join(left, "rep").where("df > 1").where((F.col("n") - F.col("at") + 1) * 100 >= F.col("n") * percent))
+    spread = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # One document's shingles, rarest first; those that no other has come before all others,
+    # so only the others are numbered, from the last place (n) down.
+    order = Window.partitionBy("rep").orderBy(F.col("df").desc(), F.col("shingle").desc())
+    early = (every.join(saved(spread, "shingle-counts"), "shingle").withColumn("last", F.row_number().over(order))
+             .join(left, "rep").withColumn("at", F.col("n") - F.col("last") + 1)
+             .where((F.col("n") - F.col("at") + 1) * 100 >= F.col("n") * percent))
     early = saved(early.select("shingle", "rep", "part", "n", "at"), "early-shingles")
     one, two = early.alias("one"), early.alias("two")
     most = F.least(F.col("one.n") - F.col("one.at"), F.col("two.n") - F.col("two.at")) + 1

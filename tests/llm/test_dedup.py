@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from calibra.llm import difference_cover
+from calibra.llm import difference_cover, tensored_minhash
 from calibra.llm.anchors import remove_repeats
 from calibra.llm.components import components
 from calibra.llm.content_sort import exact_dedup, keep_first_copies
@@ -290,3 +290,27 @@ def test_later_byte_copies_with_null_ids_repeats_and_an_empty_table(spark):
         (-1, size + 1, 0, 0, (passage + "|").encode()), (-1, 0, 0, 0, b""), (7, 0, 0, 0, b""),
         (5, size + 5, size, 1, b"lead "), (5, size + 5, size, 1, b"lead "), (9, 99, 0, 0, passage[:99].encode())])
     assert remove_later_copies(frame(spark, []), 100).collect() == []
+
+
+def test_only_texts_that_may_be_wanted_are_joined(spark, monkeypatch):
+    """The join that fetches the texts of candidates gets few other texts, also where Spark
+    would not broadcast; a full map of hashes lets all texts through and changes no row."""
+    rng = random.Random(33)
+    base = words(rng, 60)
+    rows = [(i, " ".join(words(rng, 30))) for i in range(100, 400)] + awkward(rng)
+    rows += [(1, " ".join(base)), (2, " ".join([*base, "more"])), (2, " ".join([*base, "more"])), (3, " ".join(base[:-1]))]
+    passed, whole = [], tensored_minhash.possible
+
+    def counted(texts, wanted):
+        out = whole(texts, wanted)
+        passed.append((out.count(), {r.text_hash for r in out.collect()} >= {r.text_hash for r in wanted.collect()}))
+        return out
+    monkeypatch.setattr(tensored_minhash, "possible", counted)
+
+    def found():
+        return sorted(map(str, near_duplicates(frame(spark, rows).repartition(4), 3, 85).collect()))
+    got = found()
+    monkeypatch.setattr(tensored_minhash, "MAP_BITS", 2)
+    assert found() == got
+    assert passed[0][0] < 40 and passed[0][1] and passed[1] == (sum(i is not None for i, _ in rows), True), passed
+    assert {"Row(doc_id=3, n_shingles=57, component_id=1, kept=False)"} <= set(got)
