@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
+#: An array of a 64-bit number per byte of a block takes 4 MB, and a worker has some ten of
+#: them at once; larger blocks are no faster.
+BLOCK_BYTES = 1 << 19
 
 #: Whitespace of the word rule `[^\x20\x09-\x0D]+`.
 IS_SPACE = np.zeros(256, bool)

@@ -2,12 +2,16 @@
 
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
 import corpus_pipeline
+from calibra.llm import latent_retrieval, mil_toxicity, tensored_minhash, textblocks
 from calibra.llm.pair_merge import read_ranks
 from calibra.llm.queries import ORACLE, QUERIES
 
@@ -82,3 +86,30 @@ def test_decontamination_judges_null_and_shared_ids_by_their_text(spark, folder)
     assert left.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(
         [(None, clean), (7, clean), (8, None), (None, None)], key=str)
+
+
+def test_a_worker_takes_a_batch_in_small_blocks(monkeypatch):
+    """What a stage's task holds at once for an Arrow batch of 4 MB of text, powers that stay
+    with the worker included: an executor has two workers beside its JVM."""
+    monkeypatch.setattr(textblocks, "_POWERS", {})
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bcdfglmnprstaeiou") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=300)) + "." for _ in range(2200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2200)), pa.array(range(2200)), pa.array(texts)],
+                                       ["doc_id", "text_hash", "text"])
+    assert sum(map(len, texts)) > 1 << 21
+    model = mil_toxicity.MilModel(np.zeros(mil_toxicity.EMPTY + 1), 0.0, 0.0)
+
+    def scored():
+        for _, _, buf, offs in textblocks.byte_blocks(batch.column("text")):
+            yield model.score(buf, offs)[0].size
+
+    stages = {"toxicity": scored, "signatures": lambda: tensored_minhash._signature_batches(5, 10)(iter([batch])),
+              "terms": lambda: latent_retrieval._blocks(iter([batch]))}
+    for name, stage in stages.items():
+        tracemalloc.start()
+        for _ in stage():
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 << 20, (name, peak)
