@@ -1,265 +1,381 @@
 """Suffix-array deduplication with the difference-cover algorithm (operator 6).
 
-Which 100-byte strings occur twice is read off a sorted array of suffixes:
-
-0. Sieve.  A repeated window of W bytes holds a whole block of (W + 1) // 2 bytes that is
-   repeated (see `anchors`).  Only stretches of windows with such a block go on; the rest
-   of the bytes can't be in a repeated window.
-1. Sort the sampled triples: every position has a symbol, the SYMBOL bytes that start
-   there; of every stretch, the triples of symbols that start at positions not divisible
-   by three are sorted (range partitions) and named by their rank.
-2. Recurse on the names: a stretch becomes two strings of names, one for each remainder,
-   whose symbols reach three times as far.  When a name covers more than a window, its
-   rank is final (ties are equal as far as it matters).
+Which 100-byte strings occur twice is read off sorted arrays of suffixes:
+
+0. Sieve.  Of the grams of GRAM bytes in a window, the one with the smallest hash (the first
+   of equal ones) is the window's gram; equal windows have equal grams.  Neighbouring windows
+   that share one place of it are a piece.  Only pieces whose gram occurs twice in the table
+   go on, dealt by gram, so that equal windows meet, whatever text is around them.
+1. Sort the sampled triples: a position has a symbol, the SYMBOL bytes that start there;
+   the symbol after it is SYMBOL bytes further on.  Triples of symbols that start at
+   positions whose number of symbols before isn't divisible by three are sorted and named.
+2. Recurse on the names, whose steps reach three times as far, until a name covers a window
+   (what follows may be in any order) or no two are equal.
 3. Merge the remaining suffixes: any two suffixes have a shift below three at which both
-   are sampled, so two suffixes that share their first symbols are ordered by the ranks at
-   that shift.  Range partitions by the first symbols are merged with that comparison.
-   First symbols that many suffixes share are cut into slices: a sample of their suffixes,
-   sorted by the same comparison, gives the splitters, and each slice is merged by itself.
-4. Compare adjacent prefixes: neighbours in suffix order whose first W bytes agree (two
-   64-bit digests) are one group.  Its earliest start stays; the windows at all its other
-   starts are removed.
-
-Every sort and merge works on distinct keys (a partial aggregate comes first), so a
-passage that a third of all documents hold is one row there.  Ranks come back by joins
-with saved tables of one row per key, whose other side Spark can split when it is skewed.
-Spark rows per byte of the stretches make this operator much heavier than the anchors.
+   are sampled, so the ranks at that shift order those whose first symbols agree.
+4. Compare adjacent prefixes: neighbours in suffix order whose first W bytes agree are one
+   group.  Its earliest start stays; the windows at all its other starts are removed.
+
+A chunk of documents sends a piece once, however often it holds it, so a passage of a third
+of all documents is one row per chunk.  Pieces are sorted in packed arrays, some GROUP bytes
+at a time, grams kept whole.  A gram with more than HOT different pieces is cut: its pieces
+go as single windows, dealt to slices by their hash.
+
+Scale: one shuffle of the texts, used by all passes; 8 bytes for a gram (about one in 25
+bytes of text), the pieces that may repeat (about a byte for a byte of text where a sixth of
+it is repeated), and the starts that go, as ranges.  All tables are parts of one plan.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.anchors import Repeats, chunked
-from calibra.llm.scratch import saved
-from calibra.llm.textblocks import column_bytes, mix
-
-SYMBOL = 24
-#: Rows of one key from which it is cut, rows of a slice, sampled rows for each slice.
-HOT, SLICE, SAMPLE = 50_000, 20_000, 16
-#: Hashes of keys counted first; only keys of a hash with more than HOT rows are counted.
-BINS = 1 << 16
-#: For the remainders (modulo 3) of two positions, the shift at which both are sampled.
-SHIFT = ((1, 1, 2), (1, 0, 0), (2, 0, 0))
-_RANKS = ("r0", "r1", "r2")
-
-
-def byte_items(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each byte of a column of texts, and the row offsets."""
-    buf, offs = column_bytes(col)
-    code = mix(np.arange(1, 257, dtype=np.uint64))
-    return code[buf[offs[0]:offs[-1]]], offs - offs[0]
-
-
-def _stretches(plan: Repeats, docs: pa.Table, hits: pa.Table) -> pa.Table:
-    """Maximal stretches of bytes covered by candidate windows."""
-    ids, texts, first, data = [], [], [], []
-    if docs.num_rows and hits.num_rows:
-        items, offs = plan.items(docs["text"])
-        starts = plan.candidates(items, offs, hits)
-        row = np.searchsorted(offs, starts, side="right") - 1
-        new = np.ones(starts.size, bool)
-        new[1:] = (row[1:] != row[:-1]) | (starts[1:] > starts[:-1] + plan.window)
-        at = np.flatnonzero(new)
-        end = starts[np.append(at[1:], starts.size) - 1] + plan.window if at.size else at
-        buf, base = column_bytes(docs["text"])
-        buf = buf[base[0]:].tobytes()
-        for r, a, b in zip(row[at].tolist(), starts[at].tolist(), end.tolist()):
-            ids.append(docs["doc_id"][r].as_py())
-            texts.append(docs["text_hash"][r].as_py())
-            first.append(a - int(offs[r]))
-            data.append(buf[a:b])
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "text_hash": pa.array(texts, pa.int64()),
-                     "first": pa.array(first, pa.int32()), "data": pa.array(data, pa.binary())})
-
-
-def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """`rows` with the rank of their keys (1 and up, order kept) in place of the keys."""
-    distinct = rows.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ranks = saved(distinct.withColumn(name, F.monotonically_increasing_id() + 1), "names")
-    return rows.join(ranks, keys).drop(*keys)
-
-
-def _compare(a: tuple, b: tuple) -> int:
-    """Order of two suffixes (remainder, r0, r1, r2, ...) whose first symbols agree."""
-    shift = SHIFT[a[0]][b[0]] + 1
-    return (a[shift] > b[shift]) - (a[shift] < b[shift])
-
-
-def _slices(distinct: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
-    """`distinct`, if some keys have more than HOT rows in `base` (which has at least the
-    rows of `distinct`) with `slice`: the number of the row's part of its key in suffix
-    order, 0 for other keys.  The driver holds SAMPLE rows for each slice of the hot keys."""
-    base = base.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(BINS)).cast("int").alias("bin"))
-    bins = base.groupBy("bin").count().where(F.col("count") > HOT).select("bin").collect()
-    if not bins:
-        return distinct
-    hot = base.where(F.col("bin").isin([b["bin"] for b in bins])) if len(bins) < BINS // 64 else base
-    hot = saved(hot.groupBy(*keys).count().where(F.col("count") > HOT), "hot-keys")
-    share = F.lit(float(SAMPLE)) / SLICE
-    tail = ["remainder", *_RANKS]
-    order = cmp_to_key(_compare)
-    sample: dict[tuple, list] = {}
-    if not hot.isEmpty():
-        chosen = distinct.select(*keys, *tail).join(F.broadcast(hot.select(*keys)), keys, "left_semi")
-        for row in chosen.where(F.rand(1) < share).toLocalIterator():
-            row = tuple(bytes(v) if isinstance(v, bytearray) else v for v in row)
-            sample.setdefault(row[:len(keys)], []).append(order(row[len(keys):]))
-    splitters = {key: sorted(rows)[SAMPLE - 1::SAMPLE] for key, rows in sample.items()}
-    splitters = {key: [r.obj for r in rows] for key, rows in splitters.items() if rows}
-    if not splitters:
-        return distinct
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = cmp_to_key(_compare)
-        known = {key: [order(r) for r in rows] for key, rows in splitters.items()}
-        for batch in batches:
-            out = np.zeros(batch.num_rows, np.int64)
-            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in keys))):
-                if key in known:
-                    out[i] = bisect_right(known[key], order(tuple(batch.column(c)[i].as_py() for c in tail)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "slice"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema)
-    return distinct.mapInArrow(run, f"{kinds}, slice long")
-
-
-def _merged(keys: list[str], extra: list[str]):
-    """Sorted rows (keys, remainder, ranks, extra) in suffix order, with the number of
-    equal suffixes' first row (`rank`), of its window group's first row (`head`), and
-    whether that group is the first or the last of its keys (`edge`)."""
-    columns = [*keys, "remainder", *_RANKS, *extra]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, number, held, key = None, 0, [], None
-
-        def order(rows: list[tuple]) -> list[tuple]:
-            nonlocal number
-            rows.sort(key=cmp_to_key(lambda a, b: _compare(a[len(keys):], b[len(keys):])))
-            out, last, heads = [], None, []
-            for row in rows:
-                tail = row[len(keys):]
-                if last is None or _compare(last, tail):
-                    number += 1
-                if last is None or not extra or last[4:] != tail[4:]:
-                    head = number
-                    heads.append(head)
-                out.append((*row, number, head))
-                last = tail
-            return [(*row, row[-1] in (heads[0], heads[-1])) for row in out]
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [schema.field(c).type for c in columns] + [pa.int64(), pa.int64(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                              [*columns, "rank", "head", "edge"])
-
-        ready: list[tuple] = []
-        for batch in batches:
-            schema = batch.schema
-            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-                if row[:len(keys)] != key:
-                    ready += order(held)
-                    held, key = [], row[:len(keys)]
-                held.append(row)
-            if ready:
-                yield made(ready)
-                ready = []
-        ready = order(held)
-        if ready:
-            yield made(ready)
-    return run
-
-
-def _ranked(rows: DataFrame, base: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
-    """`rows` with `rank` and `head` (see `_merged`), unique over all range partitions;
-    base: a saved table with the keys of all rows."""
-    columns = [*keys, "remainder", *_RANKS, *extra]
-    cut = _slices(rows.select(*columns).distinct(), base, keys)
-    sliced = ["slice"] if "slice" in cut.columns else []
-    order = [*keys, *sliced]
-    part = (cut.repartitionByRange(*order).sortWithinPartitions(*order)
-            .withColumn("part", F.spark_partition_id().cast("long")))
-    part = part.select(*order, "part", "remainder", *_RANKS, *extra)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in part.schema)
-    merged = part.mapInArrow(_merged([*order, "part"], extra), f"{kinds}, rank long, head long, edge boolean")
-    first = F.shiftleft(F.col("part"), 40)
-    ranks = saved(merged.select(*columns, *sliced, *(["edge"] if sliced else []), (first + F.col("rank")).alias("rank"),
-                                (first + F.col("head")).alias("head")), "suffix-ranks")
-    if sliced and extra:                        # a window group may go on in the next slices
-        hot = ranks.where("slice > 0").select(*keys).distinct()
-        edges = ranks.where("edge").join(hot, keys, "left_semi").groupBy(*extra).agg(F.min("head").alias("lead"))
-        edges = edges.where(F.col(extra[0]).isNotNull())
-        ranks = ranks.join(F.broadcast(edges), extra, "left").withColumn("head", F.coalesce("lead", "head")).drop("lead")
-    ranks = ranks.select(*columns, "rank", "head")
-    same = [rows[c].eqNullSafe(ranks[c]) if c in extra else rows[c] == ranks[c] for c in columns]
-    joined = rows.join(ranks, same)
-    for c in columns:
-        joined = joined.drop(ranks[c])
-    return joined
-
-
-def _with_ranks(rows: DataFrame, sampled: DataFrame) -> DataFrame:
-    """`rows` (string, pos, ...) with the sampled ranks at their own and the next two positions."""
-    order = Window.partitionBy("string").orderBy("pos")
-    r = F.coalesce(F.col("rank"), F.lit(0).cast("long"))
-    out = rows.join(sampled, ["string", "pos"], "left").withColumn("r0", r).drop("rank")
-    return out.select("*", F.lead("r0", 1, 0).over(order).alias("r1"), F.lead("r0", 2, 0).over(order).alias("r2"),
-                      (F.col("pos") % 3).alias("remainder"))
-
-
-def _sampled_ranks(rows: DataFrame, keys: list[str], depth: int) -> DataFrame:
-    """(string, pos, rank) of the sampled suffixes; rows: (string, pos, keys of the triple)."""
-    names = _named(rows.where("pos % 3 <> 0").select("string", "pos", *keys), keys, "rank")
-    names = saved(names.select("string", "pos", "rank"), "triples")
-    if depth == 0:
-        return names
-    inner = names.select((F.col("string") * 2 + F.col("pos") % 3 - 1).alias("string"),
-                         F.floor(F.col("pos") / 3).cast("int").alias("pos"), F.col("rank").alias("c"))
-    ranks = _suffix_ranks(inner, depth - 1)
-    return ranks.select(F.shiftright("string", 1).alias("string"),
-                        (F.col("pos") * 3 + 1 + F.col("string") % 2).cast("int").alias("pos"), "rank")
-
-
-def _suffix_ranks(symbols: DataFrame, depth: int) -> DataFrame:
-    """(string, pos, rank) of all suffixes; symbols: (string, pos, c), c from 1."""
-    order = Window.partitionBy("string").orderBy("pos")
-    symbol_rows = saved(symbols.select("string", "pos", "c", F.lead("c", 1, 0).over(order).alias("c1"),
-                                F.lead("c", 2, 0).over(order).alias("c2")), "symbols")
-    rows = _with_ranks(symbol_rows, _sampled_ranks(symbol_rows, ["c", "c1", "c2"], depth))
-    done = _ranked(rows, symbol_rows, ["c", "c1", "c2"], [])
-    return saved(done.select("string", "pos", "rank"), "level")
-
-
-def _later_starts(stretches: DataFrame, window: int) -> DataFrame:
-    """(doc_id, text_hash, start) of every window that also starts earlier."""
-    depth, reach = 0, 3                         # bytes that a name covers beyond its symbol
-    while SYMBOL - 1 + reach < window + 2:
-        depth, reach = depth + 1, reach * 3
-    parts = saved(stretches.withColumn("string", F.monotonically_increasing_id()), "stretches")
-    at = F.col("pos") + 1
-    rows = parts.select("string", "data", F.explode(F.sequence(F.lit(0), F.octet_length("data") - 1)).alias("pos"))
-    whole = F.octet_length("data") >= F.col("pos") + window
-    prefix = F.substring("data", at, window)
-    suffixes = saved(rows.select(
-        "string", "pos", F.substring("data", at, SYMBOL + 2).alias("key"),
-        F.when(whole, F.xxhash64(prefix)).alias("d0"),
-        F.when(whole, F.xxhash64(F.lit(1), prefix, F.lit(window))).alias("d1")), "suffixes")
-    sampled = _sampled_ranks(suffixes, ["key"], depth)
-    rows = _with_ranks(suffixes.select("string", "pos", "key", "d0", "d1"), sampled)
-    done = _ranked(rows, suffixes, ["key"], ["d0", "d1"])
-    starts = done.where("d0 IS NOT NULL").select("string", "pos", "head")
-    starts = saved(starts.join(parts.select("string", "doc_id", "text_hash", "first"), "string").select(
-        "doc_id", "text_hash", (F.col("first") + F.col("pos")).alias("start"), "head"), "starts")
-    place = F.struct("doc_id", "start", "text_hash")
-    first = saved(starts.groupBy("head").agg(F.min(place).alias("earliest")).select("head", "earliest"), "earliest")
-    return starts.join(first, "head").where(~place.eqNullSafe(F.col("earliest"))).select("doc_id", "text_hash", "start")
+from calibra.llm.anchors import LEAST_CHUNKS, _by_bucket, _joined, _slice_bytes, _table, chunked
+from calibra.llm.textblocks import byte_blocks, column_bytes, mix, rolling, window_starts
+
+SYMBOL = 8
+#: Different pieces of one gram from which it is cut, and windows of a slice.
+HOT, SLICE = 8_000, 8_000
+#: Bytes of pieces that are sorted at a time (more if the pieces of one gram need it).
+GROUP = 1 << 19
+#: Bins of pieces for a bucket of grams (32 MB of text).
+BINS = 32
+_CODE, _GRAM = mix(np.arange(1, 257, dtype=np.uint64)), np.uint64(0xA24BAED4963EE407)
+
+_GRAM_SCHEMA = "bucket int, chunk long, grams binary, pieces binary"
+_HIT_SCHEMA = "chunk long, bucket int, grams binary, parts binary"
+_PIECE = pa.schema([("gram", pa.int64()), ("parts", pa.int32()), ("data", pa.binary()), ("doc_id", pa.int64()),
+                    ("text_hash", pa.int64()), ("start", pa.int64()), ("chunk", pa.int64()), ("at", pa.int64()),
+                    ("copies", pa.binary())])
+_PIECE_SCHEMA = ("gram long, parts int, data binary, doc_id long, text_hash long, start long, chunk long, "
+                 "at long, copies binary")
+_LATER_SCHEMA = "chunk long, firsts binary, counts binary"
+_SPAN = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+
+
+def _once(docs: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Documents in order of id (null first) and hash, rows that repeat both only once; and
+    each row's place among them."""
+    order = pc.sort_indices(docs.select(["doc_id", "text_hash"]),
+                            sort_keys=[("doc_id", "ascending"), ("text_hash", "ascending")],
+                            null_placement="at_start").to_numpy()
+    ids = docs["doc_id"].take(pa.array(order))
+    null, ids = ids.is_null().to_numpy(), ids.fill_null(0).to_numpy()
+    texts = docs["text_hash"].to_numpy()[order]
+    new = np.ones(order.size, bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (null[1:] != null[:-1]) | (texts[1:] != texts[:-1])
+    place = np.empty(order.size, np.int64)
+    place[order] = np.cumsum(new) - 1
+    return docs.take(pa.array(order[new])), place
+
+
+def _ranges(counts: np.ndarray) -> np.ndarray:
+    """0 .. n - 1 for each count n."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _runs(buf: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first start, last start, hash of the gram) of the pieces of a block of rows."""
+    block = (window + 1) // 2
+    starts, rows = window_starts(offs, window)
+    if not starts.size:
+        return rows, starts, starts, np.zeros(0, np.uint64)
+    hashes = rolling(_CODE[buf], block)
+    least = hashes & ~np.uint64(0xFFFFFFFF) | np.arange(hashes.size, dtype=np.uint64)
+    width, all_ = 1, window - block + 1
+    while width < all_:                        # least of `width` hashes from each place on
+        step = min(width, all_ - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    place = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.ones(starts.size, bool)
+    new[1:] = (place[1:] != place[:-1]) | (rows[1:] != rows[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], starts.size) - 1
+    return rows[first], starts[first], starts[last], mix(hashes[place[first]] ^ _GRAM)
+
+
+def _grams(docs: pa.Table, window: int, bits: int) -> pa.Table:
+    """A chunk's distinct (gram, hash of the piece), twice where they occur twice."""
+    out: tuple[list, ...] = ([], [], [], [])
+    short, pieces = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for _, _, buf, offs in byte_blocks(_once(docs)[0]["text"]):
+        _, first, last, gram = _runs(buf, offs, window)
+        short.append(gram >> np.uint64(32 - bits))
+        ends = rolling(_CODE[buf], window)     # a piece is its first and its last window
+        pieces.append(mix(ends[first] + mix(ends[last] + np.uint64(1))) >> np.uint64(32))
+    short, pieces = np.concatenate(short), np.concatenate(pieces)
+    order = np.lexsort((pieces, short))
+    short, pieces = short[order], pieces[order]
+    third = np.zeros(short.size, bool)
+    third[2:] = (short[2:] == short[:-2]) & (pieces[2:] == pieces[:-2])
+    short, pieces = short[~third], pieces[~third].astype(np.uint32)
+    bucket, rest = (short >> np.uint64(32)).astype(np.int64), short.astype(np.uint32)
+    chunk = docs["chunk"][0].as_py()
+    for b, part in _by_bucket(bucket, 1 << bits):
+        out[0].append(b)
+        out[1].append(chunk)
+        out[2].append(_slice_bytes(rest[part]))
+        out[3].append(pieces[part].tobytes())
+    return _table({"bucket": (out[0], pa.int32()), "chunk": (out[1], pa.int64()),
+                   "grams": (out[2], pa.binary()), "pieces": (out[3], pa.binary())})
+
+
+def _hits(sent: pa.Table, window: int, hot: int, size: int) -> pa.Table:
+    """A bucket's grams that occur twice, for each chunk that sent them, with the number of
+    slices for their windows (1: the gram isn't cut)."""
+    chunks, bucket = sent["chunk"].to_pylist(), sent["bucket"][0].as_py()
+    grams = [_joined(g, np.uint32) for g in sent["grams"].to_pylist()]
+    sender = np.repeat(np.arange(len(grams)), [g.size for g in grams])
+    gram = np.concatenate(grams)
+    piece = np.concatenate([np.frombuffer(p, np.uint32) for p in sent["pieces"].to_pylist()])
+    order = np.argsort(gram.astype(np.uint64) << np.uint64(32) | piece, kind="stable")
+    gram, piece, sender = gram[order], piece[order], sender[order]
+    new = np.ones(gram.size, bool)
+    new[1:] = gram[1:] != gram[:-1]
+    other = new.copy()
+    other[1:] |= piece[1:] != piece[:-1]
+    first = np.flatnonzero(new)
+    count, different = np.diff(np.append(first, gram.size)), np.add.reduceat(other, first, dtype=np.int64)
+    windows = different * (window - (window + 1) // 2 + 1)
+    parts = np.repeat(np.where(different > hot, -(-windows // size), 1), count)
+    hit = np.repeat(count > 1, count)
+    gram, sender, parts = gram[hit], sender[hit], parts[hit]
+    order = np.lexsort((gram, sender))
+    gram, sender, parts = gram[order], sender[order], parts[order]
+    new = np.ones(gram.size, bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (sender[1:] != sender[:-1])
+    gram, sender, parts = gram[new], sender[new], parts[new].astype(np.int32)
+    out: tuple[list, ...] = ([], [], [], [])
+    for s, part in _by_bucket(sender, len(chunks)):
+        out[0].append(chunks[s])
+        out[1].append(bucket)
+        out[2].append(_slice_bytes(gram[part]))
+        out[3].append(parts[part].tobytes())
+    return _table({"chunk": (out[0], pa.int64()), "bucket": (out[1], pa.int32()),
+                   "grams": (out[2], pa.binary()), "parts": (out[3], pa.binary())})
+
+
+def _pieces(docs: pa.Table, hits: pa.Table, window: int, bits: int) -> pa.Table:
+    """A chunk's different pieces whose gram occurs twice: the earliest place of each, and
+    where else the chunk holds it (`at`, `copies`: bytes from the start of the chunk)."""
+    if not docs.num_rows or not hits.num_rows:
+        return _PIECE.empty_table()
+    chunk = docs["chunk"][0].as_py()
+    docs, _ = _once(docs)
+    sent = sorted(zip(hits["bucket"].to_pylist(), hits["grams"].to_pylist(), hits["parts"].to_pylist()))
+    known = np.concatenate([_joined(g, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, g, _ in sent])
+    known_parts = np.concatenate([np.frombuffer(p, np.int32) for _, _, p in sent])
+    found: list[tuple] = []
+    base = 0
+    for top, _, buf, offs in byte_blocks(docs["text"]):
+        row, first, last, gram = _runs(buf, offs, window)
+        gram >>= np.uint64(32 - bits)
+        place = np.minimum(np.searchsorted(known, gram), known.size - 1)
+        hit = known[place] == gram
+        found.append((row[hit] + top, first[hit] + base, last[hit] + base, gram[hit].astype(np.int64),
+                      known_parts[place[hit]]))
+        base += buf.size
+    row, first, last, gram, parts = (np.concatenate(c) for c in zip(*found))
+    n = np.where(parts > 1, last - first + 1, 1)               # a cut gram: every window alone
+    first = np.repeat(first, n) + _ranges(n)
+    last = np.where(np.repeat(parts, n) > 1, first, np.repeat(last, n))
+    row, gram, parts = (np.repeat(c, n) for c in (row, gram, parts))
+    buf, offs = column_bytes(docs["text"])
+    buf, offs = buf[offs[0]:offs[-1]].tobytes(), offs - offs[0]
+    start = first - offs[row]
+    ids, texts = docs["doc_id"], docs["text_hash"].to_numpy()
+    null, ids = ids.is_null().to_numpy(), ids.fill_null(0).to_numpy()
+    order = np.lexsort((row, start, ids[row], ~null[row]))
+    places: dict[bytes, list[int]] = {}
+    for i, a, b in zip(order.tolist(), first[order].tolist(), (last[order] + window).tolist()):
+        places.setdefault(buf[a:b], []).append(i)
+    own = np.array([p[0] for p in places.values()], np.int64)
+    copies = [first[p[1:]].tobytes() if len(p) > 1 else None for p in places.values()]
+    columns = [gram[own], parts[own], list(places), pa.array(ids[row[own]], mask=null[row[own]]), texts[row[own]],
+               start[own], np.full(own.size, chunk), first[own], copies]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECE)], schema=_PIECE)
+
+
+def _slices(distinct: DataFrame, parts: str, keys: list[str]) -> DataFrame:
+    """`distinct` with `slice`: for a key that is cut into more than one of `parts`, the
+    part of the row, by its bytes; 0 for other keys."""
+    return distinct.withColumn("slice", F.when(F.col(parts) > 1, F.pmod(F.xxhash64(*keys, "data"), F.col(parts).cast("long")))
+                               .otherwise(F.lit(0).cast("long")))
+
+
+def _packed(columns: list[np.ndarray]) -> np.ndarray:
+    """One number per row that orders rows as their columns (of numbers from 0) do."""
+    bits = [max(1, int(c.max(initial=0)).bit_length()) for c in columns]
+    key = columns[0].astype(np.uint64)
+    used = bits[0]
+    for column, more in zip(columns[1:], bits[1:]):
+        if used + more > 64:
+            key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+            used = max(1, int(key.max(initial=0)).bit_length())
+        key = key << np.uint64(more) | column.astype(np.uint64)
+        used += more
+    return key
+
+
+def _named(keys: np.ndarray) -> np.ndarray:
+    """Names of keys: their rank among the different ones, from 1."""
+    order = np.argsort(keys)
+    ascending = keys[order]
+    new = np.ones(keys.size, np.int64)
+    new[1:] = ascending[1:] != ascending[:-1]
+    out = np.empty(keys.size, np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _suffix_ranks(at: np.ndarray, names: np.ndarray, step: int, window: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Ranks (from 1, 0 elsewhere) of the suffixes that start at `at`, those `wanted` if given.
+
+    names: for each position of the text and one past it, the name of `step` bytes, 0 past
+    the text.  Suffixes that agree in `window` bytes may be in any order."""
+    end = names.size - 1
+
+    def after(values: np.ndarray, at: np.ndarray, shift: int) -> np.ndarray:
+        return values[np.minimum(at + shift * step, end)]
+    remainder = at // step % 3
+    sampled, rest = at[remainder > 0], at[remainder == 0]
+    ranks = np.zeros(end + 1, np.int64)
+    ranks[sampled] = _named(_packed([names[sampled], after(names, sampled, 1), after(names, sampled, 2)]))
+    if 3 * step < window and ranks.max() < sampled.size:
+        ranks = _suffix_ranks(sampled, ranks, 3 * step, window)
+    if wanted is not None:
+        sampled, rest = sampled[wanted[sampled]], rest[wanted[rest]]
+    sampled = sampled[np.argsort(ranks[sampled])]
+    rest = rest[np.argsort(_packed([names[rest], after(ranks, rest, 1)]))]
+    before = np.zeros(sampled.size, np.int64)                  # how many of the rest are smaller
+    for shift in (1, 2):                                       # at which both are sampled
+        own = sampled // step % 3 == shift
+        both = np.concatenate([rest, sampled[own]])
+        key = _packed([*(after(names, both, i) for i in range(shift)), after(ranks, both, shift)])
+        before[own] = np.searchsorted(key[:rest.size], key[rest.size:])
+    out = np.zeros(end + 1, np.int64)
+    place = np.arange(sampled.size) + np.maximum.accumulate(before)
+    out[sampled] = place + 1
+    free = np.ones(sampled.size + rest.size, bool)
+    free[place] = False
+    out[rest] = np.flatnonzero(free) + 1
+    return out
+
+
+def _window_groups(data: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """For each start of a window in `data`: the number of its group of equal windows."""
+    symbols = np.zeros(data.size + 1, np.uint64)
+    padded = np.concatenate([data, np.zeros(SYMBOL, np.uint8)])
+    for i in range(SYMBOL):
+        symbols[:-1] = symbols[:-1] << np.uint64(8) | padded[i:i + data.size]
+    names = np.zeros(data.size + 1, np.int64)
+    names[:-1] = _named(symbols[:-1])
+    wanted = np.zeros(data.size + 1, bool)
+    wanted[starts] = True
+    ranks = _suffix_ranks(np.arange(data.size), names, SYMBOL, window, wanted)[starts]
+    order = np.empty(starts.size, np.int64)
+    order[ranks - 1] = np.arange(starts.size)
+    ordered = starts[order]
+    symbols >>= np.uint64(8 * max(0, SYMBOL - window))
+    same = np.flatnonzero(symbols[ordered[1:]] == symbols[ordered[:-1]]) + 1
+    for shift in (*range(SYMBOL, window - SYMBOL, SYMBOL), max(0, window - SYMBOL)):
+        same = same[symbols[ordered[same] + shift] == symbols[ordered[same - 1] + shift]]
+    new = np.ones(starts.size, np.int64)
+    new[same] = 0
+    out = np.empty(starts.size, np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def _later(sent: pa.Table, window: int) -> pa.Table:
+    """Ranges of starts of windows that also start earlier, by chunk; sent: all pieces of
+    some grams (or slices of them)."""
+    sent = sent.take(pc.sort_indices(sent["gram"]))
+    gram, chunk, at, start, texts = (sent[c].to_numpy() for c in ("gram", "chunk", "at", "start", "text_hash"))
+    null = sent["doc_id"].is_null().to_numpy()
+    ids = np.unique(sent["doc_id"].fill_null(0).to_numpy(), return_inverse=True)[1] + 1
+    ids[null] = 0
+    data, copies = sent["data"].to_pylist(), sent["copies"].to_pylist()
+    n = np.array([len(d) for d in data], np.int64) - window + 1
+    edges = np.append(np.flatnonzero(np.diff(gram, prepend=gram[0] - 1)), gram.size)
+    total = np.concatenate([[0], np.cumsum(n + window - 1)])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    low = 0
+    while low < gram.size:
+        cut = edges[np.searchsorted(total[edges], total[low] + GROUP, side="right") - 1]
+        high = int(cut) if cut > low else int(edges[np.searchsorted(edges, low, side="right")])
+        texts_of: dict[bytes, int] = {}
+        which = np.array([texts_of.setdefault(d, len(texts_of)) for d in data[low:high]], np.int64)
+        sizes = np.array([len(d) for d in texts_of], np.int64)
+        first = np.cumsum(sizes) - sizes
+        windows = sizes - window + 1
+        starts = np.repeat(first, windows) + _ranges(windows)
+        group = _window_groups(np.frombuffer(b"".join(texts_of), np.uint8), starts, window)
+        row = np.repeat(np.arange(low, high), n[low:high])     # one entry per window of each piece
+        inside = _ranges(n[low:high])
+        own = group[(np.cumsum(windows) - windows)[which[row - low]] + inside]
+        earliest = np.ones(row.size, bool)
+        for place in (ids[row], start[row] + inside, texts[row]):
+            entry = np.flatnonzero(earliest)
+            least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, own[entry], place[entry])
+            earliest[entry] = place[entry] == least[own[entry]]
+        row, inside = row[~earliest], inside[~earliest]
+        new = np.ones(row.size, bool)
+        new[1:] = (row[1:] != row[:-1]) | (inside[1:] != inside[:-1] + 1)
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], row.size)[:a.size] - 1
+        found.append((chunk[row[a]], at[row[a]] + inside[a], at[row[a]] + inside[b] + 1))
+        low = high
+    held = [i for i, c in enumerate(copies) if c is not None]
+    for i in held:                                             # the chunk's own later copies
+        more = np.frombuffer(copies[i], np.int64)
+        found.append((np.full(more.size, chunk[i]), more, more + n[i]))
+    chunks, first, end = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((first, chunks))
+    chunks, first, end = chunks[order], first[order], end[order]
+    out: tuple[list, ...] = ([], [], [])
+    edges = np.flatnonzero(np.diff(chunks, prepend=-1, append=-1)) if chunks.size else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        out[0].append(int(chunks[a]))
+        out[1].append(_slice_bytes(first[a:b]))
+        out[2].append((end[a:b] - first[a:b]).astype(np.int32).tobytes())
+    return _table({"chunk": (out[0], pa.int64()), "firsts": (out[1], pa.binary()), "counts": (out[2], pa.binary())})
+
+
+def _cut(docs: pa.Table, later: pa.Table, window: int) -> pa.Table:
+    """A chunk's rows without the bytes of windows that start earlier."""
+    out: tuple[list, ...] = ([], [], [], [], [])
+    if docs.num_rows:
+        once, place = _once(docs)
+        buf, offs = column_bytes(once["text"])
+        buf, offs = buf[offs[0]:offs[-1]].tobytes(), offs - offs[0]
+        cover = np.zeros(len(buf) + 1, np.int32)
+        for firsts, counts in zip(later["firsts"].to_pylist(), later["counts"].to_pylist()):
+            first = _joined(firsts, np.int64)
+            np.add.at(cover, first, 1)
+            np.add.at(cover, first + np.frombuffer(counts, np.int32) + window - 1, -1)
+        gone = np.cumsum(cover[:-1]) > 0
+        results = []
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+            own = gone[a:b]
+            edge = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).tolist() if own.any() else []
+            bounds = [0, *edge, b - a]
+            kept = b"".join(buf[a + x:a + y] for x, y in zip(bounds[::2], bounds[1::2]))
+            results.append((b - a, b - a - len(kept), len(edge) // 2, kept,
+                            [{"first": x, "end": y} for x, y in zip(edge[::2], edge[1::2])]))
+        out = tuple(list(c) for c in zip(*(results[p] for p in place.tolist())))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), _SPAN]
+    ids = docs["doc_id"].combine_chunks() if docs.num_rows else pa.array([], pa.int64())
+    return pa.Table.from_arrays([ids, *(pa.array(c, k) for c, k in zip(out, kinds))],
+                                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
 
 
 def remove_later_copies(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,52 +389,18 @@ def remove_later_copies(docs: DataFrame, window: int = 100, id_col: str = "doc_i
     result; rows that share only the id are told apart by their text's hash.  An empty
     table gives an empty result; other columns are never read.
     """
-    identity = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                        identity.alias("text_hash"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt, bits = chunked(texts, "doc_id", "text")
     dealt = dealt.withColumn("text_hash", F.xxhash64("text"))
-    plan = Repeats(byte_items, window, bits + 3)
-    grams = dealt.groupBy("chunk").applyInArrow(lambda t: plan.grams(_once(t)), plan.gram_schema)
-    hits = grams.groupBy("bucket").applyInArrow(lambda t: plan.hits(t), plan.hit_schema)
-    stretches = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(
-        lambda d, h: _stretches(plan, _once(d), h), "doc_id long, text_hash long, first int, data binary")
-    later = _later_starts(saved(stretches, "sieved"), window)
-    spans = saved(later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("start")).alias("starts")),
-                  "later-starts")             # at most one entry per byte of one document
-    joined = texts.join(spans.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), "starts"),
-                        F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")), "left")
-    schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, "
-              "removed array<struct<first: int, end: int>>")
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for data, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
-                data = data.encode()
-                at = np.array(starts or [], np.int64)
-                new = np.ones(at.size, bool)
-                new[1:] = at[1:] > at[:-1] + window
-                first = at[new]
-                last = at[np.append(np.flatnonzero(new)[1:], at.size) - 1] + window if at.size else at
-                ends = np.concatenate([[0], last])
-                kept = b"".join(data[a:b] for a, b in zip(ends.tolist(), [*first.tolist(), len(data)]))
-                for column, value in zip(out, (len(data), len(data) - len(kept), first.size, kept,
-                                               [{"first": a, "end": b} for a, b in zip(first.tolist(), last.tolist())])):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), kind]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds))],
-                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
-
-    return joined.select("doc_id", "text", "starts").mapInArrow(cut, schema)
-
-
-def _once(docs: pa.Table) -> pa.Table:
-    """Rows that repeat id and text only once (equal rows share their chunk)."""
-    seen, rows = set(), []
-    for i, key in enumerate(zip(docs["doc_id"].to_pylist(), docs["text_hash"].to_pylist())):
-        if key not in seen:
-            seen.add(key)
-            rows.append(i)
-    return docs if len(rows) == docs.num_rows else docs.take(pa.array(rows, pa.int64()))
+    hot, size = HOT, SLICE
+    grams = dealt.groupBy("chunk").applyInArrow(lambda t: _grams(t, window, bits), _GRAM_SCHEMA)
+    hits = grams.groupBy("bucket").applyInArrow(lambda t: _hits(t, window, hot, size), _HIT_SCHEMA)
+    pieces = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(
+        lambda d, h: _pieces(d, h, window, bits), _PIECE_SCHEMA)
+    bins = max(LEAST_CHUNKS, BINS << bits)
+    dealt_pieces = _slices(pieces, "parts", ["gram"]).withColumn(
+        "bin", F.pmod(F.xxhash64("gram", "slice"), F.lit(bins).cast("long"))).drop("parts", "slice")
+    later = dealt_pieces.groupBy("bin").applyInArrow(lambda t: _later(t, window), _LATER_SCHEMA)
+    return dealt.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(
+        lambda d, l: _cut(d, l, window),
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<first: int, end: int>>")

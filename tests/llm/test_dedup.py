@@ -4,7 +4,11 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +296,71 @@ def test_later_byte_copies_with_null_ids_repeats_and_an_empty_table(spark):
     assert remove_later_copies(frame(spark, []), 100).collect() == []
 
 
+def test_equal_windows_are_neighbours_in_suffix_order():
+    rng = np.random.default_rng(3)
+    for letters in (1, 2, 3, 200):
+        for window in (1, 5, 8, 20, 33, 100):
+            part = rng.integers(0, letters, 180).astype(np.uint8)
+            data = np.concatenate([rng.integers(0, letters, 400).astype(np.uint8), part, part[:50], part, part])
+            starts = np.flatnonzero(rng.random(data.size - window + 1) < 0.6)
+            group = difference_cover._window_groups(data, starts, window)
+            pieces = [data[i:i + window].tobytes() for i in starts.tolist()]
+            assert len(set(zip(group.tolist(), pieces))) == len(set(pieces)) == group.max() + 1
+
+
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_pieces_of_chunks_match_brute_force(monkeypatch, hot):
+    """Null, tied and repeated ids, periodic texts, grams that are cut, sorts of few bytes."""
+    monkeypatch.setattr(difference_cover, "GROUP", 700)
+    rng = random.Random(hot)
+    passages = [" ".join(words(rng, 40)) for _ in range(4)] + ["ab" * 130, "x" * 220]
+    rows = [(None if i % 17 == 0 else i // 2, f"{rng.random()} {rng.choice(passages)[rng.randrange(40):]} {rng.choice(passages)}")
+            for i in range(120)] + [(3, passages[0]), (3, passages[0]), (90, ""), (4, passages[1][:99])]
+    chunks = []
+    for number in range(3):
+        own = [(k, r) for k, r in enumerate(rows) if zlib.crc32(repr(r).encode()) % 3 == number]
+        chunks.append(pa.table({
+            "doc_id": pa.array([r[0] for _, r in own], pa.int64()), "text": [r[1] for _, r in own],
+            "text_hash": [zlib.crc32(r[1].encode()) - (1 << 31) for _, r in own], "chunk": [number] * len(own)}))
+    grams = pa.concat_tables(difference_cover._grams(c, 100, 1) for c in chunks)
+    hits = pa.concat_tables(difference_cover._hits(grams.filter(pc.field("bucket") == b), 100, hot, 40) for b in (0, 1))
+    pieces = pa.concat_tables(difference_cover._pieces(c, hits.filter(pc.field("chunk") == n), 100, 1)
+                              for n, c in enumerate(chunks))
+    assert (max(pieces["parts"].to_pylist()) > 1) == (hot == 3)
+    later = difference_cover._later(pieces, 100)
+    got = []
+    for n, chunk in enumerate(chunks):
+        cut = difference_cover._cut(chunk, later.filter(pc.field("chunk") == n), 100)
+        got += [(t, r["doc_id"], r["n_removed"], r["kept"]) for t, r in zip(chunk["text"].to_pylist(), cut.to_pylist())]
+    first, expected = {}, []
+    places = [(i is not None, i or 0, p, zlib.crc32(t.encode()), t) for i, t in set(rows) for p in range(len(t) - 99)]
+    for place in sorted(places):
+        first.setdefault(place[4][place[2]:place[2] + 100], place)
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 99):
+            if first[t[p:p + 100]] != (i is not None, i or 0, p, zlib.crc32(t.encode()), t):
+                gone[p:p + 100] = b"\1" * 100
+        expected.append((t, i, sum(gone), bytes(b for b, g in zip(t.encode(), gone) if not g)))
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
+
+
+def test_suffixes_are_sent_in_pieces(spark, monkeypatch):
+    """No row per byte of repeated text (they took 0.33 GB of disk for 1,000 documents)."""
+    sent, slices = [], difference_cover._slices
+
+    def counted(distinct, base, keys):
+        sent.append(distinct.count())
+        return slices(distinct, base, keys)
+    monkeypatch.setattr(difference_cover, "_slices", counted)
+    rng = random.Random(41)
+    passages = [" ".join(words(rng, 80)) for _ in range(20)]
+    rows = [(i, f"{rng.random()} {rng.choice(passages)} {rng.random()}") for i in range(200)]
+    got = remove_later_copies(frame(spark, rows), 100).collect()
+    assert sum(r.n_removed > 300 for r in got) == 180
+    assert 0 < sum(sent) < sum(len(t) for _, t in rows) / 20, sent
+
+
 def test_only_texts_that_may_be_wanted_are_joined(spark, monkeypatch):
     """The join that fetches the texts of candidates gets few other texts, also where Spark
     would not broadcast; a full map of hashes lets all texts through and changes no row."""
