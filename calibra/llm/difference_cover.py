@@ -46,6 +46,9 @@ HOT, SLICE = 8_000, 8_000
 GROUP = 1 << 19
 #: Bins of pieces for a bucket of grams (32 MB of text).
 BINS = 32
+#: Hashes of different pieces of a gram that a chunk sends; the number of all is estimated
+#: from the smallest ones (it decides on cuts only).
+SKETCH = 256
 _CODE, _GRAM = mix(np.arange(1, 257, dtype=np.uint64)), np.uint64(0xA24BAED4963EE407)
 
 _GRAM_SCHEMA = "bucket int, chunk long, grams binary, pieces binary"
@@ -102,7 +105,8 @@ def _runs(buf: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def _grams(docs: pa.Table, window: int, bits: int) -> pa.Table:
-    """A chunk's distinct (gram, hash of the piece), twice where they occur twice."""
+    """A chunk's distinct (gram, hash of the piece), twice where they occur twice; of a gram
+    with more than SKETCH pieces at least those of the SKETCH smallest hashes."""
     out: tuple[list, ...] = ([], [], [], [])
     short, pieces = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for _, _, buf, offs in byte_blocks(_once(docs)[0]["text"]):
@@ -116,6 +120,9 @@ def _grams(docs: pa.Table, window: int, bits: int) -> pa.Table:
     third = np.zeros(short.size, bool)
     third[2:] = (short[2:] == short[:-2]) & (pieces[2:] == pieces[:-2])
     short, pieces = short[~third], pieces[~third].astype(np.uint32)
+    most = np.zeros(short.size, bool)          # two rows a piece at most: SKETCH different ones are left
+    most[2 * SKETCH:] = short[2 * SKETCH:] == short[:-2 * SKETCH]
+    short, pieces = short[~most], pieces[~most]
     bucket, rest = (short >> np.uint64(32)).astype(np.int64), short.astype(np.uint32)
     chunk = docs["chunk"][0].as_py()
     for b, part in _by_bucket(bucket, 1 << bits):
@@ -143,6 +150,9 @@ def _hits(sent: pa.Table, window: int, hot: int, size: int) -> pa.Table:
     other[1:] |= piece[1:] != piece[:-1]
     first = np.flatnonzero(new)
     count, different = np.diff(np.append(first, gram.size)), np.add.reduceat(other, first, dtype=np.int64)
+    full = np.flatnonzero(different >= SKETCH)                 # their number from the SKETCH-th smallest hash
+    at = np.flatnonzero(other)[(np.cumsum(different) - different)[full] + SKETCH - 1]
+    different[full] = np.maximum(SKETCH, (SKETCH - 1) * 2.0 ** 32 / (piece[at] + 1.0))
     windows = different * (window - (window + 1) // 2 + 1)
     parts = np.repeat(np.where(different > hot, -(-windows // size), 1), count)
     hit = np.repeat(count > 1, count)

@@ -345,6 +345,23 @@ def test_pieces_of_chunks_match_brute_force(monkeypatch, hot):
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
 
+def test_a_frequent_gram_sends_a_bounded_sketch():
+    """A chunk sends some hashes of a gram's pieces, however many it has; their number is estimated."""
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefgh") for _ in range(70))
+    sent = [difference_cover._grams(pa.table({
+        "doc_id": list(range(3000)), "text": [f"{rng.random():.17f}{rng.random():.17f}"[:38] + line for _ in range(3000)],
+        "text_hash": list(range(3000)), "chunk": [number] * 3000}), 100, 1) for number in range(4)]
+    grams = pa.concat_tables(sent)
+    counts = [np.unique(difference_cover._joined(g, np.uint32), return_counts=True)[1].max()
+              for g in grams["grams"].to_pylist()]
+    assert max(counts) == 2 * difference_cover.SKETCH
+    hits = [difference_cover._hits(grams.filter(pc.field("bucket") == b), 100, 2000, 100)
+            for b in sorted(set(grams["bucket"].to_pylist()))]
+    parts = [np.frombuffer(p, np.int32) for t in hits for p in t["parts"].to_pylist()]
+    assert 3000 < max(p.max() for p in parts) < 3500            # 3246 when every piece is counted
+
+
 def test_suffixes_are_sent_in_pieces(spark, monkeypatch):
     """No row per byte of repeated text (they took 0.33 GB of disk for 1,000 documents)."""
     sent, slices = [], difference_cover._slices
