@@ -2,23 +2,25 @@
 
 Ids are cut into blocks that are coded on their own: every block starts with empty
 statistics and carries its length, a checksum of its ids and the sorted list of its
-distinct ids; an id is coded as its index in that list.  An index is coded as binary
-decisions: first whether it is the one predicted from the last two ids or the last one,
-whichever was right more often; if not, its bits, highest first, as many as the list needs.  For every
-decision the orders 0, 1 and 2 each give a probability from adaptive states kept under no
-id, the last id and the last two ids.  The three are mixed in the logistic domain, with
-weights learned by gradient steps for each place of the code, and the mixed probability
-drives a 32-bit carry-free binary range coder.  Decoding repeats the same integer
-arithmetic on the same tables, so it needs no floating point state.
+distinct ids; an id is coded as its index in that list.  An index is coded as a decision and
+two or three digits: first whether it is the one predicted from the last two ids or the last
+one, whichever was right more often; if not, its digits of 32 values, highest first.  For
+every decision and digit the orders 0, 1 and 2 each give a distribution from adaptive counts
+kept under no id, the last id and the last two ids.  The three are mixed with weights that
+are learned, for each place of the code and for how often the contexts were seen, from the
+part each order had in the probability of what came; the mixed distribution drives a
+carry-free range coder.  Decoding repeats the same single-precision sums, products and
+quotients on the same tables, element by element, so both sides round alike.
 
 Blocks are independent, so a task codes and decodes up to LANES of them in lockstep, one
 numpy operation over all lanes at a time.
 
 Layout of a coded table (a folder of Parquet files, one row per group of documents):
 part int, seq int (order of the groups), doc_ids array<long>, lengths array<int>, blocks
-array<binary>; a block is "CMR2", its id count, the crc32 of its ids and the number of its
+array<binary>; a block is "CMR3", its id count, the crc32 of its ids and the number of its
 distinct ids as little-endian 32-bit integers, the steps between these (seven bits a byte,
-lowest first, the eighth says that more follow), and the range coder's bytes.
+lowest first, the eighth says that more follow) as a raw deflate stream, and the range
+coder's bytes.
 """
 
 from __future__ import annotations
@@ -39,159 +41,194 @@ from calibra.llm.bpe_scan import encode_block
 from calibra.llm.scratch import saved
 from calibra.llm.textblocks import byte_blocks
 
-BLOCK, LANES = 4096, 1024    # at most 4096 distinct ids: twelve bits
+BLOCK, LANES = 4096, 1024    # at most 4096 distinct ids: a digit of 4 and two of 32
 IDS = 1 << 21                 # ids are below this
 NONE = (1 << 16) - 1          # no prediction
-GUESS_BITS = 11               # predicted ids of an order: 2048 hashed places
-BUCKET_BITS = 9               # states of an order: 512 hashed buckets of 16 (a nibble's nodes)
-STEADY = 15                   # observations after which a state adapts no slower
-FIRST = 3.0                   # the first observation moves a probability by 1 / FIRST
-LEARN = 11                    # weights move by error * input / 2**LEARN
-MIXED = 3 * 5 * 2047          # mixed logits stay within this: weights are at most 5
-START = 26_000                # first weight of each order; 65536 is 1
+GUESS_BITS = 12               # predicted ids of an order: 4096 hashed places
+WIDE = 32                     # values of a digit
+FLAG_ROWS = (50, 512, 512)    # decisions on the prediction: rows of counts of the orders
+HIGH_ROWS = (5, 256, 128)     # digits but the last; the rows of orders 1 and 2 are hashed
+LAST_ROWS = (128, 1024, 256)  # the last digit
+COUNTED = 2                   # what an occurrence adds to a count; those of order 0 start with 1
+SHARED = 65_000               # sum of the weights: with WIDE codes for sure and rounding below 65536
+FLAG_PULL = (0, 0.5, 0.8, 0.8), (0, 0.6, 0.8, 1)          # first weights of orders 1 and 2 where order 0
+DIGIT_PULL = (0, 0.07, 0.1, 0.2), (0, 0.07, 0.1, 0.2)     # has 1, by how well their row is known
+LEARN = np.float32(1 / 16)    # share of a weight that is learned from a digit
 WORDS_KEPT = 150_000          # pre-tokens a worker remembers
 TEXT_BYTES = 1 << 20          # texts that are encoded at a time
-TOP = np.uint32(1 << 24)
-MAGIC = b"CMR2"
+MAGIC = b"CMR3"
 _ONE, _TWO, _NODE = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
+_LOW32, _TOP = np.uint64(0xFFFFFFFF), np.uint64(1 << 48)
+_16 = np.uint64(16)
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a state (12 bits of probability, 4 bits of count): its logit in 256ths, and the
-    state after a 0 (first half) or a 1; for a logit from -MIXED: the probability in 65536ths."""
-    state = np.arange(1 << 16)
-    chance, seen = (state >> 4) + 0.5, state & 15
-    logit = np.rint(256 * np.log(chance / (4096 - chance))).clip(-2047, 2047)
-    logit[(state >> 4) == 2048] = 0
-    after = []
-    for bit in (0, 1):
-        moved = (state >> 4) + (bit * 4095 - (state >> 4)) / (seen + FIRST)
-        after.append(np.rint(moved).astype(np.int64) << 4 | np.minimum(seen + 1, STEADY))
-    squash = np.rint(65536 / (1 + np.exp(-np.arange(-MIXED, MIXED + 1).clip(-2047, 2047) / 256))).clip(24, 65512)
-    return logit.astype(np.int32), np.concatenate(after).astype(np.uint16), squash.astype(np.uint32)
+def _first_weights() -> tuple[np.ndarray, np.ndarray]:
+    """How well a row with a count is known (0 to 3), and the orders' first weights by place
+    (flag, then three digits) and knowledge of orders 1 and 2."""
+    known = np.searchsorted([1, 2, 4], np.arange(COUNTED * BLOCK + 1) // COUNTED, "right")
+    one, two = (known.ravel() for known in np.indices((4, 4)))
+    pulls = [np.array([[1.0] * 16, np.array(a)[one], np.array(b)[two]]) for a, b in (FLAG_PULL, *[DIGIT_PULL] * 3)]
+    first = np.stack([SHARED * pull / pull.sum(0) for pull in pulls])
+    return known, first.transpose(0, 2, 1).astype(np.float32).copy()           # place, knowledge, order
 
 
 class _Coder:
-    """A binary range coder per lane.  With `data` it decodes, otherwise it encodes.  The
-    registers of the lanes that take part are picked by `take` and stored by `put`."""
+    """A range coder per lane, of 64 bits, that puts out 16 at a time.  With `data` it
+    decodes, otherwise it encodes."""
 
     def __init__(self, lanes: int, data: list[bytes] | None):
         self.decoding = data is not None
-        self.registers = np.zeros((3, lanes), np.uint32)             # low, high, code
-        self.registers[1] = 0xFFFFFFFF
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
         self.at = np.zeros(lanes, np.int64)
         if data is None:
-            self.bytes = np.zeros((lanes, BLOCK * 3 + 64), np.uint8)
+            self.words = np.zeros((lanes, BLOCK), ">u2")
         else:
-            width = max(map(len, data)) + 8
-            self.bytes = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), np.uint8).reshape(lanes, width)
-            self.registers[2] = self.bytes[:, :4].copy().view(">u4").ravel()
+            width = max(map(len, data)) + 9 & ~1
+            self.words = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), ">u2").reshape(lanes, -1)
+            self.code = np.zeros(lanes, np.uint64)
+            for i in range(4):
+                self.code = self.code << _16 | self.words[:, i]
             self.at += 4
 
-    def take(self, lanes: np.ndarray) -> None:
-        self.lanes = lanes
-        self.low, self.high, self.code = (r[lanes] for r in self.registers)
-
-    def put(self) -> None:
-        for register, own in zip(self.registers, (self.low, self.high, self.code)):
-            register[self.lanes] = own
-
-    def bit(self, chance: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Code or read one bit per lane; chance: of a 1, in 65536ths."""
-        low, high = self.low, self.high
-        middle = low + (high - low >> np.uint32(16)) * chance
-        if bit is None:
-            bit = self.code <= middle
-        self.low = low = np.where(bit, low, middle + np.uint32(1))
-        self.high = high = np.where(bit, middle, high)
-        todo = ((low ^ high) < TOP).nonzero()[0]
+    def target(self, lanes: np.ndarray) -> np.ndarray:
+        """The places of the next symbols, in 65536ths."""
+        found = (self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> _16)
+        return np.minimum(found, 65535).astype(np.int32)
+
+    def narrow(self, lanes: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """Code symbols that have `size` 65536ths from `first`, or pass them."""
+        width = self.range[lanes] >> _16
+        low = self.low[lanes] + width * first.astype(np.uint64)
+        width *= size.astype(np.uint64)
+        settled = (low ^ (low + width)) < _TOP
+        todo = (settled | (width <= _LOW32)).nonzero()[0]
         while todo.size:
-            own, a = self.lanes[todo], low[todo]
+            own, a, w, at = lanes[todo], low[todo], width[todo], self.at[lanes[todo]]
+            w = np.where(settled[todo], w, (~a + np.uint64(1)) & _LOW32)
             if self.decoding:
-                at = np.minimum(self.at[own], self.bytes.shape[1] - 1)
-                self.code[todo] = self.code[todo] << np.uint32(8) | self.bytes[own, at]
+                self.code[own] = self.code[own] << _16 | self.words[own, np.minimum(at, self.words.shape[1] - 1)]
             else:
-                self.bytes[own, self.at[own]] = a >> np.uint32(24)
+                self.words[own, at] = a >> np.uint64(48)
             self.at[own] += 1
-            low[todo] = a = a << np.uint32(8)
-            high[todo] = b = high[todo] << np.uint32(8) | np.uint32(255)
-            todo = todo[(a ^ b) < TOP]
-        return bit
+            low[todo] = a = a << _16
+            width[todo] = w = w << _16
+            settled[todo] = same = (a ^ (a + w)) < _TOP
+            todo = todo[same | (w <= _LOW32)]
+        self.low[lanes], self.range[lanes] = low, width
 
     def widen(self) -> None:
-        """Room for 16 more ids of 13 decisions, four bytes each at most."""
-        if not self.decoding and self.at.max() + 1024 > self.bytes.shape[1]:
-            self.bytes = np.pad(self.bytes, ((0, 0), (0, BLOCK)))
+        """Room for 16 more ids of four symbols, two words each at most."""
+        if not self.decoding and self.at.max() + 160 > self.words.shape[1]:
+            self.words = np.pad(self.words, ((0, 0), (0, BLOCK)))
 
     def finish(self) -> list[bytes]:
-        for shift in (24, 16, 8, 0):
-            self.bytes[np.arange(self.at.size), self.at] = (self.registers[0] >> np.uint32(shift)).astype(np.uint8)
-            self.at += 1
-        return [self.bytes[i, :n].tobytes() for i, n in enumerate(self.at)]
+        last = (self.low + _LOW32) >> np.uint64(32)          # range is at least 2**32
+        lanes = np.arange(self.at.size)
+        self.words[lanes, self.at] = last >> _16
+        self.words[lanes, self.at + 1] = last & np.uint64(0xFFFF)
+        return [self.words[i, :n].tobytes() for i, n in enumerate(self.at + 2)]
+
+
+class _Rows:
+    """Rows of running counts of `width` values, of every lane and order."""
+
+    def __init__(self, lanes: int, rows: tuple[int, int, int], width: int):
+        own = np.zeros((sum(rows), width), np.uint16)
+        own[:rows[0]] = np.arange(1, width + 1)               # order 0: once each
+        self.width, self.kind = width, np.dtype((np.void, 2 * width))
+        self.counts = np.tile(own, (lanes, 1)).view(self.kind).ravel()
+        self.base = np.cumsum([0, *rows[:2]])[:, None] + np.arange(lanes) * sum(rows)
+        self.hashed = np.array(rows[1:], np.uint32)[:, None]
+        self.steps = (COUNTED * np.triu(np.ones((width, width), np.uint16))).astype(np.uint16).view(self.kind).ravel()
+        self.bools = np.uint64 if width % 8 == 0 else np.uint16            # that many at once
+        self.codes = np.arange(1, width + 1, dtype=np.int32)
+
+    def cells(self, lanes: np.ndarray, context: np.ndarray, prefix: np.ndarray | int) -> np.ndarray:
+        """Rows of a prefix: order 0 has one for each, the others hash it with their context."""
+        cells = self.base[:, lanes]
+        cells[0] += prefix
+        mixed = (context + np.asarray(prefix, np.uint32) * _NODE) * _ONE
+        mixed = (mixed ^ (mixed >> np.uint32(16))) * _TWO >> np.uint32(16)
+        cells[1:] += mixed * self.hashed >> np.uint32(16)
+        return cells
 
 
 class _Model:
-    """Statistics of every lane, and the coding of one id per lane."""
+    """Statistics of every lane, and the coding of one id per lane.
+
+    The running shares of the orders' rows, weighted, add up to the code's; a weight moves
+    to the part that its order had in the probability of the digit that came."""
 
     def __init__(self, lanes: int, coder: _Coder, distinct: np.ndarray):
         self.coder, self.steps = coder, 0
-        self.skipped = 12 - np.ceil(np.log2(np.maximum(distinct, 1))).astype(np.int64)   # leading places
-        self.logit, self.after, self.squash = _tables()
-        size = 16 << BUCKET_BITS
-        self.states = np.full(3 * lanes * size, 2048 << 4, np.uint16)
-        self.base = np.arange(3 * lanes, dtype=np.int64).reshape(3, lanes) * size
-        self.weights = np.full((13, 3 * lanes), START, np.int32)     # flag, then 12 bits
-        self.order = np.arange(3 * lanes).reshape(3, lanes)
+        self.long = distinct > WIDE * WIDE
+        self.flags = _Rows(lanes, FLAG_ROWS, 2)
+        self.high, self.low = _Rows(lanes, HIGH_ROWS, WIDE), _Rows(lanes, LAST_ROWS, WIDE)
+        self.known, first = _first_weights()
+        self.weights = np.tile(first.ravel(), lanes)
+        self.sets = np.arange(lanes) * first.size
         # index * 4 + how sure it is: one more each time it is right, one less when it isn't
         self.guess = np.full((2, lanes, 1 << GUESS_BITS), NONE, np.uint16)
         self.last = np.zeros((2, lanes), np.uint32)
 
-    def _bit(self, place: int, cells: np.ndarray, own: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Code or read a decision whose states of orders 0 to 2 are at `cells` and whose
-        weights are at `own`; learn from it."""
-        state = self.states.take(cells)
-        pull = self.logit.take(state)
-        weights = self.weights[place].take(own)
-        total = np.add.reduce(weights * pull, 0)
-        total >>= 16
-        total += MIXED
-        chance = self.squash.take(total)
-        bit = self.coder.bit(chance, bit)
-        one = bit.astype(np.int32) << 16
-        pull *= (one - chance.view(np.int32)) >> 4
-        pull >>= LEARN
-        weights += pull
-        self.weights[place][own] = weights
-        self.states[cells] = self.after.take(state + one)
-        return bit
+    def _digit(self, place: int, lanes: np.ndarray, table: _Rows, cells: np.ndarray,
+               digit: np.ndarray | None) -> np.ndarray:
+        """Code or read a digit whose rows of orders 0 to 2 are `cells`; learn from it."""
+        k, width = lanes.size, table.width
+        held = table.counts.take(cells, mode="clip")
+        rows = held.view(np.uint16).reshape(3, k, width)
+        flat = rows.ravel()
+        end = np.arange(0, 3 * k * width, width).reshape(3, k)
+        total = flat.take(end + (width - 1), mode="clip")
+        own = self.known.take(total[1]) * 4 + self.known.take(total[2])
+        own = self.sets[lanes] + (own + 16 * place) * 3 + np.arange(3)[:, None]
+        weights = self.weights.take(own, mode="clip")
+        share = weights / np.maximum(total, 1).astype(np.float32)
+        if digit is None:
+            mixed = rows[0] * share[0][:, None]
+            mixed += rows[1] * share[1][:, None]
+            mixed += rows[2] * share[2][:, None]
+            above = mixed.astype(np.int32) + table.codes <= self.coder.target(lanes)[:, None]
+            digit = np.minimum(np.bitwise_count(above.view(table.bools)).sum(1, dtype=np.int64), width - 1)
+        at = end + digit
+        upper = flat.take(at, mode="clip") * share
+        lower = flat.take(at - 1, mode="clip") * (share * (digit > 0))
+        first = (lower[0] + lower[1] + lower[2]).astype(np.int32) + digit
+        last = (upper[0] + upper[1] + upper[2]).astype(np.int32) + digit + 1
+        self.coder.narrow(lanes, first, last - first)
+        part = upper - lower
+        part *= SHARED / (part[0] + part[1] + part[2])
+        part -= weights
+        part *= LEARN
+        weights += part
+        self.weights[own] = np.maximum(weights, np.float32(4))
+        rows += table.steps.take(digit, mode="clip").view(np.uint16).reshape(k, width)
+        table.counts[cells] = held
+        return digit
 
     def step(self, k: int, ids: np.ndarray | None) -> np.ndarray:
         """Code the indexes of lanes 0..k-1, or read and return them."""
-        if self.steps % 16 == 0:               # a step moves a weight by 2**12 at most: below 5 * 2**16
-            np.clip(self.weights, -(1 << 18) + 1, (1 << 18) - 1, out=self.weights)
+        if self.steps % 16 == 0:
             self.coder.widen()
         self.steps += 1
         lanes = np.arange(k)
         one, two = self.last[0, :k], self.last[1, :k]
-        context = np.empty((3, k), np.uint32)
-        context[0] = 0
-        context[1] = (one + np.uint32(1)) * _ONE
-        context[2] = (context[1] ^ (context[1] >> np.uint32(15))) * _TWO + (two + np.uint32(1)) * _NODE
-        place = ((context[1:] ^ (context[1:] >> np.uint32(13))) * _TWO) >> np.uint32(32 - GUESS_BITS)
+        context = np.empty((2, k), np.uint32)
+        context[0] = (one + np.uint32(1)) * _ONE
+        context[1] = (context[0] ^ (context[0] >> np.uint32(15))) * _TWO + (two + np.uint32(1)) * _NODE
+        place = ((context ^ (context >> np.uint32(13))) * _TWO) >> np.uint32(32 - GUESS_BITS)
         low, high = self.guess[0][lanes, place[0]], self.guess[1][lanes, place[1]]
         sure_low, sure_high = np.where(low == NONE, 0, 1 + (low & 3)), np.where(high == NONE, 0, 1 + (high & 3))
         likely = np.where(sure_high < sure_low, low, high) >> 2
-        cells = self.base[:, :k] + self._buckets(context, 0)
         agree = low >> 2 == high >> 2
-        cells[0] = self.base[0, :k] + 16 * (1 + 25 * agree + 5 * sure_high + sure_low)      # node 0 is free elsewhere
-        self.coder.take(lanes)
-        hit = self._bit(0, cells, self.order[:, :k], None if ids is None else ids == likely)
-        self.coder.put()
+        cells = self.flags.cells(lanes, context, 0)
+        cells[0] += 25 * agree + 5 * sure_high + sure_low
+        hit = self._digit(0, lanes, self.flags, cells, None if ids is None else (ids == likely).astype(np.int64)) == 1
         out = likely.astype(np.uint32)
         rest = np.flatnonzero(~hit)
         if rest.size:
-            out[rest] = self._spell(rest, context[:, rest], None if ids is None else ids[rest])
+            out[rest] = self._spell(rest, context[:, rest], None if ids is None else ids[rest].astype(np.int64))
         for guess, at, was in zip(self.guess, place, (low, high)):
             sure, right = was & 3, was >> 2 == out
             kept = np.where(right, was + (sure < 3), was - 1)
@@ -200,71 +237,47 @@ class _Model:
         self.last[0, :k] = out
         return out
 
-    def _buckets(self, context: np.ndarray, prefix: np.ndarray | int) -> np.ndarray:
-        """First cells of the buckets of a prefix (1 and the bits so far): order 0 has one
-        for every prefix, the others hash it with their context."""
-        mixed = (context + np.uint32(1) + np.asarray(prefix, np.uint32) * _NODE) * _ONE
-        mixed = (mixed ^ (mixed >> np.uint32(16))) * _TWO
-        cells = (mixed >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
-        cells[0] = prefix
-        return cells * 16
-
     def _spell(self, lanes: np.ndarray, context: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """The bits of an index, four nodes from one bucket of each order; lanes whose list
-        is shorter skip the leading places, which are zeros."""
-        base, order, skipped = self.base[:, lanes], self.order[:, lanes], self.skipped[lanes]
-        value = np.ones(lanes.size, np.int64)
-        least, most = int(skipped.min()), int(skipped.max())
-        self.coder.take(lanes)
-        for first in (0, 4, 8):
-            node = np.ones(lanes.size, np.int64)
-            cells = None
-            for place in range(first, first + 4):
-                if place < least:
-                    node *= 2
-                    continue
-                if cells is None:
-                    cells = base + self._buckets(context, value)
-                bit = None if ids is None else (ids >> (11 - place) & 1).astype(bool)
-                if place < most:                # some lanes only
-                    own = np.flatnonzero(skipped <= place)
-                    self.coder.put()
-                    self.coder.take(lanes[own])
-                    read = np.zeros(lanes.size, bool)
-                    read[own] = self._bit(1 + place, cells[:, own] + node[own], order[:, own], None if bit is None else bit[own])
-                    self.coder.put()
-                    self.coder.take(lanes)
-                    bit = read
-                else:
-                    bit = self._bit(1 + place, cells + node, order, bit)
-                node = node * 2 + bit
-            value = value * 16 + node - 16
-        self.coder.put()
-        return value - (1 << 12)
+        """The digits of an index, highest first; the first one (0 to 3) only in lanes whose
+        list needs it.  Its row of order 0 is 4, those of the next digit are 0 to 3."""
+        value = np.zeros(lanes.size, np.int64)
+        long = np.flatnonzero(self.long[lanes])
+        if long.size:
+            cells = self.high.cells(lanes[long], context[:, long], 4)
+            value[long] = self._digit(1, lanes[long], self.high, cells, None if ids is None else ids[long] >> 10)
+        for place, table, shift in ((2, self.high, 5), (3, self.low, 0)):
+            cells = table.cells(lanes, context, value)
+            digit = None if ids is None else ids >> shift & (WIDE - 1)
+            value = value * WIDE + self._digit(place, lanes, table, cells, digit)
+        return value
 
 
 def _packed_steps(values: np.ndarray) -> bytes:
-    """Sorted distinct ids as steps of seven bits a byte."""
+    """Sorted distinct ids as steps of seven bits a byte, deflated."""
     steps = np.diff(values, prepend=0).astype(np.int64)
     digits = np.stack([steps & 127, steps >> 7 & 127, steps >> 14], 1)
     used = np.arange(3) < 1 + (steps > 127)[:, None] + (steps > 16383)[:, None]
     more = np.roll(used, -1, 1)
     more[:, -1] = False
-    return (digits | more * 128).astype(np.uint8)[used].tobytes()
-
-
-def _unpacked_steps(data: bytes, count: int) -> tuple[np.ndarray, int]:
-    """The ids of `_packed_steps` and the number of bytes they take."""
-    head = np.frombuffer(data, np.uint8, min(len(data), 3 * count)).astype(np.int64)
-    last = np.flatnonzero(head < 128)[:count]
-    if last.size < count:
-        raise ValueError("block cut short")
-    size = int(last[-1]) + 1 if count else 0
-    first = np.concatenate([[0], last[:-1] + 1])[:count]
-    place = np.arange(size) - np.repeat(first, last - first + 1)
-    if size and place.max() > 2:
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return deflate.compress((digits | more * 128).astype(np.uint8)[used].tobytes()) + deflate.flush()
+
+
+def _unpacked_steps(data: bytes, count: int) -> tuple[np.ndarray, bytes]:
+    """The ids of `_packed_steps` and the bytes after them."""
+    inflate = zlib.decompressobj(-15)
+    try:
+        head = np.frombuffer(inflate.decompress(data, 3 * count + 1), np.uint8).astype(np.int64)
+    except zlib.error as error:
+        raise ValueError("damaged block") from error
+    last = np.flatnonzero(head < 128)
+    if not inflate.eof or last.size != count or last[-1] + 1 != head.size:
+        raise ValueError("damaged block")
+    first = np.concatenate([[0], last[:-1] + 1])
+    place = np.arange(head.size) - np.repeat(first, last - first + 1)
+    if place.max() > 2:
         raise ValueError("damaged block")
-    return np.cumsum(np.add.reduceat((head[:size] & 127) << 7 * place, first)) if count else head, size
+    return np.cumsum(np.add.reduceat((head & 127) << 7 * place, first)), inflate.unused_data
 
 
 def encode_ids(ids: np.ndarray) -> list[bytes]:
@@ -305,8 +318,8 @@ def decode_ids(blocks: list[bytes]) -> np.ndarray:
             size, crc, distinct = struct.unpack("<III", block[4:16])
             if not 0 < distinct <= size <= BLOCK:
                 raise ValueError("damaged block")
-            values, used = _unpacked_steps(block[16:], distinct)
-            group.append((size, crc, values, block[16 + used:]))
+            values, payload = _unpacked_steps(block[16:], distinct)
+            group.append((size, crc, values, payload))
         order = sorted(range(len(group)), key=lambda i: -group[i][0])
         sizes = np.array([group[i][0] for i in order])
         model = _Model(len(group), _Coder(len(group), [group[i][3] for i in order]),

@@ -162,3 +162,25 @@ def test_three_orders_beat_the_single_ones():
     skewed = rng.choice([5, 900, 40_000, 7], 4096, p=[0.85, 0.05, 0.05, 0.05])
     entropy = 4096 * (0.85 * np.log2(1 / 0.85) + 0.15 * np.log2(20)) / 8
     assert len(mixing_coder.encode_ids(skewed)[0]) < 1.15 * entropy + 50
+
+
+def test_an_id_takes_four_mixed_symbols_at_most(monkeypatch):
+    """Blocks go through the coder in lockstep: a decision and three digits for all of them."""
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([rng.permutation(4096), rng.choice(40, 4096), rng.choice(900, 4096), rng.choice(3000, 700)])
+    calls = []
+    narrow = mixing_coder._Coder.narrow
+    monkeypatch.setattr(mixing_coder._Coder, "narrow", lambda *a: calls.append(1) or narrow(*a))
+    blocks = mixing_coder.encode_ids(ids)
+    assert len(calls) <= 4 * 4096
+    assert np.array_equal(mixing_coder.decode_ids(blocks), ids) and len(calls) <= 8 * 4096
+
+
+def test_zipf_words_cost_about_their_entropy():
+    """Each id's rank is drawn alone, so orders 1 and 2 must not cost more than they give."""
+    rng = np.random.default_rng(5)
+    chance = 1 / np.arange(1, 501)
+    chance /= chance.sum()
+    ids = np.sort(rng.choice(50_000, 500, replace=False))[rng.choice(500, 4096 * 8, p=chance)]
+    entropy = -(chance * np.log2(chance)).sum() / 8
+    assert sum(map(len, mixing_coder.encode_ids(ids))) < ids.size * (1.1 * entropy + 0.14)
