@@ -25,10 +25,11 @@ coder's bytes.
 
 from __future__ import annotations
 
-import struct
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack, unpack
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +38,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from calibra.llm.bpe_scan import encode_block
+from calibra.llm.bpe_scan import split_block
 from calibra.llm.scratch import saved
 from calibra.llm.textblocks import byte_blocks
 
 BLOCK, LANES = 4096, 1024    # at most 4096 distinct ids: a digit of 4 and two of 32
 IDS = 1 << 21                 # ids are below this
 NONE = (1 << 16) - 1          # no prediction
-GUESS_BITS = 12               # predicted ids of an order: 4096 hashed places
+GUESS_BITS = 11               # predicted ids of an order: 2048 hashed places
 WIDE = 32                     # values of a digit
-FLAG_ROWS = (50, 512, 512)    # decisions on the prediction: rows of counts of the orders
+FLAG_ROWS = (50, 256, 256)    # decisions on the prediction: rows of counts of the orders
 HIGH_ROWS = (5, 256, 128)     # digits but the last; the rows of orders 1 and 2 are hashed
-LAST_ROWS = (128, 1024, 256)  # the last digit
+LAST_ROWS = (128, 512, 128)   # the last digit
 COUNTED = 2                   # what an occurrence adds to a count; those of order 0 start with 1
 SHARED = 65_000               # sum of the weights: with WIDE codes for sure and rounding below 65536
 FLAG_PULL = (0, 0.5, 0.8, 0.8), (0, 0.6, 0.8, 1)          # first weights of orders 1 and 2 where order 0
@@ -169,7 +170,7 @@ class _Model:
         self.weights = np.tile(first.ravel(), lanes)
         self.sets = np.arange(lanes) * first.size
         # index * 4 + how sure it is: one more each time it is right, one less when it isn't
-        self.guess = np.full((2, lanes, 1 << GUESS_BITS), NONE, np.uint16)
+        self.guess = np.full((2, lanes << GUESS_BITS), NONE, np.uint16)
         self.last = np.zeros((2, lanes), np.uint32)
 
     def _digit(self, place: int, lanes: np.ndarray, table: _Rows, cells: np.ndarray,
@@ -218,8 +219,9 @@ class _Model:
         context[0] = (one + np.uint32(1)) * _ONE
         context[1] = (context[0] ^ (context[0] >> np.uint32(15))) * _TWO + (two + np.uint32(1)) * _NODE
         place = ((context ^ (context >> np.uint32(13))) * _TWO) >> np.uint32(32 - GUESS_BITS)
-        low, high = self.guess[0][lanes, place[0]], self.guess[1][lanes, place[1]]
-        sure_low, sure_high = np.where(low == NONE, 0, 1 + (low & 3)), np.where(high == NONE, 0, 1 + (high & 3))
+        place = place + (lanes << GUESS_BITS)
+        low, high = self.guess[0].take(place[0], mode="clip"), self.guess[1].take(place[1], mode="clip")
+        sure_low, sure_high = (low != NONE) * (1 + (low & 3)), (high != NONE) * (1 + (high & 3))
         likely = np.where(sure_high < sure_low, low, high) >> 2
         agree = low >> 2 == high >> 2
         cells = self.flags.cells(lanes, context, 0)
@@ -232,7 +234,7 @@ class _Model:
         for guess, at, was in zip(self.guess, place, (low, high)):
             sure, right = was & 3, was >> 2 == out
             kept = np.where(right, was + (sure < 3), was - 1)
-            guess[lanes, at] = np.where(right | ((sure > 0) & (was != NONE)), kept, out << 2)
+            guess[at] = np.where(right | ((sure > 0) & (was != NONE)), kept, out << 2)
         self.last[1, :k] = one
         self.last[0, :k] = out
         return out
@@ -295,7 +297,7 @@ def encode_ids(ids: np.ndarray) -> list[bytes]:
             own = part[i * BLOCK:i * BLOCK + size]
             values, grid[i, :size] = np.unique(own, return_inverse=True)
             distinct[i] = values.size
-            heads.append(MAGIC + struct.pack("<III", size, zlib.crc32(own.astype("<u4").tobytes()), values.size)
+            heads.append(MAGIC + pack("<III", size, zlib.crc32(own.astype("<u4").tobytes()), values.size)
                          + _packed_steps(values))
         grid = np.ascontiguousarray(grid.T)
         coder = _Coder(lanes, None)
@@ -315,7 +317,7 @@ def decode_ids(blocks: list[bytes]) -> np.ndarray:
         for block in blocks[at:at + LANES]:
             if block[:4] != MAGIC or len(block) < 16:
                 raise ValueError("not a coded block")
-            size, crc, distinct = struct.unpack("<III", block[4:16])
+            size, crc, distinct = unpack("<III", block[4:16])
             if not 0 < distinct <= size <= BLOCK:
                 raise ValueError("damaged block")
             values, payload = _unpacked_steps(block[16:], distinct)
@@ -350,6 +352,7 @@ class LibraryIds:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")      # a task has one core
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.cache: dict[bytes, bytes] = {}
@@ -359,21 +362,46 @@ class LibraryIds:
         if None in out:
             new = list({w for w, ids in zip(words, out) if ids is None})
             coded = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            fresh = {w: np.array(c.ids, "<i4").tobytes() for w, c in zip(new, coded)}
+            fresh = {w: pack(f"<{len(c)}i", *c.ids) for w, c in zip(new, coded)}
             if len(self.cache) + len(new) > WORDS_KEPT:
                 self.cache.clear()
             self.cache.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
             out = [fresh[w] if ids is None else ids for w, ids in zip(words, out)]
         return out
 
+    def words(self, buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pre-tokens of a block, which start at `starts`, and how many are
+        before each of them.  Those of up to seven bytes are looked up once a block."""
+        sizes = np.diff(starts, append=buf.size)
+        eight = np.ndarray(buf.size, "<u8", np.append(buf, np.zeros(8, np.uint8)), 0, (1,))     # eight bytes from each
+        short = np.flatnonzero(sizes < 8)
+        used = sizes[short].astype(np.uint64)
+        keys = eight[starts[short]] & ((np.uint64(1) << (np.uint64(8) * used)) - np.uint64(1))
+        keys, which = np.unique(keys | used << np.uint64(56), return_inverse=True)
+        raw, ends = keys.astype("<u8").tobytes(), (keys >> np.uint64(56)).tolist()
+        distinct = [raw[8 * i:8 * i + n] for i, n in enumerate(ends)]
+        long = np.flatnonzero(sizes >= 8)
+        distinct += [buf[a:a + n].tobytes() for a, n in zip(starts[long].tolist(), sizes[long].tolist())]
+        pieces = self.packed(distinct)
+        own = np.empty(starts.size, np.int64)
+        own[short], own[long] = which, keys.size + np.arange(long.size)
+        count = np.array([len(p) >> 2 for p in pieces], np.int64)
+        first = np.cumsum(count) - count
+        counts = count[own]
+        before = np.concatenate([[0], np.cumsum(counts)])
+        flat = np.frombuffer(b"".join(pieces), "<i4")
+        return flat.take(np.repeat(first[own] - before[:-1], counts) + np.arange(before[-1])), before
+
     def texts(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
+        starts, upto = split_block(buf, offs)
         data = buf.tobytes()
         whole = any(s in data for s in self.special)
-        for row, (ids, _) in enumerate(encode_block(buf, offs, self.packed)):
-            if whole and any(s in data[offs[row]:offs[row + 1]] for s in self.special):
-                text = data[offs[row]:offs[row + 1]].decode()
-                ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
-            yield ids
+        ids, before = self.words(buf, starts) if starts.size else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        for a, b, first, last in zip(offs[:-1].tolist(), offs[1:].tolist(), before[upto[:-1]], before[upto[1:]]):
+            if whole and any(s in data[a:b] for s in self.special):
+                yield np.array(self.library.encode(data[a:b].decode(), add_special_tokens=False).ids, np.int32)
+            else:
+                yield ids[first:last]
 
 
 @lru_cache(maxsize=4)
@@ -427,10 +455,9 @@ def write_coded(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
         .write.parquet(path)
 
 
-def read_coded(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of a coded folder: doc_id, start (ids of all documents before
-    it), n_tokens, ids array<int>.  Damaged blocks raise.  The starts of the groups are a
-    saved table, so Spark knows its size when it picks the join with the coded groups."""
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """The coded groups of a folder, with the number of ids before each.  These starts are a
+    saved table, so Spark knows its size when it picks the join with the groups."""
     groups = spark.read.schema("part int, seq int, doc_ids array<long>, lengths array<int>, blocks array<binary>") \
         .parquet(path)
     sizes = groups.select("part", "seq", F.aggregate("lengths", F.lit(0).cast("long"),
@@ -441,34 +468,50 @@ def read_coded(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("part", "seq", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("group_start"))
     starts = sizes.join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("group_start")).alias("base"))
+    return groups.join(saved(starts, "group-starts"), ["part", "seq"]).select("base", "doc_ids", "lengths", "blocks")
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each group, decoded."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i] for c in batch.schema.names}
+            ids = decode_ids(row["blocks"].as_py())
+            lengths = row["lengths"].values.to_numpy().astype(np.int64)
+            ends = np.cumsum(lengths)
+            cuts = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [row["doc_ids"].values, pa.array(row["base"].as_py() + ends - lengths), pa.array(lengths),
+                 pa.ListArray.from_arrays(cuts, pa.array(ids))], ["doc_id", "start", "n_tokens", "ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                ids = decode_ids(row["blocks"])
-                ends = np.cumsum(row["lengths"])
-                cuts = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["base"] + ends - np.array(row["lengths"]), pa.int64()),
-                     pa.array(row["lengths"], pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(ids))],
-                    ["doc_id", "start", "n_tokens", "ids"])
 
-    placed = groups.join(saved(starts, "group-starts"), ["part", "seq"]).select("base", "doc_ids", "lengths", "blocks")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the crc32 of their ids instead of these."""
+    for batch in batches:
+        ids = batch.column("ids")
+        flat = ids.flatten().to_numpy().astype("<u4", copy=False)
+        ends = np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))
+        first = np.concatenate([[0], ends])
+        sums = [zlib.crc32(flat[a:b]) for a, b in zip(first, ends)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64())],
+            ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def read_coded(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document of a coded folder: doc_id, start (ids of all documents before
+    it), n_tokens, ids array<int>.  Damaged blocks raise."""
+    return _placed(spark, path).mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def ids_crc32(coded: DataFrame) -> DataFrame:
     """`read_coded`'s rows without ids, plus ids_crc32: unsigned crc32 of the ids as
     little-endian unsigned 32-bit integers."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat = ids.flatten().to_numpy().astype("<u4")
-            ends = np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))
-            first = np.concatenate([[0], ends])
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(first, ends)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"])
-    return coded.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return coded.mapInArrow(_summed, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_sums(spark: SparkSession, path: str) -> DataFrame:
+    """`ids_crc32` of `read_coded` in one pass, so that a task keeps one Python worker and
+    no ids go back and forth between it and Spark."""
+    return _placed(spark, path).mapInArrow(lambda batches: _summed(_documents(batches)),
+                                           "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -48,7 +48,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, f"coded-ids-{uuid.uuid4().hex}")
     mixing_coder.write_coded(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(BPE_FILE), end_id=0)
-    return mixing_coder.ids_crc32(mixing_coder.read_coded(spark, path))
+    return mixing_coder.read_sums(spark, path)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,3 +184,19 @@ def test_zipf_words_cost_about_their_entropy():
     ids = np.sort(rng.choice(50_000, 500, replace=False))[rng.choice(500, 4096 * 8, p=chance)]
     entropy = -(chance * np.log2(chance)).sum() / 8
     assert sum(map(len, mixing_coder.encode_ids(ids))) < ids.size * (1.1 * entropy + 0.14)
+
+
+def test_sums_in_one_pass_equal_those_of_the_ids(spark, tmp_path):
+    rows = [(i * 7 % 61, t) for i, t in enumerate(texts(60))] + [(None, "a\x00b"), (3, None), (3, ""), (70, "a" * 7 + " \x00" * 9)]
+    path = scratch_path(spark, f"sums-{hashlib.md5(str(tmp_path).encode()).hexdigest()}")
+    mixing_coder.write_coded(frame(spark, rows).repartition(3), path, JSON)
+    expected = sorted(map(str, mixing_coder.ids_crc32(mixing_coder.read_coded(spark, path)).collect()))
+    assert sorted(map(str, mixing_coder.read_sums(spark, path).collect())) == expected
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 300])
+def test_ids_of_words_looked_up_once_a_block_equal_the_library_s(limit):
+    library, own = Tokenizer.from_file(JSON), mixing_coder.LibraryIds(JSON)
+    many = texts(500) + ["a\x00b\x00", "\x00", " \x00\x00 \x00", "abcdefg", "abcdefgh", " abcdefg" * 3]
+    got = [ids.tolist() for _, _, buf, offs in byte_blocks(pa.array(many), limit) for ids in own.texts(buf, offs)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in many]
