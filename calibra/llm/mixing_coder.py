@@ -42,7 +42,7 @@ from calibra.llm.bpe_scan import split_block
 from calibra.llm.scratch import saved
 from calibra.llm.textblocks import byte_blocks
 
-BLOCK, LANES = 4096, 1024    # at most 4096 distinct ids: a digit of 4 and two of 32
+BLOCK, LANES = 4096, 1792    # at most 4096 distinct ids: a digit of 4 and two of 32
 IDS = 1 << 21                 # ids are below this
 NONE = (1 << 16) - 1          # no prediction
 GUESS_BITS = 11               # predicted ids of an order: 2048 hashed places
@@ -282,14 +282,20 @@ def _unpacked_steps(data: bytes, count: int) -> tuple[np.ndarray, bytes]:
     return np.cumsum(np.add.reduceat((head & 127) << 7 * place, first)), inflate.unused_data
 
 
+def _parts(blocks: int) -> list[tuple[int, int]]:
+    """Even parts of a number of blocks, LANES each at most: few lanes take as many steps."""
+    count = -(-blocks // LANES)
+    cuts = [blocks * i // max(count, 1) for i in range(count + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
 def encode_ids(ids: np.ndarray) -> list[bytes]:
     """Coded blocks of an id array (0 <= id < IDS)."""
     if ids.size and (ids.min() < 0 or ids.max() >= IDS):
         raise ValueError("id out of range")
     blocks: list[bytes] = []
-    for at in range(0, ids.size, BLOCK * LANES):
-        part = ids[at:at + BLOCK * LANES]
-        lanes = -(-part.size // BLOCK)
+    for at, end in _parts(-(-ids.size // BLOCK)):
+        part, lanes = ids[at * BLOCK:end * BLOCK], end - at
         sizes = np.minimum(BLOCK, part.size - np.arange(lanes) * BLOCK)
         grid, heads = np.zeros((lanes, BLOCK), np.uint16), []
         distinct = np.zeros(lanes, np.int64)
@@ -312,9 +318,9 @@ def encode_ids(ids: np.ndarray) -> list[bytes]:
 def decode_ids(blocks: list[bytes]) -> np.ndarray:
     """Ids of coded blocks, in order; raises on a damaged block."""
     out = [np.zeros(0, np.int32)]
-    for at in range(0, len(blocks), LANES):
+    for at, end in _parts(len(blocks)):
         group = []
-        for block in blocks[at:at + LANES]:
+        for block in blocks[at:end]:
             if block[:4] != MAGIC or len(block) < 16:
                 raise ValueError("not a coded block")
             size, crc, distinct = unpack("<III", block[4:16])
@@ -417,7 +423,7 @@ def write_coded(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
     Documents are range-partitioned by id and the first 64 characters of the text and
     sorted by id and text, so rows that share an id (null ids come first) may fill many
     partitions; repeated rows are all kept.
-    A group holds whole documents of about BLOCK * LANES ids, so a task holds one group and
+    A group holds whole documents of BLOCK * LANES ids at most, or one longer one, so a task holds one group and
     one Arrow batch.  An empty table makes an empty folder.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,12 +445,12 @@ def write_coded(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
             for row, stop, buf, offs in byte_blocks(batch.column("text"), TEXT_BYTES):
                 ids = batch.column("doc_id").slice(row, stop - row).to_pylist()
                 for doc_id, text in zip(ids, model.texts(buf, offs)):
+                    if held and total + text.size >= BLOCK * LANES:
+                        yield group()
+                        names, held, total, seq = [], [], 0, seq + 1
                     names.append(doc_id)
                     held.append(np.concatenate([text, end]))
                     total += held[-1].size
-                    if total >= BLOCK * LANES:
-                        yield group()
-                        names, held, total, seq = [], [], 0, seq + 1
         if held:
             yield group()
 

@@ -200,3 +200,11 @@ def test_ids_of_words_looked_up_once_a_block_equal_the_library_s(limit):
     many = texts(500) + ["a\x00b\x00", "\x00", " \x00\x00 \x00", "abcdefg", "abcdefgh", " abcdefg" * 3]
     got = [ids.tolist() for _, _, buf, offs in byte_blocks(pa.array(many), limit) for ids in own.texts(buf, offs)]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in many]
+
+
+def test_no_part_of_few_blocks_follows_a_full_one(monkeypatch):
+    monkeypatch.setattr(mixing_coder, "LANES", 4)
+    assert [mixing_coder._parts(n) for n in (0, 1, 4, 5, 9)] == [
+        [], [(0, 1)], [(0, 4)], [(0, 2), (2, 5)], [(0, 3), (3, 6), (6, 9)]]
+    ids = np.random.default_rng(2).choice(700, 4096 * 5 + 10)
+    assert np.array_equal(mixing_coder.decode_ids(mixing_coder.encode_ids(ids)), ids)
